@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact, minhash, packing, pii, quality, secrets, toxicity
+from tidemark.llm import bpe, exact, minhash, packing, pii, quality, secrets, substrings, toxicity
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bpe_round_trip, op3_minhash_near_dedup, op4_quality_classifier, op5_toxicity, op6_personal_data, op8_secret_scans, op9_exact_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_bpe_round_trip, op3_minhash_near_dedup, op4_quality_classifier, op5_toxicity, op6_personal_data, op7_suffix_dedup, op8_secret_scans, op9_exact_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
