@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact, minhash, packing, pii, quality, secrets, substrings, toxicity
+from tidemark.llm import bpe, embeddings, exact, minhash, packing, pii, quality, secrets, substrings, toxicity
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -52,7 +56,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bpe_round_trip, op3_minhash_near_dedup, op4_quality_classifier, op5_toxicity, op6_personal_data, op7_suffix_dedup, op8_secret_scans, op9_exact_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_bpe_round_trip, op3_minhash_near_dedup, op4_quality_classifier, op5_toxicity, op6_personal_data, op7_suffix_dedup, op8_secret_scans, op9_exact_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
