@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 from operator import eq
 
@@ -113,6 +113,31 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> tuple[np.ndarra
     return train([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<f4"), r.y) for r in rows])
 
 
+def _scorer(model: tuple[np.ndarray, float]) -> Callable[[pa.Array], np.ndarray]:
+    """Scores of an array of texts."""
+    weights, bias = model
+
+    def of(word: str) -> tuple[float, int]:
+        f = word_features(word)
+        return float(weights[f].sum()), len(f)
+
+    words = PerWord(of)
+
+    def run(texts: pa.Array) -> np.ndarray:
+        z = []
+        for text in texts:
+            parts = (text.as_py() or "").split()
+            again = REPEAT_COUNT * repeats(parts)
+            total, n = float(weights[REPEAT]) * again, again + PRIOR
+            for a, b in map(words.__getitem__, parts):
+                total += a
+                n += b
+            z.append(bias + total / n)
+        return 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -500, 500)))
+
+    return run
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted.
 
@@ -122,29 +147,27 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
-
-        def of(word: str) -> tuple[float, int]:
-            f = word_features(word)
-            return float(weights[f].sum()), len(f)
-
-        words = PerWord(of)
+        scores = _scorer(shared.value)
         for batch in batches:
-            scores = []
-            for text in batch.column(1):
-                parts = text.as_py().split()
-                again = REPEAT_COUNT * repeats(parts)
-                total, n = float(weights[REPEAT]) * again, again + PRIOR
-                for a, b in map(words.__getitem__, parts):
-                    total += a
-                    n += b
-                scores.append(bias + total / n)
-            s = 1 / (1 + np.exp(-np.clip(np.array(scores, np.float64), -500, 500)))
+            s = scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = id_and_text(docs).withColumn("held_out", remainder(5) == 0)
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score reaches ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(place)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
     return score(docs, fit(docs, labels, most))
