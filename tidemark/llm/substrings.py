@@ -173,9 +173,11 @@ def _firsts(tuples: Columns) -> tuple[Columns, np.ndarray, np.ndarray]:
 def _by_shard(cols: Columns, layout: tuple, shard: np.ndarray, kind: int, extra: list[bytes] | None = None) -> Iterator[tuple[int, int, bytes]]:
     """(shard, kind, packed rows) for each shard that has rows; extra: a string of each row, put at
     the end of the packed rows."""
+    if not len(shard):
+        return
     order = np.argsort(shard, kind="stable")
     cols, shard = _taken(cols, order), shard[order]
-    starts = np.nonzero(np.append(True, shard[1:] != shard[:-1]))[0] if len(shard) else []
+    starts = np.nonzero(np.append(True, shard[1:] != shard[:-1]))[0]
     for a, b in zip(starts, [*starts[1:], len(shard)], strict=True):
         packed = _pack(cols, layout, slice(a, b))
         if extra is not None:
