@@ -33,10 +33,10 @@ def orders(spark: SparkSession, d: str) -> DataFrame:
 _SPEC_SQL = "SELECT o_orderkey AS id, o_custkey AS cust_id, o_orderstatus AS status, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders WHERE o_orderstatus <> 'P'"
 
 
-@query(f"SELECT *, CAST(id // 1000 AS VARCHAR) AS partition_id FROM ({_SPEC_SQL}) WHERE id >= 2000 AND id < 7000")
+@query(f"SELECT *, CAST(id // 100 AS VARCHAR) AS partition_id FROM ({_SPEC_SQL}) WHERE id >= 200 AND id < 1200")
 def scan_partition(spark: SparkSession, d: str) -> DataFrame:
-    rows = ORDERS.fetch(orders(spark, d)).where(P.half_open("id", 2000, 7000))
-    return rows.withColumn("partition_id", partition_id([Dimension("id", 1000)]))
+    rows = ORDERS.fetch(orders(spark, d)).where(P.half_open("id", 200, 1200))
+    return rows.withColumn("partition_id", partition_id([Dimension("id", 100)]))
 
 
 @query("SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS priority, o_orderdate AS day FROM orders")

@@ -11,14 +11,16 @@ from tidemark.sources.writers import upsert
 
 def start_upsert(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
     """Upserts every micro-batch into a versioned Parquet table: batch n writes version n from the
-    version before and its own rows, the last per key in ``order``. A batch that is repeated after a
-    failure writes the same version again. Reads what is there and stops."""
+    version before and its own rows. Per key the last row in ``order`` stays, whichever batch it came
+    in, so late rows do not replace newer ones. A batch that is repeated after a failure writes the
+    same version again. Reads what is there and stops."""
     schema = stream.schema
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         before = spark.read.schema(schema).parquet(f"{target}/version={n - 1}") if n else spark.createDataFrame([], schema)
-        upsert(before, keep_last(batch, keys, order), keys).write.mode("overwrite").parquet(f"{target}/version={n}")
+        met = before.join(batch.select(*keys).distinct(), keys, "left_semi").select(*batch.columns)
+        upsert(before, keep_last(met.unionByName(batch), keys, order), keys).write.mode("overwrite").parquet(f"{target}/version={n}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
