@@ -61,5 +61,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_embedding_near_dedup": embeddings.ORACLE,
+        "op8_secret_scans": secrets.oracle(),
         "op9_exact_dedup": exact.ORACLE,
     }

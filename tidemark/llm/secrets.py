@@ -152,3 +152,21 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     )
     clean = f"aggregate(_findings, struct('' AS out, 0 AS at), {step}, a -> concat(a.out, substring(text, a.at + 1)))"
     return joined.withColumn("text", F.expr(f"CASE WHEN _findings IS NULL THEN text ELSE {clean} END")).select(*names)
+
+
+def oracle(rules: tuple[Rule, ...] = RULES) -> str:
+    """The report as SQL of DuckDB."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    found = " UNION ALL ".join(
+        f"""SELECT doc_id, {i} AS ord, '{r.kind}' AS kind, {str(r.base).lower()} AS base, {r.least} AS least, regexp_extract_all(t, {quoted(r.pattern)}, 0) AS m,
+        regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS g, string_split_regex(t, {quoted(r.pattern)}) AS p FROM d"""
+        for i, r in enumerate(rules)
+    )
+    count = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in rules if r.base)
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}), x AS (
+      SELECT doc_id, ord, kind, base, least, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(g) AS g, unnest(p[:len(m)]) AS p FROM f WHERE len(m) > 0
+    ), y AS (SELECT *, sum(length(p) + length(m)) OVER (PARTITION BY doc_id, ord ORDER BY i) AS stop FROM x),
+    s AS (SELECT doc_id, ord, kind, base, stop - length(m) AS start, kind || ':' || CAST(stop - length(m) AS VARCHAR) || ':' || CAST(stop AS VARCHAR) AS span FROM y WHERE length(g) >= least),
+    a AS (SELECT doc_id, {count}, string_agg(span, ',' ORDER BY start, ord) FILTER (base) AS b, string_agg(span, ',' ORDER BY start, ord) AS spans FROM s GROUP BY 1)
+    SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in rules if r.base)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
