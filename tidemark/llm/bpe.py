@@ -27,8 +27,8 @@ from tidemark.llm.common import id_and_text
 
 #: Symbols of a word above which a heap finds the smallest rank.
 LONG = 200
-#: Distinct words kept in a worker; beyond it the table is emptied.
-KEPT_WORDS = 300_000
+#: Distinct words kept in a worker, in each of two generations.
+KEPT_WORDS = 350_000
 _NO_RANK = 1 << 60
 #: Unicode's White_Space, which the vocabulary's patterns mean by \\s.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -37,6 +37,7 @@ _LATIN_LETTERS = r"a-zA-Zªµºß-öø-ÿÀ-ÖØ-ÞĀ-ſ"
 _LATIN_NUMBERS = r"0-9²³¹¼½¾"
 #: Capitals that Unicode 16 added, which Python's tables may not know yet.
 _NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+_COMMON_END = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BEYOND_LATIN = re.compile(r"[^\x00-ſ]")
 
 
@@ -61,17 +62,24 @@ class WordBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.tokens: dict[int, str] = {i: t for t, i in self.vocab.items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
         self.letters = _byte_letters()
-        self.ranks: dict[tuple[int, int], int] = {}
+        # of each byte within a word and at its end; None if the vocabulary lacks it
+        self.inner = [self.vocab.get(x) for x in self.letters]
+        self.last = [self.vocab.get(x + self.end) for x in self.letters]
+        self.ranks: dict[int, int] = {}  # by first id * 2^20 + second id
         self.made: list[int] = []
         for pair in model["merges"]:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks[self.vocab[a], self.vocab[b]] = len(self.made)
+            self.ranks[self.vocab[a] << 20 | self.vocab[b]] = len(self.made)
             self.made.append(self.vocab[a + b])
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         pattern = split["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace(r"\s", _SPACE))
-        latin = pattern.replace(r"\s", _SPACE).replace(r"[\p{L}]", f"[{_LATIN_LETTERS}]").replace(r"[\p{N}]", f"[{_LATIN_NUMBERS}]")
+        latin = pattern
+        if pattern.endswith(_COMMON_END) and all(x.startswith("'") for x in pattern.removesuffix(_COMMON_END).split("|") if x):
+            # no two of these alternatives start alike but those with an apostrophe: letters go first
+            latin = r"[\p{L}]+|" + pattern.replace(r"|[\p{L}]+|", "|", 1)
+        latin = latin.replace(r"\s", _SPACE).replace(r"[\p{L}]", f"[{_LATIN_LETTERS}]").replace(r"[\p{N}]", f"[{_LATIN_NUMBERS}]")
         self.latin_words = re.compile(latin.replace(r"\p{L}", _LATIN_LETTERS).replace(r"\p{N}", _LATIN_NUMBERS))
 
     def split(self, text: str) -> list[str]:
@@ -98,28 +106,29 @@ class WordBpe:
 
     def word(self, word: str) -> list[int]:
         """The ids of one word."""
-        letters = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-        letters[-1] += self.end
-        ids = [self.vocab[x] for x in letters if x in self.vocab]
+        data = word.encode("utf-8", "surrogatepass")
+        ids = [*map(self.inner.__getitem__, data[:-1]), self.last[data[-1]]]
+        if None in ids:
+            ids = [i for i in ids if i is not None]
         return self._long(ids) if len(ids) > LONG else self._short(ids)
 
     def _short(self, ids: list[int]) -> list[int]:
         rank = self.ranks.get
-        ranks = [rank(p, _NO_RANK) for p in zip(ids, ids[1:], strict=False)]
+        ranks = [rank(a << 20 | b, _NO_RANK) for a, b in zip(ids, ids[1:], strict=False)]
         while ranks and (least := min(ranks)) != _NO_RANK:
             i = ranks.index(least)
-            ids[i] = self.made[least]
+            ids[i] = new = self.made[least]
             del ids[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = rank((ids[i], ids[i + 1]), _NO_RANK)
+                ranks[i] = rank(new << 20 | ids[i + 1], _NO_RANK)
             if i:
-                ranks[i - 1] = rank((ids[i - 1], ids[i]), _NO_RANK)
+                ranks[i - 1] = rank(ids[i - 1] << 20 | new, _NO_RANK)
         return ids
 
     def _long(self, ids: list[int]) -> list[int]:
         n, rank = len(ids), self.ranks.get
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -131,7 +140,7 @@ class WordBpe:
             if after[i] < n:
                 before[after[i]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] < n and (s := rank((ids[k], ids[after[k]]))) is not None:
+                if k >= 0 and after[k] < n and (s := rank(ids[k] << 20 | ids[after[k]])) is not None:
                     heapq.heappush(heap, (s, k, ids[k], ids[after[k]]))
         return [x for x in ids if x is not None]
 
@@ -143,18 +152,23 @@ class WordBpe:
 
 
 class PerWord(dict):
-    """What ``make`` gives for a word, kept for as many words as a worker may hold."""
+    """What ``make`` gives for a word, kept for as many words as a worker may hold: when a generation
+    is full it becomes the old one, from which words that come again move to the new."""
 
     def __init__(self, make: Callable[[str], object]) -> None:
         super().__init__()
         self.make = make
+        self.old: dict[str, object] = {}
 
     def __missing__(self, word: str) -> object:
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+            if len(word) > LONG:
+                return value
         if len(self) >= KEPT_WORDS:
+            self.old = dict(self)
             self.clear()
-        value = self.make(word) if len(word) <= LONG else None
-        if value is None:
-            return self.make(word)
         self[word] = value
         return value
 
