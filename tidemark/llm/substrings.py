@@ -98,8 +98,9 @@ def _least_of_windows(keys: np.ndarray) -> np.ndarray:
     return np.minimum(m[:n], m[_WINDOW - size : _WINDOW - size + n])
 
 
-#: Columns of tuples: gram, digest, document, first window, gram's place after it, further windows.
-TUPLE = (("gram", "<u8"), ("digest", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("at", "u1"), ("more", "u1"))
+#: Columns of tuples: gram (48 bits, in two columns; grams that share them are told apart by their
+#: bytes), digest, document, first window, gram's place after it, further windows.
+TUPLE = (("gram", "<u4"), ("gram2", "<u2"), ("digest", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("at", "u1"), ("more", "u1"))
 SPAN = (("doc", "<i8"), ("lo", "<u4"), ("end", "<u4"))
 Columns = dict[str, np.ndarray]
 
@@ -119,6 +120,15 @@ def _unpack(blobs: list[bytes], layout: tuple) -> Columns:
     return {name: np.concatenate(parts[name]) if blobs else np.empty(0, kind) for name, kind in layout}
 
 
+def _gram(cols: Columns) -> np.ndarray:
+    return cols["gram"].astype(np.uint64) << np.uint64(16) | cols["gram2"].astype(np.uint64)
+
+
+def _in_text_order(cols: Columns) -> Columns:
+    """By document and place: neighbouring rows are then alike, which compression makes use of."""
+    return _taken(cols, np.lexsort((cols["lo"], cols["doc"])))
+
+
 def _taken(cols: Columns, rows: np.ndarray) -> Columns:
     return {k: v[rows] for k, v in cols.items()}
 
@@ -146,7 +156,8 @@ def tuples_of(pieces: list[tuple[int, int, bytes]]) -> Columns:
     of = piece[lo]
     offset = np.array([p[1] for p in pieces]) - (np.cumsum(lengths) - lengths)
     return {
-        "gram": grams[at],
+        "gram": (grams[at] >> np.uint64(32)).astype(np.uint32),
+        "gram2": (grams[at] >> np.uint64(16)).astype(np.uint16),
         "digest": _mixed(_between(sums, lo, hi + LENGTH) + ((at - lo) * 128 + hi - lo).astype(np.uint64)),
         "doc": np.array([p[0] for p in pieces], np.int64)[of],
         "lo": (lo + offset[of]).astype(np.uint32),
@@ -162,10 +173,11 @@ def _spans_of(tuples: Columns) -> Columns:
 def _firsts(tuples: Columns) -> tuple[Columns, np.ndarray, np.ndarray]:
     """(sorted tuples, which are the first with their gram and digest, which others are repeats).
     An occurrence that is there twice, as a row is repeated, is no repeat of itself."""
-    order = np.lexsort((tuples["lo"], tuples["doc"], tuples["digest"], tuples["gram"]))
-    s = _taken(tuples, order)
+    gram = _gram(tuples)
+    order = np.lexsort((tuples["lo"], tuples["doc"], tuples["digest"], gram))
+    s, gram = _taken(tuples, order), gram[order]
     first = np.ones(len(order), bool)
-    first[1:] = (s["gram"][1:] != s["gram"][:-1]) | (s["digest"][1:] != s["digest"][:-1])
+    first[1:] = (gram[1:] != gram[:-1]) | (s["digest"][1:] != s["digest"][:-1])
     head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
     return s, first, ~first & ((s["doc"] != s["doc"][head]) | (s["lo"] != s["lo"][head]))
 
@@ -218,9 +230,9 @@ def _suffix_tuples(docs: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             for pieces in _chunks(batch):
                 s, first, repeat = _firsts(tuples_of(pieces))
-                spans = _spans_of(_taken(s, repeat))
-                kept = _taken(s, first)
-                rows = [*_by_shard(kept, TUPLE, (kept["gram"] % np.uint64(shards)).astype(np.int64), _TUPLES), *_by_shard(spans, SPAN, spans["doc"] % shards, _SPANS)]
+                spans = _in_text_order(_spans_of(_taken(s, repeat)))
+                kept = _in_text_order(_taken(s, first))
+                rows = [*_by_shard(kept, TUPLE, (_gram(kept) % np.uint64(shards)).astype(np.int64), _TUPLES), *_by_shard(spans, SPAN, spans["doc"] % shards, _SPANS)]
                 yield _sharded_batch(rows)
 
     return docs.mapInArrow(run, _SHARDED)
@@ -244,20 +256,21 @@ def _resolved(tuples: DataFrame, shards: int) -> DataFrame:
             for one in np.unique(table.column("shard").to_numpy()):
                 mask = (table.column("shard").to_numpy() == one) & (kinds == _TUPLES)
                 t = _unpack([table.column("packed")[i].as_py() for i in np.nonzero(mask)[0].tolist()], TUPLE)
-                by_gram = np.sort(t["gram"])
+                gram = _gram(t)
+                by_gram = np.sort(gram)
                 again = np.unique(by_gram[1:][by_gram[1:] == by_gram[:-1]])
                 if not len(again):
                     continue
-                place = np.minimum(np.searchsorted(again, t["gram"]), len(again) - 1)
-                s, first, repeat = _firsts(_taken(t, again[place] == t["gram"]))
-                spans = _spans_of(_taken(s, repeat))
+                place = np.minimum(np.searchsorted(again, gram), len(again) - 1)
+                s, first, repeat = _firsts(_taken(t, again[place] == gram))
+                spans = _in_text_order(_spans_of(_taken(s, repeat)))
                 rows += _by_shard(spans, SPAN, spans["doc"] % shards, _SPANS)
                 heads = _taken(s, first)
-                g = heads["gram"]
+                g = _gram(heads)
                 several = np.zeros(len(g), bool)
                 several[1:] |= g[1:] == g[:-1]
                 several[:-1] |= g[1:] == g[:-1]
-                asked = _taken(heads, several)
+                asked = _in_text_order(_taken(heads, several))
                 rows += _by_shard(asked, TUPLE, asked["doc"] % shards, _ASKED)
             yield _sharded_batch(rows)
 
@@ -304,7 +317,7 @@ def _stretches(docs: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
                 rows.append(np.arange(a, b))
                 strings += [data[lo : lo + more + LENGTH] for lo, more in zip(cols["lo"][a:b].tolist(), cols["more"][a:b].tolist(), strict=True)]
             t = _taken(cols, np.concatenate(rows))
-            yield _sharded_batch(list(_by_shard(t, TUPLE, (t["gram"] % np.uint64(shards)).astype(np.int64), _ASKED, strings)))
+            yield _sharded_batch(list(_by_shard(t, TUPLE, (_gram(t) % np.uint64(shards)).astype(np.int64), _ASKED, strings)))
 
     return _with_texts(docs, asked, shards).mapInArrow(run, _SHARDED)
 
@@ -319,7 +332,7 @@ def _compared(t: Columns, strings: list[bytes]) -> Columns:
     place = (np.cumsum(lengths) - lengths)[of] + step
     sums = _prefix_hashes(data)
     # equal windows have equal grams, at the same distance
-    key = _mixed(_between(sums, place, place + LENGTH) + _mixed(t["gram"][of] + (t["at"].astype(np.int64)[of] - step).astype(np.uint64)))
+    key = _mixed(_between(sums, place, place + LENGTH) + _mixed(_gram(t)[of] + (t["at"].astype(np.int64)[of] - step).astype(np.uint64)))
     doc, lo = t["doc"][of], t["lo"].astype(np.int64)[of] + step
     order = np.lexsort((lo, doc, key))
     key, doc, lo, place = key[order], doc[order], lo[order], place[order]
@@ -385,7 +398,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows; other columns are ignored.
     """
     docs = id_and_text(docs).where(F.col("doc_id").isNotNull())
-    shards = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = durable(_resolved(_suffix_tuples(docs, shards), shards))
     more = _window_repeats(_stretches(docs, found.where(F.col("kind") == _ASKED), shards), shards)
     spans = found.where(F.col("kind") == _SPANS).unionByName(more)
