@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import spread_join, text_of
 
 
 @dataclass(frozen=True)
@@ -110,10 +110,10 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
 def with_findings(versions: DataFrame, ledger: DataFrame) -> DataFrame:
     """Every (path, blob) of ``versions``, with its findings joined back from the ledger. A blob's
-    row is unique in the ledger and most have nothing, so the ledger's side is small; a blob that
-    very many paths have is split by Spark's skew join, since nothing above needs its rows together."""
+    row is unique in the ledger and most have nothing, so the ledger's side is small; the paths of a
+    blob that very many have are spread over tasks."""
     hits = ledger.where(F.size("findings") > 0).select("blob", "findings")
-    return versions.join(hits, "blob", "left").withColumn("findings", F.coalesce("findings", F.expr(_NONE)))
+    return spread_join(versions, hits, "blob", "path").withColumn("findings", F.coalesce("findings", F.expr(_NONE)))
 
 
 def _span_list(spans: Column) -> Column:
@@ -144,7 +144,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     names = docs.columns
     versions = docs.select(F.col("doc_id").alias("path"), text_of().alias("text"), F.sha2(text_of(), 256).alias("blob"))
     hits = scan(versions, None, rules).where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
-    joined = docs.withColumn("_blob", F.sha2(text_of(), 256)).join(hits, "_blob", "left")
+    joined = spread_join(docs.withColumn("_blob", F.sha2(text_of(), 256)), hits, "_blob", "doc_id")
     # (text so far, end of the last finding): findings are sorted by start
     step = (
         "(a, x) -> struct(if(x.start >= a.at, "
