@@ -8,9 +8,10 @@ is below 1e-8 at J = 0.85. Within a list, the overlap of sketches is counted and
 estimates J; pairs whose estimate is six standard errors below the threshold go. What is left links
 documents to families, and within a family the full sets decide, exactly.
 
-Scale: equal sets are one representative from the start. Lists and families of any size are cut
-into blocks, a task holds two, and a pair of documents is looked at only in the list of their least
-common value. Tasks emit a spanning forest of the links they find (each member with the least of
+Scale: equal sets are one representative from the start. In long lists, sets meet only sets of like
+size: a band of sizes and the next one up, which is as far as linked sets can be apart. Bands and
+families of any size are cut into blocks, a task holds two, and a pair of documents is looked at only
+in the list of their least common value. Tasks emit a spanning forest of the links they find (each member with the least of
 its local component), never pairs, so what moves is linear in documents. Texts are read again for
 the members of families alone.
 """
@@ -18,6 +19,7 @@ the members of families alone.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,18 +101,18 @@ def sketches(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, low array<long>, sketch binary")
 
 
-def _in_blocks(rows: DataFrame, key: str, size: str, blocks: str) -> DataFrame:
+def _in_blocks(rows: DataFrame, key: list[str], size: str) -> DataFrame:
     """Every row once for each pair of blocks of its group that its own block is in: columns key,
-    first, second (blocks of the pair) and block (its own). ``blocks``: SQL for their number."""
+    first, second (blocks of the pair) and block (its own). ``size``: the group's number of blocks."""
     return (
-        rows.withColumn("_n", F.expr(blocks))
+        rows.withColumn("_n", F.col(size))
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("_n")))
         .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
         .withColumn("first", F.least("block", "_other"))
         .withColumn("second", F.greatest("block", "_other"))
         .drop("_n", "_other", size)
-        .repartition(key, "first", "second")
-        .sortWithinPartitions(key, "first", "second", "doc_id")
+        .repartition(*key, "first", "second")
+        .sortWithinPartitions(*key, "first", "second", "doc_id")
     )
 
 
@@ -150,7 +152,7 @@ def _least_estimate() -> float:
     return p - 6 * (p * (1 - p) / K) ** 0.5
 
 
-def _list_links(list_value: int, ids: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, packed: list[bytes], low: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _list_links(list_value: int, ids: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, home: np.ndarray, packed: list[bytes], low: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(member, least of its local component) for the candidates of one list, or two blocks of it."""
     n = len(ids)
     lengths = np.array([len(p) // 4 for p in packed])
@@ -165,6 +167,8 @@ def _list_links(list_value: int, ids: np.ndarray, sizes: np.ndarray, blocks: np.
     small, large = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
     ok &= 100 * small >= PERCENT * large
     ok &= common >= np.floor(_least_estimate() * np.minimum(K, large))
+    if not home.all():  # two visitors meet in the band that they are of
+        ok &= home[:, None] | home[None, :]
     if blocks.min() != blocks.max():
         ok &= blocks[:, None] != blocks[None, :]
     a, b = np.nonzero(np.triu(ok, 1))
@@ -211,20 +215,27 @@ def _runs(table: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
 def candidates(marks: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are the families of documents that may be linked. marks: one
     row of ``sketches`` per distinct set."""
-    entries = marks.select("doc_id", F.explode("low").alias("value"))
+    entries = marks.select("doc_id", "n_shingles", F.explode("low").alias("value"))
     sizes = entries.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
-    listed = entries.join(sizes, "value").join(marks.select("doc_id", "n_shingles", "low", "sketch"), "doc_id")
-    blocks = _in_blocks(listed, "value", "size", f"CAST(ceil(size / {BLOCK}) AS BIGINT)")
+    # linked sets are less than a band apart in size; the margin is for rounding
+    band = F.floor(F.log("n_shingles") / (-1.001 * math.log(PERCENT / 100)))
+    own, next_ = F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home"))
+    whole = F.array(F.struct(F.lit(-1).cast("long").alias("band"), F.lit(True).alias("home")))
+    placed = entries.join(sizes, "value").select("doc_id", "value", F.inline(F.when(F.col("size") > BLOCK, F.array(own, next_)).otherwise(whole)))
+    long_ = placed.where("band >= 0").groupBy("value", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    counted = placed.join(long_, ["value", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    listed = counted.join(marks.select("doc_id", "n_shingles", "low", "sketch"), "doc_id")
+    blocks = _in_blocks(listed, ["value", "band"], "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["value", "first", "second"]
+        keys = ["value", "band", "first", "second"]
         for table in whole_runs(batches, keys):
             parts = []
             ids, sizes, own, values = (table.column(c).to_numpy() for c in ("doc_id", "n_shingles", "block", "value"))
-            sketch, low = table.column("sketch").to_pylist(), table.column("low").to_numpy()
+            sketch, low, home = table.column("sketch").to_pylist(), table.column("low").to_numpy(), table.column("home").to_numpy().astype(bool)
             for a, b in _runs(table, keys):
                 if b - a > 1:
-                    parts.append(_list_links(int(values[a]), ids[a:b], sizes[a:b], own[a:b], sketch[a:b], list(low[a:b])))
+                    parts.append(_list_links(int(values[a]), ids[a:b], sizes[a:b], own[a:b], home[a:b], sketch[a:b], list(low[a:b])))
             yield _edge_batch(parts)
 
     return blocks.mapInArrow(run, _EDGES)
@@ -255,7 +266,7 @@ def links(docs: DataFrame, members: DataFrame) -> DataFrame:
     family; one document per distinct set."""
     sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(2 * F.sum("n_shingles") / SHINGLES)).alias("size"))
     texts = id_and_text(docs).join(members.join(sizes, "family").select("doc_id", "family", "size"), "doc_id")
-    blocks = _in_blocks(texts.dropDuplicates(["doc_id"]), "family", "size", "size")
+    blocks = _in_blocks(texts.dropDuplicates(["doc_id"]), ["family"], "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["family", "first", "second"]
