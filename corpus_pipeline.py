@@ -20,6 +20,8 @@ from tidemark.llm import exact, minhash, packing, quality, secrets
 from tidemark.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: Near copies have a similarity of 0.8 or more; the 85 of op3 is of that operator's contract alone.
+NEAR_PERCENT = 80
 
 
 def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, minhash.near_duplicates(docs))
+    return _without(docs, minhash.near_duplicates(docs, percent=NEAR_PERCENT))
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

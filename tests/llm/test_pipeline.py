@@ -24,3 +24,22 @@ def test_stages(spark, tmp_path):
     labels = spark.read.parquet(f"{d}/labels.parquet").where("quality = 1")
     first = spark.read.parquet(f"{tmp_path}/0")
     assert first.join(labels, "doc_id", "left_semi").count() >= 0.99 * labels.count()
+
+
+def test_near_copies_from_080_on(spark, make_docs):
+    def text(k, n, changed):
+        words = [f"w{k}x{i}" for i in range(n)]
+        words[-1:] = [f"n{i}" for i in range(changed)] or words[-1:]
+        return " ".join(words)
+
+    # the last word becomes c others: n - 5 of the n - 4 + c shingles are shared
+    texts, want = [], set()
+    for k, (n, changed) in enumerate([(64, 9), (104, 19), (104, 23), (104, 24), (304, 55), (304, 73), (304, 75)]):
+        a, b = (set(minhash.shingles(t).tolist()) for t in (text(k, n, 0), text(k, n, changed)))
+        similarity = len(a & b) / len(a | b)
+        texts += [text(k, n, 0), text(k, n, changed)]
+        want |= {2 * k} if similarity >= 0.8 else {2 * k, 2 * k + 1}
+        if k in (1, 2, 4, 5):
+            assert 0.8 <= similarity < 0.85
+    got = corpus_pipeline.near_dedup(spark, make_docs(texts), "")
+    assert {r.doc_id for r in got.collect()} == want

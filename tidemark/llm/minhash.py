@@ -4,7 +4,7 @@ A document's set is its distinct word shingles under one 64-bit hash; its sketch
 values. Candidates come from inverted lists: each document enters the lists of its ``LOW`` least
 values. Of two sets with a Jaccard similarity of J, each of the least values of their union is in
 both with probability J, so they miss each other in all lists with probability (1 - J)^LOW, which
-is below 1e-8 at J = 0.85. Within a list, the overlap of sketches is counted and the union's sketch
+is below 1e-8 at J = 0.85 and 1e-7 at J = 0.8. Within a list, the overlap of sketches is counted and the union's sketch
 estimates J; pairs whose estimate is six standard errors below the threshold go. What is left links
 documents to families, and within a family the full sets decide, exactly.
 
@@ -32,7 +32,7 @@ from tidemark.llm.common import durable, id_and_text, spread_join, whole_runs
 from tidemark.llm.components import components, local_roots
 
 WORDS = 5
-#: Links are pairs with 100 * intersection >= PERCENT * union.
+#: Links are pairs with 100 * intersection >= percent * union; this is op3's percent, by contract.
 PERCENT = 85
 #: Values of a sketch, and how many of them are inverted.
 K, LOW = 96, 10
@@ -147,12 +147,12 @@ def _estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return both / np.maximum((new & within).sum(1), 1)
 
 
-def _least_estimate() -> float:
-    p = PERCENT / 100
+def _least_estimate(percent: int) -> float:
+    p = percent / 100
     return p - 6 * (p * (1 - p) / K) ** 0.5
 
 
-def _list_links(list_value: int, ids: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, home: np.ndarray, packed: list[bytes], low: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _list_links(list_value: int, ids: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, home: np.ndarray, packed: list[bytes], low: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(member, least of its local component) for the candidates of one list, or two blocks of it."""
     n = len(ids)
     lengths = np.array([len(p) // 4 for p in packed])
@@ -165,8 +165,8 @@ def _list_links(list_value: int, ids: np.ndarray, sizes: np.ndarray, blocks: np.
     before = lesser.astype(np.uint64) < np.uint64(list_value & 0xFFFFFFFFFFFFFFFF)
     ok = _products(lesser[before], low_rows[before], n) == 0
     small, large = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
-    ok &= 100 * small >= PERCENT * large
-    ok &= common >= np.floor(_least_estimate() * np.minimum(K, large))
+    ok &= 100 * small >= percent * large
+    ok &= common >= np.floor(_least_estimate(percent) * np.minimum(K, large))
     if not home.all():  # two visitors meet in the band that they are of
         ok &= home[:, None] | home[None, :]
     if blocks.min() != blocks.max():
@@ -180,7 +180,7 @@ def _list_links(list_value: int, ids: np.ndarray, sizes: np.ndarray, blocks: np.
         if roots is not None:  # links within a component add nothing
             apart = roots[x] != roots[y]
             x, y = x[apart], y[apart]
-        good = _estimates(padded[x], padded[y]) >= _least_estimate()
+        good = _estimates(padded[x], padded[y]) >= _least_estimate(percent)
         roots = local_roots(n, x[good], y[good], roots)
     return _forest(ids, roots)
 
@@ -212,13 +212,13 @@ def _runs(table: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
     yield from zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)
 
 
-def candidates(marks: DataFrame) -> DataFrame:
+def candidates(marks: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) whose components are the families of documents that may be linked. marks: one
     row of ``sketches`` per distinct set."""
     entries = marks.select("doc_id", "n_shingles", F.explode("low").alias("value"))
     sizes = entries.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
     # linked sets are less than a band apart in size; the margin is for rounding
-    band = F.floor(F.log("n_shingles") / (-1.001 * math.log(PERCENT / 100)))
+    band = F.floor(F.log("n_shingles") / (-1.001 * math.log(percent / 100)))
     own, next_ = F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home"))
     whole = F.array(F.struct(F.lit(-1).cast("long").alias("band"), F.lit(True).alias("home")))
     placed = entries.join(sizes, "value").select("doc_id", "value", F.inline(F.when(F.col("size") > BLOCK, F.array(own, next_)).otherwise(whole)))
@@ -235,13 +235,13 @@ def candidates(marks: DataFrame) -> DataFrame:
             sketch, low, home = table.column("sketch").to_pylist(), table.column("low").to_numpy(), table.column("home").to_numpy().astype(bool)
             for a, b in _runs(table, keys):
                 if b - a > 1:
-                    parts.append(_list_links(int(values[a]), ids[a:b], sizes[a:b], own[a:b], home[a:b], sketch[a:b], list(low[a:b])))
+                    parts.append(_list_links(int(values[a]), ids[a:b], sizes[a:b], own[a:b], home[a:b], sketch[a:b], list(low[a:b]), percent))
             yield _edge_batch(parts)
 
     return blocks.mapInArrow(run, _EDGES)
 
 
-def _family_links(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _family_links(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(member, least of its local component) for the links of one family, or two blocks of it, from
     full sets."""
     n = len(ids)
@@ -250,18 +250,18 @@ def _family_links(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray]) -
         both = np.zeros((n, n))
         for i in range(n):
             for j in range(i + 1, n):
-                if 100 * min(sizes[i], sizes[j]) >= PERCENT * max(sizes[i], sizes[j]):
+                if 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]):
                     both[i, j] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
     else:
         both = _products(np.concatenate(sets), np.repeat(np.arange(n), sizes), n)
-    linked = 100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)
+    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
     if blocks.min() != blocks.max():
         linked &= blocks[:, None] != blocks[None, :]
     a, b = np.nonzero(np.triu(linked, 1))
     return _forest(ids, local_roots(n, a, b))
 
 
-def links(docs: DataFrame, members: DataFrame) -> DataFrame:
+def links(docs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) whose components are those of the exact links. members: doc_id, n_shingles,
     family; one document per distinct set."""
     sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(2 * F.sum("n_shingles") / SHINGLES)).alias("size"))
@@ -275,14 +275,14 @@ def links(docs: DataFrame, members: DataFrame) -> DataFrame:
             ids, own, texts = table.column("doc_id").to_numpy(), table.column("block").to_numpy(), table.column("text")
             for a, b in _runs(table, keys):
                 if b - a > 1:
-                    parts.append(_family_links(ids[a:b], own[a:b], [shingles(texts[i].as_py()) for i in range(a, b)]))
+                    parts.append(_family_links(ids[a:b], own[a:b], [shingles(texts[i].as_py()) for i in range(a, b)], percent))
             yield _edge_batch(parts)
 
     return blocks.mapInArrow(run, _EDGES)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept, by links of ``percent`` or more.
 
     Null and empty texts have no shingles and link with nothing; rows without an id are left out, as
     links need ids. Rows that repeat an id are one document with the text of either. An empty table
@@ -293,10 +293,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # equal sets have equal sketches
     first = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("low").alias("low"), F.first("sketch").alias("sketch"))
     marks = durable(first)
-    family = components(candidates(marks))
+    family = components(candidates(marks, percent))
     heads = family.select(F.col("component").alias("doc_id"), F.col("component").alias("family")).distinct()
     members = family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).unionByName(heads)
-    found = components(links(docs, durable(members.join(marks.select("doc_id", "n_shingles"), "doc_id"))))
+    found = components(links(docs, durable(members.join(marks.select("doc_id", "n_shingles"), "doc_id")), percent))
     named = marks.select("digest", F.col("doc_id").alias("node")).join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
     out = spread_join(rows.select("doc_id", "n_shingles", "digest"), named, "digest", "doc_id")
     component = F.when(F.col("n_shingles") > 0, F.col("class")).otherwise(F.col("doc_id"))
