@@ -4,7 +4,8 @@ Five stages, each of which calls one operator on all rows that its predecessor k
 the quality classifier rejects go; of exact copies one stays; of near copies one stays; secrets are
 replaced in the texts; what is left is encoded and packed. Every stage is written as Parquet and
 read again by the next, so a lost executor costs no earlier stage. All stages but the last return
-the columns of ``documents``.
+the columns of ``documents``. The two dedup stages decide on rows, not on ids: rows are numbered, and
+the numbers written with them, so ids may repeat or be null.
 """
 
 from __future__ import annotations
@@ -24,10 +25,23 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 NEAR_PERCENT = 80
 
 
-def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``docs`` without those that are not kept; rows without a decision stay."""
-    gone = decisions.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    return f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+
+
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique number of each row in ``_row``. It is written, as numbers given anew
+    could be others."""
+    folder = _folder(spark)
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def _only(numbered: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``numbered`` whose number is in the column row of ``kept``, without their number."""
+    return numbered.join(kept, numbered["_row"] == kept["row"], "left_semi").drop("_row")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +51,22 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact.exact_groups(docs))
+    """Of each group of equal texts exactly one row stays: the longest original, then the smallest id
+    (null after all others). Rows that repeat an id and text are copies too; rows that share only
+    their id are apart."""
+    rows = _numbered(spark, docs)
+    return _only(rows, exact.exact_groups(rows, row_col="_row").where("kept").select("row"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, minhash.near_duplicates(docs, percent=NEAR_PERCENT))
+    """Of each class of near copies exactly one row stays: the one with the smallest id (null after all
+    others). Rows that repeat or lack an id are linked like any other; texts without words are near
+    copies of nothing."""
+    rows = _numbered(spark, docs)
+    classes = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent=NEAR_PERCENT)
+    named = classes.select(F.col("doc_id").alias("row"), "component_id").join(rows.select(F.col("_row").alias("row"), "doc_id"), "row")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    return _only(rows, named.groupBy("component_id").agg(best.alias("best")).select("best.row"))
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +92,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, with what is between them in the folder of checkpoints."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = _folder(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")

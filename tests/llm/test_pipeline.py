@@ -43,3 +43,28 @@ def test_near_copies_from_080_on(spark, make_docs):
             assert 0.8 <= similarity < 0.85
     got = corpus_pipeline.near_dedup(spark, make_docs(texts), "")
     assert {r.doc_id for r in got.collect()} == want
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame([(i, t, lang) for i, t, lang in rows], "doc_id long, text string, lang string").repartition(3)
+
+
+def test_exact_dedup_decides_on_rows(spark):
+    rows = [(3, "same text", "a"), (7, "unique text", "b"), (7, "same  text", "c"), (7, "sametext", "d"), (9, "twice", "e"), (9, "twice", "e"), (9, "twice", "f")]
+    rows += [(None, "with an id", "g"), (12, "with an id", "h"), (None, "no id", "i"), (None, "no id", "i"), (None, None, "j"), (14, "", "k"), (14, " ", "l"), (None, "alone", "m")]
+    out = corpus_pipeline.exact_dedup(spark, rows_of(spark, rows), "")
+    assert out.columns == ["doc_id", "text", "lang"]
+    got = sorted((str(r.doc_id), r.text) for r in out.collect())
+    assert got == sorted([("7", "same  text"), ("7", "unique text"), ("9", "twice"), ("12", "with an id"), ("None", "no id"), ("14", " "), ("None", "alone")])
+
+
+def test_near_dedup_decides_on_rows(spark):
+    def text(name, end):
+        return " ".join([f"{name}{i}" for i in range(60)] + [end])
+
+    rows = [(3, text("a", "x"), "a"), (7, text("b", "x"), "b"), (7, text("a", "y"), "c"), (5, text("c", "x"), "d"), (5, text("c", "x"), "d"), (5, text("c", "y"), "e")]
+    rows += [(None, text("d", "x"), "f"), (20, text("d", "y"), "g"), (None, text("e", "x"), "h"), (None, text("e", "y"), "h"), (None, None, "i"), (8, "", "j"), (None, text("f", "x"), "k")]
+    out = corpus_pipeline.near_dedup(spark, rows_of(spark, rows), "")
+    assert out.columns == ["doc_id", "text", "lang"]
+    got = out.collect()
+    assert sorted((str(r.doc_id), (r.text or "-")[0]) for r in got) == sorted([("3", "a"), ("7", "b"), ("5", "c"), ("20", "d"), ("None", "e"), ("None", "-"), ("8", "-"), ("None", "f")])

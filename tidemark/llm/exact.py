@@ -22,9 +22,9 @@ from tidemark.llm.common import WHITE, durable, text_of
 KEY = ["digest", "check"]
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One small record per row: the run it is in, digests of its text without white space,
-    and its length in code points."""
+    its length in code points, and the row's unique key if it has one."""
     text = text_of(text_col)
     bare = F.translate(text, WHITE, "")
     return docs.select(
@@ -33,6 +33,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.unhex(F.sha2(bare, 256)).alias("digest"),
         F.xxhash64(bare).alias("check"),
         F.length(text).alias("n_points"),
+        *([F.col(row_col).alias("row")] if row_col else []),
     )
 
 
@@ -40,29 +41,34 @@ def _merged(records: DataFrame, group: list[str]) -> DataFrame:
     return records.groupBy(*group, *KEY).agg(F.min("best").alias("best"), F.sum("size").alias("size"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan: int = 16) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan: int = 16, row_col: str | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without white space; of equals, the longest original stays,
     then the smallest id (a null id counts as larger than any other). Null and empty texts are equal. Rows that repeat the kept id
     and text are all marked kept. An empty table gives no rows; other columns are ignored.
+
+    row_col: a column that is unique and never null. It comes first in the result, as row, and settles
+    what is left of ties, so that exactly one row of each group is kept.
     """
-    rows = durable(digests(docs, id_col, text_col))
+    rows = durable(digests(docs, id_col, text_col, row_col))
+    unique = ["row"] if row_col else []
     runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
     # negated, so that the minimum is the longest text and then the smallest id
-    best = F.struct((-F.col("n_points")).alias("minus"), F.col("doc_id").isNull().alias("no_id"), "doc_id").alias("best")
+    best = F.struct((-F.col("n_points")).alias("minus"), F.col("doc_id").isNull().alias("no_id"), "doc_id", *unique).alias("best")
     leaves = _merged(rows.select("run", *KEY, best, F.lit(1).cast("long").alias("size")), ["run"])
     level = leaves
     while runs > 1:
         level = _merged(level.withColumn("run", F.expr(f"run div {fan}")), ["run"])
         runs = -(-runs // fan)
-    winners = level.select(*KEY, F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"))
+    winners = level.select(*KEY, F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), *(F.col(f"best.{c}").alias("keep_row") for c in unique))
     by_run = leaves.select("run", *KEY).join(winners, KEY)
     return rows.join(by_run, ["run", *KEY]).select(
+        *unique,
         "doc_id",
         "keep_id",
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("row") == F.col("keep_row") if row_col else F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
