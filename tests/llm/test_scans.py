@@ -121,3 +121,31 @@ def test_folding():
     assert toxicity.fold("Y0u 1D10T!! ѕсum $cum LOSER$$$ 2024") == " you idiot scum scum loser 2024 "
     assert toxicity.fold("i d i o t") == " idiot "
     assert toxicity.fold("") == "  "
+
+
+def test_each_disguise_is_found_alone():
+    ats = [f"{a}{w}{z}" for w in ("at", "@", "arroba") for a, z in ("[]", "()", "{}", "<>")] + [" [ at ] ", "_at_", " _at_ ", " @ ", " @", "@ ", "\n@ "]
+    dots = [f"{a}{w}{z}" for w in ("dot", "punkt", "point", "punto", ".") for a, z in ("[]", "()", "{}", "<>")] + [" dot ", " punkt ", " punto ", " ( dot ) ", "_dot_", " _dot_ "]
+    for found in [f"john{at}example.com" for at in ats] + [f"john@example{dot}com" for dot in dots] + [f"john{dot}doe{at}mail{dot}example{dot}com" for at in ats for dot in dots]:
+        text = f"write to: {found}, please"
+        assert [s for s in pii.disguised(text, []) if s[1] == 0] == [(10, 0, 10 + len(found))], found
+    for at in (" at ", " arroba "):  # words, unless a stop is disguised too
+        assert pii.disguised(f"see: john{at}example dot com", []) == [(5, 0, 5 + len(f"john{at}example dot com"))]
+        assert pii.disguised(f"see: john{at}example.com", []) == []
+
+
+def test_addresses_of_many_labels():
+    for n in (4, 5, 6, 40):
+        labels = ".".join(f"p{i}" for i in range(n))
+        for found in (f"{labels}(at)example.com", f"{labels.replace('.', ' dot ')}(at)example.com", f"john(at){labels}.com", f"john at {labels.replace('.', ' dot ')} dot com"):
+            assert pii.disguised(f"- {found} -", []) == [(2, 0, 2 + len(found))], found
+    assert pii.disguised("look_at_me(at)example.com", []) == [(0, 0, 25)]
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for text in ("x dot " * 50_000 + "(at) y", "x_dot_" * 50_000 + "@ y", "x at " * 50_000 + "[dot]", "a@ " * 50_000):
+        pii.disguised(text, [])
+    assert time.perf_counter() - began < 20

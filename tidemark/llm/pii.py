@@ -111,13 +111,15 @@ _ONE_SPELLED = re.compile(rf"(?<![^\W_])(?:{_WORD}|plus)(?![^\W_])", re.I)
 _OPEN, _SHUT = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
 _AT = rf"(?:{_OPEN}(?:at|@|arroba)(?:{_SHUT})|\s+(?:at|arroba)\s+|\s*_at_\s*|\s+@\s*|\s*@\s+)"
 _DOT = rf"(?:{_OPEN}(?:dot|punkt|point|punto|\.)(?:{_SHUT})|\s+(?:dot|punkt|punto)\s+|\s*_dot_\s*)"
-_LOCAL, _HOST = r"[A-Za-z0-9_%+-]+", r"[A-Za-z0-9-]+"
-#: An address in which the @ or a full stop of the host is disguised.
-_DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])(?P<local>{_LOCAL}(?:(?:\.|{_DOT}){_LOCAL}){{0,3}})(?P<at>{_AT}|@)(?P<host>{_HOST}(?:(?:\.|{_DOT}){_HOST}){{1,4}})(?![A-Za-z0-9-])", re.I
-)
+_HOST = r"[A-Za-z0-9-]++"
+#: The @ and host of an address in which the @ or a full stop may be disguised, with any number of labels.
+_AT_HOST = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?P<at>{_AT}|@)(?P<host>{_HOST}(?:(?:\.|{_DOT}){_HOST})++)", re.I)
+#: A local part and the stops in it, read backwards from the @. Each text has one reading only.
+_TOD = r"(?:\s*[\])}>]\s*(?:tod|tknup|tniop|otnup|\.)\s*[\[({<]\s*|\s+(?:tod|tknup|otnup)\s+|\s*_tod_\s*)"
+_LACOL = r"(?:(?!_tod_)[A-Za-z0-9._%+-])++"
+_BACKWARDS = re.compile(rf"{_LACOL}(?:{_TOD}{_LACOL})*+", re.I)
 _DOTTED = re.compile(_DOT, re.I)
-_MAY_BE_DISGUISED = re.compile(rf"{_OPEN}(?:at|@|arroba|dot|punkt|point|punto|\.){_SHUT}|\s(?:dot|punkt|punto)\s|_(?:at|dot)_", re.I)
+_MAY_BE_DISGUISED = re.compile(rf"{_OPEN}(?:at|@|arroba|dot|punkt|point|punto|\.){_SHUT}|\s(?:dot|punkt|punto)\s|_(?:at|dot)_|\s@|@\s", re.I)
 _TOP = re.compile(r"[A-Za-z]{2,24}$")
 #: Last labels of hosts that plain "at" and "dot" between blanks may be read before.
 _COMMON_TOP = re.compile(r"(?:com|org|net|edu|gov|info|io|co|uk|eu|de|fr|es|it|ch|at|us|example|test)$", re.I)
@@ -175,14 +177,19 @@ def _spelled(m: Mapped) -> None:
 
 
 def _addresses(m: Mapped) -> None:
-    edits = []
-    for x in _DISGUISED.finditer(m.text):
-        dots = [d for part in ("local", "host") for d in _DOTTED.finditer(m.text, *x.span(part))]
+    edits: list[tuple[int, int, str]] = []
+    backwards, n, done = m.text[::-1], len(m.text), 0
+    for x in _AT_HOST.finditer(m.text):
+        local = _BACKWARDS.match(backwards, n - x.start(), n - done)
+        if not local:
+            continue
+        dots = [d for span in ((n - local.end(), x.start()), x.span("host")) for d in _DOTTED.finditer(m.text, *span)]
         plain_at = re.fullmatch(r"\s+(?:at|arroba)\s+", x["at"], re.I)
         # "at" between blanks is a word; it is a disguise if the host's stops are disguised too
         if (plain_at and not any(d.start() > x.end("at") for d in dots)) or not (_COMMON_TOP if plain_at else _TOP).search(x["host"]):
             continue
         edits += sorted([(d.start(), d.end(), ".") for d in dots] + [(*x.span("at"), "@")])
+        done = x.end()
     m.rewrite(edits)
 
 
