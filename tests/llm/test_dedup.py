@@ -114,6 +114,36 @@ def test_substrings(spark, make_docs, odd_texts, monkeypatch):
     assert substrings.remove_repeats(make_docs(["x"]).where("doc_id < 0")).count() == 0
 
 
+def test_a_line_in_very_many_texts_is_dealt_by_windows(spark, make_docs):
+    rng = random.Random(8)
+    line = "Licensed under the terms of the common gram, see the file."
+    words = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    texts = [f"{words(rng.randrange(0, 25))} {line} {words(rng.randrange(0, 25))}" for _ in range(200)]
+    texts += [t[rng.randrange(0, 60) :] + words(3) for t in texts[::3]] + [line * 4, line + texts[0], None, ""]
+    want = brute_repeats(texts)
+    assert sum(w[1] > 0 for w in want) > 50
+    docs = make_docs(texts)
+    docs = docs.unionByName(docs.limit(5)).repartition(5)
+    for heads in (1, 10, substrings.HEADS):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(docs, heads).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+    lines = substrings.id_and_text(docs.where("doc_id < 200"))  # nothing but the line is shared
+
+    def largest(heads):  # bytes of a shard that are compared in one place
+        shards = 4
+        found = substrings._resolved(substrings._suffix_tuples(lines, shards), shards, heads)
+        moved = substrings._stretches(lines, found.where(f"kind = {substrings._ASKED}"), shards)
+        sizes: dict[int, int] = {}
+        for r in moved.where(f"kind <> {substrings._SPANS}").collect():
+            sizes[r.shard] = sizes.get(r.shard, 0) + len(r.packed)
+        return max(sizes.values()), len(sizes)
+
+    whole, dealt = largest(substrings.HEADS), largest(10)
+    assert whole[1] <= 4 < dealt[1], (whole, dealt)
+    assert dealt[0] < whole[0], (whole, dealt)
+
+
 def test_a_repeated_row_keeps_its_text(spark, make_docs):
     docs = make_docs(["k" + "lm " * 60])
     rows = substrings.remove_repeats(docs.unionByName(docs)).collect()

@@ -13,9 +13,14 @@ and is a repeat as a whole; a gram that occurs once is none. What is left, diffe
 around one gram, is compared window by window on its bytes, aligned at the gram, and the windows that
 an earlier stretch has are repeats. Byte spans of repeats then go to their documents.
 
+Where very many different stretches surround one gram, as a license line does in many documents, they
+do not meet: each of their windows becomes a row of its own (96 bits of hash, document, place), the
+least place of equal windows is taken task by task, and what is left is dealt by the window's hash.
+
 Equal tuples of a task are combined before anything moves, so a passage that very many documents
-share is one tuple per task. No task holds more than one shard or one shard of documents, whatever
-the size of the input; very long texts are read in overlapping segments.
+share is one tuple per task. No task holds more than one shard or one shard of documents, and the
+number of shards grows with the input; very long texts are read in overlapping segments. One gram's
+tuples do meet in one shard, at 31 bytes each and without their bytes.
 """
 
 from __future__ import annotations
@@ -34,6 +39,11 @@ LENGTH = 100
 GRAM = 24
 #: Bytes of texts that are hashed at once, and windows of a segment of a long text.
 CHUNK, SEGMENT = 1_500_000, 1_000_000
+#: Different stretches around one gram, above which their windows are dealt one by one.
+HEADS = 20_000
+#: Bytes of texts to a shard, if there are more than one for each shuffle partition; shards of windows
+#: are so many times more.
+SHARD, FINER = 64_000_000, 8
 _WINDOW = LENGTH - GRAM + 1
 _PLACE = 24  # bits of a place within a chunk
 
@@ -41,6 +51,10 @@ _RANDOM = np.random.default_rng(20240501)  # fixed: every worker hashes alike
 _BYTE = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: A second hash, for windows that are compared without their bytes.
+_BYTE2 = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE2 = np.uint64(0x9FB21C651E98DF25)
+_INVERSE2 = np.uint64(pow(int(_BASE2), -1, 1 << 64))
 
 
 def _power(base: np.uint64, n: int) -> np.uint64:
@@ -66,17 +80,18 @@ class _Powers:
 
 
 _UP, _DOWN = _Powers(_BASE), _Powers(_INVERSE)
+_UP2, _DOWN2 = _Powers(_BASE2), _Powers(_INVERSE2)
 
 
-def _prefix_hashes(data: np.ndarray) -> np.ndarray:
+def _prefix_hashes(data: np.ndarray, byte: np.ndarray = _BYTE, up: _Powers = _UP) -> np.ndarray:
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _UP.to(len(data)), out=sums[1:])
+    np.cumsum(byte[data] * up.to(len(data)), out=sums[1:])
     return sums
 
 
-def _between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _between(sums: np.ndarray, start: np.ndarray, end: np.ndarray, down: _Powers = _DOWN) -> np.ndarray:
     """Hashes of the strings [start, end), alike for equal strings at any place."""
-    return (sums[end] - sums[start]) * _DOWN.to(len(sums))[start]
+    return (sums[end] - sums[start]) * down.to(len(sums))[start]
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -102,6 +117,9 @@ def _least_of_windows(keys: np.ndarray) -> np.ndarray:
 #: bytes), digest, document, first window, gram's place after it, further windows.
 TUPLE = (("gram", "<u4"), ("gram2", "<u2"), ("digest", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("at", "u1"), ("more", "u1"))
 SPAN = (("doc", "<i8"), ("lo", "<u4"), ("end", "<u4"))
+WINDOW = (("key", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("lo", "<u4"))
+#: Set in a tuple's further windows, of which there are fewer, if its windows are dealt one by one.
+_HOT = np.uint8(128)
 Columns = dict[str, np.ndarray]
 
 
@@ -198,7 +216,7 @@ def _by_shard(cols: Columns, layout: tuple, shard: np.ndarray, kind: int, extra:
 
 
 _SHARDED = "shard long, kind int, packed binary"
-_TUPLES, _SPANS, _ASKED = 0, 1, 2
+_TUPLES, _SPANS, _ASKED, _WINDOWS = 0, 1, 2, 3
 
 
 def _sharded_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -242,9 +260,9 @@ def _sorted_shards(rows: DataFrame, *within: str) -> DataFrame:
     return rows.repartition("shard").sortWithinPartitions("shard", *within)
 
 
-def _resolved(tuples: DataFrame, shards: int) -> DataFrame:
+def _resolved(tuples: DataFrame, shards: int, most: int) -> DataFrame:
     """Spans of tuples that repeat an earlier one, and tuples whose bytes are asked for, both by
-    shard of their document."""
+    shard of their document. Those of more than ``most`` around one gram are marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["shard"]):
@@ -267,10 +285,9 @@ def _resolved(tuples: DataFrame, shards: int) -> DataFrame:
                 rows += _by_shard(spans, SPAN, spans["doc"] % shards, _SPANS)
                 heads = _taken(s, first)
                 g = _gram(heads)
-                several = np.zeros(len(g), bool)
-                several[1:] |= g[1:] == g[:-1]
-                several[:-1] |= g[1:] == g[:-1]
-                asked = _in_text_order(_taken(heads, several))
+                _, of, count = np.unique(g, return_inverse=True, return_counts=True)
+                heads["more"] = heads["more"] | np.where(count[of] > most, _HOT, np.uint8(0))
+                asked = _in_text_order(_taken(heads, count[of] > 1))
                 rows += _by_shard(asked, TUPLE, asked["doc"] % shards, _ASKED)
             yield _sharded_batch(rows)
 
@@ -307,7 +324,8 @@ def _streamed(batches: Iterator[pa.RecordBatch], layout: tuple) -> Iterator[tupl
 
 
 def _stretches(docs: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
-    """The tuples asked for with the bytes of their stretches, by shard of their gram."""
+    """The tuples asked for with the bytes of their stretches, by shard of their gram; of those that
+    are marked, the first of equal windows by shard of their hash, and the spans of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, docs in _streamed(batches, TUPLE):
@@ -315,15 +333,26 @@ def _stretches(docs: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
             for doc, data in docs:
                 a, b = np.searchsorted(cols["doc"], [doc, doc + 1])
                 rows.append(np.arange(a, b))
-                strings += [data[lo : lo + more + LENGTH] for lo, more in zip(cols["lo"][a:b].tolist(), cols["more"][a:b].tolist(), strict=True)]
+                strings += [data[lo : lo + more + LENGTH] for lo, more in zip(cols["lo"][a:b].tolist(), (cols["more"][a:b] & ~_HOT).tolist(), strict=True)]
             t = _taken(cols, np.concatenate(rows))
-            yield _sharded_batch(list(_by_shard(t, TUPLE, (_gram(t) % np.uint64(shards)).astype(np.int64), _ASKED, strings)))
+            hot = t["more"] >= _HOT
+            t["more"] = t["more"] & ~_HOT
+            few, many = np.nonzero(~hot)[0], np.nonzero(hot)[0]
+            c = _taken(t, few)
+            yield _sharded_batch(list(_by_shard(c, TUPLE, (_gram(c) % np.uint64(shards)).astype(np.int64), _ASKED, [strings[i] for i in few.tolist()])))
+            for at in range(0, len(many), HEADS):
+                some = many[at : at + HEADS]
+                heads, spans = _first_windows(_window_rows(_taken(t, some), [strings[i] for i in some.tolist()]))
+                heads = _in_text_order(heads)
+                place = shards + (heads["key"] % np.uint64(FINER * shards)).astype(np.int64)
+                yield _sharded_batch([*_by_shard(heads, WINDOW, place, _WINDOWS), *_by_shard(spans, SPAN, spans["doc"] % shards, _SPANS)])
 
     return _with_texts(docs, asked, shards).mapInArrow(run, _SHARDED)
 
 
-def _compared(t: Columns, strings: list[bytes]) -> Columns:
-    """Spans of the windows of stretches around common grams that come earlier in another one."""
+def _windows(t: Columns, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of stretches, and of each of their windows: place in the bytes, hash, document, place
+    in the document."""
     data = np.frombuffer(b"".join(strings), np.uint8)
     windows = t["more"].astype(np.int64) + 1
     of = np.repeat(np.arange(len(strings)), windows)
@@ -333,7 +362,29 @@ def _compared(t: Columns, strings: list[bytes]) -> Columns:
     sums = _prefix_hashes(data)
     # equal windows have equal grams, at the same distance
     key = _mixed(_between(sums, place, place + LENGTH) + _mixed(_gram(t)[of] + (t["at"].astype(np.int64)[of] - step).astype(np.uint64)))
-    doc, lo = t["doc"][of], t["lo"].astype(np.int64)[of] + step
+    return data, place, key, t["doc"][of], t["lo"].astype(np.int64)[of] + step
+
+
+def _window_rows(t: Columns, strings: list[bytes]) -> Columns:
+    """A row for each window of stretches."""
+    data, place, key, doc, lo = _windows(t, strings)
+    check = _mixed(_between(_prefix_hashes(data, _BYTE2, _UP2), place, place + LENGTH, _DOWN2)) >> np.uint64(32)
+    return {"key": key, "check": check.astype(np.uint32), "doc": doc, "lo": lo.astype(np.uint32)}
+
+
+def _first_windows(w: Columns) -> tuple[Columns, Columns]:
+    """(the first of equal windows, spans of the others)."""
+    w = _taken(w, np.lexsort((w["lo"], w["doc"], w["check"], w["key"])))
+    first = np.ones(len(w["key"]), bool)
+    first[1:] = (w["key"][1:] != w["key"][:-1]) | (w["check"][1:] != w["check"][:-1])
+    head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    repeat = ~first & ((w["doc"] != w["doc"][head]) | (w["lo"] != w["lo"][head]))
+    return _taken(w, first), _spans_of_windows(w["doc"][repeat], w["lo"][repeat].astype(np.int64))
+
+
+def _compared(t: Columns, strings: list[bytes]) -> Columns:
+    """Spans of the windows of stretches around common grams that come earlier in another one."""
+    data, place, key, doc, lo = _windows(t, strings)
     order = np.lexsort((lo, doc, key))
     key, doc, lo, place = key[order], doc[order], lo[order], place[order]
     first = np.ones(len(key), bool)
@@ -343,7 +394,11 @@ def _compared(t: Columns, strings: list[bytes]) -> Columns:
     views = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
     same = [(views[place[x]] == views[place[head[x]]]).all(1) for x in np.array_split(repeat, max(1, len(repeat) // 50_000))]
     repeat = repeat[np.concatenate(same)] if len(repeat) else repeat
-    doc, lo = doc[repeat], lo[repeat]
+    return _spans_of_windows(doc[repeat], lo[repeat])
+
+
+def _spans_of_windows(doc: np.ndarray, lo: np.ndarray) -> Columns:
+    """Maximal spans of windows that follow each other."""
     order = np.lexsort((lo, doc))
     doc, lo = doc[order], lo[order]
     new = np.ones(len(doc), bool)
@@ -354,22 +409,34 @@ def _compared(t: Columns, strings: list[bytes]) -> Columns:
 
 
 def _window_repeats(stretches: DataFrame, shards: int) -> DataFrame:
+    """Spans of the windows that come earlier in another stretch, by shard of their document."""
     width = sum(np.dtype(kind).itemsize for _, kind in TUPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["shard"]):
-            which = table.column("shard").to_numpy()
+            which, kinds = table.column("shard").to_numpy(), table.column("kind").to_numpy()
             rows: list[tuple[int, int, bytes]] = []
             for one in np.unique(which):
-                blobs, strings = [], []
+                blobs, strings, windows = [], [], []
                 for i in np.nonzero(which == one)[0].tolist():
                     packed = table.column("packed")[i].as_py()
+                    if kinds[i] == _SPANS:
+                        rows.append((int(one), _SPANS, packed))
+                        continue
+                    if kinds[i] == _WINDOWS:
+                        windows.append(packed)
+                        continue
                     n = int.from_bytes(packed[:4], "little")
                     at = 4 + n * width
                     blobs.append(packed[4:at])
                     for more in np.frombuffer(blobs[-1][-n:], np.uint8).tolist():
                         strings.append(packed[at : at + more + LENGTH])
                         at += more + LENGTH
+                if windows:
+                    _, spans = _first_windows(_unpack(windows, WINDOW))
+                    rows += _by_shard(spans, SPAN, spans["doc"] % shards, _SPANS)
+                if not blobs:
+                    continue
                 spans = _compared(_unpack(blobs, TUPLE), strings)
                 rows += _by_shard(spans, SPAN, spans["doc"] % shards, _SPANS)
             yield _sharded_batch(rows)
@@ -388,18 +455,19 @@ def _without(data: bytes, lo: np.ndarray, end: np.ndarray) -> tuple[int, int, by
     return sum(stops) - sum(starts), len(starts), b"".join(left)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, heads: int = HEADS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, after removal of each
     byte that a string of ``LENGTH`` bytes covers which also starts earlier (in a smaller id, or
     earlier in the same document), judged on the input.
 
     Null is empty; texts shorter than ``LENGTH`` lose nothing. Rows without an id are left out. Rows
     that repeat an id and text are one document, and each gets its result. An empty table gives no
-    rows; other columns are ignored.
+    rows; other columns are ignored. heads: different stretches around one gram that one task compares.
     """
     docs = id_and_text(docs).where(F.col("doc_id").isNotNull())
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = durable(_resolved(_suffix_tuples(docs, shards), shards))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
+    found = durable(_resolved(_suffix_tuples(docs, shards), shards, heads))
     more = _window_repeats(_stretches(docs, found.where(F.col("kind") == _ASKED), shards), shards)
     spans = found.where(F.col("kind") == _SPANS).unionByName(more)
 
