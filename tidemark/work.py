@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share. Where the setting is missing,
+    a local folder serves a single process (tests); on a cluster that is an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="tidemark-")
+        context.setCheckpointDir(base)
+    return context.getCheckpointDir().rstrip("/")
+
+
 def folder(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names, which all executors share; a local one
-    where the setting is missing (tests)."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
