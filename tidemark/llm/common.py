@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.work import shared_folder
+
 #: The white space of the dedup contracts: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -45,13 +46,21 @@ def durable(df: DataFrame) -> DataFrame:
     lost executors cost no recomputation and the plan above starts anew. Where the setting is
     missing (tests), a folder of our own is used. Spark deletes the files when the result is
     no longer referenced, if spark.cleaner.referenceTracking.cleanCheckpoints is on."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """``names``, with underscores put before those that ``columns`` has (in either case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables that hold whole runs of equal keys, from batches sorted by those keys.
 
@@ -92,6 +101,7 @@ def spread_join(rows: DataFrame, few: DataFrame, key: str, by: str, salts: int =
     Rows are dealt by (key, salt of ``by``): ``few`` first goes to the at most ``salts`` pairs that
     a key occurs in, so a hot key's rows spread over that many tasks and nothing is broadcast.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
-    pairs = salted.select(key, "_salt").distinct().join(few, key)
-    return salted.join(pairs, [key, "_salt"], "left").drop("_salt")
+    (salt,) = unused([*rows.columns, *few.columns], "_salt")
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)))
+    pairs = salted.select(key, salt).distinct().join(few, key)
+    return salted.join(pairs, [key, salt], "left").drop(salt)

@@ -1,9 +1,14 @@
 r"""Secret scans with an incremental blob ledger, in DataFrame operations only.
 
-Every version of every path is addressed by the SHA-256 of its text. The ledger holds, per blob,
-the rule versions that have been run on it and what they found. A scan takes the blobs that lack
-one of the rule versions, reads each such text once whatever the number of paths and versions
-that have it, runs only the missing rules, and joins findings back to all paths.
+Every version of every path is addressed by the SHA-256 of its text. The ledger tells which rule
+versions have been run on a blob and what each of them found. A scan takes the blobs that lack one
+of the rule versions, reads each such text once whatever the number of paths and versions that have
+it, and runs only the rules that it lacks. A report joins findings, those of the ledger and the new
+ones, back to all paths, and shows those of the rule versions asked for: a rule that is raised,
+removed or set back needs no change of the ledger.
+
+The ledger is appended to and never rewritten, so a scan that is repeated after a failure does no
+harm: equal rows count once.
 
 Positions come from built-in functions: a rule's matches and the pieces between them
 (``regexp_extract_all`` and ``split`` walk the same leftmost, non-overlapping matches), whose
@@ -14,10 +19,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import spread_join, text_of
+from tidemark.llm.common import spread_join, text_of, unused
 
 
 @dataclass(frozen=True)
@@ -50,8 +56,9 @@ MORE_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, base=False),
 )
 RULES = BASE_RULES + MORE_RULES
-LEDGER = "blob string, rules array<string>, findings array<struct<start:int,ord:int,kind:string,end:int>>"
-_NONE = "cast(array() as array<struct<start:int,ord:int,kind:string,end:int>>)"
+#: One row per blob and scan: the rules (kind@version) that were run, and what they found.
+LEDGER = "blob string, rules array<string>, findings array<struct<start:int,end:int,rule:string>>"
+_NONE = "cast(array() as array<struct<start:int,end:int,rule:string>>)"
 
 
 def _sql(text: str) -> str:
@@ -64,12 +71,12 @@ def _least_pattern(rule: Rule) -> str:
     return f"{rule.pattern[:-1]}{{{rule.least},}}" if rule.kind == "hex" else rule.pattern
 
 
-def _findings(rule: Rule, order: int) -> str:
+def _findings(rule: Rule) -> str:
     """SQL for the findings of one rule in ``text``."""
     pattern = _sql(rule.pattern)
-    parts = f"arrays_zip(regexp_extract_all(text, {pattern}, 0) AS m, regexp_extract_all(text, {pattern}, {rule.group}) AS g, split(text, {pattern}, -1) AS p)"
-    parts = f"transform(filter({parts.replace(' AS m', '').replace(' AS g', '').replace(' AS p', '')}, x -> x['0'] IS NOT NULL), x -> struct(length(x['2']) AS p, length(x['0']) AS m, length(x['1']) AS g))"
-    found = f"struct(a.at + x.p AS start, {order} AS ord, '{rule.kind}' AS kind, a.at + x.p + x.m AS end)"
+    parts = f"arrays_zip(regexp_extract_all(text, {pattern}, 0), regexp_extract_all(text, {pattern}, {rule.group}), split(text, {pattern}, -1))"
+    parts = f"transform(filter({parts}, x -> x['0'] IS NOT NULL), x -> struct(length(x['2']) AS p, length(x['0']) AS m, length(x['1']) AS g))"
+    found = f"struct(a.at + x.p AS start, a.at + x.p + x.m AS end, '{rule.name}' AS rule)"
     step = f"struct(a.at + x.p + x.m AS at, if(x.g >= {rule.least}, concat(a.found, array({found})), a.found) AS found)"
     spans = f"aggregate({parts}, struct(0 AS at, {_NONE} AS found), (a, x) -> {step}, a -> a.found)"
     return f"CASE WHEN array_contains(missing, '{rule.name}') AND text RLIKE {_sql(_least_pattern(rule))} THEN {spans} ELSE {_NONE} END"
@@ -80,40 +87,74 @@ def versions_of(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(path_col).alias("path"), text.alias("text"), F.sha2(text, 256).alias("blob"))
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The ledger's new rows: one for each blob of ``versions`` that lacked a rule version, with
-    all rule versions run on it so far and all findings (those of rules that ran before included).
-    Blobs that lack none are not read again and not returned."""
-    spark = versions.sparkSession
-    if ledger is None:
-        ledger = spark.createDataFrame([], LEDGER)
-    wanted = F.array(*[F.lit(r.name) for r in rules])
+def _names(rules: tuple[Rule, ...]) -> Column:
+    return F.array(*[F.lit(r.name) for r in rules])
+
+
+def _todo(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, carrier, missing): blobs that lack rule versions, and a path whose text is read for each."""
     carriers = versions.groupBy("blob").agg(F.min("path").alias("carrier"))
-    seen = ledger.select("blob", F.col("rules").alias("had"), F.col("findings").alias("old"))
-    todo = (
-        carriers.join(seen, "blob", "left")
-        .select("blob", "carrier", F.coalesce("had", F.expr("cast(array() as array<string>)")).alias("had"), F.coalesce("old", F.expr(_NONE)).alias("old"))
-        .withColumn("missing", F.array_except(wanted, F.col("had")))
-        .where(F.size("missing") > 0)
-    )
+    if ledger is None:
+        return carriers.withColumn("missing", _names(rules))
+    ran = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("ran"))
+    had = F.coalesce("ran", F.expr("cast(array() as array<string>)"))
+    return carriers.join(ran, "blob", "left").select("blob", "carrier", F.array_except(_names(rules), had).alias("missing")).where(F.size("missing") > 0)
+
+
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Rows for the ledger: each blob of ``versions`` that lacks a rule version, with the rules it lacked
+    and what they found. Other blobs are not read again and not returned. Rows that repeat a path
+    and text are read once; an empty table gives no rows."""
+    todo = _todo(versions, ledger, rules)
     texts = versions.alias("v").join(
         todo.alias("t"), (F.col("v.blob") == F.col("t.blob")) & F.col("v.path").eqNullSafe(F.col("t.carrier"))
-    ).select("t.blob", "v.text", "t.had", "t.old", "t.missing")
-    current = F.array(*[F.lit(r.kind) for r in rules])
-    new = F.expr(f"concat({', '.join(_findings(r, i) for i, r in enumerate(rules))})")
-    # an older version of a rule that ran again gives way to the new one
-    rerun = F.transform("missing", lambda m: F.substring_index(m, "@", 1))
-    kept_old = F.filter("old", lambda x: ~F.array_contains(rerun, x["kind"]) & F.array_contains(current, x["kind"]))
-    found = texts.select("blob", F.array_union("had", "missing").alias("rules"), F.array_sort(F.concat(kept_old, new)).alias("findings"))
-    return found.dropDuplicates(["blob"])  # rows that repeat a path and text
+    ).select("t.blob", "v.text", "t.missing")
+    found = F.expr(f"concat({', '.join(map(_findings, rules))})")
+    return texts.select("blob", F.col("missing").alias("rules"), found.alias("findings")).dropDuplicates(["blob"])
+
+
+def merged(ledger: DataFrame | None, new: DataFrame) -> DataFrame:
+    """The ledger with a scan's rows."""
+    return new if ledger is None else ledger.select(*new.columns).unionByName(new)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger kept at a path; None if there is none yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def keep_scan(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans what the ledger at ``path`` lacks, appends it there, and returns the whole ledger."""
+    spark = versions.sparkSession
+    scan(versions, read_ledger(spark, path), rules).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def _hits(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, findings) of the blobs in which ``rules`` found something: structs (start, ord, kind, end) by
+    start, then by the order of ``rules``."""
+    asked = F.filter("findings", lambda x: F.array_contains(_names(rules), x["rule"]))
+    hits = ledger.select("blob", asked.alias("findings")).where(F.size("findings") > 0)
+    # several scans may have rows of one blob, and a repeated scan the same ones
+    hits = hits.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("findings"))).alias("findings"))
+    named = F.transform(
+        "findings",
+        lambda x: F.struct(x["start"].alias("start"), F.array_position(_names(rules), x["rule"]).alias("ord"), F.substring_index(x["rule"], "@", 1).alias("kind"), x["end"].alias("end")),
+    )
+    return hits.select("blob", F.array_sort(named).alias("findings"))
 
 
-def with_findings(versions: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Every (path, blob) of ``versions``, with its findings joined back from the ledger. A blob's
-    row is unique in the ledger and most have nothing, so the ledger's side is small; the paths of a
-    blob that very many have are spread over tasks."""
-    hits = ledger.where(F.size("findings") > 0).select("blob", "findings")
-    return spread_join(versions, hits, "blob", "path").withColumn("findings", F.coalesce("findings", F.expr(_NONE)))
+def with_findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Every row of ``versions`` with the findings of ``rules`` that the ledger has for its blob. Most
+    blobs have nothing, so the ledger's side is small; the paths of a blob that very many have are
+    spread over tasks."""
+    none = F.expr("cast(array() as array<struct<start:int,ord:bigint,kind:string,end:int>>)")
+    return spread_join(versions, _hits(ledger, rules), "blob", "path").withColumn("findings", F.coalesce("findings", none))
 
 
 def _span_list(spans: Column) -> Column:
@@ -124,10 +165,12 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Data
     """Per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Null text is empty text; texts without findings give zero counts, an empty list and the digest
-    of the empty string. Repeated rows give repeated results; an empty table gives none.
+    of the empty string. Findings with the same start go by the order of ``rules``. Repeated rows,
+    and rows that repeat or lack an id, give a result each; an empty table gives none; other columns
+    are ignored. With a ledger only what it lacks is scanned, and the report is the same.
     """
     versions = versions_of(docs)
-    found = with_findings(versions.select("path", "blob"), scan(versions, ledger, rules))
+    found = with_findings(versions.select("path", "blob"), merged(ledger, scan(versions, ledger, rules)), rules)
     base = F.filter("findings", lambda x: x["kind"].isin([r.kind for r in rules if r.base]))
     count = {r.kind: F.expr(f"CAST(size(filter(findings, x -> x.kind = '{r.kind}')) AS BIGINT)") for r in rules if r.base}
     return found.select(
@@ -138,20 +181,21 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Data
     )
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]", ledger: DataFrame | None = None) -> DataFrame:
     """``docs`` with every finding in ``text`` replaced by ``mark``; overlapping findings share one
-    mark. Other columns and rows are untouched, null texts stay null."""
+    mark. Other columns and rows are untouched, whatever their names; null and empty texts stay as
+    they are, repeated rows stay repeated, an empty table stays empty."""
     names = docs.columns
-    versions = docs.select(F.col("doc_id").alias("path"), text_of().alias("text"), F.sha2(text_of(), 256).alias("blob"))
-    hits = scan(versions, None, rules).where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
-    joined = spread_join(docs.withColumn("_blob", F.sha2(text_of(), 256)), hits, "_blob", "doc_id")
+    blob, spans = unused(names, "_blob", "_spans")
+    hits = _hits(merged(ledger, scan(versions_of(docs), ledger, rules)), rules).toDF(blob, spans)
+    joined = spread_join(docs.withColumn(blob, F.sha2(text_of(), 256)), hits, blob, "doc_id")
     # (text so far, end of the last finding): findings are sorted by start
     step = (
         "(a, x) -> struct(if(x.start >= a.at, "
         f"concat(a.out, substring(text, a.at + 1, x.start - a.at), {_sql(mark)}), a.out) AS out, greatest(a.at, x.end) AS at)"
     )
-    clean = f"aggregate(_findings, struct('' AS out, 0 AS at), {step}, a -> concat(a.out, substring(text, a.at + 1)))"
-    return joined.withColumn("text", F.expr(f"CASE WHEN _findings IS NULL THEN text ELSE {clean} END")).select(*names)
+    clean = f"aggregate({spans}, struct('' AS out, 0 AS at), {step}, a -> concat(a.out, substring(text, a.at + 1)))"
+    return joined.withColumn("text", F.expr(f"CASE WHEN {spans} IS NULL THEN text ELSE {clean} END")).select(*[f"`{c}`" for c in names])
 
 
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:
