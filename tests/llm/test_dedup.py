@@ -114,7 +114,7 @@ def test_substrings(spark, make_docs, odd_texts, monkeypatch):
     assert substrings.remove_repeats(make_docs(["x"]).where("doc_id < 0")).count() == 0
 
 
-def test_a_line_in_very_many_texts_is_dealt_by_windows(spark, make_docs):
+def test_a_line_in_very_many_texts_is_dealt_by_windows(spark, make_docs, monkeypatch):
     rng = random.Random(8)
     line = "Licensed under the terms of the common gram, see the file."
     words = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
@@ -124,24 +124,34 @@ def test_a_line_in_very_many_texts_is_dealt_by_windows(spark, make_docs):
     assert sum(w[1] > 0 for w in want) > 50
     docs = make_docs(texts)
     docs = docs.unionByName(docs.limit(5)).repartition(5)
-    for heads in (1, 10, substrings.HEADS):
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(docs, heads).collect()}
+    for heads, sampled in ((1, True), (10, True), (10, False), (substrings.HEADS, True)):
+        with monkeypatch.context() as m:
+            if not sampled:
+                m.setattr(substrings, "common_grams", lambda *_: np.empty(0, np.uint64))
+            got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(docs, heads).collect()}
         assert [got[i] for i in range(len(texts))] == want
 
     lines = substrings.id_and_text(docs.where("doc_id < 200"))  # nothing but the line is shared
 
-    def largest(heads):  # bytes of a shard that are compared in one place
-        shards = 4
-        found = substrings._resolved(substrings._suffix_tuples(lines, shards), shards, heads)
+    def largest(common, heads):  # bytes of a shard that are compared in one place, in each of the two steps
+        shards, out = 4, []
+        tuples = substrings._suffix_tuples(lines, shards, common)
+        found = substrings._resolved(tuples, shards, heads)
         moved = substrings._stretches(lines, found.where(f"kind = {substrings._ASKED}"), shards)
-        sizes: dict[int, int] = {}
-        for r in moved.where(f"kind <> {substrings._SPANS}").collect():
-            sizes[r.shard] = sizes.get(r.shard, 0) + len(r.packed)
-        return max(sizes.values()), len(sizes)
-
-    whole, dealt = largest(substrings.HEADS), largest(10)
-    assert whole[1] <= 4 < dealt[1], (whole, dealt)
-    assert dealt[0] < whole[0], (whole, dealt)
+        for rows in (tuples, moved):
+            sizes: dict[int, int] = {}
+            for r in rows.where(f"kind <> {substrings._SPANS}").collect():
+                sizes[r.shard] = sizes.get(r.shard, 0) + len(r.packed)
+            out.append((max(sizes.values(), default=0), len(sizes)))
+        return out
+
+    none = substrings.common_grams(lines, 10**5, substrings.HEADS)
+    some = substrings.common_grams(lines, 10**5, 10)
+    assert len(none) == 0 < len(some)
+    whole, late, early = largest(none, substrings.HEADS), largest(none, 10), largest(some, 10)
+    # told in the shard of the gram, or before any tuple moves: then windows are dealt, and no stretch is asked for
+    assert whole[1][1] <= 4 < late[1][1] and late[1][0] < whole[1][0], (whole, late)
+    assert early[0][1] > 4 and early[1][0] < whole[1][0] / 2, (whole, early)
 
 
 def test_a_repeated_row_keeps_its_text(spark, make_docs):

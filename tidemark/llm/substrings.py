@@ -16,11 +16,13 @@ an earlier stretch has are repeats. Byte spans of repeats then go to their docum
 Where very many different stretches surround one gram, as a license line does in many documents, they
 do not meet: each of their windows becomes a row of its own (96 bits of hash, document, place), the
 least place of equal windows is taken task by task, and what is left is dealt by the window's hash.
+Such grams are found before any tuple moves, from a sample of whole documents of bounded size; one
+that the sample does not show is found in its shard, and then dealt in the same way.
 
 Equal tuples of a task are combined before anything moves, so a passage that very many documents
-share is one tuple per task. No task holds more than one shard or one shard of documents, and the
-number of shards grows with the input; very long texts are read in overlapping segments. One gram's
-tuples do meet in one shard, at 31 bytes each and without their bytes.
+share is one tuple per task. A shard is one task's, and its size in bytes of text is fixed: the number
+of shards grows with the input, whatever the number of shuffle partitions. Texts move compressed, many
+to a row; very long ones are read in overlapping segments.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +42,16 @@ LENGTH = 100
 GRAM = 24
 #: Bytes of texts that are hashed at once, and windows of a segment of a long text.
 CHUNK, SEGMENT = 1_500_000, 1_000_000
+#: Bytes of texts of a task that are packed together.
+PACKED = 16_000_000
 #: Different stretches around one gram, above which their windows are dealt one by one.
 HEADS = 20_000
 #: Bytes of texts to a shard, if there are more than one for each shuffle partition; shards of windows
 #: are so many times more.
-SHARD, FINER = 64_000_000, 8
+SHARD, FINER = 32_000_000, 8
+#: Bytes of whole documents that very common grams are looked for in (in expectation), and stretches
+#: of the sample that tell of one: at most SAMPLE / 40 / SEEN grams, a megabyte, are broadcast.
+SAMPLE, SEEN = 64_000_000, 16
 _WINDOW = LENGTH - GRAM + 1
 _PLACE = 24  # bits of a place within a chunk
 
@@ -151,12 +159,14 @@ def _taken(cols: Columns, rows: np.ndarray) -> Columns:
     return {k: v[rows] for k, v in cols.items()}
 
 
-def tuples_of(pieces: list[tuple[int, int, bytes]]) -> Columns:
-    """Tuples of (document, offset, bytes) pieces, in the order of the pieces."""
+def tuples_of(pieces: list[tuple[int, int, bytes]]) -> tuple[Columns, bytes]:
+    """Tuples of (document, offset, bytes) pieces, in the order of the pieces, and the joined bytes, in
+    which the further column place tells where each tuple's stretch starts."""
     pieces = [p for p in pieces if len(p[2]) >= LENGTH]
+    joined = b"".join(p[2] for p in pieces)
     if not pieces:
-        return {name: np.empty(0, kind) for name, kind in TUPLE}
-    data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
+        return {name: np.empty(0, kind) for name, kind in TUPLE} | {"place": np.empty(0, np.int64)}, joined
+    data = np.frombuffer(joined, np.uint8)
     lengths = np.array([len(p[2]) for p in pieces])
     piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
     places = np.arange(len(data) - GRAM + 1, dtype=np.uint64)
@@ -181,7 +191,8 @@ def tuples_of(pieces: list[tuple[int, int, bytes]]) -> Columns:
         "lo": (lo + offset[of]).astype(np.uint32),
         "at": (at - lo).astype(np.uint8),
         "more": (hi - lo).astype(np.uint8),
-    }
+        "place": lo,
+    }, joined
 
 
 def _spans_of(tuples: Columns) -> Columns:
@@ -216,7 +227,7 @@ def _by_shard(cols: Columns, layout: tuple, shard: np.ndarray, kind: int, extra:
 
 
 _SHARDED = "shard long, kind int, packed binary"
-_TUPLES, _SPANS, _ASKED, _WINDOWS = 0, 1, 2, 3
+_TUPLES, _SPANS, _ASKED, _WINDOWS, _TEXTS = 0, 1, 2, 3, 9
 
 
 def _sharded_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -240,24 +251,65 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, bytes]]]:
         yield held
 
 
-def _suffix_tuples(docs: DataFrame, shards: int) -> DataFrame:
-    """Packed tuples by shard of their gram, and spans of repeats within a chunk by shard of their
-    document."""
+def common_grams(docs: DataFrame, size: int, heads: int) -> np.ndarray:
+    """Sorted grams around which more than ``heads`` different stretches are to be expected, by a sample of
+    documents (all, if their ``size`` in bytes is small)."""
+    share = min(1.0, SAMPLE / max(size, 1))
+    chosen = docs if share == 1 else docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pieces in _chunks(batch):
-                s, first, repeat = _firsts(tuples_of(pieces))
+                t, _ = tuples_of(pieces)
+                found = np.unique(np.stack([_gram(t).view(np.int64), t["digest"].view(np.int64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["gram", "digest"])
+
+    counts = chosen.mapInArrow(run, "gram long, digest long").distinct().groupBy("gram").agg(F.count("*").alias("n"))
+    least = heads if share == 1 else max(heads * share, SEEN)
+    return np.array(sorted(r.gram for r in counts.where(F.col("n") > least).select("gram").collect()), np.int64).view(np.uint64)
+
+
+def _is_in(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted ``some``."""
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values if len(some) else np.zeros(len(values), bool)
+
+
+def _strings(t: Columns, joined: bytes) -> list[bytes]:
+    """The bytes of stretches."""
+    return [joined[at : at + more + LENGTH] for at, more in zip(t["place"].tolist(), t["more"].tolist(), strict=True)]
+
+
+def _dealt_windows(t: Columns, strings: list[bytes], shards: int) -> Iterator[tuple[int, int, bytes]]:
+    """The first of equal windows of stretches by shard of their hash, and spans of the others."""
+    for at in range(0, len(strings), HEADS):
+        heads, spans = _first_windows(_window_rows(_taken(t, slice(at, at + HEADS)), strings[at : at + HEADS]))
+        heads = _in_text_order(heads)
+        yield from _by_shard(heads, WINDOW, shards + (heads["key"] % np.uint64(FINER * shards)).astype(np.int64), _WINDOWS)
+        yield from _by_shard(spans, SPAN, spans["doc"] % shards, _SPANS)
+
+
+def _suffix_tuples(docs: DataFrame, shards: int, common: np.ndarray = np.empty(0, np.uint64)) -> DataFrame:
+    """Packed tuples by shard of their gram, windows of ``common`` grams by shard of their hash, and spans
+    of repeats within a chunk by shard of their document."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pieces in _chunks(batch):
+                t, joined = tuples_of(pieces)
+                s, first, repeat = _firsts(t)
                 spans = _in_text_order(_spans_of(_taken(s, repeat)))
-                kept = _in_text_order(_taken(s, first))
+                hot = _is_in(_gram(s), shared.value)
+                kept, dealt = _in_text_order(_taken(s, first & ~hot)), _taken(s, first & hot)
                 rows = [*_by_shard(kept, TUPLE, (_gram(kept) % np.uint64(shards)).astype(np.int64), _TUPLES), *_by_shard(spans, SPAN, spans["doc"] % shards, _SPANS)]
-                yield _sharded_batch(rows)
+                yield _sharded_batch([*rows, *_dealt_windows(dealt, _strings(dealt, joined), shards)])
 
     return docs.mapInArrow(run, _SHARDED)
 
 
-def _sorted_shards(rows: DataFrame, *within: str) -> DataFrame:
-    return rows.repartition("shard").sortWithinPartitions("shard", *within)
+def _sorted_shards(rows: DataFrame, shards: int, *within: str) -> DataFrame:
+    """Each shard in one task, with those of its windows, which are dealt over the same tasks."""
+    return rows.repartitionById(shards, F.pmod("shard", F.lit(shards)).cast("int")).sortWithinPartitions("shard", *within)
 
 
 def _resolved(tuples: DataFrame, shards: int, most: int) -> DataFrame:
@@ -272,8 +324,12 @@ def _resolved(tuples: DataFrame, shards: int, most: int) -> DataFrame:
                 if kind == _SPANS:
                     rows.append((shard, _SPANS, packed.as_py()))
             for one in np.unique(table.column("shard").to_numpy()):
-                mask = (table.column("shard").to_numpy() == one) & (kinds == _TUPLES)
-                t = _unpack([table.column("packed")[i].as_py() for i in np.nonzero(mask)[0].tolist()], TUPLE)
+                of = table.column("shard").to_numpy() == one
+                windows = np.nonzero(of & (kinds == _WINDOWS))[0].tolist()
+                if windows:
+                    _, spans = _first_windows(_unpack([table.column("packed")[i].as_py() for i in windows], WINDOW))
+                    rows += _by_shard(spans, SPAN, spans["doc"] % shards, _SPANS)
+                t = _unpack([table.column("packed")[i].as_py() for i in np.nonzero(of & (kinds == _TUPLES))[0].tolist()], TUPLE)
                 gram = _gram(t)
                 by_gram = np.sort(gram)
                 again = np.unique(by_gram[1:][by_gram[1:] == by_gram[:-1]])
@@ -291,36 +347,74 @@ def _resolved(tuples: DataFrame, shards: int, most: int) -> DataFrame:
                 rows += _by_shard(asked, TUPLE, asked["doc"] % shards, _ASKED)
             yield _sharded_batch(rows)
 
-    return _sorted_shards(tuples).mapInArrow(run, _SHARDED)
+    return _sorted_shards(tuples, shards).mapInArrow(run, _SHARDED)
+
+
+def _packed_texts(docs: DataFrame, shards: int) -> DataFrame:
+    """Documents by shard, many to a row: their number, ids and lengths, and their bytes, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+
+        def packed(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            by_shard: dict[int, list[tuple[int, bytes]]] = {}
+            for doc, data in held:
+                by_shard.setdefault(doc % shards, []).append((doc, data))
+            rows = []
+            for shard, of in by_shard.items():
+                head = np.array([len(of), *(d for d, _ in of), *(len(x) for _, x in of)], "<i8").tobytes()
+                rows.append((shard, _TEXTS, packer.compress(head + b"".join(x for _, x in of))))
+            return _sharded_batch(rows)
+
+        for batch in batches:
+            held, size = [], 0
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                held.append((doc, text.as_py().encode("utf-8", "surrogatepass")))
+                size += len(held[-1][1])
+                if size >= PACKED:
+                    yield packed(held)
+                    held, size = [], 0
+            if held:
+                yield packed(held)
+
+    return docs.mapInArrow(run, _SHARDED)
+
+
+def _unpacked_texts(packed: bytes) -> list[tuple[int, bytes]]:
+    data = zstandard.ZstdDecompressor().decompress(packed)
+    n = int.from_bytes(data[:8], "little")
+    ids, lengths = np.frombuffer(data, "<i8", n, 8).tolist(), np.frombuffer(data, "<i8", n, 8 + 8 * n)
+    ends = (8 + 16 * n + np.cumsum(lengths)).tolist()
+    return [(doc, data[end - length : end]) for doc, length, end in zip(ids, lengths.tolist(), ends, strict=True)]
 
 
 def _with_texts(docs: DataFrame, packed: DataFrame, shards: int) -> DataFrame:
     """Documents and what is packed for them, shard by shard, packed rows first."""
-    texts = docs.select(F.pmod("doc_id", F.lit(shards)).alias("shard"), F.lit(9).alias("kind"), F.lit(None).cast("binary").alias("packed"), "doc_id", "text")
-    others = packed.select("shard", "kind", "packed", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    return _sorted_shards(texts.unionByName(others), "kind")
+    return _sorted_shards(_packed_texts(docs, shards).unionByName(packed.select("shard", "kind", "packed")), shards, "kind")
 
 
 def _streamed(batches: Iterator[pa.RecordBatch], layout: tuple) -> Iterator[tuple[Columns, list[tuple[int, bytes]]]]:
     """(packed rows of the documents' shard sorted by document, some documents of the shard)."""
     shard, blobs, cols = None, [], _unpack([], layout)
+    docs: list[tuple[int, bytes]] = []
+    size = 0
     for batch in batches:
-        shards, kinds = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
-        docs: list[tuple[int, bytes]] = []
-        for i in range(batch.num_rows):
-            if shards[i] != shard:
-                if docs:
-                    yield cols, docs
-                shard, blobs, cols, docs = shards[i], [], _unpack([], layout), []
-            if kinds[i] != 9:
-                blobs.append(batch.column("packed")[i].as_py())
+        for at, kind, packed in zip(batch.column("shard").to_pylist(), batch.column("kind").to_pylist(), batch.column("packed"), strict=True):
+            if docs and (at != shard or size >= PACKED):
+                yield cols, docs
+                docs, size = [], 0
+            if at != shard:
+                shard, blobs, cols = at, [], _unpack([], layout)
+            if kind != _TEXTS:
+                blobs.append(packed.as_py())
                 continue
             if blobs:
                 cols, blobs = _unpack(blobs, layout), []
                 cols = _taken(cols, np.lexsort((cols["lo"], cols["doc"])))
-            docs.append((batch.column("doc_id")[i].as_py(), batch.column("text")[i].as_py().encode("utf-8", "surrogatepass")))
-        if docs:
-            yield cols, docs
+            docs += (more := _unpacked_texts(packed.as_py()))
+            size += sum(len(x) for _, x in more)
+    if docs:
+        yield cols, docs
 
 
 def _stretches(docs: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
@@ -340,12 +434,7 @@ def _stretches(docs: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
             few, many = np.nonzero(~hot)[0], np.nonzero(hot)[0]
             c = _taken(t, few)
             yield _sharded_batch(list(_by_shard(c, TUPLE, (_gram(c) % np.uint64(shards)).astype(np.int64), _ASKED, [strings[i] for i in few.tolist()])))
-            for at in range(0, len(many), HEADS):
-                some = many[at : at + HEADS]
-                heads, spans = _first_windows(_window_rows(_taken(t, some), [strings[i] for i in some.tolist()]))
-                heads = _in_text_order(heads)
-                place = shards + (heads["key"] % np.uint64(FINER * shards)).astype(np.int64)
-                yield _sharded_batch([*_by_shard(heads, WINDOW, place, _WINDOWS), *_by_shard(spans, SPAN, spans["doc"] % shards, _SPANS)])
+            yield _sharded_batch(list(_dealt_windows(_taken(t, many), [strings[i] for i in many.tolist()], shards)))
 
     return _with_texts(docs, asked, shards).mapInArrow(run, _SHARDED)
 
@@ -441,7 +530,7 @@ def _window_repeats(stretches: DataFrame, shards: int) -> DataFrame:
                 rows += _by_shard(spans, SPAN, spans["doc"] % shards, _SPANS)
             yield _sharded_batch(rows)
 
-    return _sorted_shards(stretches).mapInArrow(run, _SHARDED)
+    return _sorted_shards(stretches, shards).mapInArrow(run, _SHARDED)
 
 
 def _without(data: bytes, lo: np.ndarray, end: np.ndarray) -> tuple[int, int, bytes]:
@@ -462,12 +551,13 @@ def remove_repeats(docs: DataFrame, heads: int = HEADS) -> DataFrame:
 
     Null is empty; texts shorter than ``LENGTH`` lose nothing. Rows without an id are left out. Rows
     that repeat an id and text are one document, and each gets its result. An empty table gives no
-    rows; other columns are ignored. heads: different stretches around one gram that one task compares.
+    rows; other columns are ignored. heads: different stretches around one gram that one task compares
+    (about as many, where they are told from a sample).
     """
     docs = id_and_text(docs).where(F.col("doc_id").isNotNull())
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
-    found = durable(_resolved(_suffix_tuples(docs, shards), shards, heads))
+    found = durable(_resolved(_suffix_tuples(docs, shards, common_grams(docs, size, heads)), shards, heads))
     more = _window_repeats(_stretches(docs, found.where(F.col("kind") == _ASKED), shards), shards)
     spans = found.where(F.col("kind") == _SPANS).unionByName(more)
 
