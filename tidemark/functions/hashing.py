@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,11 +29,19 @@ def row_hash_int(columns: list[str], digits: int = 8, compatible: bool = False)
     return F.conv(F.substring(row_hash(columns, compatible), 1, digits), 16, 10).cast("long")
 
 
+def _sum(column: str) -> Column:
+    """The sum of non-negative longs modulo 2^63: two sums of 30 and 33 bits, which no number of rows that
+    a table can have overflows, put together once per group."""
+    low, high = F.sum(F.col(column).bitwiseAND(F.lit((1 << 30) - 1).cast("long"))), F.sum(F.shiftright(column, 30))
+    whole = high.cast("decimal(20,0)") * F.lit(1 << 30).cast("decimal(10,0)") + low.cast("decimal(20,0)")
+    return F.pmod(whole, F.lit(Decimal(1 << 63))).cast("long")
+
+
 def block_hash(row_hash_column: str, method: str = "int", order: list[str] | None = None) -> Column:
-    """Aggregate over a block. int: the sum of integer row hashes, which any order and any partial
-    sums give alike. md5: a digest over the rows in order; its memory grows with the block."""
+    """Aggregate over a block. int: the sum of integer row hashes (modulo 2^63), which any order and any
+    partial sums give alike. md5: a digest over the rows in order; its memory grows with the block."""
     if method == "int":
-        return F.sum(row_hash_column).cast("long")
+        return _sum(row_hash_column)
     if method == "md5" and order:
         return F.expr(f"md5(listagg(left({row_hash_column}, 8), '') WITHIN GROUP (ORDER BY {', '.join(order)}))")
     raise ValueError("a block hash is int, or md5 with an order")
@@ -41,7 +51,7 @@ def group_hash(row_hash_column: str, method: str = "int") -> Column:
     """Aggregate over the raw rows of a group; only sums of integer hashes are defined."""
     if method != "int":
         raise ValueError("a group hash is a sum of integer row hashes")
-    return F.sum(row_hash_column).cast("long")
+    return _sum(row_hash_column)
 
 
 def piped_block_hash(columns: list[str], keys: list[str]) -> Column:

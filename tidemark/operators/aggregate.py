@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.buckets import boundary
 from tidemark.functions.hashing import group_hash, row_hash_int
 from tidemark.spec import Dimension
+from tidemark.work import saved
 
 
 def grouped(df: DataFrame, keys: dict[str, str], aggregates: dict[str, str], hashed: list[str] | None = None, hash_name: str = "group_hash") -> DataFrame:
@@ -32,11 +33,12 @@ def chunked(keys: DataFrame, order: list[str], size: int, within: list[str] = ()
     chunk if the size is -1.
 
     Numbers come from counts of ranges: rows are numbered within ranges of the sort order, and
-    ranges are shifted by the counts before them, so that no task sorts all keys.
+    ranges are shifted by the counts before them, so that no task sorts all keys. Keys are written down
+    with their range, which two branches read.
     """
     if size == -1:
         return keys.withColumn("chunk", F.lit(0).cast("long"))
-    ranged = keys.repartitionByRange(*within, *order).withColumn("_range", F.spark_partition_id())
+    ranged = saved(keys.repartitionByRange(*within, *order).withColumn("_range", F.spark_partition_id()))
     local = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_range", *within).orderBy(*order)))
     counts = ranged.groupBy("_range", *within).agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

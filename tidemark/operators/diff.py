@@ -11,18 +11,19 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.buckets import partition_id
+from tidemark.functions.buckets import bounds, partition_id
 from tidemark.functions.hashing import block_hash, row_hash_int
 from tidemark.operators.aggregate import column_limits
 from tidemark.spec import Dimension
+from tidemark.work import saved
 
-__all__ = ["bucket_hashes", "bucket_diff", "row_diff", "row_status", "hash_changes", "orphans", "drill", "summary", "column_limits"]
+__all__ = ["bucket_hashes", "bucket_diff", "row_diff", "row_status", "hash_changes", "drill_changes", "orphans", "drill", "summary", "column_limits"]
 
 
-def bucket_hashes(df: DataFrame, dims: list[Dimension], hashed: list[str] | None = None, stored: str | None = None, outer: list[Dimension] = ()) -> DataFrame:
+def bucket_hashes(df: DataFrame, dims: list[Dimension], hashed: list[str] | None = None, stored: str | None = None, outer: list[Dimension] = (), digits: int = 8) -> DataFrame:
     """partition_id, num_rows, hash per bucket, in one aggregation that is combined before its
-    shuffle. ``stored``: a column that holds the row hash already."""
-    h = F.col(stored) if stored else row_hash_int(hashed)
+    shuffle. ``stored``: a column that holds the row hash already; ``digits``: hex digits of a row's hash."""
+    h = F.col(stored) if stored else row_hash_int(hashed, digits)
     rows = df.select(partition_id(dims, outer).alias("partition_id"), h.alias("_h"))
     return rows.groupBy("partition_id").agg(F.count("*").alias("num_rows"), block_hash("_h").alias("hash"))
 
@@ -56,19 +57,21 @@ def require_unique(df: DataFrame, keys: list[str]) -> None:
 
 def row_status(src: DataFrame, dst: DataFrame, keys: list[str], hashed: list[str], old: bool = False, check: bool = False) -> DataFrame:
     """Every key with its status and the source's columns (the destination's for D); ``old`` adds the
-    destination's row as struct old__. ``check`` makes sure that keys are unique on both sides."""
+    destination's row as struct old__. Rows are the same if all ``hashed`` columns are, null being equal to
+    null: both rows are there, so they are compared themselves. ``check`` makes sure that keys are unique
+    on both sides."""
     if check:
         require_unique(src, keys)
         require_unique(dst, keys)
     columns = src.columns
-    s = src.withColumn("_h", row_hash_int(hashed)).alias("s")
-    d = dst.select(*columns).withColumn("_h", row_hash_int(hashed)).alias("d")
+    s = src.withColumn("_there", F.lit(True)).alias("s")
+    d = dst.select(*columns).withColumn("_there", F.lit(True)).alias("d")
     both = s.join(d, reduce(and_, [F.col(f"s.{k}") == F.col(f"d.{k}") for k in keys]), "full_outer")
-    there = F.col("s._h").isNotNull()
+    there, before = F.col("s._there").isNotNull(), F.col("d._there").isNotNull()
     out = [F.when(there, F.col(f"s.{c}")).otherwise(F.col(f"d.{c}")).alias(c) for c in columns]
-    status = _status(there, F.col("d._h").isNotNull(), F.col("s._h") == F.col("d._h"))
-    extra = [F.when(F.col("d._h").isNotNull(), F.struct(*[F.col(f"d.{c}").alias(c) for c in columns])).alias("old__")] if old else []
-    return both.select(*out, status.alias("change_type"), *extra)
+    same = reduce(and_, [F.col(f"s.{c}").eqNullSafe(F.col(f"d.{c}")) for c in hashed], F.lit(True))
+    extra = [F.when(before, F.struct(*[F.col(f"d.{c}").alias(c) for c in columns])).alias("old__")] if old else []
+    return both.select(*out, _status(there, before, same).alias("change_type"), *extra)
 
 
 def row_diff(src: DataFrame, dst: DataFrame, keys: list[str], hashed: list[str], old: bool = False, check: bool = False) -> DataFrame:
@@ -76,31 +79,71 @@ def row_diff(src: DataFrame, dst: DataFrame, keys: list[str], hashed: list[str],
     return row_status(src, dst, keys, hashed, old, check).where("change_type <> 'N'")
 
 
+#: Changed buckets that are looked at one by one for what can be read of a table, and ranges that are
+#: pushed to its scan; beyond either, their least and greatest bucket bound the scan.
+LISTED, RANGES = 10_000, 100
+#: Hex digits of the row hashes that buckets are compared by.
+DIGITS = 15
+
+
+def _ranges(changed: DataFrame, dim: Dimension, id_column: str) -> tuple[list[tuple[int, int]], bool] | None:
+    """([first, last] buckets that hold all changed ones, whether they hold no others); None if ids are no
+    numbers. At most ``LISTED`` ids reach the driver."""
+    ids = changed.select(F.expr(f"try_cast({id_column} AS BIGINT)").alias("i"))
+    some = [r.i for r in ids.limit(LISTED + 1).collect()]
+    if None in some:
+        return None
+    if len(some) > LISTED:
+        lo, hi, unclear = ids.agg(F.min("i"), F.max("i"), F.count_if(F.col("i").isNull())).first()
+        return None if unclear else ([(lo, hi)], False)
+    merged: list[list[int]] = []
+    for i in sorted(some):
+        if merged and i <= merged[-1][1] + 1:
+            merged[-1][1] = max(i, merged[-1][1])
+        else:
+            merged.append([i, i])
+    exact = len(merged) <= RANGES
+    return [tuple(x) for x in (merged if exact else [[merged[0][0], merged[-1][1]]])] if merged else [], exact
+
+
+def within_buckets(df: DataFrame, dims: list[Dimension], changed: DataFrame) -> DataFrame:
+    """Rows of the buckets of ``changed`` (_bucket). Buckets of one dimension of numbers or times become
+    ranges of its column, which reach the scan; what ranges do not tell exactly, a semi-join does."""
+    exact = False
+    if len(dims) == 1 and dims[0].kind in ("int", "datetime", "date") and (found := _ranges(changed, dims[0], "_bucket")) is not None:
+        ranges, exact = found
+        column, cases = F.col(dims[0].column), F.lit(False)
+        for first, last in ranges:
+            start, end = bounds(dims[0], F.lit(first))[0], bounds(dims[0], F.lit(last))[1]
+            cases |= (column >= start) & (column < end)
+        df = df.where(cases)
+    return df if exact else df.withColumn("_bucket", partition_id(dims)).join(changed.select("_bucket"), "_bucket", "left_semi").drop("_bucket")
+
+
 def hash_changes(
     src: DataFrame, dst: DataFrame, dims: list[Dimension], keys: list[str], hashed: list[str], refresh: bool = False, skip_row_count: bool = False
 ) -> DataFrame:
     """Changed rows with change_type, found in two phases: bucket hashes of both sides tell which
-    buckets differ, and only their rows are compared.
+    buckets differ, and only their rows are read again and compared. The first phase runs at once; which
+    buckets differ is written down.
 
     refresh: rows of a changed bucket in which the source has as many rows as the destination or more
     are all taken over as M (A in new buckets), without being compared; keys that only the
     destination has come out as D.
     """
-    changed = bucket_diff(bucket_hashes(src, dims, hashed), bucket_hashes(dst, dims, hashed), skip_row_count).where("status <> 'N'")
+    sides = [bucket_hashes(x, dims, hashed, digits=DIGITS) for x in (src, dst)]
+    changed = bucket_diff(*sides, skip_row_count).where("status <> 'N'")
     # names that no table has
-    ids = changed.select(F.col("partition_id").alias("_bucket"), F.col("status").alias("_status"), F.col("count_diff").alias("_more"))
-
-    def within(df: DataFrame, buckets: DataFrame) -> DataFrame:
-        return df.withColumn("_bucket", partition_id(dims)).join(buckets.select("_bucket"), "_bucket", "left_semi").drop("_bucket")
-
+    ids = saved(changed.select(F.col("partition_id").alias("_bucket"), F.col("status").alias("_status"), F.col("count_diff").alias("_more")))
     if not refresh:
-        return row_diff(within(src, ids), within(dst, ids), keys, hashed)
-    tagged = src.withColumn("_bucket", partition_id(dims)).join(ids, "_bucket")
-    whole = tagged.where("_status = 'A' OR _status = 'M' AND _more >= 0")
-    rows = whole.select(*src.columns, F.when(F.col("_status") == "A", "A").otherwise("M").alias("change_type"))
+        return row_diff(within_buckets(src, dims, ids), within_buckets(dst, dims, ids), keys, hashed)
+    taken = ids.where("_status = 'A' OR _status = 'M' AND _more >= 0")
+    tagged = within_buckets(src, dims, taken).withColumn("_bucket", partition_id(dims)).join(taken, "_bucket")
+    rows = tagged.select(*src.columns, F.when(F.col("_status") == "A", "A").otherwise("M").alias("change_type"))
     part = ids.where("_status = 'D' OR _status = 'M' AND _more < 0")
-    compared = row_diff(within(src, part), within(dst, part), keys, hashed)
-    gone = within(dst, ids.where("_status = 'M' AND _more >= 0")).join(src.select(*keys), keys, "left_anti")
+    compared = row_diff(within_buckets(src, dims, part), within_buckets(dst, dims, part), keys, hashed)
+    grown = ids.where("_status = 'M' AND _more >= 0")
+    gone = within_buckets(dst, dims, grown).join(within_buckets(src, dims, grown).select(*keys), keys, "left_anti")
     return rows.unionByName(compared).unionByName(gone.select(*src.columns).withColumn("change_type", F.lit("D")))
 
 
@@ -109,7 +152,7 @@ def orphans(src: DataFrame, dst: DataFrame, keys: list[str]) -> DataFrame:
     return dst.select(*keys).join(src.select(*keys), keys, "left_anti")
 
 
-def drill(src: DataFrame, dst: DataFrame, levels: list[list[Dimension]], hashed: list[str], page_size: int) -> DataFrame:
+def drill(src: DataFrame, dst: DataFrame, levels: list[list[Dimension]], hashed: list[str], page_size: int, digits: int = 8) -> DataFrame:
     """Bucket diffs by levels: buckets that are A or M and hold more than ``page_size`` rows give way to
     their buckets at the next level. Columns: level and those of ``bucket_diff``; ids follow the
     parent's. Each level reads only the rows of the buckets that were large above."""
@@ -120,7 +163,7 @@ def drill(src: DataFrame, dst: DataFrame, levels: list[list[Dimension]], hashed:
         def scoped(df: DataFrame, outer: list[Dimension] = outer, parents: DataFrame | None = parents) -> DataFrame:
             return df if parents is None else df.withColumn("_p", partition_id(outer)).join(parents, "_p", "left_semi")
 
-        found = bucket_diff(bucket_hashes(scoped(src), dims, hashed, outer=outer), bucket_hashes(scoped(dst), dims, hashed, outer=outer))
+        found = bucket_diff(*[bucket_hashes(scoped(x), dims, hashed, outer=outer, digits=digits) for x in (src, dst)])
         found = found.withColumn("level", F.lit(level))
         large = (F.col("num_rows") > page_size) & F.col("status").isin("A", "M") if level < len(levels) - 1 else F.lit(False)
         done = found.where(~large)
@@ -129,6 +172,22 @@ def drill(src: DataFrame, dst: DataFrame, levels: list[list[Dimension]], hashed:
     return out
 
 
+def drill_changes(src: DataFrame, dst: DataFrame, levels: list[list[Dimension]], keys: list[str], hashed: list[str], page_size: int) -> DataFrame:
+    """Changed rows with change_type, of the buckets that ``drill`` ends with: small ones at a coarse level,
+    parts of large ones at finer levels. Which buckets differ is written down first."""
+    changed = saved(drill(src, dst, levels, hashed, page_size, DIGITS).where("status <> 'N'").select(F.col("level").alias("_level"), F.col("partition_id").alias("_bucket")))
+
+    def within(df: DataFrame) -> DataFrame:
+        parts = []
+        for level, dims in enumerate(levels):
+            outer = [d for ds in levels[:level] for d in ds]
+            at = changed.where(F.col("_level") == level).select("_bucket")
+            parts.append(df.withColumn("_bucket", partition_id(dims, outer)).join(at, "_bucket", "left_semi").drop("_bucket") if outer else within_buckets(df, dims, at))
+        return reduce(DataFrame.unionByName, parts)  # a row is in one of the buckets at most
+
+    return row_diff(within(src), within(dst), keys, hashed)
+
+
 def summary(diff: DataFrame) -> DataFrame:
     """Buckets and rows per status."""
     return diff.groupBy("status").agg(F.count("*").alias("partitions"), F.sum("num_rows").alias("num_rows"))

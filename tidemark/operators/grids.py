@@ -26,19 +26,25 @@ def int_grid(limits: DataFrame, step: int, bounded: bool = False) -> DataFrame:
     return cells.select(F.col("cell").alias("partition_id"), (F.col("cell") * step).alias("start_"), ((F.col("cell") + 1) * step).alias("end_"))
 
 
-def datetime_grid(limits: DataFrame, step: int, unit: str, bounded: bool = False, date: bool = False) -> DataFrame:
-    """Cells of [lo, hi) of ``limits`` in steps of a unit: partition_id, start_, end_. Aligned cells
-    start at groups of units counted from 1970; bounded ones are the same cells cut at the limits."""
+def datetime_cells(limits: DataFrame, step: int, unit: str, date: bool = False) -> DataFrame:
+    """Cells of [lo, hi) of ``limits`` in steps of a unit: partition_id, start_ and end_ of groups of units
+    counted from 1970, and cut_start and cut_end, which are the same cut at the limits."""
     lo, hi = F.col("lo").cast("timestamp_ntz"), F.col("hi").cast("timestamp_ntz")
     # the last cell starts before hi: where hi is itself a start, that is the cell before
     limits = limits.withColumns({"_first": floor_div(unit_index(lo, unit), step), "_hi": floor_div(unit_index(hi, unit), step)})
     last = F.when(unit_start(F.col("_hi") * step, unit) == hi, F.col("_hi") - 1).otherwise(F.col("_hi"))
     cells = _cells(limits, F.col("_first"), last)
     start, end = unit_start(F.col("cell") * step, unit), unit_start((F.col("cell") + 1) * step, unit)
-    if bounded:
-        start, end = F.greatest(start, lo), F.least(end, hi)
     kind = "date" if date else "timestamp_ntz"
-    return cells.select(F.col("cell").alias("partition_id"), start.cast(kind).alias("start_"), end.cast(kind).alias("end_"))
+    named = {"start_": start, "end_": end, "cut_start": F.greatest(start, lo), "cut_end": F.least(end, hi)}
+    return cells.select(F.col("cell").alias("partition_id"), *[c.cast(kind).alias(n) for n, c in named.items()])
+
+
+def datetime_grid(limits: DataFrame, step: int, unit: str, bounded: bool = False, date: bool = False) -> DataFrame:
+    """``datetime_cells`` with one pair of bounds, start_ and end_: aligned cells start at groups of units,
+    bounded ones are cut at the limits."""
+    cells = datetime_cells(limits, step, unit, date)
+    return cells.select("partition_id", F.col("cut_start").alias("start_"), F.col("cut_end").alias("end_")) if bounded else cells.select("partition_id", "start_", "end_")
 
 
 def _uuid_text(prefix: Column, fill: str, form: str) -> Column:
@@ -66,13 +72,13 @@ def uuid_grid(limits: DataFrame, step: int, form: str = "uuid") -> DataFrame:
 
 
 def product(grids: dict[str, DataFrame]) -> DataFrame:
-    """The cross product of one-dimensional grids, with joined ids and each dimension's bounds. Grids
-    are small: their cells are bounded by their steps, not by the data."""
+    """The cross product of one-dimensional grids, with joined ids and each dimension's bounds. Which side
+    is broadcast is left to Spark, as steps of seconds over years make many cells."""
     out, ids = None, []
     for name, g in grids.items():
         g = g.select(F.col("partition_id").alias(f"{name}_id"), F.col("start_").alias(f"{name}_start"), F.col("end_").alias(f"{name}_end"))
         ids.append(F.col(f"{name}_id").cast("string"))
-        out = g if out is None else out.crossJoin(F.broadcast(g))
+        out = g if out is None else out.crossJoin(g)
     return out.withColumn("partition_id", F.concat_ws("-", *ids))
 
 

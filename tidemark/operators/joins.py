@@ -6,11 +6,16 @@ otherwise shuffles and splits skewed keys at run time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from tidemark.functions.buckets import floor_div, unit_index
 
 
 def chain(base: DataFrame, joins: list[tuple[DataFrame, Column | list[str], str]]) -> DataFrame:
@@ -59,28 +64,59 @@ def enrich(left: DataFrame, dim: DataFrame, on: dict[str, str], fields: dict[str
     return lookup(left, dim.select(*keys, *[F.expr(e).alias(n) for n, e in fields.items()]), on, order=order)
 
 
-def asof(left: DataFrame, dim: DataFrame, keys: list[str], ts: str, valid_from: str, operator: str = "<=", fetch: dict[str, str] | None = None, tie: str | None = None) -> DataFrame:
+def _slice_of(column: Column, slices: int | tuple[int, str]) -> Column:
+    """The slice of time that a value is in: a step of numbers, or (step, unit) of times."""
+    return floor_div(column, slices) if isinstance(slices, int) else floor_div(unit_index(column, slices[1]), slices[0])
+
+
+def asof(
+    left: DataFrame, dim: DataFrame, keys: list[str], ts: str, valid_from: str, operator: str = "<=", fetch: dict[str, str] | None = None, tie: str | None = None,
+    slices: int | tuple[int, str] | None = None,
+) -> DataFrame:
     """Left as-of join: for ``<=`` and ``<``, the latest dimension row whose valid_from is at or before
     (before) ts; for ``>=`` and ``>``, the earliest at or after (after). Among equal times, the
     greatest ``tie`` wins backwards and the least forwards.
 
-    One pass over both sides, united and sorted per key: no pair of rows is formed.
+    One pass over both sides, united and sorted per key: no pair of rows is formed. ``slices``, a step of
+    numbers or (step, unit) of times, divides each key by time, so that a key of very many rows is many
+    tasks: a slice starts with the row that the slices before it end with.
     """
     if operator not in ("<=", "<", ">=", ">"):
         raise ValueError(f"unknown operator: {operator}")
     take = _fetched(left, dim, [*keys], fetch)
     back, inclusive = operator[0] == "<", operator.endswith("=")
     names = left.columns
+    by = [f"_k{i}" for i in range(len(keys))]
     tie_ = F.col(tie) if tie else F.lit(0)
-    rows = left.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col(ts).alias("_t"), F.lit(1 if inclusive else -1).alias("_side"), F.lit(None).cast(dim.schema[tie].dataType if tie else "int").alias("_tie"), F.struct(*names).alias("_left"))
-    facts = dim.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col(valid_from).alias("_t"), F.lit(0).alias("_side"), tie_.alias("_tie"), F.struct(*[F.col(c).alias(n) for c, n in take.items()]).alias("_right"))
+    rows = left.select(*[F.col(c).alias(k) for k, c in zip(by, keys, strict=True)], F.col(ts).alias("_t"), F.lit(1 if inclusive else -1).alias("_side"), F.lit(None).cast(dim.schema[tie].dataType if tie else "int").alias("_tie"), F.struct(*names).alias("_left"))
+    facts = dim.select(*[F.col(c).alias(k) for k, c in zip(by, keys, strict=True)], F.col(valid_from).alias("_t"), F.lit(0).alias("_side"), tie_.alias("_tie"), F.struct(*[F.col(c).alias(n) for c, n in take.items()]).alias("_right"))
+    if slices is not None:
+        rows, facts = (x.withColumn("_slice", _slice_of(F.col("_t"), slices)) for x in (rows, facts))
+        facts = facts.unionByName(_carried(rows, facts, by, back))
+        by = [*by, "_slice"]
     both = rows.unionByName(facts, allowMissingColumns=True)
-    order = [F.col("_t").asc(), "_side", F.col("_tie").asc_nulls_first()] if back else [F.col("_t").desc(), "_side", F.col("_tie").desc_nulls_first()]
-    w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = [F.col("_t").asc_nulls_first(), "_side", F.col("_tie").asc_nulls_first()] if back else [F.col("_t").desc_nulls_first(), "_side", F.col("_tie").desc_nulls_first()]
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("_found", F.last("_right", ignorenulls=True).over(w)).where(F.col("_left").isNotNull())
     return found.select("_left.*", *[F.col(f"_found.{n}").alias(n) for n in take.values()])
 
 
+def _carried(rows: DataFrame, facts: DataFrame, by: list[str], back: bool) -> DataFrame:
+    """For each key and slice that has rows, the fact that the slices before it (after it, if not ``back``)
+    end with, put before all others of the slice (its time is null). One row per key and slice is
+    sorted, whatever their sizes."""
+    known = facts.where(F.col("_t").isNotNull())
+    place = F.struct("_t", "_tie")
+    end = (F.max_by if back else F.min_by)(F.struct("_tie", "_right"), place).alias("_end")
+    ends = known.groupBy(*by, "_slice").agg(end)
+    slices = rows.where(F.col("_t").isNotNull()).select(*by, "_slice").withColumn("_asked", F.lit(True)).distinct()
+    both = slices.unionByName(ends, allowMissingColumns=True).groupBy(*by, "_slice").agg(F.max("_asked").alias("_asked"), F.first("_end", ignorenulls=True).alias("_end"))
+    order = F.col("_slice").asc() if back else F.col("_slice").desc()
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).where(F.col("_asked") & F.col("_carry").isNotNull())
+    return carried.select(*by, F.lit(None).cast(facts.schema["_t"].dataType).alias("_t"), F.lit(0).alias("_side"), F.col("_carry._tie").alias("_tie"), F.col("_carry._right").alias("_right"), "_slice")
+
+
 def asof_pruned(left: DataFrame, dim: DataFrame, keys: list[str], ts: str, valid_from: str, fetch: dict[str, str] | None = None, tie: str | None = None) -> DataFrame:
     """``asof`` with <=, after dropping dimension rows that cannot win: those after the last event, and
     per key those before the last one that precedes the first event."""
@@ -91,29 +127,78 @@ def asof_pruned(left: DataFrame, dim: DataFrame, keys: list[str], ts: str, valid
     return asof(left, kept, keys, ts, valid_from, "<=", fetch, tie)
 
 
-def scd(left: DataFrame, dim: DataFrame, keys: list[str], ts: str, valid_from: str, valid_to: str, row_key: list[str], operator: str = "<=", open_ended: bool = True, overlapping: bool = False, fetch: dict[str, str] | None = None, tie: str | None = None) -> DataFrame:
+def scd(
+    left: DataFrame, dim: DataFrame, keys: list[str], ts: str, valid_from: str, valid_to: str, operator: str = "<=", open_ended: bool = True, overlapping: bool = False,
+    fetch: dict[str, str] | None = None, tie: str | None = None, slices: int | tuple[int, str] | None = None,
+) -> DataFrame:
     """Left join with validity intervals: valid_from <= t < valid_to, where a null valid_to is open and
-    matches only if ``open_ended``; of overlapping intervals the latest valid_from wins. Operators
-    >= and > are reversed: valid_from >= t (> t) and t < valid_to. < acts as <=.
+    matches only if ``open_ended``; of overlapping intervals the latest valid_from wins, then the greatest
+    ``tie``. Operators >= and > are reversed: valid_from >= t (> t) and t < valid_to. < acts as <=.
 
-    Intervals that do not overlap are found by ``asof`` and then checked, without pairs. Others need
-    ``overlapping``: pairs per key are formed, and the best is taken per ``row_key``.
+    No pairs are formed. Intervals that do not overlap are found by ``asof``, in ``slices`` if given, and then
+    checked. Reversed, an interval never ceases to match as t falls, so the best so far is a running
+    maximum. Overlapping intervals are swept over by time per key, with those that are valid at the time.
     """
     take = _fetched(left, dim, keys, fetch)
     if operator in ("<", "<=") and not overlapping:
         ends = dim.withColumnRenamed(valid_to, "_to") if open_ended else dim.where(F.col(valid_to).isNotNull()).withColumnRenamed(valid_to, "_to")
         ends = ends.withColumn("_hit", F.lit(True))
         inner = {("_to" if c == valid_to else c): n for c, n in take.items()}
-        joined = asof(left, ends, keys, ts, valid_from, "<=", inner | {"_hit": "_hit"} | ({} if valid_to in take else {"_to": "_to"}), tie)
+        joined = asof(left, ends, keys, ts, valid_from, "<=", inner | {"_hit": "_hit"} | ({} if valid_to in take else {"_to": "_to"}), tie, slices)
         to = take.get(valid_to, "_to")
         holds = F.col("_hit") & (F.col(to).isNull() | (F.col(ts) < F.col(to)))
         return joined.select(*left.columns, *[F.when(holds, F.col(n)).alias(n) for n in take.values()])
-    right = dim.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(valid_from).alias("_from"), F.col(valid_to).alias("_to"), (F.col(tie) if tie else F.lit(0)).alias("_tie"), *[F.col(c).alias(n) for c, n in take.items()])
-    on = [left[k] == right[f"_k{i}"] for i, k in enumerate(keys)]
-    start = right["_from"] <= left[ts] if operator[0] == "<" else right["_from"] >= left[ts] if operator == ">=" else right["_from"] > left[ts]
-    end = (left[ts] < right["_to"]) | (right["_to"].isNull() if open_ended else F.lit(False))
-    pairs = left.join(right, reduce(and_, [*on, start, end]), "left")
-    best = F.max_by(F.struct(*[F.col(n) for n in take.values()]), F.struct("_from", "_tie"))
-    rest = [c for c in left.columns if c not in row_key]
-    found = pairs.groupBy(*[left[c] for c in row_key]).agg(*[F.first(left[c]).alias(c) for c in rest], best.alias("_best"))
-    return found.select(*left.columns, *[F.col(f"_best.{n}").alias(n) for n in take.values()])
+    by = [f"_k{i}" for i in range(len(keys))]
+    right = dim if open_ended else dim.where(F.col(valid_to).isNotNull())
+    right = right.where(F.col(valid_from).isNotNull()).select(*[F.col(c).alias(k) for k, c in zip(by, keys, strict=True)], F.col(valid_from).alias("_from"), F.col(valid_to).alias("_to"), (F.col(tie) if tie else F.lit(0)).alias("_tie"), F.struct(*[F.col(c).alias(n) for c, n in take.items()]).alias("_right"))
+    rows = left.select(*[F.col(c).alias(k) for k, c in zip(by, keys, strict=True)], F.col(ts).alias("_t"), F.struct(*left.columns).alias("_left"))
+    found = _swept(rows, right, by) if operator[0] == "<" else _best_after(rows, right, by, operator == ">")
+    return found.select("_left.*", *[F.col(f"_found.{n}").alias(n) for n in take.values()])
+
+
+def _best_after(rows: DataFrame, right: DataFrame, by: list[str], strict: bool) -> DataFrame:
+    """_left and _found: of the intervals that start at t or after (after, if ``strict``) and end after t, the
+    one that starts last."""
+    # an interval matches every t up to its start, and below its end if that is not after its start
+    early = F.coalesce(F.col("_to") <= F.col("_from"), F.lit(False))
+    facts = right.select(*by, F.when(early, F.col("_to")).otherwise(F.col("_from")).alias("_t"), F.when(early | F.lit(strict), 2).otherwise(0).alias("_side"), F.struct("_from", "_tie", "_right").alias("_best"))
+    both = rows.withColumn("_side", F.lit(1)).unionByName(facts, allowMissingColumns=True)
+    # within one time: intervals that match it, the rows, intervals that match only below it
+    w = Window.partitionBy(*by).orderBy(F.col("_t").desc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rank = F.struct("_best._from", "_best._tie")
+    best = F.max_by(F.col("_best._right"), F.when(F.col("_best").isNotNull(), rank)).over(w)
+    return both.withColumn("_found", best).where(F.col("_left").isNotNull()).select("_left", F.when(F.col("_left").isNotNull() & F.col("_t").isNotNull(), F.col("_found")).alias("_found"))
+
+
+def _swept(rows: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """_left and _found: of the intervals that are valid at t, the one that starts last. Both sides stream by
+    in the order of time, key by key; held are the intervals that may still be the best, of which each
+    ends before those that it came after."""
+    facts = right.select(*by, F.col("_from").alias("_t"), F.lit(0).alias("_side"), "_to", "_tie", "_right")
+    both = rows.withColumn("_side", F.lit(1)).unionByName(facts, allowMissingColumns=True)
+    sorted_ = both.repartition(*by).sortWithinPartitions(*by, F.col("_t").asc_nulls_first(), "_side", F.col("_tie").asc_nulls_first())
+    key = F.struct(*by)
+    found = sorted_.select(key.alias("_by"), "_t", "_to", "_side", "_left", "_right")
+    schema = StructType([found.schema["_left"], StructField("_found", found.schema["_right"].dataType)])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, valid = None, []  # the key, and its intervals: the last to start is the best
+        for batch in batches:
+            lefts, hits = [], []
+            columns = [batch.column(c) for c in ("_by", "_t", "_to", "_side", "_right")]
+            for i, (of, t, to, side, fact) in enumerate(zip(*[c.to_pylist() for c in columns[:4]], columns[4], strict=True)):
+                if of != here:
+                    here, valid = of, []
+                if side == 0:
+                    if to is None or to > t:
+                        while valid and (to is None or valid[-1][0] is not None and valid[-1][0] <= to):
+                            valid.pop()  # it starts before this one and ends no later
+                        valid.append((to, fact))
+                    continue
+                while valid and t is not None and valid[-1][0] is not None and valid[-1][0] <= t:
+                    valid.pop()
+                lefts.append(i)
+                hits.append(valid[-1][1].as_py() if valid and t is not None else None)
+            yield pa.RecordBatch.from_arrays([batch.column("_left").take(pa.array(lefts, pa.int64())), pa.array(hits, batch.column("_right").type)], names=["_left", "_found"])
+
+    return found.mapInArrow(sweep, schema)

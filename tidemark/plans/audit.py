@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.dedup import keep_last
+
 
 def list_runs(runs: DataFrame, job: str | None = None, status: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
     """Runs, newest first (ties by run)."""
@@ -21,10 +23,27 @@ def jobs_summary(runs: DataFrame) -> DataFrame:
     )
 
 
-def run_record(changes: DataFrame, job: str, strategy: str, run: str) -> DataFrame:
-    """One row for the run history: rows per change type."""
+def run_record(changes: DataFrame, job: str, strategy: str, run: str, status: str = "completed") -> DataFrame:
+    """One row for the run history: rows per change type, and the time."""
     counts = [F.count_if(F.col("change_type") == t).alias(n) for t, n in (("A", "inserted"), ("M", "updated"), ("D", "deleted"))]
-    return changes.agg(*counts).select(F.lit(job).alias("job"), F.lit(strategy).alias("strategy"), F.lit(run).alias("run"), "*")
+    named = {"job": job, "strategy": strategy, "run": run, "status": status}
+    return changes.agg(*counts).select(*[F.lit(v).alias(c) for c, v in named.items()], F.localtimestamp().alias("start_time"), "*")
+
+
+def record_run(changes: DataFrame, path: str, job: str, strategy: str, run: str, status: str = "completed") -> None:
+    """Adds a run to the history at ``path``."""
+    run_record(changes, job, strategy, run, status).write.mode("append").parquet(path)
+
+
+def record_partitions(partitions: DataFrame, path: str, status: str) -> None:
+    """Adds the state of partitions (partition_id, hash) to the ledger at ``path``."""
+    state = partitions.select("partition_id", "hash", F.lit(status).alias("status"), F.localtimestamp().alias("at"))
+    state.write.mode("append").parquet(path)
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The last state of each partition in the ledger at ``path``."""
+    return keep_last(spark.read.parquet(path), ["partition_id"], ["at", "hash"])
 
 
 def pending(partitions: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,3 +21,19 @@ def resolve_bounds(src: DataFrame, dst: DataFrame, column: str, strategy: str, s
         "hash": (F.least("s_lo", "d_lo"), F.greatest("s_hi", "d_hi")),
     }[strategy]
     return both.select((F.lit(start) if start is not None else lo).alias("lo"), (F.lit(end) if end is not None else hi).alias("hi"))
+
+
+def greatest(df: DataFrame, column: str) -> Column | None:
+    """The greatest value of a column as a literal of its type, None if there is none. One value reaches
+    the driver; as a literal in a filter it goes on to the scan, which then skips files and row groups."""
+    kind = df.select(column).schema[0].dataType
+    top = F.max(column)
+    match kind.simpleString():
+        case "timestamp":  # text would be ambiguous where clocks are set back
+            value = df.agg(F.unix_micros(top)).first()[0]
+            return None if value is None else F.timestamp_micros(F.lit(value))
+        case "timestamp_ntz" | "date":
+            value = df.agg(top.cast("string")).first()[0]
+        case _:
+            value = df.agg(top).first()[0]
+    return None if value is None else F.lit(value).cast(kind)

@@ -1,5 +1,6 @@
 """Strategies: which rows a run writes. Each gives a frame of changes with change_type, which
-``tidemark.sources.writers.apply_changes`` applies; nothing runs before that."""
+``tidemark.sources.writers.apply_changes`` applies. Watermarks and changed buckets are found first, as
+literals that reach the scans; rows are read when the changes are."""
 
 from __future__ import annotations
 
@@ -8,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.aggregate import grouped
 from tidemark.operators.diff import bucket_diff, bucket_hashes, hash_changes, row_diff
-from tidemark.plans.bounds import resolve_bounds
+from tidemark.plans.bounds import greatest
 from tidemark.sources.readers import has_data
 from tidemark.spec import Dimension
+from tidemark.work import saved
 
 
 def full(src: DataFrame) -> DataFrame:
@@ -18,22 +20,22 @@ def full(src: DataFrame) -> DataFrame:
     return src.withColumn("change_type", F.lit("A"))
 
 
-def _since(src: DataFrame, dst: DataFrame, watermark: str) -> DataFrame:
-    """Source rows from the destination's high watermark on. The boundary is inside: its rows are read
-    again, and upserts make that harmless. The bounds are one row, joined without a shuffle."""
-    limits = resolve_bounds(src, dst, watermark, "delta")
-    return src.join(F.broadcast(limits), F.col(watermark).between(F.col("lo"), F.col("hi")), "left_semi")
+def _since(src: DataFrame, watermark: str, dst: DataFrame, dst_watermark: str) -> DataFrame:
+    """Source rows from the destination's high watermark on, all that have one if the destination is empty.
+    The boundary is inside: its rows are read again, and upserts make that harmless."""
+    start = greatest(dst, dst_watermark)
+    return src.where(F.col(watermark).isNotNull() if start is None else F.col(watermark) >= start)
 
 
 def delta(src: DataFrame, dst: DataFrame, watermark: str) -> DataFrame:
     """Rows that are new by the watermark column, tagged M."""
-    return _since(src, dst, watermark).withColumn("change_type", F.lit("M"))
+    return _since(src, watermark, dst, watermark).withColumn("change_type", F.lit("M"))
 
 
 def delta_changed(src: DataFrame, dst: DataFrame, watermark: str, keys: list[str], hashed: list[str]) -> DataFrame:
     """As ``delta``, without rows that the destination has already. The destination is restricted to the
     keys that changed, so that no row comes out as deleted."""
-    new = _since(src, dst, watermark)
+    new = _since(src, watermark, dst, watermark)
     return row_diff(new, dst.join(new.select(*keys), keys, "left_semi"), keys, hashed)
 
 
@@ -48,11 +50,11 @@ def auto(src: DataFrame, dst: DataFrame, dims: list[Dimension], keys: list[str],
 
 
 def aggregate_delta(src: DataFrame, dst: DataFrame, watermark: str, dst_watermark: str, keys: dict[str, str], aggregates: dict[str, str], hashed: list[str] | None = None, hash_name: str = "group_hash") -> DataFrame:
-    """Groups that changed rows affect, aggregated again over all their rows, tagged M."""
-    limit = dst.agg(F.max(dst_watermark).alias("_from"))
-    new = src.join(F.broadcast(limit), F.col("_from").isNull() | (F.col(watermark) >= F.col("_from")), "left_semi")
+    """Groups that changed rows affect, aggregated again over all their rows, tagged M. Their keys are
+    written once."""
+    new = _since(src, watermark, dst, dst_watermark)
     keyed = src.withColumns({f"_g_{n}": F.expr(e) for n, e in keys.items()})
-    affected = new.select(*[F.expr(e).alias(f"_g_{n}") for n, e in keys.items()]).distinct()
+    affected = saved(new.select(*[F.expr(e).alias(f"_g_{n}") for n, e in keys.items()]).distinct())
     rows = keyed.join(affected, [f"_g_{n}" for n in keys], "left_semi")
     return grouped(rows, keys, aggregates, hashed, hash_name).withColumn("change_type", F.lit("M"))
 

@@ -167,3 +167,8 @@ _TOP, _SUB = "CAST(id // 1000 AS VARCHAR)", "CAST(id // 1000 AS VARCHAR) || '-'
 )
 def partition_diff_drill(spark: SparkSession, d: str) -> DataFrame:
     return D.drill(src(spark, d), dst(spark, d), [[Dimension("id", 1000)], BY_100], HASHED, 500)
+
+
+@query(f"{_FULL_SQL} {_CHANGED}")
+def hash_sync_drill(spark: SparkSession, d: str) -> DataFrame:
+    return D.drill_changes(src(spark, d), dst(spark, d), [[Dimension("id", 1000)], BY_100], ["id"], HASHED, 500)

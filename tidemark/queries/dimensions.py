@@ -98,9 +98,7 @@ _ORDER_STEPS = {"day": 30, "week": 5, "month": 2, "quarter": 1, "year": 2}
 def _grids(limits: DataFrame, steps: dict[str, int], date: bool) -> DataFrame:
     out = None
     for unit, step in steps.items():
-        whole, cut = (G.datetime_grid(limits, step, unit, b, date) for b in (False, True))
-        cut = cut.toDF("partition_id", "cut_start", "cut_end")
-        cells = whole.join(F.broadcast(cut), "partition_id").select(F.lit(unit).alias("unit"), "partition_id", "start_", "end_", "cut_start", "cut_end")
+        cells = G.datetime_cells(limits, step, unit, date).select(F.lit(unit).alias("unit"), "*")
         out = cells if out is None else out.unionByName(cells)
     return out
 

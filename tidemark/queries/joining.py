@@ -9,12 +9,13 @@ from tidemark.operators import joins as J
 from tidemark.operators.dedup import keep_last, newest
 from tidemark.queries.registry import events, query, scd, scd_sql, table
 
-_CO = "SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c {how} JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) o ON c.c_custkey = o.o_custkey"
+#: Keys are shifted, so that some customers have no orders and some orders no customer.
+_CO = "SELECT c.c_custkey, o.o_orderkey FROM customer c {how} JOIN orders o ON c.c_custkey = o.o_custkey + 10"
 
 
 def _joined(spark: SparkSession, d: str, how: str) -> DataFrame:
-    c, o = table(spark, d, "customer").where("c_custkey % 2 = 0"), table(spark, d, "orders").where("o_orderkey % 3 = 0")
-    return J.chain(c, [(o, c["c_custkey"] == o["o_custkey"], how)]).select("c_custkey", "o_orderkey")
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    return J.chain(c, [(o, c["c_custkey"] == o["o_custkey"] + 10, how)]).select("c_custkey", "o_orderkey")
 
 
 @query(_CO.format(how="INNER"))
@@ -44,11 +45,11 @@ def join_chain(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("o_orderkey", "c_custkey", "n_name", "r_name")
 
 
-_FIRST = "(SELECT * FROM orders WHERE o_orderkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1)"
+_FIRST = "(SELECT o_custkey + 10 AS o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1)"
 
 
 def _firsts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").where("o_orderkey % 2 = 0")
+    return table(spark, d, "orders").withColumn("o_custkey", F.col("o_custkey") + 10)
 
 
 
@@ -98,9 +99,9 @@ def lookup_semi_reduce(spark: SparkSession, d: str) -> DataFrame:
     return J.lookup(recent, dim, {"o_custkey": "c_custkey"}, order=[F.col("c_name")])
 
 
-@query("SELECT o_orderkey, o_custkey, upper(c_name) AS customer, length(c_name) AS name_length, CAST(c_nationkey AS VARCHAR) AS nation FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey")
+@query("SELECT o_orderkey, o_custkey, upper(c_name) AS customer, length(c_name) AS name_length, CAST(c_nationkey AS VARCHAR) AS nation FROM orders LEFT JOIN (SELECT c_custkey + 10 AS c_custkey, c_name, c_nationkey FROM customer) ON o_custkey = c_custkey")
 def enrich_dimension(spark: SparkSession, d: str) -> DataFrame:
-    o, c = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").where("c_custkey % 3 <> 0")
+    o, c = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").withColumn("c_custkey", F.col("c_custkey") + 10)
     fields = {"customer": "upper(c_name)", "name_length": "length(c_name)", "nation": "CAST(c_nationkey AS STRING)"}
     return J.enrich(o, c, {"o_custkey": "c_custkey"}, fields, [F.col("customer")])
 
@@ -143,13 +144,29 @@ def asof_pruned(spark: SparkSession, d: str) -> DataFrame:
     return J.asof_pruned(events(spark, d), scd(spark, d), ["user_id"], "ts", "valid_from", _FETCH, "dim_id").select("event_id", "user_id", "dim_id", "tier_value")
 
 
+def _sliced(spark: SparkSession, d: str, operator: str) -> DataFrame:
+    found = J.asof(events(spark, d), scd(spark, d), ["user_id"], "ts", "valid_from", operator, _FETCH, "dim_id", slices=(1, "day"))
+    return found.select("event_id", "user_id", "dim_id", "tier_value")
+
+
+@query(_asof_sql("<="))
+def asof_sliced(spark: SparkSession, d: str) -> DataFrame:
+    """Keys divided by days."""
+    return _sliced(spark, d, "<=")
+
+
+@query(_asof_sql(">"))
+def asof_sliced_after(spark: SparkSession, d: str) -> DataFrame:
+    return _sliced(spark, d, ">")
+
+
 @query(
-    """SELECT e.event_id, e.user_id, e.event_type, b.event_id AS before_id FROM events e LEFT JOIN (SELECT * FROM events WHERE event_id % 3 = 0) b
+    """SELECT e.event_id, e.user_id, e.event_type, b.event_id AS before_id FROM events e LEFT JOIN events b
     ON e.user_id = b.user_id AND e.event_type = b.event_type AND b.ts < e.ts QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY b.ts DESC, b.event_id DESC) = 1"""
 )
 def asof_multi_key(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
-    dim = e.where("event_id % 3 = 0").select("user_id", "event_type", F.col("ts").alias("at"), F.col("event_id").alias("before_id"))
+    dim = e.select("user_id", "event_type", F.col("ts").alias("at"), F.col("event_id").alias("before_id"))
     return J.asof(e, dim, ["user_id", "event_type"], "ts", "at", "<", {"before_id": "before_id"}, "before_id").select("event_id", "user_id", "event_type", "before_id")
 
 
@@ -159,7 +176,7 @@ def _scd_sql(on: str, ahead: int = 1) -> str:
 
 
 def _scd(spark: SparkSession, d: str, ahead: int = 1, **options: object) -> DataFrame:
-    found = J.scd(events(spark, d), scd(spark, d, ahead), ["user_id"], "ts", "valid_from", "valid_to", ["event_id"], fetch=_FETCH, tie="dim_id", **options)
+    found = J.scd(events(spark, d), scd(spark, d, ahead), ["user_id"], "ts", "valid_from", "valid_to", fetch=_FETCH, tie="dim_id", **options)
     return found.select("event_id", "user_id", "dim_id", "tier_value")
 
 

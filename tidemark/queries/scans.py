@@ -160,11 +160,12 @@ def change_counters(spark: SparkSession, d: str) -> DataFrame:
     return writers.change_counters(row_diff(src(spark, d), dst(spark, d), ["id"], HASHED))
 
 
-@query()
+@query(f"{_ROWS_SQL} SELECT change_type, count(*) AS num_rows, true AS all_small FROM st WHERE change_type <> 'N' GROUP BY 1")
 def write_sized_files(spark: SparkSession, d: str) -> DataFrame:
-    """Rows per change type and file, none above 500."""
+    """Rows per change type as read back, and whether no file has more than 500."""
     writers.write_sized(row_diff(src(spark, d), dst(spark, d), ["id"], HASHED), path := folder(spark), 500)
-    return spark.read.parquet(path).groupBy("change_type", F.col("_metadata.file_name").alias("file_name")).agg(F.count("*").alias("num_rows"))
+    files = spark.read.parquet(path).groupBy("change_type", F.col("_metadata.file_name").alias("file_name")).agg(F.count("*").alias("n"))
+    return files.groupBy("change_type").agg(F.sum("n").alias("num_rows"), (F.max("n") <= 500).alias("all_small"))
 
 
 @query(_SPEC_SQL)

@@ -12,10 +12,11 @@ from tidemark.plans import audit
 from tidemark.plans import strategies as S
 from tidemark.queries.changes import _CHANGED, _FULL_SQL, BY_100
 from tidemark.queries.registry import HASHED, PAIR_SQL, dst, hash_sql, query, src, table
+from tidemark.queries.scans import _ROWS_SQL
 from tidemark.sources.writers import apply_changes, upsert
 from tidemark.spec import Dimension
 from tidemark.streaming.upserts import latest, start_upsert
-from tidemark.work import folder
+from tidemark.work import folder, saved
 
 _CUT = "TIMESTAMP '1997-01-01'"
 
@@ -104,7 +105,7 @@ _AGG_COLUMNS = "cust_id, day, num_orders, total, last_updated_at, checksum"
 
 @query(f"{_AGG_SQL} SELECT {_AGG_COLUMNS} FROM agg_dst WHERE (cust_id, day) NOT IN (SELECT (cust_id, day) FROM fresh) UNION ALL SELECT {_AGG_COLUMNS} FROM fresh")
 def sync_agg_delta(spark: SparkSession, d: str) -> DataFrame:
-    return upsert(_agg_dst(spark, d), _fresh(spark, d), ["cust_id", "day"]).selectExpr(*_AGG_COLUMNS.split(", "))
+    return upsert(_agg_dst(spark, d), saved(_fresh(spark, d)), ["cust_id", "day"]).selectExpr(*_AGG_COLUMNS.split(", "))
 
 
 @query(f"{_AGG_SQL} SELECT f.cust_id, f.day, f.num_orders, f.total, f.checksum, CASE WHEN o.cust_id IS NULL THEN 'A' ELSE 'M' END AS change_type FROM fresh f LEFT JOIN agg_dst o ON f.cust_id = o.cust_id AND f.day = o.day WHERE o.cust_id IS NULL OR o.checksum <> f.checksum")
@@ -134,7 +135,7 @@ def schema_evolve_widen(spark: SparkSession, d: str) -> DataFrame:
     return evolve(old, spark.createDataFrame([], "o_custkey bigint, day date").schema)
 
 
-@query()
+@query("SELECT event_id, user_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The last event per user and type, from a stream of files taken one at a time."""
     rows = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
@@ -142,7 +143,7 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     running = start_upsert(stream, target := folder(spark), folder(spark), ["user_id", "event_type"], ["ts", "event_id"])
     running.awaitTermination()
-    return latest(spark, target, running)
+    return latest(spark, target, rows.schema)
 
 
 _LEDGER_SQL = f"""WITH {PAIR_SQL}, parts AS (SELECT CAST(id // 100 AS VARCHAR) AS partition_id, count(*) AS num_rows, CAST(sum({hash_sql(HASHED)}) AS BIGINT) AS hash FROM src GROUP BY 1),
@@ -164,6 +165,24 @@ def retry_failed(spark: SparkSession, d: str) -> DataFrame:
     return audit.failed(*_ledger(spark, d))
 
 
+@query(f"{_LEDGER_SQL} SELECT p.* FROM parts p WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.partition_id = p.partition_id AND l.hash = p.hash AND l.status = 'completed')")
+def resume_after_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger as runs have written it: all partitions failed at first, most were completed later."""
+    parts, done = _ledger(spark, d)
+    path = folder(spark)
+    audit.record_partitions(done, path, "failed")
+    audit.record_partitions(done.where("status = 'completed'"), path, "completed")
+    return audit.pending(parts, audit.ledger(spark, path))
+
+
+@query(f"{_ROWS_SQL} SELECT 'orders' AS job, 'hash' AS strategy, 'r1' AS run, 'completed' AS status, count(*) FILTER (change_type = 'A') AS inserted, count(*) FILTER (change_type = 'M') AS updated, count(*) FILTER (change_type = 'D') AS deleted FROM st")
+def run_recorded(spark: SparkSession, d: str) -> DataFrame:
+    """The history after one run."""
+    changes = saved(S.hash_changes(src(spark, d), dst(spark, d), BY_100, ["id"], HASHED))
+    audit.record_run(changes, path := folder(spark), "orders", "hash", "r1")
+    return audit.list_runs(spark.read.parquet(path), "orders").drop("start_time")
+
+
 _RUNS_SQL = "(SELECT event_type AS job, user_id AS strategy, event_id AS run, ts AS start_time, CASE WHEN event_id % 10 = 0 THEN 'failed' ELSE 'completed' END AS status FROM events)"
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Cells of a grid that become predicates, one task each.
+CELLS = 10_000
+
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
@@ -42,3 +48,24 @@ def read_jdbc(spark: SparkSession, options: dict[str, str], predicates: list[str
     if not predicates:
         return reader.load()
     return spark.read.jdbc(options["url"], options["dbtable"], predicates=predicates, properties={k: v for k, v in options.items() if k not in ("url", "dbtable")})
+
+
+def _sql_literal(value: Any) -> str:
+    match value:
+        case dt.datetime():
+            return f"TIMESTAMP '{value:%Y-%m-%d %H:%M:%S.%f}'"
+        case dt.date():
+            return f"DATE '{value}'"
+        case str():
+            return "'" + value.replace("'", "''") + "'"
+    return str(value)
+
+
+def cell_predicates(grid: DataFrame, column: str, nulls: bool = False) -> list[str]:
+    """The bounds of a grid's cells (start_, end_) as predicates for ``read_jdbc``, at most ``CELLS``: they go
+    through the driver. nulls: one more for rows whose column is null."""
+    cells = grid.select("start_", "end_").orderBy("start_").limit(CELLS + 1).collect()
+    if len(cells) > CELLS:
+        raise ValueError(f"more than {CELLS} cells: take a greater step")
+    found = [f"{column} >= {_sql_literal(c.start_)} AND {column} < {_sql_literal(c.end_)}" for c in cells]
+    return found + ([f"{column} IS NULL"] if nulls else [])

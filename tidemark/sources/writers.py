@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.casting import cast_to_schema
 from tidemark.spec import ColumnSpec
+from tidemark.work import saved
 
 
 def upsert(dst: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The destination with changed rows put in place of those of their keys. The set of kept rows and
-    the changes have the destination's columns."""
+    """The destination with changed rows put in place of those of their keys, under the destination's
+    columns. The changes are read twice, for their keys and for their rows: costly ones are better saved
+    first (``tidemark.work.saved``). Rows that stay are moved only if the keys are too many to broadcast."""
     changes = changes.select(*dst.columns)
     return dst.join(changes.select(*keys), keys, "left_anti").select(*dst.columns).unionByName(changes)
 
@@ -37,7 +39,9 @@ def delete_by_keys(dst: DataFrame, keys_frame: DataFrame, keys: list[str]) -> Da
 
 
 def apply_changes(dst: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The destination after a set of changes with change_type: D rows go, A and M rows replace."""
+    """The destination after a set of changes with change_type: D rows go, A and M rows replace. The changes
+    are computed once and saved, at once."""
+    changes = saved(changes)
     kept = delete_by_keys(dst, changes, keys)
     return kept.unionByName(changes.where("change_type IN ('A', 'M')").select(*dst.columns))
 
@@ -75,8 +79,8 @@ def write_sized(df: DataFrame, path: str, rows: int) -> None:
 
 
 def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
-    """Replaces the partitions that ``df`` has rows of, and no others. ``df`` must not read ``path``
-    lazily: write it elsewhere first if it does."""
+    """Replaces the partitions that ``df`` has rows of, and no others. ``df`` may read ``path``: new files
+    take the place of old ones when all are written."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
@@ -87,3 +91,43 @@ def merge_into(dst_table: str, changes: DataFrame, keys: list[str]) -> None:
     changes.mergeInto(dst_table, on).whenMatched(gone).delete().whenMatched(~gone).updateAll().whenNotMatched(~gone).insertAll().merge()
 
 
+def write_jdbc(df: DataFrame, options: dict[str, str], mode: str = "append") -> None:
+    """Inserts into a table of a database, batch by batch, every partition over its own connection."""
+    df.write.format("jdbc").options(**options).mode(mode).save()
+
+
+def apply_jdbc(changes: DataFrame, options: dict[str, str], keys: list[str], quote: str = '"') -> None:
+    """Brings changes with change_type into a table of a database. They are staged beside it in parallel,
+    and taken over in one transaction in the database: rows of their keys go, A and M rows come. A run
+    that is repeated gives the same table."""
+    table, stage = options["dbtable"], f"{options['dbtable']}_changes"
+    write_jdbc(changes, options | {"dbtable": stage}, "overwrite")
+    q = lambda c: f"{quote}{c}{quote}"
+    columns = ", ".join(q(c) for c in changes.columns if c != "change_type")
+    same = " AND ".join(f"{table}.{q(k)} = {stage}.{q(k)}" for k in keys)
+    _in_transaction(changes.sparkSession, options, [
+        f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM {stage} WHERE {same})",
+        f"INSERT INTO {table} ({columns}) SELECT {columns} FROM {stage} WHERE {q('change_type')} <> 'D'",
+        f"DROP TABLE {stage}",
+    ])
+
+
+def _in_transaction(spark: SparkSession, options: dict[str, str], statements: list[str]) -> None:
+    """Runs statements over the connection that Spark's own JDBC source is given."""
+    jvm = spark.sparkContext._jvm
+    properties = jvm.java.util.Properties()
+    for k, v in options.items():
+        properties.setProperty(k, v)
+    if "driver" in options:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(options["driver"])
+    connection = jvm.java.sql.DriverManager.getConnection(options["url"], properties)
+    try:
+        connection.setAutoCommit(False)
+        for sql in statements:
+            connection.createStatement().execute(sql)
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,3 +26,11 @@ def shared_folder(spark: SparkSession) -> str:
 def folder(spark: SparkSession) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the shared folder: what reads the result twice reads files,
+    whose size Spark knows, and lost executors cost no recomputation."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
