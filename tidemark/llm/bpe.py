@@ -6,6 +6,9 @@ Words are short, so a scan is cheaper than a heap; words above ``LONG`` symbols
 linked boundaries, with the same result. Ids, their text and decoded text are kept per distinct
 word, since a corpus repeats its words.
 
+Normalisation and the classes of letters and numbers are those of the tokenizers library, whose version
+of Unicode decides; splitting, merging and decoding are done here.
+
 The vocabulary file is a parameter. The driver reads it and broadcasts its text: its size is that
 of the vocabulary, not of the data.
 """
@@ -16,12 +19,15 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
-import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from tokenizers import Regex
+from tokenizers.normalizers import NFC, Lowercase, Sequence
+from tokenizers.pre_tokenizers import Split
 
 from tidemark.llm.common import id_and_text
 
@@ -30,17 +36,33 @@ LONG = 200
 #: Distinct words kept in a worker, in each of two generations.
 KEPT_WORDS = 350_000
 _NO_RANK = 1 << 60
-#: Unicode's White_Space, which the vocabulary's patterns mean by \\s.
-_SPACE = r"\t-\r\x20\x85\xa0  -     　"
-#: For texts up to U+017F: letters and numbers as classes, which the faster of the two matchers knows.
-_LATIN_LETTERS = r"a-zA-Zªµºß-öø-ÿÀ-ÖØ-ÞĀ-ſ"
-_LATIN_NUMBERS = r"0-9²³¹¼½¾"
-#: Capitals that Unicode 16 added, which Python's tables may not know yet.
-_NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+#: For texts up to U+017F: letters, numbers and white space as classes.
+_LATIN = {"L": r"a-zA-Zªµºß-öø-ÿÀ-ÖØ-ÞĀ-ſ", "N": r"0-9²³¹¼½¾", "s": r"\t-\r\x20\x85\xa0"}
 _COMMON_END = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BEYOND_LATIN = re.compile(r"[^\x00-ſ]")
 
 
+@cache
+def _class(pattern: str) -> str:
+    """The code points that a class holds for the tokenizers library, as ranges. Which letters and numbers
+    there are depends on a version of Unicode; this is the library's, whatever Python's own is."""
+    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    runs = Split(Regex(f"{pattern}+"), "removed", invert=True).pre_tokenize_str(everything)
+    return "".join(f"\\U{ord(run[0]):08x}-\\U{ord(run[-1]):08x}" for run, _ in runs)
+
+
+def unicode_classes() -> dict[str, str]:
+    """Letters, numbers and white space over the whole code space, found once per process: the driver ships
+    them to the workers."""
+    return {"L": _class(r"\p{L}"), "N": _class(r"\p{N}"), "s": _class(r"\s")}
+
+
+def _compiled(pattern: str, classes: dict[str, str]) -> re.Pattern[str]:
+    for name in ("L", "N"):
+        pattern = pattern.replace(rf"[\p{{{name}}}]", f"[{classes[name]}]").replace(rf"\p{{{name}}}", classes[name])
+    return re.compile(pattern.replace(r"\s", classes["s"]))
+
+
 def _byte_letters() -> list[str]:
     """The printable letter that stands for each byte: printable Latin-1 for itself, the rest from U+0100 on."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -52,7 +74,7 @@ class WordBpe:
     """BPE with word ends over bytes, as the file describes it. Raises ValueError for a file with
     another kind of normaliser, splitter or model."""
 
-    def __init__(self, description: str) -> None:
+    def __init__(self, description: str, classes: dict[str, str] | None = None) -> None:
         spec = json.loads(description)
         model, split = spec["model"], spec["pre_tokenizer"]["pretokenizers"][0]
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
@@ -74,24 +96,19 @@ class WordBpe:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         pattern = split["pattern"]["Regex"]
-        self.words = regex.compile(pattern.replace(r"\s", _SPACE))
-        latin = pattern
         if pattern.endswith(_COMMON_END) and all(x.startswith("'") for x in pattern.removesuffix(_COMMON_END).split("|") if x):
             # no two of these alternatives start alike but those with an apostrophe: letters go first
-            latin = r"[\p{L}]+|" + pattern.replace(r"|[\p{L}]+|", "|", 1)
-        latin = latin.replace(r"\s", _SPACE).replace(r"[\p{L}]", f"[{_LATIN_LETTERS}]").replace(r"[\p{N}]", f"[{_LATIN_NUMBERS}]")
-        self.latin_words = re.compile(latin.replace(r"\p{L}", _LATIN_LETTERS).replace(r"\p{N}", _LATIN_NUMBERS))
+            pattern = r"[\p{L}]+|" + pattern.replace(r"|[\p{L}]+|", "|", 1)
+        self.latin_words = _compiled(pattern, _LATIN)
+        self.all_words = _compiled(pattern, classes or unicode_classes())
+        # the library's tables of composition and of lower case, for texts beyond Latin
+        self.normal = Sequence([NFC(), Lowercase()])
 
     def split(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ")  # lower-cased alone, not by its place in a word
-            if _BEYOND_LATIN.search(text):
-                return self.words.findall(text.translate(_NEW_CAPITALS).lower())
-        text = text.lower()
-        return self.latin_words.findall(text)
+        if text.isascii() or not _BEYOND_LATIN.search(text):  # what is up to U+017F is composed already
+            return self.latin_words.findall(text.lower())
+        return self.all_words.findall(self.normal.normalize_str(text))
 
     def segments(self, text: str) -> Iterator[tuple[int | None, list[str]]]:
         """(id, []) for a special token in the text, (None, words) for what stands between."""
@@ -177,10 +194,10 @@ _LOADED: dict[int, WordBpe] = {}
 _KEPT: dict[tuple[int, str], PerWord] = {}
 
 
-def loaded(description: str) -> WordBpe:
-    """The tokenizer of a description, built once per worker."""
-    if (key := hash(description)) not in _LOADED:
-        _LOADED[key] = WordBpe(description)
+def loaded(shipped: tuple[str, dict[str, str]]) -> WordBpe:
+    """The tokenizer of what ``ship`` gives, built once per worker."""
+    if (key := hash(shipped[0])) not in _LOADED:
+        _LOADED[key] = WordBpe(*shipped)
     return _LOADED[key]
 
 
@@ -193,6 +210,11 @@ def read_description(path: str) -> str:
         return f.read()
 
 
+def ship(docs: DataFrame, vocabulary: str) -> Broadcast[tuple[str, dict[str, str]]]:
+    """The vocabulary file and the classes of characters, for the workers: a few megabytes, whatever the data."""
+    return docs.sparkSession.sparkContext.broadcast((read_description(vocabulary), unicode_classes()))
+
+
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256.
 
@@ -200,7 +222,7 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     empty string. Strings of special tokens in a text are those tokens. Rows are independent:
     repeats give repeats, an empty table gives none, other columns are ignored. No shuffle.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(read_description(vocabulary))
+    shared = ship(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(shared.value)

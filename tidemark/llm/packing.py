@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import kept, loaded, read_description
+from tidemark.llm.bpe import kept, loaded, ship
 from tidemark.llm.common import durable, id_and_text
 
 CAPACITY = 4096
@@ -38,7 +38,7 @@ _PACKED = "row long, doc_id long, piece int, length long, bin long, offset long,
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece of a document: its ids (and the closing id), cut only beyond ``capacity``.
     Null and empty texts are the closing id alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_description(vocabulary))
+    shared = ship(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(shared.value)
