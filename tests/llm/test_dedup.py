@@ -64,9 +64,42 @@ def shingle_set(text):
     return {words} if len(words) < 5 else {words[i : i + 5] for i in range(len(words) - 4)}
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_near(spark, make_docs, odd_texts, block, monkeypatch):
+def copies(n, seed=11, words=600):
+    """A text, copies of it with one to three words of their own, and six with much more."""
+    rng = random.Random(seed)
+    base = [f"c{rng.randrange(5000)}" for _ in range(words)]
+    out = [" ".join(base)]
+    for k in range(n - 1):
+        mine = list(base)
+        for _ in range(25 if k < 6 else rng.choice([1, 1, 2, 3])):
+            mine[rng.randrange(words)] = f"o{rng.randrange(10**7)}"
+        out.append(" ".join(mine))
+    rng.shuffle(out)
+    return out
+
+
+def test_a_cluster_moves_in_proportion_to_its_size(spark, make_docs, monkeypatch):
+    """Rows that pairs of blocks move: fewer than the lists have entries, and than the cluster has documents."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    monkeypatch.setattr(minhash, "WIDE", 2)
+    real, moved = minhash._in_blocks, []
+    monkeypatch.setattr(minhash, "_in_blocks", lambda rows, *a: moved.append((out := real(rows, *a))) or out)
+    for n in (300, 1200):
+        texts = copies(n)
+        moved.clear()
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(make_docs(texts)).collect()}
+        assert sum(m.count() for m in moved if "value" in m.columns) < n * minhash.LOW
+        assert sum(m.count() for m in moved if "family" in m.columns) < n / 4
+        if n == 300:
+            sets = [shingle_set(t) for t in texts]
+            links = [(i, j) for i in range(n) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+            assert [got[i] for i in range(n)] == classes(n, links)
+
+
+@pytest.mark.parametrize(("block", "wide"), [(1024, 8), (16, 8), (16, 1)])
+def test_near(spark, make_docs, odd_texts, block, wide, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "WIDE", wide)
     texts = odd_texts + near_texts()
     sets = [shingle_set(t) for t in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
@@ -184,6 +217,21 @@ def test_embeddings(spark, cell, block):
     assert embeddings.near_duplicates(frame.where("vec_id < 0")).count() == 0
 
 
+def test_two_levels_of_cells_lose_no_link():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(400, 6)), rng.normal(size=(60, 6)).repeat(20, 0) + 0.15 * rng.normal(size=(1200, 6))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = embeddings._two_levels(unit[::2], len(unit), 20, 8)
+    assert len(centres[0]) == 8 and sum(map(len, centres[1])) > 40
+    rows, cells, home = embeddings.visits(unit, centres, embeddings.THRESHOLD)
+    at = dict(zip(rows[home].tolist(), cells[home].tolist(), strict=True))
+    assert len(at) == home.sum() == len(unit)
+    seen = set(zip(rows.tolist(), cells.tolist(), strict=True))
+    i, j = np.nonzero(unit @ unit.T >= embeddings.THRESHOLD)
+    assert len(i) > 10_000 and all((a, at[b]) in seen for a, b in zip(i.tolist(), j.tolist(), strict=True))
+    assert len(seen) < 0.7 * len(unit) * sum(map(len, centres[1]))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(150)] + [(500, x) for x in range(501, 560)] + [(7, 7)]

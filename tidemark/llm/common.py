@@ -95,13 +95,14 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[p
         yield pa.Table.from_batches(held)
 
 
-def spread_join(rows: DataFrame, few: DataFrame, key: str, by: str, salts: int = 64) -> DataFrame:
+def spread_join(rows: DataFrame, few: DataFrame, key: str | list[str], by: str, salts: int = 64) -> DataFrame:
     """``rows`` left-joined with ``few`` (one row per key), where very many rows may share a key.
 
     Rows are dealt by (key, salt of ``by``): ``few`` first goes to the at most ``salts`` pairs that
     a key occurs in, so a hot key's rows spread over that many tasks and nothing is broadcast.
     """
+    key = [key] if isinstance(key, str) else key
     (salt,) = unused([*rows.columns, *few.columns], "_salt")
     salted = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)))
-    pairs = salted.select(key, salt).distinct().join(few, key)
-    return salted.join(pairs, [key, salt], "left").drop(salt)
+    pairs = salted.select(*key, salt).distinct().join(few, key)
+    return salted.join(pairs, [*key, salt], "left").drop(salt)

@@ -3,7 +3,7 @@
 A large-star round hooks every neighbour above a node to the least of its neighbourhood, a
 small-star round does so for the neighbours below; edges stay as many as nodes and links, and the
 number of rounds grows with the logarithm of the longest path. Only edges move, and only a count
-and a checksum reach the driver.
+and a checksum reach the driver. A node with very many neighbours is spread over tasks.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable
+from tidemark.llm.common import durable, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,11 +24,11 @@ def components(edges: DataFrame) -> DataFrame:
         state = new
         if not state[0]:
             break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # neighbours above a node go to the least below it, or stay with the node if it has none below
+        below = now.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m")
+        large = spread_join(now, below, "v", "u").select("u", F.coalesce("m", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = spread_join(large, least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 

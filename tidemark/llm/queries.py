@@ -62,6 +62,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_embedding_near_dedup": embeddings.ORACLE,
+        "op3_minhash_near_dedup": minhash.ORACLE,
+        "op7_suffix_dedup": substrings.ORACLE,
         "op8_secret_scans": secrets.oracle(),
         "op9_exact_dedup": exact.ORACLE,
     }
