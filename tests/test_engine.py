@@ -195,6 +195,176 @@ def test_user_bounds_are_checked(spark):
         P.user_bounds(rows, [{"column": "id", "start": 2, "value": [1]}])
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_watermarks_reach_the_scan(spark, sf_dir):
+    s = src(spark, sf_dir)
+    old = dst(spark, sf_dir).where("updated_at < TIMESTAMP_NTZ'1997-01-01'")
+    for changes in (S.delta(s, old, "updated_at"), S.delta_changed(s, old, "updated_at", ["id"], HASHED)):
+        plan = plan_of(changes)
+        assert "GreaterThanOrEqual(o_orderdate,1996-12" in plan and "NestedLoop" not in plan
+    assert S.delta(s, old.where("id < 0"), "updated_at").count() == s.count()
+    for kind, value in (("timestamp", "2024-10-27 02:30:00"), ("date", "2024-01-31"), ("decimal(10,2)", "12.50"), ("string", "b'c"), ("double", "0.1")):
+        rows = spark.sql(f"SELECT CAST(\"{value}\" AS {kind}) AS w UNION ALL SELECT NULL")
+        assert S.delta(rows, rows, "w").count() == 1
+
+
+def test_changed_buckets_reach_the_scan(spark, tmp_path):
+    """Rows of a few changed buckets are read by ranges of the key, of many or of others by a semi-join."""
+    s = spark.range(0, 20_000).selectExpr("id", "id % 7 AS x", "timestamp_seconds(id * 3600)::timestamp_ntz AS t")
+    d = s.where("id NOT IN (5, 105, 7000)").withColumn("x", F.expr("if(id = 12345, -1, x)"))
+    for name, rows in (("s", s), ("d", d)):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    s, d = (spark.read.parquet(f"{tmp_path}/{n}") for n in "sd")
+    want = {(5, "A"), (105, "A"), (7000, "A"), (12345, "M")}
+    for dim in (Dimension("id", 100), Dimension("t", 4, "datetime", "day"), Dimension("t", 1, "datetime", "month")):
+        changes = D.hash_changes(s, d, [dim], ["id"], ["id", "x"])
+        assert {(r.id, r.change_type) for r in changes.collect()} == want
+        plan = plan_of(changes)
+        assert f"GreaterThanOrEqual({dim.column}," in plan and "LeftSemi" not in plan
+    # the parts of the table that the first phase shows to be unchanged are not read
+    changes = D.hash_changes(s, d, [Dimension("id", 100)], ["id"], ["id", "x"])
+    assert s.where("id >= 0 AND id < 200 OR id >= 7000 AND id < 7100 OR id >= 12300 AND id < 12400").count() == 400
+    spread = d.withColumn("x", F.expr("if(id % 200 = 0, -1, x)"))
+    many = D.hash_changes(s, spread, [Dimension("id", 10)], ["id"], ["id", "x"])
+    assert "LeftSemi" in plan_of(many) and many.count() == 103
+    for dims in ([Dimension("id", 100), Dimension("x", 2)], [Dimension("x", kind="value")]):
+        assert {(r.id, r.change_type) for r in D.hash_changes(s, d, dims, ["id"], ["id", "x"]).collect()} == want
+    nulls = s.withColumn("id", F.expr("if(id = 3, NULL, id)"))
+    assert D.hash_changes(nulls, d, [Dimension("id", 100)], ["id"], ["id", "x"]).where("id IS NULL").count() == 1
+
+
+def test_changes_are_computed_once(spark, sf_dir):
+    s, t = src(spark, sf_dir), dst(spark, sf_dir)
+    after = apply_changes(t, D.row_diff(s, t, ["id"], HASHED), ["id"])
+    assert "FullOuter" not in plan_of(after)
+    assert after.exceptAll(s).isEmpty() and s.exceptAll(after).isEmpty()
+
+
+def test_rows_are_compared_themselves(spark):
+    """Not by a hash, nor are nulls and texts alike."""
+    s = spark.createDataFrame([(1, None, 1.0), (2, "\\N", 2.0), (3, "c", float("nan"))], "id int, x string, y double")
+    d = spark.createDataFrame([(1, "\\N", 1.0), (2, "\\N", 2.0), (3, "c", float("nan"))], "id int, x string, y double")
+    assert [(r.id, r.change_type) for r in D.row_diff(s, d, ["id"], ["x", "y"]).collect()] == [(1, "M")]
+
+
+def test_sums_of_hashes_do_not_overflow(spark):
+    rows = spark.range(32).withColumn("h", F.lit((1 << 60) - 1))
+    assert rows.agg(H.block_hash("h")).first()[0] == 32 * ((1 << 60) - 1) % (1 << 63)
+    assert rows.where("id < 0").agg(H.block_hash("h")).first()[0] is None
+
+
+def dimension_rows(n: int, seed: int):
+    import random
+
+    rng = random.Random(seed)
+    left = [(i, 0 if rng.random() < 0.9 else rng.randrange(3), rng.choice([None, *range(200)])) for i in range(n)]
+    dim = [(0 if rng.random() < 0.9 else rng.randrange(4), a := rng.randrange(200), rng.choice([None, a, a - 1, a + rng.randrange(1, 60)]), i) for i in range(n // 2)]
+    return left, dim
+
+
+def test_slices_of_a_hot_key(spark):
+    """Nine rows of ten have one key; sliced by time, no window holds more than a slice of it."""
+    left, dim = dimension_rows(600, 1)
+    rows, facts = spark.createDataFrame(left, "id int, k int, t int"), spark.createDataFrame(dim, "k int, f int, u int, v int")
+    for op in ("<=", "<", ">=", ">"):
+        whole, sliced = ({(r.id, r.v) for r in J.asof(rows, facts, ["k"], "t", "f", op, {"v": "v"}, "v", slices=n).collect()} for n in (None, 10))
+        assert whole == sliced and len(whole) == 600
+    cut = rows.withColumn("s", J._slice_of(F.col("t"), 10)).groupBy("k", "s").count().agg(F.max("count")).first()[0]
+    assert cut < 600 / 8
+    plan = plan_of(J.asof(rows, facts, ["k"], "t", "f", "<=", {"v": "v"}, "v", slices=10))
+    assert "hashpartitioning(_k0#" in plan and "_slice#" in plan
+
+
+@pytest.mark.parametrize("op", ["<=", ">=", ">"])
+@pytest.mark.parametrize("open_ended", [True, False])
+def test_overlapping_validity(spark, op, open_ended):
+    left, dim = dimension_rows(300, 2)
+    rows, facts = spark.createDataFrame(left, "id int, k int, t int").repartition(3), spark.createDataFrame(dim, "k int, f int, u int, v int")
+    found = J.scd(rows, facts, ["k"], "t", "f", "u", op, open_ended, True, {"v": "v"}, "v")
+    assert found.columns == ["id", "k", "t", "v"] and "Cartesian" not in plan_of(found) and "NestedLoop" not in plan_of(found)
+    got = {r.id: r.v for r in found.collect()}
+    starts = {"<=": lambda f, t: f <= t, ">=": lambda f, t: f >= t, ">": lambda f, t: f > t}[op]
+    for i, k, t in left:
+        fits = [(f, v) for key, f, u, v in dim if t is not None and key == k and starts(f, t) and (open_ended if u is None else t < u)]
+        assert got[i] == (max(fits)[1] if fits else None), (i, k, t)
+
+
+def test_database_in_parallel_and_back(spark):
+    """A real database: read by a grid's cells, changes staged and taken over in one transaction, twice."""
+    from tidemark.sources.readers import cell_predicates, read_jdbc
+    from tidemark.sources.writers import apply_jdbc, write_jdbc
+
+    options = {"url": "jdbc:derby:memory:engine;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "dbtable": "people"}
+    rows = spark.range(0, 500).selectExpr("CAST(id AS INT) AS id", "concat('n', id) AS name", "timestamp_seconds(id * 86400)::timestamp_ntz AS t")
+    write_jdbc(rows, options, "overwrite")
+    grid = G.int_grid(spark.range(1).selectExpr("0 AS lo", "500 AS hi"), 100)
+    predicates = cell_predicates(grid, '"id"', nulls=True)
+    assert len(predicates) == 6 and predicates[0] == '"id" >= 0 AND "id" < 100'
+    stored = read_jdbc(spark, options, predicates)
+    assert stored.rdd.getNumPartitions() == 6
+    assert stored.exceptAll(rows).isEmpty() and stored.count() == 500
+    wanted = rows.where("id <> 7").withColumn("name", F.expr("if(id = 9, 'changed', name)")).unionByName(rows.where("id = 1").withColumn("id", F.lit(1000)))
+    for _ in range(2):
+        changes = D.row_diff(wanted, read_jdbc(spark, options, predicates[:-1] + ['"id" >= 500']), ["id"], ["name", "t"])
+        apply_jdbc(changes, options, ["id"])
+        after = read_jdbc(spark, options)
+        assert after.exceptAll(wanted).isEmpty() and wanted.exceptAll(after).isEmpty()
+    with pytest.raises(ValueError, match="cells"):
+        cell_predicates(G.int_grid(spark.range(1).selectExpr("0 AS lo", "500000 AS hi"), 1), "id")
+    days = G.datetime_grid(spark.range(1).selectExpr("TIMESTAMP_NTZ'2024-01-01' AS lo", "TIMESTAMP_NTZ'2024-01-03' AS hi"), 1, "day")
+    assert cell_predicates(days, "t")[0] == "t >= TIMESTAMP '2024-01-01 00:00:00.000000' AND t < TIMESTAMP '2024-01-02 00:00:00.000000'"
+
+
+def test_a_stream_rewrites_the_buckets_it_meets(spark, tmp_path):
+    from pathlib import Path
+
+    from tidemark.streaming.upserts import latest, start_upsert
+
+    schema = "k int, t int, x string"
+    source, target = f"{tmp_path}/in", f"{tmp_path}/out"
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        start_upsert(stream, target, f"{tmp_path}/check", ["k"], ["t"], buckets=8).awaitTermination()
+        return {str(f) for f in Path(target).rglob("*.parquet")} if Path(target).exists() else set()
+
+    assert run([]) == set() and latest(spark, target, spark.createDataFrame([], schema).schema).isEmpty()
+    first = run([(k, 1, "a") for k in range(40)] + [(None, 1, "n")])
+    second = run([(3, 2, "b"), (3, 0, "late"), (4, 0, "late")])
+    assert 1 <= len(first - second) <= 2 and len(first & second) >= 6 and len(second) == len(first)
+    got = {r.k: r.x for r in latest(spark, target, spark.createDataFrame([], schema).schema).collect()}
+    assert got == {None: "n"} | {k: "b" if k == 3 else "a" for k in range(40)}
+
+
+def test_small_functions(spark):
+    from pyspark.errors import UnsupportedOperationException
+
+    from tidemark.operators.dedup import keep_first
+    from tidemark.sources.writers import merge_into
+
+    rows = spark.createDataFrame([(1, 2, "a"), (1, 1, "b"), (2, 5, "c")], "k int, t int, x string")
+    assert {tuple(r) for r in keep_first(rows, ["k"], [F.col("t")]).collect()} == {(1, 1, "b"), (2, 5, "c")}
+    assert P.in_keys(rows, spark.createDataFrame([(1,), (1,)], "k int"), ["k"]).count() == 2
+    rows.write.mode("overwrite").saveAsTable("no_merge_here")
+    with pytest.raises(UnsupportedOperationException, match="MERGE"):  # the format decides, and Parquet cannot
+        merge_into("no_merge_here", rows.withColumn("change_type", F.lit("A")), ["k"])
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tidemark.work import shared_folder
+
+    for master in ("local-cluster[2,1,1024]", "yarn", "spark://host:7077"):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+
+
 def test_without_the_optional_subpackage():
     """The engine imports nothing of it."""
     import pathlib

@@ -86,9 +86,9 @@ def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
 
 def merge_into(dst_table: str, changes: DataFrame, keys: list[str]) -> None:
     """Upsert and delete in place, for tables whose format supports MERGE."""
-    on = reduce(lambda a, b: a & b, [F.col(f"{dst_table}.{k}") == changes[k] for k in keys])
-    gone = changes["change_type"] == "D"
-    changes.mergeInto(dst_table, on).whenMatched(gone).delete().whenMatched(~gone).updateAll().whenNotMatched(~gone).insertAll().merge()
+    on = reduce(lambda a, b: a & b, [F.col(f"{dst_table}.{k}") == F.col(f"changes.{k}") for k in keys])
+    gone = F.col("changes.change_type") == "D"
+    changes.alias("changes").mergeInto(dst_table, on).whenMatched(gone).delete().whenMatched(~gone).updateAll().whenNotMatched(~gone).insertAll().merge()
 
 
 def write_jdbc(df: DataFrame, options: dict[str, str], mode: str = "append") -> None:
@@ -96,12 +96,13 @@ def write_jdbc(df: DataFrame, options: dict[str, str], mode: str = "append") ->
     df.write.format("jdbc").options(**options).mode(mode).save()
 
 
-def apply_jdbc(changes: DataFrame, options: dict[str, str], keys: list[str], quote: str = '"') -> None:
+def apply_jdbc(changes: DataFrame, options: dict[str, str], keys: list[str], types: str = "", quote: str = '"') -> None:
     """Brings changes with change_type into a table of a database. They are staged beside it in parallel,
     and taken over in one transaction in the database: rows of their keys go, A and M rows come. A run
-    that is repeated gives the same table."""
+    that is repeated gives the same table. types: the database's types of key columns that are texts, as
+    "name VARCHAR(100), ...", where its type for texts cannot be compared."""
     table, stage = options["dbtable"], f"{options['dbtable']}_changes"
-    write_jdbc(changes, options | {"dbtable": stage}, "overwrite")
+    write_jdbc(changes, options | {"dbtable": stage, "createTableColumnTypes": ", ".join(filter(None, ["change_type VARCHAR(1)", types]))}, "overwrite")
     q = lambda c: f"{quote}{c}{quote}"
     columns = ", ".join(q(c) for c in changes.columns if c != "change_type")
     same = " AND ".join(f"{table}.{q(k)} = {stage}.{q(k)}" for k in keys)
