@@ -84,7 +84,8 @@ def test_packing(spark, make_docs, odd_texts, both):
     theirs, _ = both
     texts = odd_texts + [" ".join(["word"] * (i * 37 % 900)) for i in range(300)]
     for per, capacity in ((100_000, 4096), (60, 512)):
-        rows = packing.pack(make_docs(texts), PATH, capacity=capacity, per_partition=per).collect()
+        seen: list[dict] = []
+        rows = packing.pack(make_docs(texts), PATH, capacity=capacity, per_partition=per, certificates=seen).collect()
         lengths: dict[int, int] = {}
         bins: dict[int, list] = {}
         encoded = {i: np.array([*theirs.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in enumerate(texts)}
@@ -100,6 +101,9 @@ def test_packing(spark, make_docs, odd_texts, both):
                 assert offset == at
                 at += length
             assert at <= capacity
+        whole = sum(1 for parts in bins.values() if parts[0][1] == capacity)
+        assert len(bins) - whole == min(c["bins_in_all"] for c in seen)
+        assert all(c["bound"] <= c["bins"] for c in seen) and (per == 60) == (len(seen) > 1)
         least = -(-sum(lengths.values()) // capacity)
         assert len(bins) <= least * 1.05 + 1
     assert packing.pack(make_docs(["x"]).where("doc_id < 0"), PATH).count() == 0

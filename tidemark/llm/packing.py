@@ -5,20 +5,24 @@ are dealt to partitions by hash, each partition is packed by best-fit decreasing
 from dual-feasible functions certify its number of bins: a partition that meets its bound cannot be
 packed better. Partitions above their bound (with a gap) keep the bins that are full, and give the
 pieces of the others to the next round, where they meet pieces of other such partitions and are
-packed again. What moves between rounds is lengths, never text or ids.
+packed again; so does the emptiest bin of the others. Rounds go on while they save bins and there are
+pieces for more than one partition. What moves between rounds is lengths, never text or ids. Each
+round's bins and bound are logged, and returned to who asks for them.
 
-A piece of exactly one sequence is a bin of its own and takes no part.
+A piece of exactly one sequence is a bin of its own and takes no part (its number is negative).
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import kept, loaded, ship
@@ -28,11 +32,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one partition packs: bounds the memory of a task.
 PER_PARTITION = 100_000
-#: Rounds in which partitions with gaps meet.
-ROUNDS = 3
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PACKED = "row long, doc_id long, piece int, length long, bin long, offset long, settled boolean"
+_PACKED = "row long, doc_id long, piece int, length long, bin long, offset long, settled boolean, bound long, part long"
+_LOG = logging.getLogger(__name__)
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -117,62 +120,61 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return bins, offsets, np.array(left, np.int64)
 
 
-def _pack_group(group: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
-    """Packs one partition. Settled are the full bins, and if the number of bins is certified all but
-    the emptiest, whose pieces may still fill gaps elsewhere; in the last round all are."""
+def _pack_group(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """Packs one partition, with the bound on its bins. Settled are the full bins, and if the number of bins
+    is certified all but the emptiest, whose pieces may still fill gaps elsewhere."""
     group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
     lengths = group["length"].to_numpy()
     bins, offsets, left = best_fit(lengths, capacity)
+    bound = lower_bound(lengths, capacity)
     settled = left[bins] == 0
-    if last:
-        settled[:] = True
-    elif len(left) <= lower_bound(lengths, capacity):
+    if len(left) <= bound:
         settled |= bins != left.argmax()
-    return group.assign(bin=bins, offset=offsets, settled=settled)[
-        ["row", "doc_id", "piece", "length", "bin", "offset", "settled"]
-    ]
+    return group.assign(bin=bins, offset=offsets, settled=settled, bound=bound)[["row", "doc_id", "piece", "length", "bin", "offset", "settled", "bound", "part"]]
 
 
-def _packer(capacity: int, last: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    return lambda key, group: _pack_group(group, capacity, last).assign(part=key[0])
-
-
-def _rounds(spark: SparkSession, waiting: DataFrame, capacity: int, per_partition: int, rounds: int) -> DataFrame | None:
+def _rounds(waiting: DataFrame, capacity: int, per_partition: int, certificates: list[dict[str, int]]) -> DataFrame | None:
     """Packed rows of all rounds with sequence_id. waiting: row, doc_id, piece, length."""
-    done = None
-    for r in range(rounds + 1):
+    done, kept, before = None, 0, None
+    for r in count():
         n = waiting.count()
         if not n:
             break
         parts = max(1, -(-n // per_partition))
-        last = r == rounds or parts == 1
         dealt = waiting.withColumn("part", F.pmod(F.xxhash64(F.col("row"), F.lit(r)), F.lit(parts)))
-
-        packed = durable(dealt.groupBy("part").applyInPandas(_packer(capacity, last), f"{_PACKED}, part long"))
-        # round, partition and bin make the id: 6, 25 and 32 bits
-        ids = F.shiftleft(F.lit(r + 1).cast("long"), 57) + F.shiftleft(F.col("part"), 32) + F.col("bin")
-        settled = packed.where("settled").select("row", ids.alias("sequence_id"), "offset")
+        packed = durable(dealt.groupBy("part").applyInPandas(lambda group: _pack_group(group, capacity), _PACKED))
+        each = packed.groupBy("part").agg((F.max("bin") + 1).alias("bins"), F.first("bound").alias("bound"), F.count_distinct(F.when(F.col("settled"), F.col("bin"))).alias("kept"))
+        bins, bound, more = each.agg(F.sum("bins"), F.sum("bound"), F.sum("kept")).first()
+        certificates.append({"round": r, "partitions": parts, "bins": bins, "bound": bound, "bins_in_all": kept + bins})
+        _LOG.info("%s", certificates[-1])
+        # round, partition and bin make the id: 12, 20 and 31 bits
+        ids = F.shiftleft(F.lit(r).cast("long"), 51) + F.shiftleft(F.col("part"), 31) + F.col("bin")
+        placed = packed.select("row", ids.alias("sequence_id"), "offset", "settled")
+        if before is not None and kept + bins >= before[0]:  # nothing is saved: the bins of the round before stay
+            done = done.unionByName(before[1].where("NOT settled"))
+            break
+        settled = placed if parts == 1 else placed.where("settled")
         done = settled if done is None else done.unionByName(settled)
-        if last:
+        if parts == 1:
             break
+        kept, before = kept + more, (kept + bins, placed)
         waiting = packed.where("NOT settled").select("row", "doc_id", "piece", "length")
-    return done
+    return done if done is None else done.drop("settled")
 
 
 def pack(
-    docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, per_partition: int = PER_PARTITION, rounds: int = ROUNDS
+    docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, per_partition: int = PER_PARTITION, certificates: list[dict[str, int]] | None = None
 ) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts give one piece of length 1, documents that repeat an id are pieces of
     their own, an empty table gives no rows, other columns are ignored. Ties go by length, id and
-    piece number.
+    piece number. certificates: gets, for each round, the bins of its partitions and their bound.
     """
-    spark = docs.sparkSession
     # written once: encoding is not repeated in later rounds
     cut = durable(pieces(docs, vocabulary, capacity, end_id).withColumn("row", F.monotonically_increasing_id()))
-    whole = cut.where(F.col("length") == capacity).select(*cut.columns, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = cut.where(F.col("length") == capacity).select(*cut.columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = cut.where(F.col("length") < capacity)
-    placed = _rounds(spark, rest.select("row", "doc_id", "piece", "length"), capacity, per_partition, rounds)
+    placed = _rounds(rest.select("row", "doc_id", "piece", "length"), capacity, per_partition, [] if certificates is None else certificates)
     packed = whole if placed is None else whole.unionByName(rest.join(placed, "row").select(*whole.columns))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
