@@ -1,13 +1,13 @@
 """Quality classifier by supervised subword embeddings.
 
-A document's features are its words, their character n-grams and its pairs of equal neighbouring
-words, hashed to buckets. Each bucket has
-a learned vector; a document is the mean of its features' vectors, and a softmax layer over that
+A document's features are its words, their character n-grams, its word pairs, and the patterns of its word
+pairs (a pair with each word named by its first place in it, so that "x x" and "y y" are one feature),
+hashed to buckets. Each bucket has a learned vector; a document is the mean of its features' vectors, and a softmax layer over that
 mean gives the label's probability. Vectors and layer are trained by stochastic gradient descent in
 numpy on a bounded sample of labelled rows (``most``), whose features are hashed on executors.
 
 The softmax of a mean is linear in the vectors, so scoring needs one number per bucket: a table of
-``BUCKETS`` floats is all that is broadcast. Scores need no shuffle, and a word's sum is kept per
+``TABLE`` floats is all that is broadcast. Scores need no shuffle, and a word's sum is kept per
 distinct word.
 """
 
@@ -16,8 +16,6 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import islice
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +35,11 @@ RATE = 0.5
 THRESHOLD = 0.3
 #: Features without weight that every text has beside its own, so that a few words decide little.
 PRIOR = 100
-#: The bucket of a pair of equal neighbouring words, and how many features such a pair counts as.
-REPEAT, REPEAT_COUNT = BUCKETS, 12
+#: Buckets of words and characters come first, then as many of word pairs, then those of patterns, of which
+#: there are two. A pattern counts as so many features, as a word has about as many of its own.
+PATTERNS, PATTERN_COUNT = 2 * BUCKETS, 8
+TABLE = PATTERNS + 2
+_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Characters of a word whose n-grams are taken; a word beyond it is cut into pieces of this length.
 WORD = 64
 
@@ -54,20 +55,28 @@ def word_features(word: str) -> list[int]:
     return out
 
 
-def repeats(words: list[str]) -> int:
-    """Words that are the same as the word before."""
-    return sum(map(eq, words, islice(words, 1, None)))
+def word_hash(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
+def pair_features(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's word pairs, and how many of them have each pattern, from the words' hashes."""
+    first, second = hashes[:-1], hashes[1:]
+    mixed = (first * _FIRST + second * _SECOND) >> np.uint64(40)
+    same = int((first == second).sum())
+    return BUCKETS + (mixed % np.uint64(BUCKETS)).astype(np.int32), np.array([len(first) - same, same])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(y, distinct buckets, their counts) of each text."""
-    of = PerWord(lambda w: np.array(word_features(w), np.int32))
+    of = PerWord(lambda w: (word_hash(w), np.array(word_features(w), np.int32)))
     for batch in batches:
         rows = []
         for text in batch.column(0):
-            words = text.as_py().split()
-            again = np.full(REPEAT_COUNT * repeats(words), REPEAT, np.int32)
-            rows.append(np.unique(np.concatenate([again, *(of[w] for w in words)]), return_counts=True))
+            words = [of[w] for w in text.as_py().split()]
+            pairs, patterns = pair_features(np.array([h for h, _ in words], np.uint64))
+            each = np.repeat(np.array([PATTERNS, PATTERNS + 1], np.int32), PATTERN_COUNT * patterns)
+            rows.append(np.unique(np.concatenate([pairs, each, *(f for _, f in words)]), return_counts=True))
         yield pa.RecordBatch.from_arrays(
             [batch.column(1), pa.array([b.astype("<i4").tobytes() for b, _ in rows], pa.binary()), pa.array([c.astype("<f4").tobytes() for _, c in rows], pa.binary())],
             names=["y", "buckets", "counts"],
@@ -81,11 +90,11 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 1) ->
     (even odds for none).
     """
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 1, DIM))
+    vectors = rng.uniform(-1 / DIM, 1 / DIM, (TABLE, DIM))
     layer, bias = np.zeros((DIM, 2)), np.zeros(2)
     ys = Counter(y for *_, y in examples)
     if len(ys) < 2:
-        return np.zeros(BUCKETS + 1, np.float32), float(np.log((ys[1] + 1) / (ys[0] + 1)))
+        return np.zeros(TABLE, np.float32), float(np.log((ys[1] + 1) / (ys[0] + 1)))
     steps, total = 0, EPOCHS * len(examples)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(examples)):
@@ -117,22 +126,23 @@ def _scorer(model: tuple[np.ndarray, float]) -> Callable[[pa.Array], np.ndarray]
     """Scores of an array of texts."""
     weights, bias = model
 
-    def of(word: str) -> tuple[float, int]:
+    def of(word: str) -> tuple[float, int, int]:
         f = word_features(word)
-        return float(weights[f].sum()), len(f)
+        return float(weights[f].sum()), len(f), word_hash(word)
 
     words = PerWord(of)
 
     def run(texts: pa.Array) -> np.ndarray:
         z = []
         for text in texts:
-            parts = (text.as_py() or "").split()
-            again = REPEAT_COUNT * repeats(parts)
-            total, n = float(weights[REPEAT]) * again, again + PRIOR
-            for a, b in map(words.__getitem__, parts):
-                total += a
-                n += b
-            z.append(bias + total / n)
+            found = [words[w] for w in (text.as_py() or "").split()]
+            if not found:
+                z.append(bias)
+                continue
+            sums, sizes, hashes = zip(*found, strict=True)
+            pairs, patterns = pair_features(np.array(hashes, np.uint64))
+            total = sum(sums) + float(weights[pairs].sum()) + PATTERN_COUNT * float(weights[PATTERNS:] @ patterns)
+            z.append(bias + total / (sum(sizes) + len(pairs) + PATTERN_COUNT * len(pairs) + PRIOR))
         return 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -500, 500)))
 
     return run
@@ -170,4 +180,7 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
+    """``score`` by a model that is learned from labelled rows of ``docs`` (``most`` in expectation). Labels that
+    are null or not 0 or 1 are left out, as are those without an id; without both labels every
+    score is that of the labels seen."""
     return score(docs, fit(docs, labels, most))
