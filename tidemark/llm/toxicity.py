@@ -10,7 +10,8 @@ are learned in the same way and cancel the term's hit. Weights of hits are summe
 slowly growing function of the length; a logistic curve over that sum, fitted on the same rows,
 is the score.
 
-Labelled rows learned from are bounded by ``MOST``, terms by ``TERMS``; both go through the driver.
+Labelled rows learned from are bounded by ``MOST``. Terms, phrases and points of the curve that go through
+the driver come from these rows alone, and are bounded with them; none is left out.
 """
 
 from __future__ import annotations
@@ -18,27 +19,30 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import durable, id_and_text
 from tidemark.llm.labelled import remainder, sample
 
-#: Labelled rows learned from and terms kept, at most (rows in expectation).
+#: Labelled rows learned from, at most (in expectation).
 MOST = 20_000
-TERMS = 2_000
 THRESHOLD = 0.3
 #: Beginnings of words that are candidate terms have these lengths.
 STEMS = range(4, 9)
 #: Of a term: least different toxic contexts, least log-odds at the low end of their uncertainty,
 #: and least evidence against chance (the exponent of the binomial tail; many terms are tried).
 CONTEXTS, ODDS, EVIDENCE = 3, 1.0, 11.0
+#: Bits of a sketch of contexts, and texts without the other label that make a phrase an exception.
+BITS, HARMLESS = 63, 3
 #: Texts of up to this many words are not normalised by length.
 SHORT = 200
 
@@ -110,7 +114,10 @@ def hits(folded: str, automaton: ahocorasick.Automaton | None) -> list[tuple[int
             exempt.append((start, end + 1))
         elif start not in best or best[start][2] < weight:
             best[start] = (start, end + 1, weight, term)
-    return [h for h in best.values() if not any(a <= h[0] and h[1] <= b for a, b in exempt)]
+    # a hit is exempt if an exception that starts no later reaches as far as it does
+    exempt.sort()
+    starts, reach = [a for a, _ in exempt], [*accumulate((b for _, b in exempt), max)]
+    return [h for h in best.values() if not (k := bisect_right(starts, h[0])) or reach[k - 1] < h[1]]
 
 
 def raw_score(folded: str, automaton: ahocorasick.Automaton | None) -> float:
@@ -127,7 +134,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = fold(text.as_py()).split()
             had: set[str] = set()
             for i, w in enumerate(words):
-                bit = 1 << (zlib.crc32(" ".join([*words[max(0, i - 1) : i], "_", *words[i + 1 : i + 2]]).encode()) % 63)
+                bit = 1 << (zlib.crc32(" ".join([*words[max(0, i - 1) : i], "_", *words[i + 1 : i + 2]]).encode()) % BITS)
                 for term in candidates(words, i):
                     x = seen.setdefault(term, [0, 0, 0, 0])
                     x[2 + (not y.as_py())] |= bit
@@ -139,6 +146,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part)] + [pa.array([seen[k][j] for k in part], pa.int64()) for j in range(4)], names=["term", "bad", "good", "bad_in", "good_in"])
 
 
+def _contexts(texts: str, bits: str) -> Column:
+    """Different contexts by linear counting of the sketch's bits, of which there are no more than texts;
+    the texts themselves where the sketch is full."""
+    free = F.greatest(1 - F.col(bits) / BITS, F.lit(0.5 / BITS))
+    return F.when(F.col(bits) == BITS, F.col(texts).cast("double")).otherwise(F.least(F.col(texts).cast("double"), -BITS * F.log(free)))
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Lexicon:
     """Learns from labelled rows whose crc32 of the id, modulo 4, is not 2. Without labels of both
     kinds the lexicon is empty and every score is that of a text without hits."""
@@ -150,14 +164,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Lexicon:
     counts = known.mapInArrow(_counted, "term string, bad long, good long, bad_in long, good_in long").groupBy("term").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.bit_count(F.bit_or("bad_in")).alias("bad_in"), F.bit_count(F.bit_or("good_in")).alias("good_in")
     )
-    # contexts, not texts, are what is counted, up to where the sketch is full
-    b = F.when(F.col("bad_in") < 40, F.least("bad", "bad_in")).otherwise(F.col("bad")) + 0.5
-    g = F.when(F.col("good_in") < 40, F.least("good", "good_in")).otherwise(F.col("good")) + 0.5
+    b, g = (_contexts(texts, bits) + 0.5 for texts, bits in (("bad", "bad_in"), ("good", "good_in")))
     odds = F.log(b / (bad + 1)) - F.log(g / (good + 1)) - F.sqrt(1 / b + 1 / g)
     share = F.lit(bad / (bad + good))
     evidence = (b - 0.5) * F.log(b / (b + g) / share) + (g - 0.5) * F.log(g / (b + g) / (1 - share))
     ranked = counts.where((F.col("bad_in") >= CONTEXTS) & (evidence >= EVIDENCE)).withColumn("weight", odds).where(F.col("weight") > ODDS)
-    rows = ranked.orderBy(F.desc("weight"), F.length("term"), "term").limit(TERMS).collect()
+    rows = ranked.collect()
     terms: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r.term), r.term)):
         # a longer term adds nothing to a beginning of it that weighs as much
@@ -177,7 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Lexicon:
     return lexicon
 
 
-def _exceptions(known: DataFrame, terms: dict[str, float], least: int = 3, most: int = 500) -> list[str]:
+def _exceptions(known: DataFrame, terms: dict[str, float], least: int = HARMLESS) -> list[str]:
     """Phrases of a term with the word before or after it that come in ``least`` texts or more of
     label 0 and in none of label 1."""
     shared = known.sparkSession.sparkContext.broadcast(Lexicon(terms))
@@ -199,8 +211,7 @@ def _exceptions(known: DataFrame, terms: dict[str, float], least: int = 3, most:
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([y for _, y in out], pa.int32())], names=["phrase", "y"])
 
     counts = known.mapInArrow(phrases, "phrase string, y int").groupBy("phrase").agg(F.count("*").alias("n"), F.max("y").alias("bad"))
-    rows = counts.where((F.col("bad") == 0) & (F.col("n") >= least)).orderBy(F.desc("n"), "phrase").limit(most).collect()
-    return [r.phrase for r in rows]
+    return sorted(r.phrase for r in counts.where((F.col("bad") == 0) & (F.col("n") >= least)).select("phrase").collect())
 
 
 def _curve(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -247,4 +258,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
+    """``score`` by a lexicon that is learned from labelled rows of ``docs`` (``most`` in expectation). Labels that
+    are null or not 0 or 1 are left out, as are those without an id; without both labels every
+    score is that of a text without hits."""
     return score(docs, learn(docs, labels, most))
