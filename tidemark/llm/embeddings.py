@@ -5,13 +5,14 @@ spherical k-means on a bounded sample; every vector belongs to the cell of its n
 also visits each other cell in which a vector within the threshold's angle may lie. A vector u of
 cell c has u.c >= u.d for every other centre d; so if v, of cell d, is within the angle a of u,
 v.(d - c) <= sin(a) |d - c|. Cells in which this holds for no such u are not visited, and no link is
-lost. Within a cell, home vectors are compared with home vectors and visitors in blocks, in double
+lost. Labels of very many vectors have two levels of centres: cells are divided again around centres of
+their own, and the same bound holds among these. Within a cell, home vectors are compared with home vectors and visitors in blocks, in double
 precision.
 
 Scale: cells are cut into blocks of bounded size and a task holds two. Tasks emit, per vector, how
 many links it has in the block pair and the least vector of its local component, never pairs.
-Centres are bounded by ``MOST_CELLS`` per label and by ``SAMPLE`` rows in all, and broadcast; beyond
-that bound, cells have more blocks.
+Centres are bounded by ``MOST_CELLS`` per level and by ``SAMPLE`` rows in all, and broadcast; beyond
+that bound (4,096 cells a label, 16 million vectors), cells have more blocks.
 """
 
 from __future__ import annotations
@@ -27,14 +28,17 @@ from tidemark.llm.common import durable, spread_join, whole_runs
 from tidemark.llm.components import components, local_roots
 
 THRESHOLD = 0.93
-#: Vectors a cell should have, and cells of a label at most.
+#: Vectors a cell should have, and the most cells that a label, or a cell of a label, is divided into.
 CELL, MOST_CELLS = 4096, 64
+#: Vectors of the sample that a centre needs at least.
+SEEN = 4
 #: Vectors that centres are fitted on, in all labels together (in expectation).
 SAMPLE = 20_000
 ROUNDS = 8
 BLOCK = 2048
 
-Centres = dict[tuple[str, int], np.ndarray]  # by label and dimension
+#: By label and dimension: the centres, and the centres within the cell of each.
+Centres = dict[tuple[str, int], tuple[np.ndarray, list[np.ndarray]]]
 
 
 def kmeans(unit: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 1) -> np.ndarray:
@@ -69,11 +73,23 @@ def fit_centres(marks: DataFrame, cell: int = CELL, most_cells: int = MOST_CELLS
     found: dict[tuple[str, int], tuple[int, list]] = {}
     for r in chosen.select("label", "dim", "n", "embedding").collect():
         found.setdefault((r.label, r.dim), (r.n, []))[1].append(r.embedding)
-    return {key: kmeans(_unit(v), min(most_cells, -(-n // cell), len(v))) for key, (n, v) in found.items()}
+    return {key: _two_levels(_unit(v), n, cell, most_cells) for key, (n, v) in found.items()}
+
+
+def _two_levels(unit: np.ndarray, n: int, cell: int, most_cells: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Centres for n vectors from a sample of them; cells that are still large are divided again."""
+    coarse = kmeans(unit, min(most_cells, -(-n // cell), len(unit)))
+    near = (unit @ coarse.T).argmax(1)
+    fine = []
+    for i in range(len(coarse)):
+        own = unit[near == i]
+        k = min(most_cells, round(n * len(own) / len(unit) / cell), len(own) // SEEN)
+        fine.append(kmeans(own, k) if k > 1 else coarse[i : i + 1])
+    return coarse, fine
 
 
 def visited(unit: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(home cell of each vector, which cells each vector is in, home included)."""
+    """(nearest centre of each vector, which cells each vector is in, that one included)."""
     near = unit @ centres.T
     home = near.argmax(1)
     apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
@@ -83,6 +99,25 @@ def visited(unit: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np
     return home, inside
 
 
+def visits(unit: np.ndarray, centres: tuple[np.ndarray, list[np.ndarray]], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, whether the row is at home there) for all cells of both levels that vectors are in. A
+    vector is at home in one cell. Within a cell that it visits it is compared with that cell's own
+    centres, as those that are at home there are."""
+    coarse, fine = centres
+    home, inside = visited(unit, coarse, threshold)
+    rows, cells, at_home = [], [], []
+    for i in range(len(coarse)):
+        here = np.nonzero(inside[:, i])[0]
+        if not len(here):
+            continue
+        near, among = visited(unit[here], fine[i], threshold)
+        r, c = np.nonzero(among)
+        rows.append(here[r])
+        cells.append(i * MOST_CELLS + c)
+        at_home.append((home[here[r]] == i) & (near[r] == c))
+    return np.concatenate(rows), np.concatenate(cells), np.concatenate(at_home)
+
+
 def _placed(marks: DataFrame, centres: Centres, threshold: float) -> DataFrame:
     """Every vector once for each cell that it is in."""
     shared = marks.sparkSession.sparkContext.broadcast(centres)
@@ -100,9 +135,8 @@ def _placed(marks: DataFrame, centres: Centres, threshold: float) -> DataFrame:
                 if key not in shared.value:
                     rows.append(at), cells.append(np.zeros(len(at), np.int64)), homes.append(np.ones(len(at), bool))
                     continue
-                home, inside = visited(_unit(batch.column("embedding").take(pa.array(at)).to_pylist()), shared.value[key], threshold)
-                r, c = np.nonzero(inside)
-                rows.append(at[r]), cells.append(c), homes.append(home[r] == c)
+                r, c, home = visits(_unit(batch.column("embedding").take(pa.array(at)).to_pylist()), shared.value[key], threshold)
+                rows.append(at[r]), cells.append(c), homes.append(home)
             if n:
                 take = pa.array(np.concatenate(rows))
                 arrays = [batch.column(c).take(take) for c in ("vec_id", "weight", "label", "dim", "embedding")]
