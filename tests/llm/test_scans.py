@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from tidemark.llm import pii, quality, secrets, toxicity
@@ -132,6 +135,23 @@ def test_learned(spark, operator, label, modulus, left_out):
     assert {r.doc_id: r.score for r in score(docs, turned).collect()} == {i: r.score for i, r in rows.items()}
 
 
+def test_quality_scores_are_means_of_features(spark, make_docs, odd_texts):
+    """Against the features counted one by one."""
+    rng = np.random.default_rng(3)
+    weights, bias = rng.normal(size=quality.TABLE).astype(np.float32), 0.3
+    docs = make_docs([*odd_texts, "one two two three one two"])
+    got = {r.doc_id: r.score for r in quality.score(docs, (weights, bias)).collect()}
+    for i, text in enumerate([*odd_texts, "one two two three one two"]):
+        words = (text or "").split()
+        features = [f for w in words for f in quality.word_features(w)]
+        for a, b in zip(words, words[1:], strict=False):
+            pair, _ = quality.pair_features(np.array([quality.word_hash(a), quality.word_hash(b)], np.uint64))
+            assert quality.BUCKETS <= pair[0] < quality.PATTERNS
+            features += [int(pair[0])] + [quality.PATTERNS + (a == b)] * quality.PATTERN_COUNT
+        z = bias + float(weights[features].astype(np.float64).sum()) / (len(features) + quality.PRIOR) if words else bias
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-4
+
+
 def test_learned_without_labels(spark, make_docs, odd_texts):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = make_docs(odd_texts)
@@ -141,6 +161,23 @@ def test_learned_without_labels(spark, make_docs, odd_texts):
         assert score(docs.where("doc_id < 0"), none).count() == 0
 
 
+def test_exceptions_reach_over_their_hits():
+    """Against the plain rule: a hit is exempt if it lies within any exception."""
+    rng = random.Random(6)
+    for _ in range(200):
+        terms = {f" {''.join(rng.choices('ab', k=rng.randrange(1, 4)))}": rng.random() + 0.1 for _ in range(4)}
+        phrases = {f" {' '.join(''.join(rng.choices('ab', k=rng.randrange(1, 4))) for _ in range(rng.randrange(1, 4)))} " for _ in range(4)} - set(terms)
+        folded = f" {' '.join(''.join(rng.choices('ab', k=rng.randrange(1, 4))) for _ in range(30))} "
+        got = toxicity.hits(folded, toxicity.Lexicon(terms, sorted(phrases)).automaton())
+        exempt = [(i, i + len(p)) for p in phrases for i in range(len(folded)) if folded.startswith(p, i)]
+        best = {}
+        for i in range(len(folded)):
+            own = [(w, t) for t, w in terms.items() if folded.startswith(t, i)]
+            if own and not any(a <= i and i + len(max(own)[1]) <= b for a, b in exempt):
+                best[i] = max(own)[1]
+        assert {h[0]: h[3] for h in got} == best
+
+
 def test_folding():
     assert toxicity.fold("Y0u 1D10T!! ѕсum $cum LOSER$$$ 2024") == " you idiot scum scum loser 2024 "
     assert toxicity.fold("i d i o t") == " idiot "
@@ -158,6 +195,40 @@ def test_each_disguise_is_found_alone():
         assert pii.disguised(f"see: john{at}example.com", []) == []
 
 
+DISGUISES = {
+    "email": ["john.doe @ example.com", "john.doe@ example.com", "john.doe (at) example.com", "john dot doe at example dot com", "john.doe[at]example[dot]com", "jоhn.doe@exаmple.com", "john.doe＠example.com",
+              "jo\u200bhn.doe@example.com", "john.doe@exam\u00adple.com", "john.doe_at_example_dot_com", "john.doe arroba example punto com"],
+    "ip": ["192[.]168[.]1[.]1", "192(.)168(.)1(.)1", "192 dot 168 dot 1 dot 1", "192[dot]168[dot]1[dot]1", "192.168.1[.]1", "one nine two dot one six eight dot one dot one", "192․168․1․1", "１９２．１６８．１．１", "eins neun zwei punkt eins sechs acht punkt eins punkt eins"],
+    "card": ["4111\u00a01111\u00a01111\u00a01111", "4111\u20091111\u20091111\u20091111", "4111‐1111‐1111‐1111", "４１１１ １１１１ １１１１ １１１１", "4111\u200b1111\u200b1111\u200b1111", "four one one one one one one one one one one one one one one one"],
+    "phone": ["plus four nine one five one one two three four five six", "＋49 151 1234567", "+49\u00a0151\u00a01234567", "+49‐151‐1234567", "+٤٩ ١٥١ ١٢٣٤٥٦٧", "plus four nine, one five one, one two three four five"],
+}
+PROSE = [
+    "At the end of the day he looked at the dot on the map, and at one of the two com ports.", "In 1999 there were 3.5 to 4.2 of them. One, two, three, four. Nine out of ten, plus seven more.",
+    "Version 1 dot 2 dot 3 came out. The ratio is 10.5. See section 4. 5 follows.", "Er kam um eins, zwei oder drei. Sechs Punkt sieben war die Note.", "Uno dos tres, at home. Dot your i's @ night; look @ this!",
+    "Call one two three or four people (at least five) at noon [sic].",
+]
+
+
+def test_disguises_by_kind():
+    for kind, forms in DISGUISES.items():
+        found = []
+        for form in forms:
+            text = f"write: {form}, or not"
+            base = pii.detect(text)
+            spans = [s for s in base + pii.disguised(text, base) if pii.KINDS[s[1]] == kind]
+            found.append((7, pii.KINDS.index(kind), 7 + len(form)) in spans)
+        assert sum(found) >= 0.9 * len(found), (kind, [f for f, ok in zip(forms, found, strict=True) if not ok])
+    for text in PROSE:
+        assert pii.detect(text) == [] and pii.disguised(text, []) == [], text
+
+
+def test_a_wider_span_stands_beside_its_base_span():
+    text = "jo\u200bhn@example.com"
+    base = pii.detect(text)
+    assert base == [(3, 0, len(text))] and pii.disguised(text, base) == [(0, 0, len(text))]
+    assert pii.disguised("john@example.com \u200b", pii.detect("john@example.com \u200b")) == []
+
+
 def test_addresses_of_many_labels():
     for n in (4, 5, 6, 40):
         labels = ".".join(f"p{i}" for i in range(n))

@@ -5,7 +5,7 @@ transducers, each of which rewrites a text and carries, for every character it p
 characters that it stands for: homoglyphs and full-width forms become ASCII, invisible characters
 vanish, runs of spelled digits become digits, and "at" and "dot" disguises become @ and full stops.
 The same detectors then read the normalised text, and their spans are mapped back to source
-characters. Finds that touch no base span of their kind are added; base spans are never changed.
+characters. Finds that no base span of their kind holds are added; base spans are never changed.
 
 A text with nothing that a transducer rewrites is read once. Rows are independent: no shuffle.
 """
@@ -86,13 +86,13 @@ ALIKE = (
     | dict(zip("АВЕКМНОРСТУХІЈЅ", "ABEKMHOPCTYXIJS", strict=True))
     | dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανρτυχ", "ABEZHIKMNOPTYXoavptux", strict=True))
     | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
-    | {"　": " ", " ": " ", " ": " ", " ": " "}
+    | dict.fromkeys("\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", " ")
     | dict.fromkeys("‐‑‒–—―−﹣", "-")
     | dict.fromkeys("․‧∙。．｡", ".")
     | {"﹫": "@", "﹢": "+"}
     | {chr(start + d): str(d) for start in (0x660, 0x6F0, 0x966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for d in range(10)}
 )
-INVISIBLE = "​‌‍⁠﻿­"
+INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad"
 #: Digits as words.
 SPELLED = {
     **{w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())},
@@ -120,6 +120,11 @@ _LACOL = r"(?:(?!_tod_)[A-Za-z0-9._%+-])++"
 _BACKWARDS = re.compile(rf"{_LACOL}(?:{_TOD}{_LACOL})*+", re.I)
 _DOTTED = re.compile(_DOT, re.I)
 _MAY_BE_DISGUISED = re.compile(rf"{_OPEN}(?:at|@|arroba|dot|punkt|point|punto|\.){_SHUT}|\s(?:dot|punkt|punto)\s|_(?:at|dot)_|\s@|@\s", re.I)
+#: A network address with a disguised stop, in digits or in words, of which a part has three at most.
+_STOP = rf"(?:{_DOT}|\.)"
+_PART = rf"(?:[0-9]{{1,3}}|(?:{_WORD})(?:[ -](?:{_WORD})){{0,2}})"
+_NETWORK = re.compile(rf"(?<![\w.]){_PART}(?:{_STOP}{_PART}){{3}}(?!\w|\.[0-9])", re.I)
+_STOPS = re.compile(_STOP, re.I)
 _TOP = re.compile(r"[A-Za-z]{2,24}$")
 #: Last labels of hosts that plain "at" and "dot" between blanks may be read before.
 _COMMON_TOP = re.compile(r"(?:com|org|net|edu|gov|info|io|co|uk|eu|de|fr|es|it|ch|at|us|example|test)$", re.I)
@@ -176,6 +181,24 @@ def _spelled(m: Mapped) -> None:
     m.rewrite(edits)
 
 
+def _networks(m: Mapped) -> None:
+    """Network addresses whose stops are disguised or whose parts are spelled become digits and stops."""
+    edits: list[tuple[int, int, str]] = []
+    for x in _NETWORK.finditer(m.text):
+        if not _DOTTED.search(x[0]):
+            continue
+        at, own = x.start(), []
+        for stop in [*_STOPS.finditer(m.text, *x.span()), None]:
+            part = m.text[at : stop.start() if stop else x.end()]
+            spelled = [SPELLED.get(w.lower(), w) for w in re.split("[ -]", part)]
+            own.append((at, at + len(part), "".join(spelled)))
+            if stop:
+                own.append((*stop.span(), "."))
+                at = stop.end()
+        edits += [e for e in own if m.text[e[0] : e[1]] != e[2]]
+    m.rewrite(edits)
+
+
 def _addresses(m: Mapped) -> None:
     edits: list[tuple[int, int, str]] = []
     backwards, n, done = m.text[::-1], len(m.text), 0
@@ -198,9 +221,12 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
     m = Mapped(text)
     if not text.isascii() and _SEEN_ALIKE.search(text):
         _alike(m)
+    signs = _MAY_BE_DISGUISED.search(m.text)
+    if signs:
+        _networks(m)
     if _TWO_SPELLED.search(m.text):
         _spelled(m)
-    if _MAY_BE_DISGUISED.search(m.text):
+    if signs:
         _addresses(m)
     if m.starts is None:
         return []
@@ -210,7 +236,7 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
     out = []
     for start, kind, end in detect(m.text):
         a, b = m.source(start, end)
-        if not any(x[0] < b and a < x[2] for x in taken.get(kind, ())):
+        if not any(x[0] <= a and b <= x[2] for x in taken.get(kind, ())):
             out.append((a, kind, b))
     return out
 
@@ -220,16 +246,18 @@ def _listed(spans: list[Span]) -> str:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans.
+    """Per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_spans
+    (base and disguised).
 
     Null is empty; a text without finds has zero counts, the digest of the empty string and an
-    empty list. Repeats give repeats, an empty table gives none; other columns are ignored.
+    empty list. Spans of one start go by kind, then end. Repeated rows, and rows that repeat or lack an
+    id, give a result each, an empty table gives none; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
-            digests, lists = [], []
+            digests, lists, n = [], [], []
             for value in batch.column(1):
                 text = value.as_py()
                 base = detect(text)
@@ -238,9 +266,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 digests.append(hashlib.sha256(_listed(base).encode()).hexdigest())
                 more = disguised(text, base)
                 lists.append(_listed(sorted(base + more) if more else base))
+                n.append(len(base) + len(more))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(lists, pa.string())],
-                names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(lists, pa.string()), pa.array(n, pa.int64())],
+                names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"],
             )
 
-    return id_and_text(docs).mapInArrow(run, f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
+    return id_and_text(docs).mapInArrow(run, f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_spans long")
