@@ -1,7 +1,17 @@
 from __future__ import annotations
 
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from tidemark.llm import exact, minhash
+from tests.llm.test_dedup import classes, shingle_set
+from tidemark.llm import exact, minhash, quality, secrets
 
 
 def test_stages(spark, tmp_path):
@@ -68,3 +78,121 @@ def test_near_dedup_decides_on_rows(spark):
     assert out.columns == ["doc_id", "text", "lang"]
     got = out.collect()
     assert sorted((str(r.doc_id), (r.text or "-")[0]) for r in got) == sorted([("3", "a"), ("7", "b"), ("5", "c"), ("20", "d"), ("None", "e"), ("None", "-"), ("8", "-"), ("None", "f")])
+
+
+COLUMNS = "doc_id long, text string, lang string, _row int, row string, kept int, blob string, _kept int, component_id string, digest int, score double"
+
+
+@pytest.fixture(scope="module")
+def odd_dir(spark, tmp_path_factory):
+    """Tables with near and exact copies, junk, secrets, nulls in any column, empty and very long texts, ties,
+    repeated rows and ids, and columns named like what the stages use inside."""
+    rng = random.Random(17)
+    words = [f"{a}{b}" for a in ("lor", "ips", "dol", "am", "con", "sec", "ad") for b in ("em", "um", "or", "it", "ter", "tur", "ip")]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [prose(rng.randrange(20, 120)) for _ in range(80)]
+    for t in texts[:20]:  # near copies, some of them just below or above the threshold
+        w = t.split()
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [t.replace(" ", "  ", 3) for t in texts[20:30]] + [f"{prose(30)} password = 'abcdefghijklmnop' {prose(5)} AKIAABCDEFGHIJKLMN0" for _ in range(5)]
+    texts += [" ".join([rng.choice(words)] * rng.randrange(20, 200)) for _ in range(40)]  # junk
+    texts += [prose(20_000), "x" * 50_000, None, None, "", "  \t", "token=token=abcdefghijklmnopqrst", "-----BEGIN RSA PRIVATE KEY-----"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[50]), (3, texts[3]), (None, texts[51]), (None, texts[51]), (None, "nobody's own text, " + prose(30)), (60, prose(40)), (60, texts[60])]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame([(i, t, rng.choice(["en", None]), rng.choice([1, None]), "r", None, "b", 0, "c", None, 0.5) for i, t in rows], COLUMNS)
+    d = str(tmp_path_factory.mktemp("odd"))
+    frame.repartition(5).write.parquet(f"{d}/documents.parquet")
+    junk = {i for i, t in enumerate(texts) if t and len(set(t.split())) == 1 and len(t.split()) > 1}
+    spark.createDataFrame([(i, int(i not in junk)) for i in range(len(texts)) if texts[i]] + [(None, 1), (5, None)], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    return d
+
+
+def plain_quality(rows, model):
+    weights, bias = model
+    out = []
+    for r in rows:
+        w = (r["text"] or "").split()
+        f = [x for word in w for x in quality.word_features(word)]
+        for a, b in zip(w, w[1:], strict=False):
+            f += quality.pair_features(np.array([quality.word_hash(a), quality.word_hash(b)], np.uint64))[0].tolist() + [quality.PATTERNS + (a == b)] * quality.PATTERN_COUNT
+        z = bias + weights[f].astype(np.float64).sum() / (len(f) + quality.PRIOR) if w else bias
+        out += [r] if 1 / (1 + math.exp(-z)) >= 0.3 else []
+    return out
+
+
+def last(i):
+    return (i is None, i or 0)
+
+
+def plain_exact(rows):
+    groups: dict[str, list] = {}
+    for r in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r["text"] or ""), []).append(r)
+    return [min(g, key=lambda r: (-len(r["text"] or ""), last(r["doc_id"]))) for g in groups.values()]
+
+
+def plain_near(rows):
+    sets = [shingle_set(r["text"]) for r in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    of: dict[int, list] = {}
+    for r, c in zip(rows, classes(len(rows), links), strict=True):
+        of.setdefault(c, []).append(r)
+    return [min(g, key=lambda r: last(r["doc_id"])) for g in of.values()]
+
+
+def plain_redaction(rows):
+    out = []
+    for r in rows:
+        text = r["text"] or ""
+        spans = sorted(m.span() for rule in secrets.RULES for m in re.finditer(rule.pattern, text) if len(m.group(rule.group)) >= rule.least)
+        parts, at = [], 0
+        for a, b in spans:
+            if a >= at:
+                parts += [text[at:a], "[SECRET]"]
+            at = max(at, b)
+        out.append(r | {"text": "".join(parts) + text[at:] if spans else r["text"]})
+    return out
+
+
+def texts_of(rows):
+    """What a stage decided: ids and texts (which of equal rows stays is open)."""
+    return sorted((str(r["doc_id"]), str(r["text"])) for r in rows)
+
+
+def test_each_stage_against_a_plain_version(spark, odd_dir, tmp_path):
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{odd_dir}/labels.parquet"))
+    plain = [lambda rows: plain_quality(rows, model), plain_exact, plain_near, plain_redaction]
+    names, shrinks = docs.columns, []
+    for k, ((name, stage), by_hand) in enumerate(zip(corpus_pipeline.STAGES[:-1], plain, strict=True)):
+        before = [r.asDict() for r in docs.collect()]
+        stage(spark, docs, odd_dir).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        after = [r.asDict() for r in docs.collect()]
+        assert docs.columns == names and texts_of(after) == texts_of(by_hand(before)), name
+        shrinks.append(len(before) - len(after))
+        # every row is one of the rows before, with all its columns
+        ids = {tuple(v for c, v in r.items() if c != "text") for r in before}
+        assert all(tuple(v for c, v in r.items() if c != "text") in ids for r in after)
+    assert shrinks[0] >= 30 and shrinks[1] >= 10 and shrinks[2] >= 5 and shrinks[3] == 0
+    assert sum("[SECRET]" in (r.text or "") for r in docs.collect()) >= 5
+    theirs = Tokenizer.from_file(corpus_pipeline.VOCABULARY)
+    theirs.no_padding(), theirs.no_truncation()
+    lengths = sorted((str(r.doc_id), len(theirs.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in docs.collect())
+    ends: dict[int, int] = {}
+    for r in corpus_pipeline.run(spark, odd_dir).orderBy("sequence_id", "offset").collect():
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 4096 and sum(ends.values()) == sum(n for _, n in lengths)
+    want: Counter[str] = Counter()
+    for i, n in lengths:
+        want[i] += n
+    assert {str(r[0]): r[1] for r in corpus_pipeline.run(spark, odd_dir).groupBy("doc_id").sum("length").collect()} == want
+
+
+def test_an_empty_table_goes_through(spark, odd_dir):
+    none = spark.read.parquet(f"{odd_dir}/documents.parquet").where("_kept < 0")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, odd_dir).isEmpty(), name
