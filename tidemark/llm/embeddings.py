@@ -215,8 +215,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int
     Vectors link if labels are equal, dimensions too, and the cosine reaches ``threshold``. Rows with
     a null label, or a vector that is null, empty, zero or has null or non-finite components, link
     with nothing. Equal vectors of a label link with each other. Rows without an id are left out;
-    rows that repeat an id count as vectors of their own. An empty table gives no rows; other columns
-    are ignored.
+    rows that repeat an id are vectors of their own, and all that have the kept id are marked kept. An
+    empty table gives no rows; other columns are ignored.
     """
     bad = "exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) OR NOT exists(embedding, x -> x <> 0)"
     rows = durable(
@@ -227,15 +227,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int
         .select("vec_id", "valid", "label", F.expr("transform(embedding, x -> x + 0D)").alias("embedding"))
         .withColumn("same", F.when(F.col("valid"), F.sha2(F.concat_ws(",", "label", F.to_json(F.struct("embedding"))), 256)))
     )
+    # one mark per vector, numbered apart from ids, as these may repeat
     marks = durable(
-        rows.where("valid").groupBy("same").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
-    )
-    found = durable(near_links(marks, fit_centres(marks, cell), threshold, block))
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    classes = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "vec_id")
-    named = marks.select("same", "vec_id", "weight").join(counts, "vec_id", "left").join(classes, "vec_id", "left").select(
-        "same", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("class")
-    )
+        rows.where("valid").groupBy("same").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+        .withColumn("dim", F.size("embedding")).withColumn("mark", F.monotonically_increasing_id())
+    )
+    found = durable(near_links(marks.drop("vec_id").withColumnRenamed("mark", "vec_id"), fit_centres(marks, cell), threshold, block))
+    counts = found.groupBy(F.col("vec_id").alias("mark")).agg(F.sum("n").alias("n"))
+    classes = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("mark"), "component")
+    named = marks.select("same", "mark", "vec_id", "weight").join(counts, "mark", "left").join(classes, "mark", "left")
+    named = durable(named.select("same", "mark", "vec_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "mark").alias("component")))
+    least = named.groupBy("component").agg(F.min("vec_id").alias("class"))
+    named = spread_join(named, least, "component", "mark").select("same", "n_links", "class")
     out = spread_join(rows.select("vec_id", "same"), named, "same", "vec_id")
     component = F.coalesce("class", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
