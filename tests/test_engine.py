@@ -211,6 +211,15 @@ def test_watermarks_reach_the_scan(spark, sf_dir):
         assert S.delta(rows, rows, "w").count() == 1
 
 
+def test_dimensions_are_read_up_to_the_last_event(spark, tmp_path):
+    spark.range(100).selectExpr("id % 3 AS k", "id AS f", "id AS v").write.parquet(f"{tmp_path}/dim")
+    left = spark.createDataFrame([(1, 0, 40), (2, 1, 50), (3, 9, 45)], "id int, k int, t int")
+    found = J.asof_pruned(left, spark.read.parquet(f"{tmp_path}/dim"), ["k"], "t", "f", {"v": "v"}, "v")
+    assert "LessThanOrEqual(f,50)" in plan_of(found) and "NestedLoop" not in plan_of(found)
+    assert {(r.id, r.v) for r in found.collect()} == {(1, 39), (2, 49), (3, None)}
+    assert {r.v for r in J.asof_pruned(left.where("id < 0"), left.select("k", "t", F.col("id").alias("v")), ["k"], "t", "t").collect()} == set()
+
+
 def test_changed_buckets_reach_the_scan(spark, tmp_path):
     """Rows of a few changed buckets are read by ranges of the key, of many or of others by a semi-join."""
     s = spark.range(0, 20_000).selectExpr("id", "id % 7 AS x", "timestamp_seconds(id * 3600)::timestamp_ntz AS t")

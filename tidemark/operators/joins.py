@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tidemark.functions.buckets import floor_div, unit_index
+from tidemark.plans.bounds import extremes
 
 
 def chain(base: DataFrame, joins: list[tuple[DataFrame, Column | list[str], str]]) -> DataFrame:
@@ -118,11 +119,14 @@ def _carried(rows: DataFrame, facts: DataFrame, by: list[str], back: bool) -> Da
 
 
 def asof_pruned(left: DataFrame, dim: DataFrame, keys: list[str], ts: str, valid_from: str, fetch: dict[str, str] | None = None, tie: str | None = None) -> DataFrame:
-    """``asof`` with <=, after dropping dimension rows that cannot win: those after the last event, and
-    per key those before the last one that precedes the first event."""
-    limits = left.agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    within = dim.join(F.broadcast(limits), F.col(valid_from) <= F.col("_hi"))  # one row
-    start = within.where(F.col(valid_from) <= F.col("_lo")).groupBy(*keys).agg(F.max(valid_from).alias("_from"))
+    """``asof`` with <=, after dropping dimension rows that cannot win: those after the last event, which the
+    dimension's scan does not read, and per key those before the last one that precedes the first event."""
+    limits = extremes(left, ts)
+    if limits is None:
+        return asof(left, dim.limit(0), keys, ts, valid_from, "<=", fetch, tie)
+    first, last = limits
+    within = dim.where(F.col(valid_from) <= last)
+    start = within.where(F.col(valid_from) <= first).groupBy(*keys).agg(F.max(valid_from).alias("_from"))
     kept = within.join(start, keys, "left").where(F.col("_from").isNull() | (F.col(valid_from) >= F.col("_from"))).select(*dim.columns)
     return asof(left, kept, keys, ts, valid_from, "<=", fetch, tie)
 

@@ -23,17 +23,22 @@ def resolve_bounds(src: DataFrame, dst: DataFrame, column: str, strategy: str, s
     return both.select((F.lit(start) if start is not None else lo).alias("lo"), (F.lit(end) if end is not None else hi).alias("hi"))
 
 
-def greatest(df: DataFrame, column: str) -> Column | None:
-    """The greatest value of a column as a literal of its type, None if there is none. One value reaches
-    the driver; as a literal in a filter it goes on to the scan, which then skips files and row groups."""
+def extremes(df: DataFrame, column: str) -> tuple[Column, Column] | None:
+    """The least and greatest value of a column as literals of its type, None if there is none. Two values reach
+    the driver; as literals in a filter they go on to a scan, which then skips files and row groups."""
     kind = df.select(column).schema[0].dataType
-    top = F.max(column)
+    low, high = F.min(column), F.max(column)
+    back = lambda v: F.lit(v).cast(kind)
     match kind.simpleString():
         case "timestamp":  # text would be ambiguous where clocks are set back
-            value = df.agg(F.unix_micros(top)).first()[0]
-            return None if value is None else F.timestamp_micros(F.lit(value))
+            low, high, back = F.unix_micros(low), F.unix_micros(high), lambda v: F.timestamp_micros(F.lit(v))
         case "timestamp_ntz" | "date":
-            value = df.agg(top.cast("string")).first()[0]
-        case _:
-            value = df.agg(top).first()[0]
-    return None if value is None else F.lit(value).cast(kind)
+            low, high = low.cast("string"), high.cast("string")
+    found = df.agg(low, high).first()
+    return None if found[0] is None else (back(found[0]), back(found[1]))
+
+
+def greatest(df: DataFrame, column: str) -> Column | None:
+    """The high watermark: the greatest value of a column as a literal, None if there is none."""
+    found = extremes(df, column)
+    return found and found[1]

@@ -24,8 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which is removed when the application ends."""
+    base = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{base}/rows"
 
 
 def saved(df: DataFrame) -> DataFrame:
