@@ -5,19 +5,21 @@ the quality classifier rejects go; of exact copies one stays; of near copies one
 replaced in the texts; what is left is encoded and packed. Every stage is written as Parquet and
 read again by the next, so a lost executor costs no earlier stage. All stages but the last return
 the columns of ``documents``, and whatever other columns there are, under any names. The two dedup stages
-decide on rows, not on ids: rows are numbered, and the numbers written with them, so ids may repeat or
-be null. Every stage turns an empty table into an empty one.
+decide on rows, not on ids: rows are numbered by their place in their file, so ids may repeat or be null. Every stage turns an empty table into an empty one.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact, minhash, packing, quality, secrets
 from tidemark.llm.common import table, unused
-from tidemark.work import folder
+from tidemark.work import folder, saved
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Near copies have a similarity of 0.8 or more; the 85 of op3 is of that operator's contract alone.
@@ -25,12 +27,39 @@ NEAR_PERCENT = 80
 
 
 def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a unique number of each row, and the name of its column. It is written, as numbers given
-    anew could be others."""
+    """``docs`` with a unique number of each row, the same whenever they are read, and the name of its column.
+
+    A row of a table that is read whole is told by its place in its file, below a hash of the file's name.
+    Hashes are tried until all files have their own: only counts of files reach the driver, and nothing
+    is copied. Other rows are numbered and written, as numbers given anew could be others.
+    """
     (row,) = unused(docs.columns, "_row")
-    path = folder(spark)
-    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
-    return spark.read.parquet(path), row
+    if (files := _files(docs)) is None:
+        path = folder(spark)
+        docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
+        return spark.read.parquet(path), row
+    bits = max(1, int(files.agg(F.max("last")).first()[0] or 0).bit_length())
+
+    def name(path: str | Column, seed: int) -> Column:
+        return F.pmod(F.xxhash64(path, F.lit(seed)), F.lit(1 << (63 - bits)))
+
+    for seed in count():
+        n, different = files.agg(F.count("*"), F.count_distinct(name("path", seed))).first()
+        if n == different:
+            break
+    source = docs.metadataColumn("_metadata")
+    return docs.withColumn(row, F.shiftleft(name(source["file_path"], seed), bits).bitwiseOR(source["row_index"])), row
+
+
+def _files(docs: DataFrame) -> DataFrame | None:
+    """path and last row of each file of ``docs``; None unless it is all rows of files, each once."""
+    try:
+        source = docs.metadataColumn("_metadata")
+        places = docs.select(source["file_path"].alias("path"), source["row_index"].alias("place"))
+    except AnalysisException:
+        return None
+    files = saved(places.groupBy("path").agg(F.max("place").alias("last"), F.count("*").alias("n")))
+    return files if files.where("n <> last + 1").isEmpty() else None
 
 
 def _only(numbered: DataFrame, row: str, kept: DataFrame) -> DataFrame:

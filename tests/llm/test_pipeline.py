@@ -196,3 +196,14 @@ def test_an_empty_table_goes_through(spark, odd_dir):
     none = spark.read.parquet(f"{odd_dir}/documents.parquet").where("_kept < 0")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, odd_dir).isEmpty(), name
+
+
+def test_numbers_of_rows(spark, odd_dir):
+    """By file and place for whole tables, by a copy for anything else; unique, and the same when read again."""
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
+    for frame, copied in ((docs, False), (docs.sample(0.5, 1), True), (docs.where("doc_id > 5"), True), (docs.unionByName(docs), True), (docs.join(spark.range(2), how="cross"), True), (docs.withColumn("_metadata", docs["lang"]), False)):
+        rows, row = corpus_pipeline._numbered(spark, frame)
+        numbers = sorted(map(str, rows.select(row, "doc_id", "text").collect()))
+        assert rows.select(row).distinct().count() == len(numbers) == frame.count()
+        assert sorted(map(str, rows.select(row, "doc_id", "text").repartition(2).collect())) == numbers
+        assert ("documents.parquet" not in rows.inputFiles()[0]) == copied

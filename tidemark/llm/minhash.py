@@ -188,7 +188,7 @@ class _List:
         self.values = np.frombuffer(b"".join(packed), "<u4")
         self.rows = np.repeat(np.arange(b - a), self.lengths)
         self.common = _products(self.values, self.rows, b - a)
-        self.large = np.maximum.outer(self.sizes, self.sizes)
+        self.large = np.maximum.outer(self.sizes.astype(np.float32), self.sizes.astype(np.float32))
 
     def leaders(self) -> np.ndarray:
         """The row that stands for each row: the first that is nearly the same, or itself."""
@@ -221,23 +221,25 @@ class _List:
         ok = (_products(lesser[before], low_rows[before], n) == 0) & (home[:, None] | home[None, :])
         # a leader meets whatever those that it stands for may be linked with
         standing = covers[:, None].astype(np.int8) + covers[None, :]
-        similarity = percent / 100 - RADIUS * standing
         ok |= standing > 0
-        ok &= np.minimum.outer(self.sizes, self.sizes) >= similarity * self.large - 1e-9
+        similarity = percent / 100 - RADIUS * np.arange(3)
         least = _least_estimate(similarity)
-        ok &= self.common >= np.floor(least * np.minimum(K, self.large))
+        small = np.minimum.outer(self.sizes.astype(np.float32), self.sizes.astype(np.float32))
+        for k in np.unique(standing).tolist():
+            ok &= (standing != k) | ((small >= (similarity[k] - 1e-6) * self.large) & (self.common >= np.floor(least[k] * np.minimum(K, self.large))))
+        del small
         if blocks.min() != blocks.max():
             ok &= blocks[:, None] != blocks[None, :]
         a, b = np.nonzero(np.triu(ok, 1))
         padded = np.full((n, K), 0xFFFFFFFF, np.uint32)
         padded[self.rows, np.arange(len(self.values)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)] = self.values
         roots = None
-        for at in range(0, len(a), 50_000):
-            x, y = a[at : at + 50_000], b[at : at + 50_000]
+        for at in range(0, len(a), 20_000):
+            x, y = a[at : at + 20_000], b[at : at + 20_000]
             if roots is not None:  # links within a component add nothing
                 apart = roots[x] != roots[y]
                 x, y = x[apart], y[apart]
-            good = _estimates(padded[x], padded[y]) >= least[x, y]
+            good = _estimates(padded[x], padded[y]) >= least[standing[x, y]]
             roots = local_roots(n, x[good], y[good], roots)
         return _forest(self.ids, roots)
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.bpe import PerWord
+from tidemark.llm.bpe import KEPT_WORDS, PerWord
 from tidemark.llm.common import id_and_text
 from tidemark.llm.labelled import remainder, sample
 
@@ -126,28 +126,50 @@ def _scorer(model: tuple[np.ndarray, float]) -> Callable[[pa.Array], np.ndarray]
     """Scores of an array of texts."""
     weights, bias = model
 
-    def of(word: str) -> tuple[float, int, int]:
-        f = word_features(word)
-        return float(weights[f].sum()), len(f), word_hash(word)
-
-    words = PerWord(of)
+    words = _Scored(weights)
 
     def run(texts: pa.Array) -> np.ndarray:
         z = []
         for text in texts:
-            found = [words[w] for w in (text.as_py() or "").split()]
-            if not found:
+            sums, sizes, hashes = words.of((text.as_py() or "").split())
+            if not len(sums):
                 z.append(bias)
                 continue
-            sums, sizes, hashes = zip(*found, strict=True)
-            pairs, patterns = pair_features(np.array(hashes, np.uint64))
-            total = sum(sums) + float(weights[pairs].sum()) + PATTERN_COUNT * float(weights[PATTERNS:] @ patterns)
-            z.append(bias + total / (sum(sizes) + len(pairs) + PATTERN_COUNT * len(pairs) + PRIOR))
+            pairs, patterns = pair_features(hashes)
+            total = float(sums.sum()) + float(weights[pairs].sum()) + PATTERN_COUNT * float(weights[PATTERNS:] @ patterns)
+            z.append(bias + total / (int(sizes.sum()) + len(pairs) + PATTERN_COUNT * len(pairs) + PRIOR))
         return 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -500, 500)))
 
     return run
 
 
+class _Scored(dict):
+    """The places of words in arrays of what scoring needs of them: sum of weights, number of features, hash. When
+    as many words or characters are known as a worker may hold, all are forgotten before the next text."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        super().__init__()
+        self.weights, self.characters = weights, 0
+        self.sums, self.sizes, self.hashes = np.zeros(1024), np.zeros(1024, np.int64), np.zeros(1024, np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        if at == len(self.sums):
+            self.sums, self.sizes, self.hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.sizes, self.hashes))
+        f = word_features(word)
+        self.sums[at], self.sizes[at], self.hashes[at] = self.weights[f].sum(dtype=np.float64), len(f), word_hash(word)
+        self[word] = at
+        self.characters += len(word)
+        return at
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self) > KEPT_WORDS or self.characters > 20 * KEPT_WORDS:
+            self.clear()
+            self.characters = 0
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.sums[at], self.sizes[at], self.hashes[at]
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted.
 
