@@ -45,10 +45,13 @@ _BEYOND_LATIN = re.compile(r"[^\x00-ſ]")
 @cache
 def _class(pattern: str) -> str:
     """The code points that a class holds for the tokenizers library, as ranges. Which letters and numbers
-    there are depends on a version of Unicode; this is the library's, whatever Python's own is."""
-    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    runs = Split(Regex(f"{pattern}+"), "removed", invert=True).pre_tokenize_str(everything)
-    return "".join(f"\\U{ord(run[0]):08x}-\\U{ord(run[-1]):08x}" for run, _ in runs)
+    there are depends on a version of Unicode; this is the library's, whatever Python's own is. A quarter of
+    a plane at a time takes little memory."""
+    split, found = Split(Regex(f"{pattern}+"), "removed", invert=True), []
+    for start in range(0, 0x110000, 0x4000):
+        part = "".join(chr(c) for c in range(start, start + 0x4000) if not 0xD800 <= c < 0xE000)
+        found += [f"\\U{ord(run[0]):08x}-\\U{ord(run[-1]):08x}" for run, _ in split.pre_tokenize_str(part)]
+    return "".join(found)
 
 
 def unicode_classes() -> dict[str, str]:
