@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, embeddings, exact, minhash, packing, pii, quality, secrets, substrings, toxicity
+from tidemark.llm import bpe, embeddings, exact, minhash, packing, pii, quality, secrets, sharding, substrings, toxicity
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +55,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op13_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placements(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_embedding_near_dedup,
+    op2_bpe_round_trip,
+    op3_minhash_near_dedup,
+    op4_quality_classifier,
+    op5_toxicity,
+    op6_personal_data,
+    op7_suffix_dedup,
+    op8_secret_scans,
+    op9_exact_dedup,
+    op10_best_fit_packing,
+    op13_sampled_splitters,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_bpe_round_trip, op3_minhash_near_dedup, op4_quality_classifier, op5_toxicity, op6_personal_data, op7_suffix_dedup, op8_secret_scans, op9_exact_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -66,4 +85,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_suffix_dedup": substrings.ORACLE,
         "op8_secret_scans": secrets.oracle(),
         "op9_exact_dedup": exact.ORACLE,
+        "op13_sampled_splitters": sharding.ORACLE,
     }
