@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, embeddings, exact, minhash, packing, pii, quality, secrets, sharding, substrings, toxicity
+from tidemark.llm import bpe, embeddings, exact, minhash, packing, phrases, pii, quality, secrets, sharding, substrings, toxicity
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placements(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ _ALL = (
     op8_secret_scans,
     op9_exact_dedup,
     op10_best_fit_packing,
+    op12_phrase_collocations,
     op13_sampled_splitters,
 )
 
@@ -85,5 +90,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_suffix_dedup": substrings.ORACLE,
         "op8_secret_scans": secrets.oracle(),
         "op9_exact_dedup": exact.ORACLE,
+        "op12_phrase_collocations": phrases.ORACLE,
         "op13_sampled_splitters": sharding.ORACLE,
     }
