@@ -7,12 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, embeddings, exact, minhash, packing, phrases, pii, quality, secrets, sharding, substrings, toxicity
+from tidemark.llm import alignment, bpe, embeddings, exact, minhash, packing, phrases, pii, quality, secrets, sharding, substrings, toxicity
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ _ALL = (
     op8_secret_scans,
     op9_exact_dedup,
     op10_best_fit_packing,
+    op11_cross_tokenizer_alignment,
     op12_phrase_collocations,
     op13_sampled_splitters,
 )
