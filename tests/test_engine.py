@@ -338,7 +338,7 @@ def test_a_stream_rewrites_the_buckets_it_meets(spark, tmp_path):
     def run(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        start_upsert(stream, target, f"{tmp_path}/check", ["k"], ["t"], buckets=8).awaitTermination()
+        start_upsert(stream, target, f"{tmp_path}/check", ["k"], ["t"], buckets=8, grace=0).awaitTermination()
         return {str(f) for f in Path(target).rglob("*.parquet")} if Path(target).exists() else set()
 
     assert run([]) == set() and latest(spark, target, spark.createDataFrame([], schema).schema).isEmpty()

@@ -13,6 +13,7 @@ from tidemark.plans import strategies as S
 from tidemark.queries.changes import _CHANGED, _FULL_SQL, BY_100
 from tidemark.queries.registry import HASHED, PAIR_SQL, dst, hash_sql, query, src, table
 from tidemark.queries.scans import _ROWS_SQL
+from tidemark.sources import versioned
 from tidemark.sources.writers import apply_changes, upsert
 from tidemark.spec import Dimension
 from tidemark.streaming.upserts import latest, start_upsert
@@ -146,6 +147,38 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     return latest(spark, target, rows.schema)
 
 
+def _versions(spark: SparkSession, d: str) -> str:
+    """A versioned table of the last event per user and type: even events first, then all others."""
+    rows = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    target = folder(spark)
+    for n in (0, 1):
+        versioned.upsert(rows.where(F.col("event_id") % 2 == n), target, ["user_id", "event_type"], ["ts", "event_id"], buckets=16)
+    return target
+
+
+_LAST_EVENT = "SELECT event_id, user_id, event_type, ts FROM events {where} QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"
+
+
+@query(_LAST_EVENT.format(where=""))
+def versioned_upsert(spark: SparkSession, d: str) -> DataFrame:
+    return versioned.read(spark, _versions(spark, d))
+
+
+@query(_LAST_EVENT.format(where="WHERE event_id % 2 = 0"))
+def versioned_read_before(spark: SparkSession, d: str) -> DataFrame:
+    """The version before the last."""
+    return versioned.read(spark, _versions(spark, d), 1)
+
+
+@query(f"WITH {PAIR_SQL} SELECT * FROM src")
+def versioned_changes(spark: SparkSession, d: str) -> DataFrame:
+    """A table brought in step with its source by a set of changes, deletions among them."""
+    s, t = src(spark, d), dst(spark, d)
+    versioned.apply_changes(S.full(t), target := folder(spark), ["id"], buckets=16)
+    versioned.apply_changes(saved(S.hash_changes(s, t, BY_100, ["id"], HASHED)), target, ["id"], buckets=16)
+    return versioned.read(spark, target)
+
+
 _LEDGER_SQL = f"""WITH {PAIR_SQL}, parts AS (SELECT CAST(id // 100 AS VARCHAR) AS partition_id, count(*) AS num_rows, CAST(sum({hash_sql(HASHED)}) AS BIGINT) AS hash FROM src GROUP BY 1),
 ledger AS (SELECT CAST(id // 100 AS VARCHAR) AS partition_id, CAST(sum({hash_sql(HASHED)}) AS BIGINT) AS hash, CASE WHEN CAST(min(id // 100) AS BIGINT) % 6 = 0 THEN 'failed' ELSE 'completed' END AS status FROM dst GROUP BY 1)"""
 

@@ -2,49 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import StructType
 
-from tidemark.operators.dedup import keep_last
-from tidemark.sources.writers import overwrite_partitions
+from tidemark.sources import versioned
 
-#: The partition column of a target.
-BUCKET = "bucket__"
 
-
-def _stored(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
-    """The target's rows with their bucket; none before the first batch."""
-    stored = StructType([*schema]).add(BUCKET, IntegerType())
-    try:
-        return spark.read.schema(stored).parquet(target)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], stored)
-
-
-def start_upsert(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 64) -> StreamingQuery:
-    """Upserts every micro-batch into a Parquet table that is divided into buckets by key. A batch reads and
-    rewrites only the buckets that its rows are in (at most ``buckets`` numbers reach the driver), so its
-    cost is that of the rows it meets, and nothing old is left behind. Per key the last row in ``order``
-    stays, whichever batch it came in, so late rows do not replace newer ones and a batch that is
-    repeated after a failure changes nothing. Reads what is there and stops."""
-    schema = stream.schema
+def start_upsert(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 64, grace: float = versioned.GRACE) -> StreamingQuery:
+    """Upserts every micro-batch into a versioned table (``tidemark.sources.versioned``) that is divided into
+    buckets by key. A batch reads and rewrites only the buckets that its rows are in, so its cost is that of the
+    rows it meets. Per key the last row in ``order`` stays, whichever batch it came in, so late rows do not
+    replace newer ones. A batch is a version, or nothing: one that failed at any point and is repeated gives what
+    it would have given, and one that had been published is not written again. Another number of buckets
+    than the table was made with is refused. Reads what is there and stops."""
 
     def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        met = [r[0] for r in rows.select(BUCKET).distinct().collect()]
-        if met:
-            before = _stored(spark, target, schema).where(F.col(BUCKET).isin(met))
-            overwrite_partitions(keep_last(before.unionByName(rows), keys, order).repartition(BUCKET), target, [BUCKET])
+        versioned.upsert(batch, target, keys, order, buckets, source=checkpoint, batch=n, grace=grace)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
     """The target's rows; none if no batch had any."""
-    return _stored(spark, target, schema).drop(BUCKET)
+    return spark.createDataFrame([], schema) if versioned.manifest(spark, target) is None else versioned.read(spark, target)
