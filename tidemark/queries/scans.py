@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sqlite3
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +14,7 @@ from tidemark.operators import predicates as P
 from tidemark.operators.aggregate import column_limits, watermark
 from tidemark.operators.diff import row_diff
 from tidemark.queries.registry import HASHED, PAIR_SQL, dst, hash_sql, query, src, table
-from tidemark.sources import readers, writers
+from tidemark.sources import database, readers, writers
 from tidemark.spec import ColumnSpec, Dimension, TableSpec
 from tidemark.work import folder
 
@@ -142,6 +146,45 @@ def failed_partitions(spark: SparkSession, d: str) -> DataFrame:
     return writers.failed_partitions(_raw(spark, d)[1])
 
 
+_TARGET = "CREATE TABLE target (id INTEGER PRIMARY KEY, cust_id INTEGER NOT NULL, priority TEXT CONSTRAINT short CHECK (length(priority) < 14), cents INTEGER CONSTRAINT cheap CHECK (cents < 30000000))"
+_REFUSED_SQL = """
+WITH raw AS (
+  SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 <> 5 THEN o_custkey END AS cust_id, o_orderpriority AS priority, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders
+), told AS (
+  SELECT *, CASE WHEN cust_id IS NULL THEN 'NOT NULL constraint failed: target.cust_id' WHEN length(priority) >= 14 THEN 'CHECK constraint failed: short'
+                 WHEN cents >= 30000000 THEN 'CHECK constraint failed: cheap' WHEN id % 50 = 0 THEN 'UNIQUE constraint failed: target.id' END AS error__ FROM raw
+)"""
+
+
+def _refused(spark: SparkSession, d: str) -> tuple[DataFrame, Callable[[], sqlite3.Connection], DataFrame]:
+    """A table of a database that has every 50th order already; the orders that it refuses, all orders."""
+    path = folder(spark).removeprefix("file://").removeprefix("file:")
+    connect = partial(sqlite3.connect, f"{path}.db", timeout=600, autocommit=False)
+    rows = orders(spark, d).selectExpr("o_orderkey AS id", "CASE WHEN o_orderkey % 13 <> 5 THEN o_custkey END AS cust_id", "o_orderpriority AS priority", "CAST(round(o_totalprice * 100) AS BIGINT) AS cents")
+    first = connect()
+    first.execute(_TARGET)
+    first.commit()
+    first.close()
+    database.insert_rows(rows.where("id % 50 = 0").selectExpr("id", "-1 AS cust_id", "'-' AS priority", "-1 AS cents"), connect, "target")
+    return database.insert_rows(rows, connect, "target"), connect, rows
+
+
+@query(f"{_REFUSED_SQL} SELECT * FROM told WHERE error__ IS NOT NULL")
+def write_refused_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that a database's constraints refuse, with its messages."""
+    return _refused(spark, d)[0]
+
+
+@query(f"{_REFUSED_SQL} SELECT id, cust_id, priority, cents FROM told WHERE error__ IS NULL UNION ALL SELECT id, -1, '-', -1 FROM raw WHERE id % 50 = 0")
+def write_accepted_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What the table holds afterwards, read in ranges of its key."""
+    _, connect, rows = _refused(spark, d)
+    lo, hi = rows.agg(F.min("id"), F.max("id")).first()
+    step = max(1, (hi - lo) // 8 + 1)
+    cells = [f"SELECT id, cust_id, priority, cents FROM target WHERE id >= {a} AND id < {a + step}" for a in range(lo, hi + 1, step)]
+    return database.read_rows(spark, connect, cells, "id bigint, cust_id bigint, priority string, cents bigint")
+
+
 @query(f"WITH {PAIR_SQL} SELECT * FROM src")
 def apply_changes(spark: SparkSession, d: str) -> DataFrame:
     s, t = src(spark, d), dst(spark, d)
