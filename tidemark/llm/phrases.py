@@ -37,7 +37,7 @@ TOP = 2000
 #: A candidate goes if a longer one holds it and has this percentage of its occurrences.
 SHARE = 100
 #: Bytes of text that are split at a time, and pairs that are sorted at a time: they bound a task's memory.
-SLICE = 8 << 20
+SLICE = 4 << 20
 RUN = 4 << 20
 #: Bits of the hash of a pair, of the map of frequent pairs; bytes of text for each range of hashes.
 _HASH_BITS, _MAP_BITS, _RANGE_BYTES = 48, 27, 32 << 20
@@ -65,8 +65,8 @@ class Words:
         begins = inside.copy()
         begins[1:] &= ~inside[:-1] | fresh[1:]
         first = np.flatnonzero(begins)
-        piece = np.cumsum((kinds == 2) | fresh)[first]
-        ends = np.append(np.cumsum(inside)[first] - 1, np.count_nonzero(inside)) if len(first) else np.zeros(1, np.int64)
+        piece = np.cumsum((kinds == 2) | fresh, dtype=np.int32)[first]
+        ends = np.append(np.cumsum(inside, dtype=np.int32)[first] - 1, np.count_nonzero(inside)) if len(first) else np.zeros(1, np.int64)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[inside])]).dictionary_encode()
         self.codes = words.indices.to_numpy().astype(np.int32)
         self.names = words.dictionary
