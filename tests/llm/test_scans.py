@@ -242,3 +242,62 @@ def test_long_runs_take_linear_time():
     for text in ("x dot " * 50_000 + "(at) y", "x_dot_" * 50_000 + "@ y", "x at " * 50_000 + "[dot]", "a@ " * 50_000):
         pii.disguised(text, [])
     assert time.perf_counter() - began < 20
+
+
+def quick(limit: float, run, *texts: str) -> None:
+    import time
+
+    for text in texts:
+        began = time.perf_counter()
+        run(text)
+        assert time.perf_counter() - began < limit, (text[:20], time.perf_counter() - began)
+
+
+MILLION = ("1" * 1_000_000, "a" * 1_000_000, "!" * 1_000_000, " " * 1_000_000, "\t" * 1_000_000, "\n" * 1_000_000, "_" * 1_000_000, "1a" * 500_000, "1!" * 500_000, "a!" * 500_000, "a b " * 250_000, "1 " * 500_000, "é" * 1_000_000, "(" * 1_000_000, "( " * 500_000)
+
+
+def test_folding_takes_linear_time():
+    quick(5, toxicity.fold, *MILLION)
+
+
+def test_folding_against_a_plain_pattern():
+    """The one pattern that says which digits and signs stand for letters, which is slow on long runs."""
+    import re
+
+    plain = re.compile(r"[^\W_]*[0-9@$!|]+(?=[^\W\d_])(?:[@$!|]*\w)*")
+    rng = random.Random(8)
+    for _ in range(60_000):
+        text = "".join(rng.choices("ab1@!_ .é٣", k=rng.randrange(14)))
+        assert toxicity._undisguised(text) == plain.sub(lambda m: m[0].translate(toxicity._LEET), text), text
+
+
+def test_personal_data_takes_linear_time():
+    quick(5, lambda t: pii.disguised(t, pii.detect(t)), *MILLION, "( at" + " " * 1_000_000, "x" + " " * 1_000_000 + "at", "x (dot)" * 150_000, "1." * 500_000, "+1" * 500_000, "+1" + "(" * 1_000_000, "@" * 1_000_000, "a@" * 500_000, "one " * 250_000, "@a." * 300_000)
+
+
+def test_secrets_take_linear_time(spark, make_docs):
+    import time
+
+    texts = [*MILLION, "eyJ" * 333_000, "eyJ." * 250_000, "eyJa.eyJa." * 100_000, "token=abcdefghijkl " * 50_000, "é token=abcdefghijkl " * 50_000, "AKIA" * 250_000, "password" * 125_000, "token" + " " * 1_000_000, "-----BEGIN " * 90_000, "ghp_" * 250_000]
+    secrets.secret_report(make_docs(["x"])).collect()
+    for i, text in enumerate(texts):
+        docs = make_docs([text]).cache()
+        docs.count()
+        began = time.perf_counter()
+        (row,) = secrets.secret_report(docs).collect()
+        (clean,) = secrets.redact(docs).collect()
+        assert time.perf_counter() - began < 15, (text[:20], time.perf_counter() - began)
+        if i == len(MILLION) + 3:
+            assert row.n_assign == 50_000 and clean.text == "[SECRET] " * 50_000
+        if i == len(MILLION) + 4:
+            assert clean.text == "é [SECRET] " * 50_000
+
+
+def test_tokens_begin_with_a_word(spark, make_docs):
+    token = "eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + "." + "c" * 10
+    docs = make_docs([f"{token} x{token} ({token}) eyJaaa.{token}", f"{token}.more {token[:-11]} eyJ"])
+    spans = {r.doc_id: r.spans for r in secrets.secret_report(docs).collect()}
+    n = len(token)
+    # "x" before a token is part of its word; a token that is one part short is none
+    assert spans == {0: f"jwt:0:{n},jwt:{2 * n + 4}:{3 * n + 4},jwt:{3 * n + 6}:{3 * n + 6 + 6 + 1 + 13 + 1 + 13}", 1: f"jwt:0:{n}"}
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()}[1].startswith("[SECRET].more ")

@@ -119,7 +119,7 @@ _TOD = r"(?:\s*[\])}>]\s*(?:tod|tknup|tniop|otnup|\.)\s*[\[({<]\s*|\s+(?:tod|tkn
 _LACOL = r"(?:(?!_tod_)[A-Za-z0-9._%+-])++"
 _BACKWARDS = re.compile(rf"{_LACOL}(?:{_TOD}{_LACOL})*+", re.I)
 _DOTTED = re.compile(_DOT, re.I)
-_MAY_BE_DISGUISED = re.compile(rf"{_OPEN}(?:at|@|arroba|dot|punkt|point|punto|\.){_SHUT}|\s(?:dot|punkt|punto)\s|_(?:at|dot)_|\s@|@\s", re.I)
+_MAY_BE_DISGUISED = re.compile(rf"[\[({{<]\s*+(?:at|@|arroba|dot|punkt|point|punto|\.)\s*+[\])}}>]|\s(?:dot|punkt|punto)\s|_(?:at|dot)_|\s@|@\s", re.I)
 #: A network address with a disguised stop, in digits or in words, of which a part has three at most.
 _STOP = rf"(?:{_DOT}|\.)"
 _PART = rf"(?:[0-9]{{1,3}}|(?:{_WORD})(?:[ -](?:{_WORD})){{0,2}})"

@@ -37,6 +37,8 @@ class Rule:
     least: int
     version: int = 1
     base: bool = True
+    #: What a text must hold for the pattern to be looked for at all; the pattern itself if empty.
+    seen: str = ""
 
     @property
     def name(self) -> str:
@@ -47,28 +49,40 @@ class Rule:
 BASE_RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", r"[0-9a-f]+", 0, 16),
+    Rule("hex", r"[0-9a-f]+", 0, 16, seen=r"[0-9a-f]{16}"),
 )
 #: Public formats beyond the base kinds.
 MORE_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, base=False),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, base=False),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, base=False),
+    # other words are matched as a whole, without the group, so that a token begins where a word does
+    Rule("jwt", r"(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)|[A-Za-z0-9_-]+", 1, 30, version=2, base=False, seen=r"\.eyJ[A-Za-z0-9_-]"),
 )
 RULES = BASE_RULES + MORE_RULES
 #: One row per blob and scan: the rules (kind@version) that were run, and what they found.
 LEDGER = "blob string, rules array<string>, findings array<struct<start:int,end:int,rule:string>>"
 _NONE = "cast(array() as array<struct<start:int,end:int,rule:string>>)"
+_NONES = "cast(array() as array<array<struct<start:int,end:int,rule:string>>>)"
 
 
 def _sql(text: str) -> str:
     return "r'" + text.replace("'", "\\x27") + "'"
 
 
-def _least_pattern(rule: Rule) -> str:
-    """For the test whether a text has anything to look at; a run shorter than the least length
-    of a rule that is one character class is not."""
-    return f"{rule.pattern[:-1]}{{{rule.least},}}" if rule.kind == "hex" else rule.pattern
+#: Elements that are gathered in one array before arrays are put together: what a fold has gathered is copied at each
+#: step, so gathering n in blocks costs n times this, and not n squared.
+_BLOCK = 256
+
+
+def _let(value: str, name: str, then: str) -> str:
+    """SQL of ``then``, in which ``name`` is a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {then}), 1)"
+
+
+def _in_blocks(array: str, state: str, then: str) -> str:
+    """SQL that folds over blocks of an array: ``then`` is the state after the block q, from the state o."""
+    block = _let(f"slice(whole, CAST(k AS INT) * {_BLOCK} + 1, {_BLOCK})", "q", then)
+    return _let(array, "whole", f"aggregate(sequence(0, (size(whole) - 1) div {_BLOCK}), {state}, (o, k) -> {block})")
 
 
 def _findings(rule: Rule) -> str:
@@ -77,9 +91,10 @@ def _findings(rule: Rule) -> str:
     parts = f"arrays_zip(regexp_extract_all(text, {pattern}, 0), regexp_extract_all(text, {pattern}, {rule.group}), split(text, {pattern}, -1))"
     parts = f"transform(filter({parts}, x -> x['0'] IS NOT NULL), x -> struct(length(x['2']) AS p, length(x['0']) AS m, length(x['1']) AS g))"
     found = f"struct(a.at + x.p AS start, a.at + x.p + x.m AS end, '{rule.name}' AS rule)"
-    step = f"struct(a.at + x.p + x.m AS at, if(x.g >= {rule.least}, concat(a.found, array({found})), a.found) AS found)"
-    spans = f"aggregate({parts}, struct(0 AS at, {_NONE} AS found), (a, x) -> {step}, a -> a.found)"
-    return f"CASE WHEN array_contains(missing, '{rule.name}') AND text RLIKE {_sql(_least_pattern(rule))} THEN {spans} ELSE {_NONE} END"
+    each = f"struct(a.at + x.p + x.m AS at, if(x.g >= {rule.least}, concat(a.found, array({found})), a.found) AS found)"
+    block = _let(f"aggregate(q, struct(o.at AS at, {_NONE} AS found), (a, x) -> {each})", "r", "struct(r.at AS at, concat(o.found, array(r.found)) AS found)")
+    spans = f"flatten({_in_blocks(parts, f'struct(0 AS at, {_NONES} AS found)', block)}.found)"
+    return f"CASE WHEN array_contains(missing, '{rule.name}') AND text RLIKE {_sql(rule.seen or rule.pattern)} THEN {spans} ELSE {_NONE} END"
 
 
 def versions_of(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,12 +156,13 @@ def _hits(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     asked = F.filter("findings", lambda x: F.array_contains(_names(rules), x["rule"]))
     hits = ledger.select("blob", asked.alias("findings")).where(F.size("findings") > 0)
     # several scans may have rows of one blob, and a repeated scan the same ones
-    hits = hits.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("findings"))).alias("findings"))
+    hits = hits.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("findings"))).alias("findings"))
+    hits = hits.withColumn("findings", F.expr("filter(findings, (x, i) -> i = 0 OR x <> get(findings, i - 1))"))
     named = F.transform(
         "findings",
         lambda x: F.struct(x["start"].alias("start"), F.array_position(_names(rules), x["rule"]).alias("ord"), F.substring_index(x["rule"], "@", 1).alias("kind"), x["end"].alias("end")),
     )
-    return hits.select("blob", F.array_sort(named).alias("findings"))
+    return hits.select("blob", F.sort_array(named).alias("findings"))
 
 
 def with_findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -189,12 +205,13 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     blob, spans = unused(names, "_blob", "_spans")
     hits = _hits(merged(ledger, scan(versions_of(docs), ledger, rules)), rules).toDF(blob, spans)
     joined = spread_join(docs.withColumn(blob, F.sha2(text_of(), 256)), hits, blob, "doc_id")
-    # (text so far, end of the last finding): findings are sorted by start
-    step = (
-        "(a, x) -> struct(if(x.start >= a.at, "
-        f"concat(a.out, substring(text, a.at + 1, x.start - a.at), {_sql(mark)}), a.out) AS out, greatest(a.at, x.end) AS at)"
-    )
-    clean = f"aggregate({spans}, struct('' AS out, 0 AS at), {step}, a -> concat(a.out, substring(text, a.at + 1)))"
+    # a block of findings works on the text from the end of what was replaced before it up to its own last end
+    each = f"struct(greatest(a.at, x.end) AS at, if(x.start >= a.at, concat(a.found, array(substring(part, a.at - o.at + 1, x.start - a.at), {_sql(mark)})), a.found) AS found)"
+    after = "struct(r.at AS at, substring(o.rest, r.at - o.at + 1) AS rest, concat(o.found, array(array_join(r.found, ''))) AS found)"
+    block = _let(f"aggregate(q, struct(o.at AS at, cast(array() as array<string>) AS found), (a, x) -> {each})", "r", after)
+    block = _let("substring(o.rest, 1, greatest(array_max(transform(q, x -> x.end)) - o.at, 0))", "part", block)
+    pieces = _in_blocks(spans, "struct(0 AS at, text AS rest, cast(array() as array<string>) AS found)", block)
+    clean = _let(pieces, "z", "concat(array_join(z.found, ''), z.rest)")
     return joined.withColumn("text", F.expr(f"CASE WHEN {spans} IS NULL THEN text ELSE {clean} END")).select(*[f"`{c}`" for c in names])
 
 

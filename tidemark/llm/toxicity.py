@@ -56,11 +56,32 @@ HOMOGLYPHS = {
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
 _FOLD = str.maketrans(HOMOGLYPHS | {c: "" for c in "​‌‍⁠﻿­"})
 _LEET = str.maketrans(LEET)
-_DISGUISED = re.compile(r"[^\W_]*[0-9@$!|]+(?=[^\W\d_])(?:[@$!|]*\w)*")
+_SIGNS = "0123456789@$!|"
+#: A digit or sign before a letter, and what may follow it up to the end of its word.
+_TURN = re.compile(r"[0-9@$!|](?=[^\W\d_])")
+_TAIL = re.compile(r"(?:[@$!|]*+\w)*+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_-]){3,}[^\W\d_](?![^\W_])")
 _OTHER = re.compile(r"[\W_]+")
 
 
+def _undisguised(text: str) -> str:
+    """Digits and signs of a word for the letters that they stand for, if a letter follows one of them. Of a word
+    of letters, digits and signs, what stands before the signs at its first such place counts, and all that
+    follows up to the last letter or digit; each character is visited a few times at most."""
+    parts, done = [], 0
+    for turn in _TURN.finditer(text):
+        if (start := turn.end()) <= done:
+            continue  # in a word that has been dealt with
+        while start > done and text[start - 1] in _SIGNS:
+            start -= 1
+        while start > done and text[start - 1].isalnum():
+            start -= 1
+        end = _TAIL.match(text, turn.end()).end()
+        parts += [text[done:start], text[start:end].translate(_LEET)]
+        done = end
+    return "".join([*parts, text[done:]]) if parts else text
+
+
 def fold(text: str) -> str:
     """The text as words of plain letters with one space around each."""
     if not text.isascii():
@@ -71,7 +92,7 @@ def fold(text: str) -> str:
     if not text.isalpha():
         text = _SPACED.sub(lambda m: re.sub(r"[ .*_-]", "", m[0]), text)
         # digits and signs stand for letters only where a letter follows
-        text = _DISGUISED.sub(lambda m: m[0].translate(_LEET), text)
+        text = _undisguised(text)
     return f" {_OTHER.sub(' ', text).strip()} "
 
 
