@@ -84,5 +84,5 @@ def test_no_tokens_at_all(spark):
 
 def test_other_kinds_of_vocabulary_are_refused(tmp_path):
     spec = json.loads(alignment.read_description(A)) | {"normalizer": {"type": "NFC"}}
-    with open(B, "rb") as f, pytest.raises(ValueError, match="blank"):
+    with open(B, "rb") as f, pytest.raises(ValueError, match="cut"):
         alignment.Segments(json.dumps(spec), f.read())

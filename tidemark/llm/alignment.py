@@ -1,7 +1,8 @@
 """Alignment of two tokenizers over a corpus, counted in sorted runs on disk.
 
-Texts are cut at single blanks between other characters. No token of either side reaches over such a cut, so a
-segment's tokens, groups and links are found once and kept, and a document is the sum of its segments.
+Texts are cut where no token of either side can reach over: before single blanks, between a letter and a stop,
+and around line ends. So a segment's tokens, groups and links are found once and kept, and a document is the
+sum of its segments.
 
 Each task gathers pair-document records (pair of ids, document, how often) and spills them as a run: sorted by the
 radix of the A id, the A id and the B id, a compressed piece for each radix. Runs are files of the shared
@@ -21,7 +22,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, groupby
+from itertools import chain, groupby
 from operator import itemgetter
 from typing import NamedTuple
 
@@ -39,17 +40,21 @@ from tidemark.llm.common import id_and_text
 from tidemark.work import saved
 
 #: Documents and records of a run, bytes of text that are cut at a time, segments kept in a worker: a task's memory.
-RUN_DOCS, RUN_RECORDS, SLICE, KEPT = 4096, 3_000_000, 4 << 20, 300_000
+RUN_DOCS, RUN_RECORDS, SLICE, KEPT = 4096, 3_000_000, 4 << 20, 400_000
 #: Lists that meet in one merge.
 FAN = 128
 _RADIX = 6  # bits
-_CUT = re.compile(r" (?<=\S )(?=\S)")
+_LETTER, _STOP = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r".,;:!?"
+#: Segments of a text with a blank before it: letters up to a stop, line end or single blank; stops up to a line end or
+#: single blank; a line end; anything up to a single blank. Blanks belong to what follows.
+_SEGMENT = re.compile(rf" ?[{_LETTER}]+(?=[{_STOP}\n]| \S|\Z)| ?[{_STOP}]+(?=\n| \S|\Z)|\n(?=\S)|.+?(?:(?<=\S)(?= \S)|\Z)", re.S)
+_ACROSS = re.compile(rf"[{_LETTER}][{_STOP}]|\n|.\u2581")
 _DOC = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _RUN = f"run long, part int, pairs binary, held binary, docs binary, times binary, place int, {_DOC}"
 
 
 class Segments:
-    """Tokens, groups and links of segments, each found once. A segment is named without the blank before it."""
+    """Tokens, groups and links of segments, each found once."""
 
     def __init__(self, byte_bpe: str, piece_bpe: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,53 +63,82 @@ class Segments:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_bpe)
         spec = json.loads(byte_bpe)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        inner = [p for p in pieces if "▁" in p.lstrip("▁")]
+        inner = [p for p in pieces if _ACROSS.search(p.lstrip("▁"))]
         if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or not spec["pre_tokenizer"]["use_regex"] or inner or max(len(pieces), self.a.get_vocab_size()) > 1 << 16:
-            raise ValueError("tokens may reach over a blank, or ids pass 16 bits")
+            raise ValueError("tokens may reach over a cut, or ids pass 16 bits")
         byte_of = {letter: b for b, letter in enumerate(_byte_letters())}
-        self.a_bytes = {i: bytes(map(byte_of.__getitem__, t)) if all(c in byte_of for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        a_bytes = {i: bytes(map(byte_of.__getitem__, t)) if all(c in byte_of for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        self.a_bytes = [a_bytes.get(i, b"") for i in range(max(a_bytes) + 1)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_lengths, self.b_lengths = (np.array([*map(len, x)]) for x in (self.a_bytes, self.b_bytes))
+        # how ids are written in lists: an A id before another or before the B ids, a B id before another, before a group, last
+        written = [f"{i}{c}" for i in range(len(self.a_bytes)) for c in ",|"] + [f"{i}{c}" for i in range(len(pieces)) for c in ",;\n"]
+        self.written = np.array(written, object)
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.text: list[str] = []  # of groups
-        self.sizes = array("q")  # tokens of A and B, groups, links; 0 groups if the tokens' bytes are not the text's
-        self.pairs, self.times, self.ends = array("L"), array("L"), array("q", [0])
+        self.sizes = array("i")  # tokens of A and B, groups, links; 0 groups if the tokens' bytes are not the text's
+        self.pairs, self.ends = array("I"), array("q", [0])
 
     def codes(self, segments: list[str]) -> np.ndarray:
         """The number of each segment, new ones added."""
         new = [s for s in set(segments) if s not in self.index]
         if new:
-            both = zip(new, self.a.encode_batch([f" {s}" for s in new], add_special_tokens=False), self.b.encode(new, num_threads=1), strict=True)
-            for segment, a, b in both:
-                self._add(segment, a.ids, b)
+            self._add(new)
         return np.fromiter(map(self.index.__getitem__, segments), np.int32, len(segments))
 
-    def _add(self, segment: str, a: list[int], b: list[int]) -> None:
-        self.index[segment] = len(self.text)
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        groups, links = [], {}
-        if b"".join(a_bytes) == b"".join(b_bytes) == b" " + segment.encode():
-            a_ends, b_ends = [*accumulate(map(len, a_bytes))], [*accumulate(map(len, b_bytes))]
-            i = j = i0 = j0 = 0
-            while i < len(a):  # the tokens i and j overlap
-                code = pair_code(a[i], b[j])
-                links[code] = links.get(code, 0) + 1
-                step = a_ends[i] - b_ends[j]
-                i, j = i + (step <= 0), j + (step >= 0)
-                if not step:
-                    groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-                    i0, j0 = i, j
-        self.text.append(";".join(groups))
-        self.sizes.extend((len(a), len(b), len(groups), sum(links.values())))
-        self.pairs.extend(links)
-        self.times.extend(links.values())
-        self.ends.append(len(self.pairs))
-
-
-def pair_code(a: int, b: int) -> int:
-    """A number for a pair of ids whose first bits are the radix of a; pairs of one a are neighbours."""
+    def _add(self, new: list[str]) -> None:
+        a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
+        # this side puts a blank before a text; two tokens, the blank and a line end, precede what has none
+        b = self.b.encode([s[1:] if s[0] == " " else f"\n{s}" for s in new], num_threads=1)
+        b = [ids if s[0] == " " else ids[2:] for s, ids in zip(new, b, strict=True)]
+        if not (self._bytes(a, self.a_bytes) == self._bytes(b, self.b_bytes) == "".join(new).encode()):
+            same = [self._bytes([x], self.a_bytes) == self._bytes([y], self.b_bytes) == s.encode() for s, x, y in zip(new, a, b, strict=True)]
+            for s in (s for s, ok in zip(new, same, strict=True) if not ok):
+                self.index[s] = len(self.text)
+                self.text.append("")
+                self.sizes.extend((0, 0, 0, 0))
+                self.ends.append(len(self.pairs))
+            new, a, b = ([x for x, ok in zip(xs, same, strict=True) if ok] for xs in (new, a, b))
+        if new:
+            self.index |= {s: len(self.text) + i for i, s in enumerate(new)}
+            self._align(a, b)
+
+    @staticmethod
+    def _bytes(ids: list[list[int]], spelled: list[bytes]) -> bytes:
+        return b"".join(map(spelled.__getitem__, chain.from_iterable(ids)))
+
+    def _align(self, a: list[list[int]], b: list[list[int]]) -> None:
+        """Groups and links of segments whose tokens spell them, all at once: positions are bytes of the
+        segments put one after another."""
+        (a_ids, a_counts), (b_ids, b_counts) = _flat(a), _flat(b)
+        a_ends, b_ends = np.cumsum(self.a_lengths[a_ids]), np.cumsum(self.b_lengths[b_ids])
+        last = a_ends[np.cumsum(a_counts) - 1]  # of each segment
+        common = np.intersect1d(a_ends, b_ends, assume_unique=True)  # where groups end
+        every = np.union1d(a_ends, b_ends)  # what lies between two of them is the overlap of a pair
+        links = pair_code(a_ids[np.searchsorted(a_ends, every)], b_ids[np.searchsorted(b_ends, every)]).astype(np.uint32)
+        n_groups, n_links = (np.bincount(np.searchsorted(last, x), minlength=len(last)) for x in (common, every))
+        a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+        # the ids of A and of B, group by group, and what is written after each
+        order = np.empty(len(a_ids) + len(b_ids), np.int64)
+        order[np.arange(len(a_ids)) + np.searchsorted(b_group, a_group)] = 2 * a_ids + (common[a_group] == a_ends)
+        after = (common[b_group] == b_ends).astype(np.int64)
+        after[np.cumsum(b_counts) - 1] = 2
+        order[np.arange(len(b_ids)) + np.searchsorted(a_group, b_group, side="right")] = 2 * len(self.a_bytes) + 3 * b_ids + after
+        self.text += "".join(self.written[order].tolist()).split("\n")[:-1]
+        self.sizes.frombytes(np.stack([a_counts, b_counts, n_groups, n_links], axis=1).astype(np.int32).tobytes())
+        self.ends.frombytes((np.cumsum(n_links) + len(self.pairs)).astype(np.int64).tobytes())
+        self.pairs.frombytes(links.tobytes())
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(lists), np.int64), np.array([*map(len, lists)], np.int64)
+
+
+def pair_code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers for pairs of ids whose first bits are the radix of a; pairs of one a are neighbours."""
     return (a & ((1 << _RADIX) - 1)) << 26 | a >> _RADIX << 16 | b
 
 
@@ -134,10 +168,10 @@ class _Run:
         self.records = 0
 
     def add(self, ids: list, texts: list[str], segments: Segments) -> None:
-        cut = [_CUT.split(t) for t in texts]
+        cut = [_SEGMENT.findall(f" {t}") for t in texts]
         counts = np.array([len(c) for c in cut])
         codes = segments.codes([s for c in cut for s in c])
-        sizes = np.frombuffer(segments.sizes, np.int64).reshape(-1, 4)[codes]
+        sizes = np.frombuffer(segments.sizes, np.int32).reshape(-1, 4)[codes].astype(np.int64)
         starts = np.cumsum(counts) - counts
         sums, whole = np.add.reduceat(sizes, starts), np.minimum.reduceat(sizes[:, 2], starts) > 0
         whole &= np.array([bool(t) for t in texts])
@@ -154,9 +188,8 @@ class _Run:
         code, ends = distinct & 0xFFFFFFFF, np.frombuffer(segments.ends, np.int64)
         n = ends[code + 1] - ends[code]
         at = np.arange(n.sum()) + np.repeat(ends[code] - (np.cumsum(n) - n), n)
-        keys = np.frombuffer(segments.pairs, np.uint64)[at] << np.uint64(32) | np.repeat(distinct >> 32, n).astype(np.uint64)
-        times = np.frombuffer(segments.times, np.uint64)[at] * np.repeat(often, n).astype(np.uint64)
-        keys, times = _summed(keys, times)
+        keys = np.frombuffer(segments.pairs, np.uint32)[at].astype(np.uint64) << np.uint64(32) | np.repeat(distinct >> 32, n).astype(np.uint64)
+        keys, times = _summed(keys, np.repeat(often, n).astype(np.uint64))
         self.keys.append(keys)
         self.times.append(times)
         self.records += len(keys)
