@@ -301,6 +301,76 @@ def test_overlapping_validity(spark, op, open_ended):
         assert got[i] == (max(fits)[1] if fits else None), (i, k, t)
 
 
+def odd_rows(n: int, seed: int):
+    """Rows of both sides with null keys, null times and null or empty intervals, nine of ten under one key."""
+    import random
+
+    rng = random.Random(seed)
+    key = lambda: rng.choice([None, 0, 0, 0, 0, 0, 0, 0, 0, 1])
+    time = lambda: rng.choice([None, *range(60)])
+    left = [(i, key(), time()) for i in range(n)]
+    return left, [(key(), f := time(), rng.choice([None, f, *([] if f is None else [f - 1, f + 1, f + rng.randrange(1, 9), f + rng.randrange(1, 70)])]), i) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_nulls_and_hot_keys_as_in_sql(spark, monkeypatch, hot):
+    """All forms of time joins agree with SQL on null keys, null times and overlaps, whether or not hot keys
+    are divided, which takes no setting."""
+    import duckdb
+
+    if hot:
+        monkeypatch.setattr(J, "HOT_ROWS", 60)
+    monkeypatch.setattr(J, "COUNTED_BYTES", 0)
+    left, dim = odd_rows(500, 11)
+    rows = spark.createDataFrame(left, "id int, k int, t int").repartition(3)
+    facts = spark.createDataFrame(dim, "k int, f int, u int, v int").repartition(2)
+    c = duckdb.connect()
+    c.sql("CREATE TABLE l (id int, k int, t int)")
+    c.sql("CREATE TABLE d (k int, f int, u int, v int)")
+    c.executemany("INSERT INTO l VALUES (?, ?, ?)", left)
+    c.executemany("INSERT INTO d VALUES (?, ?, ?, ?)", dim)
+
+    def sql(on: str, ascending: bool = False) -> list:
+        way = "ASC" if ascending else "DESC"
+        return sorted(c.sql(f"SELECT id, v FROM l LEFT JOIN d ON l.k = d.k AND {on} QUALIFY row_number() OVER (PARTITION BY id ORDER BY f {way}, v {way}) = 1").fetchall(), key=repr)
+
+    def got(df) -> list:
+        return sorted(((r.id, r.v) for r in df.collect()), key=repr)
+
+    for op in ("<=", "<", ">=", ">"):
+        assert got(J.asof(rows, facts, ["k"], "t", "f", op, {"v": "v"}, "v")) == sql(f"f {op} t", op[0] == ">"), op
+        assert got(J.asof(rows, facts, ["k"], "t", "f", op, {"v": "v"}, "v", slices=7)) == sql(f"f {op} t", op[0] == ">"), op
+    assert got(J.asof_pruned(rows, facts, ["k"], "t", "f", {"v": "v"}, "v")) == sql("f <= t")
+    best = sorted(c.sql("SELECT id, v FROM l ASOF LEFT JOIN (SELECT k, f, max(v) AS v FROM d GROUP BY ALL) x ON l.k = x.k AND l.t >= x.f").fetchall(), key=repr)
+    assert best == sql("f <= t")
+    for slices in (None, 7):
+        for is_open in (True, False):
+            until = "(u IS NULL OR t < u)" if is_open else "t < u"
+            for op in ("<=", ">=", ">"):
+                found = J.scd(rows, facts, ["k"], "t", "f", "u", op, is_open, fetch={"v": "v"}, tie="v", slices=slices)
+                assert got(found) == sql(f"f {op} t AND {until}"), (op, is_open, slices)
+    with pytest.raises(ValueError, match="overlap"):
+        J.scd(rows, facts, ["k"], "t", "f", "u", fetch={"v": "v"}, overlapping=False, check=True)
+    apart = facts.where("f % 5 = 0").withColumn("u", F.col("f") + 4).dropDuplicates(["k", "f"])
+    same = [got(J.scd(rows, apart, ["k"], "t", "f", "u", fetch={"v": "v"}, overlapping=o, check=not o)) for o in (True, False)]
+    assert same[0] == same[1] and sum(v is not None for _, v in same[0]) > 100
+
+
+def test_a_hot_key_is_many_tasks(spark, monkeypatch):
+    """Nine rows of ten have one key: slices are even, and only hot keys are divided."""
+    monkeypatch.setattr(J, "HOT_ROWS", 1000)
+    monkeypatch.setattr(J, "COUNTED_BYTES", 0)
+    rows = spark.range(20_000).selectExpr("id", "IF(id % 10 > 0, 0, id) AS k", "CAST(pow(id, 1.5) AS BIGINT) AS t")
+    keyed = [J._keyed(rows, ["k"], "t")] * 2
+    by = ["_k0", "_void"]
+    parts = J._divided(keyed, by, None)
+    sizes = [r["count"] for r in parts[0].unionByName(parts[1]).where("_k0 = 0").groupBy("_slice").count().collect()]
+    assert len(sizes) == 37 and max(sizes) < 1300  # 36,002 rows
+    assert parts[0].where("_k0 <> 0 AND _slice > 0").isEmpty()
+    plan = plan_of(J.asof(rows, rows.selectExpr("k", "t AS f", "id AS v"), ["k"], "t", "f", "<=", {"v": "v"}))
+    assert "_slice" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_database_in_parallel_and_back(spark):
     """A real database: read by a grid's cells, changes staged and taken over in one transaction, twice."""
     from tidemark.sources.readers import cell_predicates, read_jdbc

@@ -182,17 +182,17 @@ def _scd(spark: SparkSession, d: str, ahead: int = 1, **options: object) -> Data
 
 @query(_scd_sql("s.valid_from <= e.ts AND (s.valid_to IS NULL OR e.ts < s.valid_to)"))
 def scd_join(spark: SparkSession, d: str) -> DataFrame:
-    return _scd(spark, d)
+    return _scd(spark, d, overlapping=False)
 
 
 @query(_scd_sql("s.valid_from <= e.ts AND e.ts < s.valid_to"))
 def scd_join_closed_only(spark: SparkSession, d: str) -> DataFrame:
-    return _scd(spark, d, open_ended=False)
+    return _scd(spark, d, open_ended=False, overlapping=False, check=True)
 
 
 @query(_scd_sql("s.valid_from <= e.ts AND (s.valid_to IS NULL OR e.ts < s.valid_to)", 2))
 def scd_overlap_latest(spark: SparkSession, d: str) -> DataFrame:
-    return _scd(spark, d, 2, overlapping=True)
+    return _scd(spark, d, 2)
 
 
 @query(_scd_sql("s.valid_from >= e.ts AND (s.valid_to IS NULL OR e.ts < s.valid_to)"))
