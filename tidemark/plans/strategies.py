@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.aggregate import grouped
 from tidemark.operators.diff import bucket_diff, bucket_hashes, hash_changes, row_diff
+from tidemark.operators.increments import rows_of_groups
 from tidemark.plans.bounds import greatest
 from tidemark.sources.readers import has_data
 from tidemark.spec import Dimension
@@ -51,12 +52,11 @@ def auto(src: DataFrame, dst: DataFrame, dims: list[Dimension], keys: list[str],
 
 def aggregate_delta(src: DataFrame, dst: DataFrame, watermark: str, dst_watermark: str, keys: dict[str, str], aggregates: dict[str, str], hashed: list[str] | None = None, hash_name: str = "group_hash") -> DataFrame:
     """Groups that changed rows affect, aggregated again over all their rows, tagged M. Their keys are
-    written once."""
+    written once, and bound what is read of the source again (``rows_of_groups``). Where the rows that changes
+    replace are known, ``tidemark.operators.increments`` needs no rows of groups at all."""
     new = _since(src, watermark, dst, dst_watermark)
-    keyed = src.withColumns({f"_g_{n}": F.expr(e) for n, e in keys.items()})
-    affected = saved(new.select(*[F.expr(e).alias(f"_g_{n}") for n, e in keys.items()]).distinct())
-    rows = keyed.join(affected, [f"_g_{n}" for n in keys], "left_semi")
-    return grouped(rows, keys, aggregates, hashed, hash_name).withColumn("change_type", F.lit("M"))
+    affected = saved(new.select(*[F.expr(e).alias(n) for n, e in keys.items()]).distinct())
+    return grouped(rows_of_groups(src, affected, keys), keys, aggregates, hashed, hash_name).withColumn("change_type", F.lit("M"))
 
 
 def aggregate_delta_changed(fresh: DataFrame, dst: DataFrame, keys: list[str], hash_name: str, affected: DataFrame | None = None) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import hashing as H
 from tidemark.functions.buckets import floor_div
 from tidemark.operators import diff as D
+from tidemark.operators import tree
 from tidemark.queries.registry import BLOCKS_SQL, HASHED, PAIR_SQL, dst, hash_sql, query, src, table, text_sql
 from tidemark.queries.scans import _ROWS_SQL
 from tidemark.spec import Dimension
+from tidemark.work import folder
 
 BY_100 = [Dimension("id", 100)]
 _O = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"]
@@ -160,15 +162,26 @@ def _level_sql(name: str, id_: str, where: str) -> str:
 _TOP, _SUB = "CAST(id // 1000 AS VARCHAR)", "CAST(id // 1000 AS VARCHAR) || '-' || CAST(id // 100 AS VARCHAR)"
 
 
-@query(
+_DRILL_SQL = (
     f"""WITH {PAIR_SQL}, {_level_sql('l0', _TOP, '')}, big AS (SELECT partition_id FROM l0 WHERE status IN ('A', 'M') AND num_rows > 500),
     {_level_sql('l1', _SUB, f'WHERE {_TOP} IN (SELECT partition_id FROM big)')}
     SELECT *, 0 AS level FROM l0 WHERE partition_id NOT IN (SELECT partition_id FROM big) UNION ALL SELECT *, 1 AS level FROM l1"""
 )
+
+
+@query(_DRILL_SQL)
 def partition_diff_drill(spark: SparkSession, d: str) -> DataFrame:
     return D.drill(src(spark, d), dst(spark, d), [[Dimension("id", 1000)], BY_100], HASHED, 500)
 
 
+@query(_DRILL_SQL)
+def hash_tree_drill(spark: SparkSession, d: str) -> DataFrame:
+    """The same from trees of hashes that are kept: the source's was built before 1997 and is renewed."""
+    levels, s, path = [[Dimension("id", 1000)], BY_100], src(spark, d), folder(spark)
+    tree.renew(s.where("updated_at < TIMESTAMP_NTZ'1997-01-01'"), path, levels, HASHED, "updated_at")
+    return tree.drill_tree(tree.renew(s, path, levels, HASHED, "updated_at"), tree.leaves(dst(spark, d), levels, HASHED, digits=15), 2, 500)
+
+
 @query(f"{_FULL_SQL} {_CHANGED}")
 def hash_sync_drill(spark: SparkSession, d: str) -> DataFrame:
     return D.drill_changes(src(spark, d), dst(spark, d), [[Dimension("id", 1000)], BY_100], ["id"], HASHED, 500)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import increments
 from tidemark.operators.aggregate import grouped
-from tidemark.operators.diff import bucket_hashes
+from tidemark.operators.diff import bucket_hashes, row_diff
 from tidemark.operators.schema import evolve
 from tidemark.plans import audit
 from tidemark.plans import strategies as S
@@ -124,6 +125,35 @@ def sync_agg_hash(spark: SparkSession, d: str) -> DataFrame:
     return S.aggregate_hash(table(spark, d, "orders"), _agg_dst(spark, d), [Dimension("o_custkey", 20)], [Dimension("cust_id", 20)], _HASHED, "checksum")
 
 
+#: Groups that sets of changes keep up to date.
+_BY_CUSTOMER = increments.Groups(
+    {"cust_id": "cust_id", "status": "status"},
+    {"ids": increments.Measure("sum", "id"), "smallest": increments.Measure("min", "id"), "largest": increments.Measure("max", "id"), "first": increments.Measure("min", "updated_at"), "last": increments.Measure("max", "updated_at")},
+    ("id", "status"),
+)
+_BY_CUSTOMER_SQL = f"SELECT cust_id, status, count(*) AS num_rows, CAST(sum(id) AS BIGINT) AS ids, count(id) AS ids__n, min(id) AS smallest, max(id) AS largest, min(updated_at) AS first, max(updated_at) AS last, CAST(sum({hash_sql(['id', 'status'])}) AS BIGINT) AS checksum FROM {{t}} GROUP BY 1, 2"
+
+
+def _increments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Groups of the destination, and what the changes that bring it in step with the source make of them."""
+    s, t = src(spark, d), dst(spark, d)
+    stored = saved(_BY_CUSTOMER.of(t))
+    return stored, saved(increments.merged(stored, row_diff(s, t, ["id"], HASHED, old=True), s, _BY_CUSTOMER))
+
+
+@query(f"WITH {PAIR_SQL} {_BY_CUSTOMER_SQL.format(t='src')}")
+def sync_agg_signed(spark: SparkSession, d: str) -> DataFrame:
+    stored, changed = _increments(spark, d)
+    return apply_changes(stored, changed, ["cust_id", "status"])
+
+
+@query(f"""WITH {PAIR_SQL}, n AS ({_BY_CUSTOMER_SQL.format(t="src")}), o AS ({_BY_CUSTOMER_SQL.format(t="dst")})
+SELECT coalesce(n.cust_id, o.cust_id) AS cust_id, coalesce(n.status, o.status) AS status, CASE WHEN o.cust_id IS NULL THEN 'A' WHEN n.cust_id IS NULL THEN 'D' ELSE 'M' END AS change_type
+FROM n FULL JOIN o ON n.cust_id = o.cust_id AND n.status = o.status WHERE o.cust_id IS NULL OR n.cust_id IS NULL OR n.checksum <> o.checksum""")
+def sync_agg_signed_changes(spark: SparkSession, d: str) -> DataFrame:
+    return _increments(spark, d)[1].select("cust_id", "status", "change_type")
+
+
 @query("SELECT o_orderkey, o_orderstatus, CAST(NULL AS VARCHAR) AS note, CAST(NULL AS BIGINT) AS score FROM orders")
 def schema_evolve_add(spark: SparkSession, d: str) -> DataFrame:
     old = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
