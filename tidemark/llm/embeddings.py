@@ -5,9 +5,14 @@ spherical k-means on a bounded sample; every vector belongs to the cell of its n
 also visits each other cell in which a vector within the threshold's angle may lie. A vector u of
 cell c has u.c >= u.d for every other centre d; so if v, of cell d, is within the angle a of u,
 v.(d - c) <= sin(a) |d - c|. Cells in which this holds for no such u are not visited, and no link is
-lost. Labels of very many vectors have two levels of centres: cells are divided again around centres of
-their own, and the same bound holds among these. Within a cell, home vectors are compared with home vectors and visitors in blocks, in double
-precision.
+lost; of two cells only the lower-numbered one is visited from the other. Labels of very many vectors have two
+levels of centres: cells are divided again around centres of their own, and the same bound holds among
+these. Within a cell, blocks of home vectors are compared with each other and with blocks of visitors, in
+double precision; visitors are never compared with visitors.
+
+Cells must pay: rows that blocks deal out are estimated on vectors of the sample that centres were not fitted on, for
+several sizes of cells, and a label has cells only if they save half of what its plain blocks deal out. What
+they do deal out is counted then, and a label that would be better off without them goes without.
 
 Scale: cells are cut into blocks of bounded size and a task holds two. Tasks emit, per vector, how
 many links it has in the block pair and the least vector of its local component, never pairs.
@@ -59,9 +64,15 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_centres(marks: DataFrame, cell: int = CELL, most_cells: int = MOST_CELLS, sample: int = SAMPLE) -> Centres:
-    """Centres per label and dimension, as many as its number of vectors asks for. Labels with less
-    than two cells need none, and are not sampled."""
+def dealt_rows(home: np.ndarray, visitors: np.ndarray, block: int) -> int:
+    """Rows that cells with so many home vectors and visitors deal to pairs of blocks."""
+    own, others = -(-home // block), -(-visitors // block)
+    return int((home * (own + others) + visitors * own).sum())
+
+
+def fit_centres(marks: DataFrame, cell: int = CELL, most_cells: int = MOST_CELLS, sample: int = SAMPLE, threshold: float = THRESHOLD, block: int = BLOCK) -> Centres:
+    """Centres per label and dimension, as many as pay; none for labels in which none do. Labels with less
+    than two cells are not sampled."""
     sizes = marks.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > cell)
     total = sizes.agg(F.sum("n")).first()[0] or 0
     if not total:
@@ -73,7 +84,23 @@ def fit_centres(marks: DataFrame, cell: int = CELL, most_cells: int = MOST_CELLS
     found: dict[tuple[str, int], tuple[int, list]] = {}
     for r in chosen.select("label", "dim", "n", "embedding").collect():
         found.setdefault((r.label, r.dim), (r.n, []))[1].append(r.embedding)
-    return {key: _two_levels(_unit(v), n, cell, most_cells) for key, (n, v) in found.items()}
+    fitted = {key: _paying(_unit(v), n, cell, most_cells, threshold, block) for key, (n, v) in found.items()}
+    return {key: centres for key, centres in fitted.items() if centres is not None}
+
+
+def _paying(unit: np.ndarray, n: int, cell: int, most_cells: int, threshold: float, block: int) -> tuple[np.ndarray, list[np.ndarray]] | None:
+    """Centres for n vectors, fitted on one half of a sample and judged by the other; None if no size of
+    cells halves the rows that plain blocks deal out."""
+    fitted, best, least = unit[::2], None, dealt_rows(np.array([n]), np.array([0]), block) / 2
+    if len(unit) < 4 * SEEN:
+        return None
+    for size in (cell // 16, cell // 4, cell, 4 * cell):
+        centres = _two_levels(fitted, n, max(1, size), most_cells)
+        _, cells, home = downward(unit[1::2], centres, threshold)
+        counts = [np.bincount(cells[x], minlength=most_cells * MOST_CELLS) * (n / len(unit[1::2])) for x in (home, ~home)]
+        if (rows := dealt_rows(*(np.ceil(c).astype(np.int64) for c in counts), block)) < least:
+            best, least = centres, rows
+    return best
 
 
 def _two_levels(unit: np.ndarray, n: int, cell: int, most_cells: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -118,6 +145,15 @@ def visits(unit: np.ndarray, centres: tuple[np.ndarray, list[np.ndarray]], thres
     return np.concatenate(rows), np.concatenate(cells), np.concatenate(at_home)
 
 
+def downward(unit: np.ndarray, centres: tuple[np.ndarray, list[np.ndarray]], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``visits``, those at home and those to cells of lower numbers: two cells need meet only once."""
+    row, cell, own = visits(unit, centres, threshold)
+    number = np.empty(len(unit), np.int64)
+    number[row[own]] = cell[own]
+    kept = own | (cell < number[row])
+    return row[kept], cell[kept], own[kept]
+
+
 def _placed(marks: DataFrame, centres: Centres, threshold: float) -> DataFrame:
     """Every vector once for each cell that it is in."""
     shared = marks.sparkSession.sparkContext.broadcast(centres)
@@ -135,7 +171,7 @@ def _placed(marks: DataFrame, centres: Centres, threshold: float) -> DataFrame:
                 if key not in shared.value:
                     rows.append(at), cells.append(np.zeros(len(at), np.int64)), homes.append(np.ones(len(at), bool))
                     continue
-                r, c, home = visits(_unit(batch.column("embedding").take(pa.array(at)).to_pylist()), shared.value[key], threshold)
+                r, c, home = downward(_unit(batch.column("embedding").take(pa.array(at)).to_pylist()), shared.value[key], threshold)
                 rows.append(at[r]), cells.append(c), homes.append(home)
             if n:
                 take = pa.array(np.concatenate(rows))
@@ -149,44 +185,57 @@ def _placed(marks: DataFrame, centres: Centres, threshold: float) -> DataFrame:
     )
 
 
-def _block_links(ids: np.ndarray, weights: np.ndarray, home: np.ndarray, block: np.ndarray, unit: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links of each vector counted in this pair of blocks, root of its local component).
-
-    Links of two home vectors count here. Those of a home vector and a visitor count where the
-    lesser id is at home, so that the two cells of a pair that visits both ways count it once; two
-    visitors are met elsewhere.
-    """
-    n = len(ids)
+def _block_links(weights: np.ndarray, home: np.ndarray, block: np.ndarray, unit: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links of each vector counted in this pair of blocks, root of its local component). Blocks of home
+    vectors count the links between them, or within the one; a block of visitors counts those with the
+    home vectors."""
+    n = len(home)
     counts, roots = np.zeros(n, np.int64), np.arange(n)
+    side = block if home.all() else home
+    apart = side.min() != side.max()
     for a in range(0, n, 512):
         near = unit[a : a + 512] @ unit.T >= threshold
         i, j = np.nonzero(near)
         i += a
-        ok = i != j
-        if block.min() != block.max():
-            ok &= block[i] != block[j]
-        lesser = np.where(ids[i] < ids[j], i, j)
-        ok &= (home[i] & home[j]) | ((home[i] | home[j]) & home[lesser])
+        ok = side[i] != side[j] if apart else i != j
         i, j = i[ok], j[ok]
         np.add.at(counts, i, weights[j])
         roots = local_roots(n, i, j, roots)
     return counts, roots
 
 
+def _sizes(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("label", "dim", "cell").agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("others"))
+
+
+def placed_in_cells(marks: DataFrame, centres: Centres, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Every vector once for each cell that it is in, and the numbers of home vectors and visitors of cells. Labels
+    whose cells deal out more rows than plain blocks would go without cells."""
+    while True:
+        placed = durable(_placed(marks, centres, threshold))
+        sizes = durable(_sizes(placed))
+        blocks = lambda c: F.ceil(F.col(c) / block)
+        rows = F.sum(F.col("own") * (blocks("own") + blocks("others")) + F.col("others") * blocks("own"))
+        totals = sizes.groupBy("label", "dim").agg(rows.alias("rows"), F.sum("own").alias("n")).where(F.col("rows") > F.col("n") * blocks("n"))
+        worse = {(r.label, r.dim) for r in totals.collect()} & centres.keys() if centres else set()
+        if not worse:
+            return placed, sizes
+        centres = {k: c for k, c in centres.items() if k not in worse}
+
+
 def near_links(marks: DataFrame, centres: Centres, threshold: float, block: int = BLOCK) -> DataFrame:
     """(vec_id, n, root) per vector and pair of blocks in which it has links."""
-    placed = durable(_placed(marks, centres, threshold))
+    placed, sizes = placed_in_cells(marks, centres, threshold, block)
     cell = ["label", "dim", "cell"]
-    sizes = placed.groupBy(*cell).agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = (
-        placed.join(sizes, cell)
-        .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .withColumn("first", F.least("block", "_other"))
-        .withColumn("second", F.greatest("block", "_other"))
-        .drop("_other", "blocks")
-    )
-    keys = [*cell, "first", "second"]
+    blocks = sizes.select(*cell, *[F.ceil(F.col(c) / block).alias(f"n_{c}") for c in ("own", "others")]).where("n_own > 0")
+    numbered = placed.join(blocks, cell).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.when(F.col("home"), F.col("n_own")).otherwise(F.col("n_others"))))
+    # pairs of home blocks (kind 0), and of a home block with a block of visitors (kind 1)
+    with_own = "transform(sequence(0L, n_own - 1), j -> struct(0 AS kind, least(block, j) AS first, greatest(block, j) AS second))"
+    with_others = "IF(n_others > 0, transform(sequence(0L, n_others - 1), j -> struct(1 AS kind, block AS first, j AS second)), array())"
+    as_visitor = "transform(sequence(0L, n_own - 1), j -> struct(1 AS kind, j AS first, block AS second))"
+    dealt = numbered.withColumn("_to", F.explode(F.expr(f"IF(home, concat({with_own}, {with_others}), {as_visitor})")))
+    dealt = dealt.select("vec_id", "weight", *cell, "embedding", "home", "block", "_to.kind", "_to.first", "_to.second")
+    keys = [*cell, "kind", "first", "second"]
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +251,7 @@ def near_links(marks: DataFrame, centres: Centres, threshold: float, block: int
                 part = table.column("embedding").slice(a, b - a).combine_chunks()
                 unit = part.flatten().to_numpy().reshape(b - a, -1)
                 unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-                counts, roots = _block_links(ids[a:b], weights[a:b], home[a:b].astype(bool), blocks[a:b], unit, threshold)
+                counts, roots = _block_links(weights[a:b], home[a:b].astype(bool), blocks[a:b], unit, threshold)
                 some = counts > 0
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][some]), pa.array(counts[some]), pa.array(ids[a:b][roots[some]])], names=["vec_id", "n", "root"])
 
@@ -232,7 +281,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int
         rows.where("valid").groupBy("same").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
         .withColumn("dim", F.size("embedding")).withColumn("mark", F.monotonically_increasing_id())
     )
-    found = durable(near_links(marks.drop("vec_id").withColumnRenamed("mark", "vec_id"), fit_centres(marks, cell), threshold, block))
+    found = durable(near_links(marks.drop("vec_id").withColumnRenamed("mark", "vec_id"), fit_centres(marks, cell, threshold=threshold, block=block), threshold, block))
     counts = found.groupBy(F.col("vec_id").alias("mark")).agg(F.sum("n").alias("n"))
     classes = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("mark"), "component")
     named = marks.select("same", "mark", "vec_id", "weight").join(counts, "mark", "left").join(classes, "mark", "left")
