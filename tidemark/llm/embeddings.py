@@ -5,9 +5,8 @@ spherical k-means on a bounded sample; every vector belongs to the cell of its n
 also visits each other cell in which a vector within the threshold's angle may lie. A vector u of
 cell c has u.c >= u.d for every other centre d; so if v, of cell d, is within the angle a of u,
 v.(d - c) <= sin(a) |d - c|. Cells in which this holds for no such u are not visited, and no link is
-lost; of two cells only the lower-numbered one is visited from the other. Labels of very many vectors have two
-levels of centres: cells are divided again around centres of their own, and the same bound holds among
-these. Within a cell, blocks of home vectors are compared with each other and with blocks of visitors, in
+lost; of two cells only the lower-numbered one is visited from the other. Labels of very many vectors get
+their centres in two steps: the cells of the first ones are divided again around centres of their own. Within a cell, blocks of home vectors are compared with each other and with blocks of visitors, in
 double precision; visitors are never compared with visitors.
 
 Cells must pay: rows that blocks deal out are estimated on vectors of the sample that centres were not fitted on, for
@@ -94,7 +93,7 @@ def _paying(unit: np.ndarray, n: int, cell: int, most_cells: int, threshold: flo
     fitted, best, least = unit[::2], None, dealt_rows(np.array([n]), np.array([0]), block) / 2
     if len(unit) < 4 * SEEN:
         return None
-    for size in (cell // 16, cell // 4, cell, 4 * cell):
+    for size in (cell // 64, cell // 16, cell // 4, cell):
         centres = _two_levels(fitted, n, max(1, size), most_cells)
         _, cells, home = downward(unit[1::2], centres, threshold)
         counts = [np.bincount(cells[x], minlength=most_cells * MOST_CELLS) * (n / len(unit[1::2])) for x in (home, ~home)]
@@ -119,29 +118,25 @@ def visited(unit: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np
     """(nearest centre of each vector, which cells each vector is in, that one included)."""
     near = unit @ centres.T
     home = near.argmax(1)
-    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
+    apart = np.sqrt(np.maximum(2 - 2 * centres[home] @ centres.T, 0))
     sine = (1 - threshold * threshold) ** 0.5 if threshold > 0 else 1.0
-    inside = near[np.arange(len(unit)), home][:, None] - near <= sine * apart[home] + 1e-9
+    inside = near[np.arange(len(unit)), home][:, None] - near <= sine * apart + 1e-9
     inside[np.arange(len(unit)), home] = True
     return home, inside
 
 
 def visits(unit: np.ndarray, centres: tuple[np.ndarray, list[np.ndarray]], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, whether the row is at home there) for all cells of both levels that vectors are in. A
-    vector is at home in one cell. Within a cell that it visits it is compared with that cell's own
-    centres, as those that are at home there are."""
-    coarse, fine = centres
-    home, inside = visited(unit, coarse, threshold)
+    """(row, cell, whether the row is at home there) for all cells that vectors are in. A vector is at home in
+    the cell of the nearest of all centres of the second level, which are numbered by their first one."""
+    flat = np.concatenate(centres[1])
+    number = np.concatenate([i * MOST_CELLS + np.arange(len(f)) for i, f in enumerate(centres[1])])
     rows, cells, at_home = [], [], []
-    for i in range(len(coarse)):
-        here = np.nonzero(inside[:, i])[0]
-        if not len(here):
-            continue
-        near, among = visited(unit[here], fine[i], threshold)
-        r, c = np.nonzero(among)
-        rows.append(here[r])
-        cells.append(i * MOST_CELLS + c)
-        at_home.append((home[here[r]] == i) & (near[r] == c))
+    for a in range(0, len(unit), 512):
+        home, inside = visited(unit[a : a + 512], flat, threshold)
+        r, c = np.nonzero(inside)
+        rows.append(a + r)
+        cells.append(number[c])
+        at_home.append(home[r] == c)
     return np.concatenate(rows), np.concatenate(cells), np.concatenate(at_home)
 
 
