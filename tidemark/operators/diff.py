@@ -128,8 +128,9 @@ def hash_changes(
     buckets differ is written down.
 
     refresh: rows of a changed bucket in which the source has as many rows as the destination or more
-    are all taken over as M (A in new buckets), without being compared; keys that only the
-    destination has come out as D.
+    are all taken over as M (A in new buckets, if the destination has no row of the key), without being
+    compared; keys that only the destination has come out as D. A row that moved to another bucket is one
+    change, as both buckets are changed. Either side is read once.
     """
     sides = [bucket_hashes(x, dims, hashed, digits=DIGITS) for x in (src, dst)]
     changed = bucket_diff(*sides, skip_row_count).where("status <> 'N'")
@@ -137,14 +138,16 @@ def hash_changes(
     ids = saved(changed.select(F.col("partition_id").alias("_bucket"), F.col("status").alias("_status"), F.col("count_diff").alias("_more")))
     if not refresh:
         return row_diff(within_buckets(src, dims, ids), within_buckets(dst, dims, ids), keys, hashed)
-    taken = ids.where("_status = 'A' OR _status = 'M' AND _more >= 0")
-    tagged = within_buckets(src, dims, taken).withColumn("_bucket", partition_id(dims)).join(taken, "_bucket")
-    rows = tagged.select(*src.columns, F.when(F.col("_status") == "A", "A").otherwise("M").alias("change_type"))
-    part = ids.where("_status = 'D' OR _status = 'M' AND _more < 0")
-    compared = row_diff(within_buckets(src, dims, part), within_buckets(dst, dims, part), keys, hashed)
-    grown = ids.where("_status = 'M' AND _more >= 0")
-    gone = within_buckets(dst, dims, grown).join(within_buckets(src, dims, grown).select(*keys), keys, "left_anti")
-    return rows.unionByName(compared).unionByName(gone.select(*src.columns).withColumn("change_type", F.lit("D")))
+    columns = src.columns
+    there = within_buckets(src, dims, ids).withColumn("_bucket", partition_id(dims)).join(ids, "_bucket").select(*columns, "_status", "_more").alias("s")
+    before = within_buckets(dst, dims, ids).select(*columns).withColumn("_there", F.lit(True)).alias("d")
+    both = there.join(before, reduce(and_, [F.col(f"s.{k}") == F.col(f"d.{k}") for k in keys]), "full_outer")
+    new, old = F.col("s._status").isNotNull(), F.col("d._there").isNotNull()
+    same = reduce(and_, [F.col(f"s.{c}").eqNullSafe(F.col(f"d.{c}")) for c in hashed], F.lit(True))
+    taken = F.when(old, "M").otherwise(F.col("s._status"))  # buckets that are read are A or M where the source has rows
+    kind = F.when(~new, "D").when((F.col("s._status") == "A") | (F.col("s._more") >= 0), taken).otherwise(F.when(~old, "A").when(~same, "M"))
+    out = [F.when(new, F.col(f"s.{c}")).otherwise(F.col(f"d.{c}")).alias(c) for c in columns]
+    return both.select(*out, kind.alias("change_type")).where("change_type IS NOT NULL")
 
 
 def orphans(src: DataFrame, dst: DataFrame, keys: list[str]) -> DataFrame:

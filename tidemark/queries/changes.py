@@ -9,6 +9,7 @@ from tidemark.functions import hashing as H
 from tidemark.functions.buckets import floor_div
 from tidemark.operators import diff as D
 from tidemark.operators import tree
+from tidemark.operators.digests import block_digests
 from tidemark.queries.registry import BLOCKS_SQL, HASHED, PAIR_SQL, dst, hash_sql, query, src, table, text_sql
 from tidemark.queries.scans import _ROWS_SQL
 from tidemark.spec import Dimension
@@ -38,7 +39,7 @@ def row_hash_piped(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT o_orderkey // 100 AS block, md5(string_agg({_PIPED}, '|' ORDER BY o_orderkey)) AS block_hash FROM orders GROUP BY 1")
 def block_hash_piped(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy(floor_div("o_orderkey", 100).alias("block")).agg(H.piped_block_hash(_O[:3], ["o_orderkey"]).alias("block_hash"))
+    return block_digests(table(spark, d, "orders"), floor_div("o_orderkey", 100), H.row_text(_O[:3], "|", ""), ["o_orderkey"], "|", "block_hash").select("block", "block_hash")
 
 
 @query(f"SELECT CAST(o_orderkey // 100 AS VARCHAR) AS partition_id, count(*) AS num_rows, CAST(sum({hash_sql(_O)}) AS BIGINT) AS hash FROM orders GROUP BY 1")
@@ -48,8 +49,8 @@ def partition_hash(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT o_orderkey // 100 AS block, md5(string_agg(left(md5({text_sql(_O)}), 8), '' ORDER BY o_orderkey)) AS block_hash FROM orders GROUP BY 1")
 def partition_hash_ordered(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").select(floor_div("o_orderkey", 100).alias("block"), "o_orderkey", H.row_hash(_O).alias("h"))
-    return rows.groupBy("block").agg(H.block_hash("h", "md5", ["o_orderkey"]).alias("block_hash"))
+    digests = block_digests(table(spark, d, "orders"), floor_div("o_orderkey", 100), F.left(H.row_hash(_O), F.lit(8)), ["o_orderkey"], name="block_hash")
+    return digests.select("block", "block_hash")
 
 
 @query(f"SELECT o_custkey, count(*) AS n, CAST(sum({hash_sql(_O)}) AS BIGINT) AS group_hash FROM orders GROUP BY 1")
@@ -130,6 +131,31 @@ def hash_sync_refresh(spark: SparkSession, d: str) -> DataFrame:
     return D.hash_changes(src(spark, d), dst(spark, d), BY_100, ["id"], HASHED, refresh=True)
 
 
+#: Orders by blocks of customers: every third order of the source has moved to another customer's block.
+_MOVED = "(o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN 40 ELSE 0 END)"
+_MOVED_SQL = f"""
+WITH s AS (SELECT o_orderkey AS id, {_MOVED} AS cust_id, o_orderstatus AS status FROM orders WHERE o_custkey // 20 % 3 = 1 AND o_orderkey % 8 <> 5),
+d AS (SELECT o_orderkey AS id, o_custkey AS cust_id, o_orderstatus AS status FROM orders WHERE o_custkey // 20 % 3 = 1 AND o_orderkey % 8 <> 6),
+h AS (
+  SELECT coalesce(s.b, d.b) AS b, s.b IS NOT NULL AND d.b IS NULL AS is_new, coalesce(s.n, 0) - coalesce(d.n, 0) AS more, s.n IS DISTINCT FROM d.n OR s.h IS DISTINCT FROM d.h AS differs
+  FROM (SELECT cust_id // 20 AS b, count(*) AS n, sum({hash_sql(["id", "cust_id", "status"])}) AS h FROM s GROUP BY 1) s
+  FULL JOIN (SELECT cust_id // 20 AS b, count(*) AS n, sum({hash_sql(["id", "cust_id", "status"])}) AS h FROM d GROUP BY 1) d ON s.b = d.b
+), sb AS (SELECT s.*, is_new, more FROM s JOIN h ON cust_id // 20 = b WHERE differs), db AS (SELECT d.* FROM d JOIN h ON cust_id // 20 = b WHERE differs)
+"""
+
+
+@query(f"""{_MOVED_SQL} SELECT * FROM (
+  SELECT coalesce(sb.id, db.id) AS id, CASE WHEN sb.id IS NULL THEN db.cust_id ELSE sb.cust_id END AS cust_id, CASE WHEN sb.id IS NULL THEN db.status ELSE sb.status END AS status,
+         CASE WHEN sb.id IS NULL THEN 'D' WHEN is_new AND db.id IS NULL THEN 'A' WHEN is_new OR more >= 0 THEN 'M' WHEN db.id IS NULL THEN 'A' WHEN sb.cust_id <> db.cust_id OR sb.status <> db.status THEN 'M' END AS change_type
+  FROM sb FULL JOIN db ON sb.id = db.id) WHERE change_type IS NOT NULL""")
+def hash_sync_refresh_moved(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that moved to another bucket are one change each."""
+    orders = table(spark, d, "orders").where("o_custkey div 20 % 3 = 1")
+    s = orders.where("o_orderkey % 8 <> 5").selectExpr("o_orderkey AS id", f"{_MOVED} AS cust_id", "o_orderstatus AS status")
+    t = orders.where("o_orderkey % 8 <> 6").selectExpr("o_orderkey AS id", "o_custkey AS cust_id", "o_orderstatus AS status")
+    return D.hash_changes(s, t, [Dimension("cust_id", 20)], ["id"], ["id", "cust_id", "status"], refresh=True)
+
+
 @query(f"WITH {PAIR_SQL} SELECT id FROM dst WHERE id NOT IN (SELECT id FROM src)")
 def orphan_deletes(spark: SparkSession, d: str) -> DataFrame:
     return D.orphans(src(spark, d), dst(spark, d), ["id"])

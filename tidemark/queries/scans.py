@@ -211,6 +211,16 @@ def write_sized_files(spark: SparkSession, d: str) -> DataFrame:
     return files.groupBy("change_type").agg(F.sum("n").alias("num_rows"), (F.max("n") <= 500).alias("all_small"))
 
 
+@query(f"{_ROWS_SQL} SELECT change_type, count(*) AS num_rows, CAST(ceil(count(*) / 300) AS BIGINT) AS files, true AS full_enough FROM st WHERE change_type <> 'N' GROUP BY 1")
+def write_joined_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files per change type, from many small batches of changes, and whether they are between half full and full."""
+    changes = row_diff(src(spark, d), dst(spark, d), ["id"], HASHED).repartition(23)
+    writers.write_sized(changes, path := folder(spark), 300)
+    files = spark.read.parquet(path).groupBy("change_type", F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+    full = (F.max("n") <= 300) & ((F.min("n") >= 150) | (F.count("*") == 1))
+    return files.groupBy("change_type").agg(F.sum("n").alias("num_rows"), F.count("*").alias("files"), full.alias("full_enough"))
+
+
 @query(_SPEC_SQL)
 def project_columns(spark: SparkSession, d: str) -> DataFrame:
     return ORDERS.fetch(orders(spark, d))

@@ -177,6 +177,13 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     return latest(spark, target, rows.schema)
 
 
+@query("SELECT o_orderkey, CAST(o_custkey AS DECIMAL(22,3)) AS o_custkey, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DECIMAL(14,4)) AS price FROM orders")
+def schema_evolve_lift(spark: SparkSession, d: str) -> DataFrame:
+    """Types that do not hold the old values give way to the least that holds both."""
+    old = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(12,2)").alias("price"))
+    return evolve(old, spark.createDataFrame([], "o_custkey decimal(12,3), price decimal(8,4)").schema, lift=True)
+
+
 def _versions(spark: SparkSession, d: str) -> str:
     """A versioned table of the last event per user and type: even events first, then all others."""
     rows = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")

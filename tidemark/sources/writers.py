@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.casting import cast_to_schema
 from tidemark.spec import ColumnSpec
-from tidemark.work import saved
+from tidemark.work import folder, saved
 
 
 def upsert(dst: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,9 +73,45 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").json(path)
 
 
-def write_sized(df: DataFrame, path: str, rows: int) -> None:
-    """Parquet by change type, with at most ``rows`` rows a file."""
-    df.write.option("maxRecordsPerFile", rows).partitionBy("change_type").parquet(path)
+def rows_per_file(df: DataFrame, target_bytes: int, sample: int = 100_000) -> int:
+    """How many rows of ``df`` make a Parquet file of about ``target_bytes``, from what about ``sample`` rows of it take."""
+    n = df.count()
+    path = folder(df.sparkSession)
+    df.sample(min(1.0, sample / max(1, n)), 1).coalesce(1).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).count()
+    taken = df.sparkSession.read.format("binaryFile").load(f"{path}/*.parquet").agg(F.sum("length")).first()[0]
+    return max(1, target_bytes * max(1, rows) // max(1, taken or 1))
+
+
+def planned(df: DataFrame, rows: int, by: str = "change_type") -> tuple[DataFrame, int]:
+    """``df`` with the number of the file that each row goes to, in file__, and the number of files. A type of n rows
+    has ceil(n / rows) files, whose sizes differ by one row at most: small batches of rows are joined, large
+    ones are cut, wherever they come from. Rows are numbered within their task, and tasks by sums of counts; only
+    counts per type reach the driver."""
+    there = saved(df.withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    counts = there.groupBy(by, "_task").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(by, "_task", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    totals = sorted(((r[0], r[1]) for r in counts.groupBy(by).agg(F.sum("_n")).collect()), key=repr)
+    first, number, plan = 0, F.lit(0).cast("long"), []
+    for kind, n in totals:
+        plan.append((kind, n, files := -(-n // rows), first))
+        first += files
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(by, "_task").orderBy("_at")) - 1
+    for kind, n, files, start in plan:
+        number = F.when(F.col(by).eqNullSafe(F.lit(kind)), F.call_function("div", F.col("_place") * files, F.lit(n).cast("long")) + start).otherwise(number)
+    placed = there.join(before.withColumnsRenamed({by: "_by", "_task": "_of"}), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_task") == F.col("_of"))).withColumn("_place", place)
+    return placed.withColumn("file__", number.cast("int")).drop("_by", "_of", "_task", "_at", "_before", "_place"), first
+
+
+def write_sized(df: DataFrame, path: str, rows: int | None = None, target_bytes: int | None = None) -> None:
+    """Parquet by change type, in files of ``rows`` rows at most and half as many at least, where a type has so many;
+    or of about ``target_bytes``. Every file is one task's."""
+    if (rows is None) == (target_bytes is None):
+        raise ValueError("either rows or target_bytes")
+    df = saved(df)
+    numbered, files = planned(df, rows or rows_per_file(df, target_bytes))
+    numbered.repartitionById(max(1, files), "file__").drop("file__").write.partitionBy("change_type").parquet(path)
 
 
 def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
