@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import embeddings, exact, minhash, substrings
 from tidemark.llm.components import components, local_roots
@@ -232,6 +233,17 @@ def test_two_levels_of_cells_lose_no_link():
     assert len(seen) < 0.7 * len(unit) * sum(map(len, centres[1]))
 
 
+def test_shards_of_regular_ids_are_even(spark, make_docs):
+    """Ids that are multiples of the number of shards, negative ones too, go to all shards."""
+    ids = np.arange(-500, 500, dtype=np.int64) * 24
+    counts = np.bincount(substrings._shard_of(ids, 24), minlength=24)
+    assert len(counts) == 24 and counts.max() < 2 * 1000 / 24
+    rng = random.Random(3)
+    docs = make_docs(["".join(rng.choices("abc ", k=300)) for _ in range(40)]).withColumn("doc_id", F.col("doc_id") * 4)
+    packed = substrings._packed_texts(docs.select("doc_id", "text"), 4)
+    assert packed.select("shard").distinct().count() == 4
+
+
 @pytest.mark.parametrize("clustered", [True, False])
 def test_cells_that_pay(spark, clustered):
     """Rows dealt to pairs of blocks: at most a quarter of those of plain blocks where vectors form clusters, never

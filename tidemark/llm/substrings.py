@@ -1,10 +1,10 @@
-"""Removal of repeated byte strings by sorting sampled suffixes and inducing the rest.
+"""Removal of repeated byte strings by content-defined sampling of windows.
 
 Sorting every suffix of a corpus moves a tuple per byte: five bytes each are already several times
-the input. So suffixes are sampled by content, sorted externally, and all other positions are
-induced from them. A window of ``LENGTH`` bytes is represented by the least hash of its grams
+the input. No suffix array is built here: windows are represented by sampled grams, and equal ones are
+found by grouping. A window of ``LENGTH`` bytes is represented by the least hash of its grams
 (leftmost of equals): equal windows choose the same gram at the same place, wherever they are.
-Neighbouring windows mostly choose the same occurrence; such a stretch is one suffix tuple: gram,
+Neighbouring windows mostly choose the same occurrence; such a stretch is one tuple: gram,
 digest of the stretch, document, position and extent. About one tuple arises for 40 bytes.
 
 Tuples are sorted by (gram, digest, document, position) in shards by gram, in Spark's disk-backed
@@ -97,6 +97,11 @@ def _prefix_hashes(data: np.ndarray, byte: np.ndarray = _BYTE, up: _Powers = _UP
     return sums
 
 
+def _shard_of(docs: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a document's text and spans: by a hash of its id, as ids may have any pattern."""
+    return (_mixed(docs.astype(np.int64).view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
+
 def _between(sums: np.ndarray, start: np.ndarray, end: np.ndarray, down: _Powers = _DOWN) -> np.ndarray:
     """Hashes of the strings [start, end), alike for equal strings at any place."""
     return (sums[end] - sums[start]) * down.to(len(sums))[start]
@@ -285,7 +290,7 @@ def _dealt_windows(t: Columns, strings: list[bytes], shards: int) -> Iterator[tu
         heads, spans = _first_windows(_window_rows(_taken(t, slice(at, at + HEADS)), strings[at : at + HEADS]))
         heads = _in_text_order(heads)
         yield from _by_shard(heads, WINDOW, shards + (heads["key"] % np.uint64(FINER * shards)).astype(np.int64), _WINDOWS)
-        yield from _by_shard(spans, SPAN, spans["doc"] % shards, _SPANS)
+        yield from _by_shard(spans, SPAN, _shard_of(spans["doc"], shards), _SPANS)
 
 
 def _suffix_tuples(docs: DataFrame, shards: int, common: np.ndarray = np.empty(0, np.uint64)) -> DataFrame:
@@ -301,7 +306,7 @@ def _suffix_tuples(docs: DataFrame, shards: int, common: np.ndarray = np.empty(0
                 spans = _in_text_order(_spans_of(_taken(s, repeat)))
                 hot = _is_in(_gram(s), shared.value)
                 kept, dealt = _in_text_order(_taken(s, first & ~hot)), _taken(s, first & hot)
-                rows = [*_by_shard(kept, TUPLE, (_gram(kept) % np.uint64(shards)).astype(np.int64), _TUPLES), *_by_shard(spans, SPAN, spans["doc"] % shards, _SPANS)]
+                rows = [*_by_shard(kept, TUPLE, (_gram(kept) % np.uint64(shards)).astype(np.int64), _TUPLES), *_by_shard(spans, SPAN, _shard_of(spans["doc"], shards), _SPANS)]
                 yield _sharded_batch([*rows, *_dealt_windows(dealt, _strings(dealt, joined), shards)])
 
     return docs.mapInArrow(run, _SHARDED)
@@ -328,7 +333,7 @@ def _resolved(tuples: DataFrame, shards: int, most: int) -> DataFrame:
                 windows = np.nonzero(of & (kinds == _WINDOWS))[0].tolist()
                 if windows:
                     _, spans = _first_windows(_unpack([table.column("packed")[i].as_py() for i in windows], WINDOW))
-                    rows += _by_shard(spans, SPAN, spans["doc"] % shards, _SPANS)
+                    rows += _by_shard(spans, SPAN, _shard_of(spans["doc"], shards), _SPANS)
                 t = _unpack([table.column("packed")[i].as_py() for i in np.nonzero(of & (kinds == _TUPLES))[0].tolist()], TUPLE)
                 gram = _gram(t)
                 by_gram = np.sort(gram)
@@ -338,13 +343,13 @@ def _resolved(tuples: DataFrame, shards: int, most: int) -> DataFrame:
                 place = np.minimum(np.searchsorted(again, gram), len(again) - 1)
                 s, first, repeat = _firsts(_taken(t, again[place] == gram))
                 spans = _in_text_order(_spans_of(_taken(s, repeat)))
-                rows += _by_shard(spans, SPAN, spans["doc"] % shards, _SPANS)
+                rows += _by_shard(spans, SPAN, _shard_of(spans["doc"], shards), _SPANS)
                 heads = _taken(s, first)
                 g = _gram(heads)
                 _, of, count = np.unique(g, return_inverse=True, return_counts=True)
                 heads["more"] = heads["more"] | np.where(count[of] > most, _HOT, np.uint8(0))
                 asked = _in_text_order(_taken(heads, count[of] > 1))
-                rows += _by_shard(asked, TUPLE, asked["doc"] % shards, _ASKED)
+                rows += _by_shard(asked, TUPLE, _shard_of(asked["doc"], shards), _ASKED)
             yield _sharded_batch(rows)
 
     return _sorted_shards(tuples, shards).mapInArrow(run, _SHARDED)
@@ -359,7 +364,7 @@ def _packed_texts(docs: DataFrame, shards: int) -> DataFrame:
         def packed(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
             by_shard: dict[int, list[tuple[int, bytes]]] = {}
             for doc, data in held:
-                by_shard.setdefault(doc % shards, []).append((doc, data))
+                by_shard.setdefault(int(_shard_of(np.array([doc]), shards)[0]), []).append((doc, data))
             rows = []
             for shard, of in by_shard.items():
                 head = np.array([len(of), *(d for d, _ in of), *(len(x) for _, x in of)], "<i8").tobytes()
@@ -523,11 +528,11 @@ def _window_repeats(stretches: DataFrame, shards: int) -> DataFrame:
                         at += more + LENGTH
                 if windows:
                     _, spans = _first_windows(_unpack(windows, WINDOW))
-                    rows += _by_shard(spans, SPAN, spans["doc"] % shards, _SPANS)
+                    rows += _by_shard(spans, SPAN, _shard_of(spans["doc"], shards), _SPANS)
                 if not blobs:
                     continue
                 spans = _compared(_unpack(blobs, TUPLE), strings)
-                rows += _by_shard(spans, SPAN, spans["doc"] % shards, _SPANS)
+                rows += _by_shard(spans, SPAN, _shard_of(spans["doc"], shards), _SPANS)
             yield _sharded_batch(rows)
 
     return _sorted_shards(stretches, shards).mapInArrow(run, _SHARDED)
@@ -550,7 +555,8 @@ def remove_repeats(docs: DataFrame, heads: int = HEADS) -> DataFrame:
     earlier in the same document), judged on the input.
 
     Null is empty; texts shorter than ``LENGTH`` lose nothing. Rows without an id are left out. Rows
-    that repeat an id and text are one document, and each gets its result. An empty table gives no
+    that repeat an id and text are one document, and each gets its result. For rows that repeat an id with
+    other texts the result is undefined, as spans are of ids: such rows need ids of their own. An empty table gives no
     rows; other columns are ignored. heads: different stretches around one gram that one task compares
     (about as many, where they are told from a sample).
     """
