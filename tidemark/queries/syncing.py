@@ -9,7 +9,7 @@ from tidemark.operators import increments
 from tidemark.operators.aggregate import grouped
 from tidemark.operators.diff import bucket_hashes, row_diff
 from tidemark.operators.schema import evolve
-from tidemark.plans import audit
+from tidemark.plans import audit, resume
 from tidemark.plans import strategies as S
 from tidemark.queries.changes import _CHANGED, _FULL_SQL, BY_100
 from tidemark.queries.registry import HASHED, PAIR_SQL, dst, hash_sql, query, src, table
@@ -245,6 +245,46 @@ def resume_after_runs(spark: SparkSession, d: str) -> DataFrame:
     return audit.pending(parts, audit.ledger(spark, path))
 
 
+_BY_10000 = [Dimension("id", 10_000)]
+
+
+def _interrupted(spark: SparkSession, d: str) -> tuple[str, str]:
+    """Table and ledger of a run that is lost in its second group and started again; every third partition
+    fails at its first attempt there."""
+    s, target, path = src(spark, d), folder(spark), folder(spark)
+    parts, write, failed, groups = bucket_hashes(s, _BY_10000, HASHED), resume.copy_partitions(s, target, _BY_10000, ["id"], HASHED), set(), []
+
+    def lost(ids: list[str]) -> None:
+        groups.append(ids)
+        if len(groups) == 2:
+            raise KeyboardInterrupt
+        write(ids)
+
+    def unreliable(ids: list[str]) -> None:
+        if new := {i for i in ids if int(i) % 3 == 1} - failed:
+            failed.update(new)
+            raise OSError("not at first")
+        write(ids)
+
+    try:
+        resume.run_partitions(parts, resume.Ledger(spark, path), lost, group=2)
+    except KeyboardInterrupt:
+        pass
+    resume.run_partitions(parts, resume.Ledger(spark, path, lease=0.0), unreliable, group=4)
+    return target, path
+
+
+@query(f"WITH {PAIR_SQL} SELECT * FROM src")
+def resume_interrupted_run(spark: SparkSession, d: str) -> DataFrame:
+    return versioned.read(spark, _interrupted(spark, d)[0])
+
+
+@query(f"WITH {PAIR_SQL} SELECT DISTINCT CAST(id // 10000 AS VARCHAR) AS partition_id, 'completed' AS status FROM src")
+def resume_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger afterwards: every partition is completed, once."""
+    return versioned.read(spark, _interrupted(spark, d)[1]).select("partition_id", "status")
+
+
 @query(f"{_ROWS_SQL} SELECT 'orders' AS job, 'hash' AS strategy, 'r1' AS run, 'completed' AS status, count(*) FILTER (change_type = 'A') AS inserted, count(*) FILTER (change_type = 'M') AS updated, count(*) FILTER (change_type = 'D') AS deleted FROM st")
 def run_recorded(spark: SparkSession, d: str) -> DataFrame:
     """The history after one run."""
