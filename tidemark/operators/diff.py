@@ -6,7 +6,7 @@ Statuses are A (only in the source), M (differs), D (only in the destination) an
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,44 +79,78 @@ def row_diff(src: DataFrame, dst: DataFrame, keys: list[str], hashed: list[str],
     return row_status(src, dst, keys, hashed, old, check).where("change_type <> 'N'")
 
 
-#: Changed buckets that are looked at one by one for what can be read of a table, and ranges that are
-#: pushed to its scan; beyond either, their least and greatest bucket bound the scan.
-LISTED, RANGES = 10_000, 100
+#: Changed buckets that are looked at one by one for what can be read of a table, and boxes of them that are
+#: pushed to its scan; beyond either, the least and greatest bucket in each dimension bound the scan. Values of
+#: a dimension of values that are listed.
+LISTED, RANGES, VALUES = 10_000, 100, 1000
 #: Hex digits of the row hashes that buckets are compared by.
 DIGITS = 15
 
-
-def _ranges(changed: DataFrame, dim: Dimension, id_column: str) -> tuple[list[tuple[int, int]], bool] | None:
-    """([first, last] buckets that hold all changed ones, whether they hold no others); None if ids are no
-    numbers. At most ``LISTED`` ids reach the driver."""
-    ids = changed.select(F.expr(f"try_cast({id_column} AS BIGINT)").alias("i"))
-    some = [r.i for r in ids.limit(LISTED + 1).collect()]
-    if None in some:
+Box = tuple[tuple[int, int], ...]  # first and last bucket in each dimension
+
+
+def boxes(cells: list[tuple[int, ...]]) -> list[Box]:
+    """Boxes that hold the given cells and no others: neighbours are joined in the last dimension, then in the
+    one before it where the rest is equal, and so on."""
+    found: set[Box] = {tuple((i, i) for i in cell) for cell in cells}
+    for d in reversed(range(len(cells[0]) if cells else 0)):
+        rows: dict[tuple, list[tuple[int, int]]] = {}
+        for box in found:
+            rows.setdefault((*box[:d], *box[d + 1 :]), []).append(box[d])
+        found = set()
+        for rest, spans in rows.items():
+            first, last = None, None
+            for lo, hi in [*sorted(spans), (None, None)]:
+                if first is not None and lo is not None and lo <= last + 1:
+                    last = max(last, hi)
+                    continue
+                if first is not None:
+                    found.add((*rest[:d], (first, last), *rest[d:]))
+                first, last = lo, hi
+    return sorted(found)
+
+
+def _boxes_of(changed: DataFrame, dims: list[Dimension]) -> tuple[list[Box], bool] | None:
+    """(boxes that hold all changed buckets, whether they hold no others); None if ids are no numbers, as those
+    of null values. At most ``LISTED`` ids reach the driver."""
+    pattern = "^" + "-".join(["(-?[0-9]+)"] * len(dims)) + "$"
+    ids = changed.select(*[F.regexp_extract("_bucket", pattern, k + 1).try_cast("bigint").alias(f"i{k}") for k in range(len(dims))])
+    some = [tuple(r) for r in ids.limit(LISTED + 1).collect()]
+    if any(None in cell for cell in some):
         return None
-    if len(some) > LISTED:
-        lo, hi, unclear = ids.agg(F.min("i"), F.max("i"), F.count_if(F.col("i").isNull())).first()
-        return None if unclear else ([(lo, hi)], False)
-    merged: list[list[int]] = []
-    for i in sorted(some):
-        if merged and i <= merged[-1][1] + 1:
-            merged[-1][1] = max(i, merged[-1][1])
-        else:
-            merged.append([i, i])
-    exact = len(merged) <= RANGES
-    return [tuple(x) for x in (merged if exact else [[merged[0][0], merged[-1][1]]])] if merged else [], exact
+    if len(some) <= LISTED:
+        if len(exact := boxes(some)) <= RANGES:
+            return exact, True
+        return [tuple((min(i), max(i)) for i in zip(*some, strict=True))], False
+    *limits, unclear = ids.agg(*[f(f"i{k}") for k in range(len(dims)) for f in (F.min, F.max)], F.count_if(F.col("i0").isNull())).first()
+    return None if unclear else ([tuple(zip(limits[::2], limits[1::2], strict=True))], False)
+
+
+def _within(d: Dimension, first: int, last: int) -> Column:
+    """A condition on a column that rows of some buckets meet. For hex texts, which may be in either case, it is
+    on their first digit."""
+    column, start, end = F.col(d.column), bounds(d, F.lit(first))[0], bounds(d, F.lit(last))[1]
+    if d.kind != "hex":
+        return (column >= start) & (column < end)
+    digits = range(first * d.step >> 28, min(15, (last + 1) * d.step - 1 >> 28) + 1)
+    cases = [column.cast("string").startswith(c) for i in digits for c in sorted({f"{i:x}", f"{i:X}"})]
+    return reduce(or_, cases, F.lit(False)) if len(digits) < 16 else F.lit(True)
 
 
 def within_buckets(df: DataFrame, dims: list[Dimension], changed: DataFrame) -> DataFrame:
-    """Rows of the buckets of ``changed`` (_bucket). Buckets of one dimension of numbers or times become
-    ranges of its column, which reach the scan; what ranges do not tell exactly, a semi-join does."""
+    """Rows of the buckets of ``changed`` (_bucket). Buckets of numbers, times and hex texts, in any number of
+    dimensions, become boxes of ranges, and few buckets of values a list; these reach the scan. What they do not tell
+    exactly, a semi-join does."""
     exact = False
-    if len(dims) == 1 and dims[0].kind in ("int", "datetime", "date") and (found := _ranges(changed, dims[0], "_bucket")) is not None:
-        ranges, exact = found
-        column, cases = F.col(dims[0].column), F.lit(False)
-        for first, last in ranges:
-            start, end = bounds(dims[0], F.lit(first))[0], bounds(dims[0], F.lit(last))[1]
-            cases |= (column >= start) & (column < end)
-        df = df.where(cases)
+    if all(d.kind != "value" for d in dims) and (found := _boxes_of(changed, dims)) is not None:
+        some, exact = found
+        cases = [reduce(and_, [_within(d, *span) for d, span in zip(dims, box, strict=True)]) for box in some]
+        df, exact = df.where(reduce(or_, cases, F.lit(False))), exact and all(d.kind != "hex" for d in dims)
+    elif len(dims) == 1 and dims[0].kind == "value":
+        kind = df.schema[dims[0].column].dataType
+        few = [r[0] for r in changed.select(F.col("_bucket").try_cast(kind)).distinct().limit(VALUES + 1).collect()]
+        if len(few) <= VALUES:  # a null value has an empty id
+            df = df.where(F.col(dims[0].column).isin([v for v in few if v is not None]) | F.col(dims[0].column).isNull())
     return df if exact else df.withColumn("_bucket", partition_id(dims)).join(changed.select("_bucket"), "_bucket", "left_semi").drop("_bucket")
 
 
