@@ -12,16 +12,15 @@ from __future__ import annotations
 
 from itertools import count
 
-import public_tokenizers
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact, minhash, packing, quality, secrets
 from tidemark.llm.common import table, unused
+from tidemark.llm.queries import VOCABULARY
 from tidemark.work import folder, saved
 
-VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Near copies have a similarity of 0.8 or more; the 85 of op3 is of that operator's contract alone.
 NEAR_PERCENT = 80
 
