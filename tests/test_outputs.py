@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 from tidemark.operators import diff as D
 from tidemark.operators.digests import block_digests
 from tidemark.operators.schema import common, evolve, holds
-from tidemark.sources.writers import apply_changes, planned, rows_per_file, write_sized
+from tidemark.sources.writers import apply_changes, delete_by_keys, delete_insert, planned, rows_per_file, upsert, write_sized
 from tidemark.spec import Dimension
+from tidemark.work import folder, saved, scope
 
 
 def test_files_are_joined_and_cut(spark, tmp_path):
@@ -115,3 +116,26 @@ def test_moved_rows_are_one_change_and_sides_are_read_once(spark, tmp_path):
     fresh = D.hash_changes(src, dst, [Dimension("b", 1)], ["id"], ["id", "b", "x"], refresh=True)
     plan = fresh._jdf.queryExecution().executedPlan().toString()  # not run yet: there is one plan, not a first and a final one
     assert plan.count(f"{tmp_path}/src") == plan.count(f"{tmp_path}/dst") == 1 and plan.count("FullOuter") == 1
+
+
+def test_null_is_a_key(spark):
+    """An upsert that is repeated gives the same table; deletions by keys reach null keys."""
+    schema = "k int, j string, v int"
+    dst = spark.createDataFrame([(1, "a", 0), (None, "a", 0), (None, None, 0), (2, None, 0)], schema)
+    new = spark.createDataFrame([(None, "a", 1), (2, None, 1), (3, "c", 1)], schema)
+    want = sorted([(1, "a", 0), (None, None, 0), (None, "a", 1), (2, None, 1), (3, "c", 1)], key=repr)
+    once = upsert(dst, new, ["k", "j"])
+    assert sorted(map(tuple, once.collect()), key=repr) == sorted(map(tuple, upsert(once, new, ["k", "j"]).collect()), key=repr) == want
+    assert sorted(map(tuple, delete_by_keys(dst, new, ["k", "j"]).collect()), key=repr) == sorted([(1, "a", 0), (None, None, 0)], key=repr)
+    assert sorted(map(tuple, delete_insert(dst, new, ["k", "j"]).collect()), key=repr) == want
+
+
+def test_a_scope_removes_its_folders(spark):
+    from pathlib import Path
+
+    outer = folder(spark)
+    with scope(spark):
+        kept = saved(spark.range(5)).count()
+        inner = folder(spark)
+        assert Path(inner.removeprefix("file:")).parent.exists()
+    assert kept == 5 and not Path(inner.removeprefix("file:")).parent.exists() and Path(outer.removeprefix("file:")).parent.exists()

@@ -12,12 +12,19 @@ from tidemark.spec import ColumnSpec
 from tidemark.work import folder, saved
 
 
+def _without(dst: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys ``gone`` does not have; null is a key like any other, as it is in ``keep_last``."""
+    names = {k: f"_gone_{k}" for k in keys}
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return dst.join(gone.select(*[F.col(k).alias(n) for k, n in names.items()]), same, "left_anti")
+
+
 def upsert(dst: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The destination with changed rows put in place of those of their keys, under the destination's
+    """The destination with changed rows put in place of those of their keys (null is a key), under the destination's
     columns. The changes are read twice, for their keys and for their rows: costly ones are better saved
     first (``tidemark.work.saved``). Rows that stay are moved only if the keys are too many to broadcast."""
     changes = changes.select(*dst.columns)
-    return dst.join(changes.select(*keys), keys, "left_anti").select(*dst.columns).unionByName(changes)
+    return _without(dst, changes, keys).unionByName(changes)
 
 
 def delete_insert(dst: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,7 +42,7 @@ def delete_where(dst: DataFrame, condition: Column) -> DataFrame:
 
 
 def delete_by_keys(dst: DataFrame, keys_frame: DataFrame, keys: list[str]) -> DataFrame:
-    return dst.join(keys_frame.select(*keys), keys, "left_anti").select(*dst.columns)
+    return _without(dst, keys_frame, keys)
 
 
 def apply_changes(dst: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

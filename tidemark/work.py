@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,13 +25,31 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Folders made within it are removed at its end, for services that run many syncs: results that are still to be
+    computed from them must have been written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for base in _SCOPES.pop():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def folder(spark: SparkSession) -> str:
-    """A new path in the shared folder, which is removed when the application ends."""
+    """A new path in the shared folder, which is removed when the application ends, or its scope."""
     base = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.mkdirs(path)
     files.deleteOnExit(path)
+    if _SCOPES:
+        _SCOPES[-1].append(base)
     return f"{base}/rows"
 
 
