@@ -33,8 +33,9 @@ from tidemark.llm.common import id_and_text
 
 #: Symbols of a word above which a heap finds the smallest rank.
 LONG = 200
-#: Distinct words kept in a worker, in each of two generations.
-KEPT_WORDS = 350_000
+#: Distinct words kept in a worker, in each of two generations: below two thirds of 2^19, up to which a dict has
+#: half the memory.
+KEPT_WORDS = 345_000
 _NO_RANK = 1 << 60
 #: For texts up to U+017F: letters, numbers and white space as classes.
 _LATIN = {"L": r"a-zA-Zªµºß-öø-ÿÀ-ÖØ-ÞĀ-ſ", "N": r"0-9²³¹¼½¾", "s": r"\t-\r\x20\x85\xa0"}
