@@ -105,3 +105,36 @@ def test_a_task_that_is_lost_after_some_batches(spark, connect, monkeypatch, tmp
 def test_statements_that_are_wrong_fail(spark, connect):
     with pytest.raises(Exception, match="no column named zzz"):
         DB.insert_rows(spark.range(3).selectExpr("id", "1 AS zzz"), connect, "t")
+
+
+def test_no_savepoint_stays_open(spark, tmp_path):
+    """However many rows are refused, one savepoint for each halving is the most that is open at once."""
+    log = f"{tmp_path}/log"
+
+    class Logged:
+        def __init__(self, real):
+            self.real = real
+
+        def cursor(self):
+            return self
+
+        def execute(self, sql, *a):
+            with open(log, "a") as f:
+                f.write(f"{sql}\n")
+            return self.real.execute(sql, *a)
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+    at = partial(sqlite3.connect, f"{tmp_path}/o.db", timeout=120, autocommit=False)
+    c = at()
+    c.execute(TABLE)
+    c.commit()
+    c.close()
+    df = spark.range(200, numPartitions=1).selectExpr("id", "IF(id % 3 = 0, 'too long', 'ok') AS code", "1.5D AS amount", "id AS other")
+    assert DB.insert_rows(df, lambda: Logged(at()), "t").count() == 67
+    opened = most = 0
+    for line in open(log):
+        opened += line.startswith("SAVEPOINT") - line.startswith("RELEASE")
+        most = max(most, opened)
+    assert opened == 0 and 0 < most <= 8
