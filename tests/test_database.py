@@ -138,3 +138,39 @@ def test_no_savepoint_stays_open(spark, tmp_path):
         opened += line.startswith("SAVEPOINT") - line.startswith("RELEASE")
         most = max(most, opened)
     assert opened == 0 and 0 < most <= 8
+
+
+def test_many_refused_rows_are_tried_one_by_one(spark, tmp_path):
+    """Where most rows are refused, batches after the first are not halved from the top: about a statement a row."""
+    log = f"{tmp_path}/log"
+
+    class Counted:
+        def __init__(self, real):
+            self.real = real
+
+        def cursor(self):
+            return self
+
+        def executemany(self, sql, rows):
+            with open(log, "a") as f:
+                f.write(f"{len(rows)}\n")
+            return self.real.executemany(sql, rows)
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+    at = partial(sqlite3.connect, f"{tmp_path}/m.db", timeout=120, autocommit=False)
+    c = at()
+    c.execute(TABLE)
+    c.commit()
+    c.close()
+    df = spark.range(2000, numPartitions=1).selectExpr("id", "IF(id % 5 < 3, 'too long', 'ok') AS code", "1.5D AS amount", "id AS other")
+    assert DB.insert_rows(df, lambda: Counted(at()), "t", batch=200).count() == 1200
+    assert len(open(log).readlines()) < 2000 + 500
+    c = at()
+    assert c.execute("SELECT count(*), min(id), max(id) FROM t").fetchone() == (800, 3, 1999)
+    c.close()
+    # and where none is, in whole batches
+    rest = spark.range(3000, 4000, numPartitions=1).selectExpr("id", "'ok' AS code", "1.5D AS amount", "id AS other")
+    assert DB.insert_rows(rest, lambda: Counted(at()), "t", batch=200).isEmpty()
+    assert [int(x) for x in open(log).readlines()[-5:]] == [200] * 5

@@ -58,7 +58,8 @@ def _insert(cursor: Any, sql: str, rows: list[tuple], first: int, refused: list[
 def insert_rows(df: DataFrame, connect: Connect, table: str, batch: int = BATCH, mark: str = "?", quote: str = '"', ledger: str | None = None, run: str | None = None) -> DataFrame:
     """Inserts ``df`` into a table and returns the rows that the database refused, with its message in
     ``error__``. Runs at once; every partition is one transaction over a connection of its own. A batch that
-    is refused is halved until the rows at fault are alone: about log2(batch) statements for each of them.
+    is refused is halved until the rows at fault are alone: about log2(batch) statements for each of them. The next
+    batch goes in runs as long as one refused row had good ones about it: where most rows are refused, one by one.
 
     mark: how the driver marks a parameter (? or %s). quote: the quotes of names. ledger: a table that is made if it is not there, ``<table>_writes`` by
     default. In it each transaction notes that its partition is done and what was refused, so a task that is
@@ -97,11 +98,14 @@ def insert_rows(df: DataFrame, connect: Connect, table: str, batch: int = BATCH,
                     kept.append((at, b))
                     at += b.num_rows
             else:
-                refused, kept, at = [], [], 0
+                refused, kept, at, size = [], [], 0, batch
                 for b in batches:
                     values, before = list(zip(*[c.to_pylist() for c in b.columns], strict=True)), len(refused)
                     for start in range(0, len(values), batch):
-                        _insert(cursor, sql, values[start : start + batch], at + start, refused)
+                        some, were = values[start : start + batch], len(refused)
+                        for i in range(0, len(some), size):
+                            _insert(cursor, sql, some[i : i + size], at + start + i, refused)
+                        size = max(1, len(some) // (len(refused) - were + 1))
                     if len(refused) > before:
                         kept.append((at, b))
                     at += b.num_rows
