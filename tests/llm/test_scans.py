@@ -150,6 +150,18 @@ def test_quality_scores_are_means_of_features(spark, make_docs, odd_texts):
         assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-4
 
 
+def test_quality_examples_stay_on_executors(spark, monkeypatch):
+    """The driver neither gets the sample's features nor trains; the model is that of all examples."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.sample(docs, labels, "quality", quality.remainder(5) != 0, quality.MOST).mapInArrow(quality._features, "y int, buckets binary, counts binary").collect()
+    rows.sort(key=lambda r: (r.y, bytes(r.buckets)))
+    weights, bias = quality.train([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<f4"), r.y) for r in rows])
+    monkeypatch.setattr(quality, "train", None)
+    got, at = quality.fit(docs, labels)
+    assert len(rows) >= 100 and np.allclose(got, weights, atol=1e-5) and abs(at - bias) < 1e-5
+
+
 def test_learned_without_labels(spark, make_docs, odd_texts):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = make_docs(odd_texts)

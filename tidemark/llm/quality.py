@@ -4,7 +4,7 @@ A document's features are its words, their character n-grams, its word pairs, an
 pairs (a pair with each word named by its first place in it, so that "x x" and "y y" are one feature),
 hashed to buckets. Each bucket has a learned vector; a document is the mean of its features' vectors, and a softmax layer over that
 mean gives the label's probability. Vectors and layer are trained by stochastic gradient descent in
-numpy on a bounded sample of labelled rows (``most``), whose features are hashed on executors.
+numpy by one task, on a bounded sample of labelled rows (``most``), whose features are hashed by many.
 
 The softmax of a mean is linear in the vectors, so scoring needs one number per bucket: a table of
 ``TABLE`` floats is all that is broadcast. Scores need no shuffle, and a word's sum is kept per
@@ -115,11 +115,24 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 1) ->
     return (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model, from all examples; their features stay in Arrow's buffers."""
+    rows = []
+    for batch in batches:
+        for y, b, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            rows.append((np.frombuffer(b.as_buffer(), "<i4"), np.frombuffer(c.as_buffer(), "<f4"), y))
+    rows.sort(key=lambda r: (r[2], r[0].tobytes(), r[1].tobytes()))
+    weights, bias = train(rows)
+    yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> tuple[np.ndarray, float]:
-    """Learns from labelled rows whose crc32 of the id, modulo 5, is not 0."""
-    rows = sample(docs, labels, "quality", remainder(5) != 0, most).mapInArrow(_features, "y int, buckets binary, counts binary").collect()
-    rows.sort(key=lambda r: (r.y, bytes(r.buckets)))
-    return train([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<f4"), r.y) for r in rows])
+    """Learns from labelled rows whose crc32 of the id, modulo 5, is not 0. One task has the sample's features, which
+    are bounded by ``most``; only the model reaches the driver."""
+    examples = sample(docs, labels, "quality", remainder(5) != 0, most).mapInArrow(_features, "y int, buckets binary, counts binary")
+    for r in examples.repartition(1).mapInArrow(_trained, "weights binary, bias double").collect():
+        return np.frombuffer(r.weights, "<f4"), r.bias
+    return train([])
 
 
 def _scorer(model: tuple[np.ndarray, float]) -> Callable[[pa.Array], np.ndarray]:
