@@ -19,7 +19,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
@@ -35,7 +35,7 @@ GRACE = 3600.0
 @dataclass(frozen=True)
 class Manifest:
     """version; schema (JSON), keys and number of buckets of the table; the folder of each bucket that has rows,
-    below the table's; the last batch of each source of batches; the time of writing."""
+    below the table's; the last batch of each source of batches; the time of writing; what buckets go by, if not the keys."""
 
     version: int
     schema: str
@@ -44,6 +44,7 @@ class Manifest:
     folders: dict[str, str] = field(default_factory=dict)
     batches: dict[str, int] = field(default_factory=dict)
     written: float = 0.0
+    layout: str = ""
 
     @property
     def struct(self) -> StructType:
@@ -71,6 +72,9 @@ class _Store:
             return {}
         return {s.getPath().getName(): s.getModificationTime() / 1000 for s in self.fs.listStatus(path)}
 
+    def has(self, name: str) -> bool:
+        return self.fs.exists(self._path(name))
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self._path(name))
         try:
@@ -107,22 +111,40 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 def manifest(spark: SparkSession, path: str, version: int | None = None) -> Manifest | None:
     """A version's manifest, the newest one's by default; None if there is no version yet."""
     if version is None:
-        if not (there := versions(spark, path)):
+        version = _newest(spark, path)
+        if version is None:
             return None
-        version = there[-1]
     return Manifest(**json.loads(_Store(spark, path).read(_name(version))))
 
 
+#: The newest version that this process has seen of a table.
+_SEEN: dict[str, int] = {}
+
+
+def _newest(spark: SparkSession, path: str) -> int | None:
+    """The newest version. Versions come one by one and go oldest first, so it is looked for upwards from the one
+    seen last, without a list of all, while that one is there."""
+    store, at = _Store(spark, path), _SEEN.get(path)
+    if at is not None and store.has(_name(at)):
+        while store.has(_name(at + 1)):
+            at += 1
+    if at is None or not store.has(_name(at)):
+        at = max(versions(spark, path), default=None)
+    if at is not None:
+        _SEEN[path] = at
+    return at
+
+
 def _name(version: int) -> str:
     return f"versions/{version:020d}.json"
 
 
-def read(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """The rows of a version, the newest by default. Raises ValueError if there is none."""
+def read(spark: SparkSession, path: str, version: int | None = None, buckets: list[str] | None = None) -> DataFrame:
+    """The rows of a version, the newest by default, or of some buckets of it. Raises ValueError if there is none."""
     found = manifest(spark, path, version)
     if found is None:
         raise ValueError(f"{path} has no version")
-    return _rows(spark, path, found, found.folders).drop(BUCKET)
+    return _rows(spark, path, found, found.folders if buckets is None else buckets).drop(BUCKET)
 
 
 def _rows(spark: SparkSession, path: str, of: Manifest, buckets: list[str] | dict[str, str]) -> DataFrame:
@@ -132,13 +154,15 @@ def _rows(spark: SparkSession, path: str, of: Manifest, buckets: list[str] | dic
     return spark.read.schema(stored).parquet(*folders) if folders else spark.createDataFrame([], stored)
 
 
-def _agreed(before: Manifest | None, schema: StructType, keys: list[str], buckets: int) -> Manifest:
+def _agreed(before: Manifest | None, schema: StructType, keys: list[str], buckets: int, layout: str = "") -> Manifest:
     """The manifest that a write starts from. New columns are taken in; another type of a column, other keys and
     another number of buckets are refused, as rows of a key would be in two buckets."""
     if before is None:
-        return Manifest(0, schema.json(), keys, buckets)
+        return Manifest(0, schema.json(), keys, buckets, layout=layout)
     if (before.keys, before.buckets) != (keys, buckets):
         raise ValueError(f"the table has {before.buckets} buckets by {before.keys}, not {buckets} by {keys}")
+    if before.layout != layout:
+        raise ValueError(f"the buckets of the table go by {before.layout or 'its keys'}, not by {layout or 'its keys'}")
     have = {f.name: f for f in before.struct}
     for f in schema:
         if f.name in have and have[f.name].dataType != f.dataType:
@@ -151,6 +175,7 @@ def _agreed(before: Manifest | None, schema: StructType, keys: list[str], bucket
 def write_buckets(
     rows: DataFrame, path: str, keys: list[str], buckets: int, combine: Callable[[DataFrame, DataFrame], DataFrame],
     schema: StructType | None = None, source: str | None = None, batch: int | None = None, grace: float = GRACE,
+    by: Column | None = None, layout: str = "",
 ) -> int:
     """Rewrites the buckets that ``rows`` meet and returns the version that has them. ``combine`` gets the old
     rows of these buckets and the new ones and gives what the buckets hold from now on, under ``schema``
@@ -158,18 +183,21 @@ def write_buckets(
 
     A batch of a source that a version has already is not written again: a batch that is repeated after a
     failure, wherever it failed, changes nothing.
+
+    by: what buckets go by, instead of the keys, and that tells rows of equal keys no different; ``layout`` names it.
     """
     spark, schema = rows.sparkSession, schema or rows.schema
     store = _Store(spark, path)
-    numbered = rows.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    numbered = rows.withColumn(BUCKET, bucket_number(by, buckets) if by is not None else bucket_number(keys, buckets))
     met = None
     while True:
         before = manifest(spark, path)
-        start = _agreed(before, schema, keys, buckets)
+        start = _agreed(before, schema, keys, buckets, layout)
         if source is not None and before is not None and before.batches.get(source, -1) >= batch:
             return before.version
         if met is None:
-            met = [str(r[0]) for r in numbered.select(BUCKET).distinct().collect()]
+            one = buckets == 1 and not rows.isEmpty()
+            met = ["0"] if one else [str(r[0]) for r in numbered.select(BUCKET).distinct().collect()]
         if not met:
             return start.version
         kept = combine(_rows(spark, path, start, met), numbered)
@@ -180,10 +208,22 @@ def write_buckets(
         batches = start.batches | ({source: batch} if source is not None else {})
         after = replace(start, version=start.version + 1, folders=folders, batches=batches, written=time.time())
         if _publish(store, after):
-            expire(spark, path, grace)
+            # looked for now and then: all that a table has is listed for it
+            if time.monotonic() - _EXPIRED.get(path, -grace) >= grace / 60:
+                expire(spark, path, grace)
+                _EXPIRED[path] = time.monotonic()
             return after.version
 
 
+#: When this process last looked for what of a table is out of date.
+_EXPIRED: dict[str, float] = {}
+
+
+def bucket_number(by: Column | list[str], buckets: int) -> Column:
+    """The number of the bucket that a row is in."""
+    return F.pmod(F.xxhash64(*(by if isinstance(by, list) else [by])), F.lit(buckets)).cast("int")
+
+
 def _write_files(rows: DataFrame, folder: str) -> None:
     rows.withColumn(_FOLDER, F.col(BUCKET)).repartition(BUCKET).write.partitionBy(_FOLDER).parquet(folder)
 
@@ -197,13 +237,17 @@ def expire(spark: SparkSession, path: str, grace: float = GRACE) -> None:
     when the next one replaced them, folders that no manifest names by their last change."""
     store, now = _Store(spark, path), time.time()
     there = versions(spark, path)
+    data = store.names("data")
+    # the first version was replaced before all others, and what is younger than it stays
+    if (len(there) < 2 or manifest(spark, path, there[1]).written >= now - grace) and all(c >= now - grace for c in data.values()):
+        return
     kept = {v: manifest(spark, path, v) for v in there}
     for v, after in zip(there, there[1:], strict=False):
         if kept[after].written < now - grace:
             store.remove(_name(v))
             del kept[v]
     named = {f for m in kept.values() for f in m.folders.values()}
-    for name, changed in store.names("data").items():
+    for name, changed in data.items():
         folders = [f"data/{name}/{n}" for n in store.names(f"data/{name}") if n.startswith(f"{_FOLDER}=")] if changed < now - grace else []
         if changed < now - grace and not named & {*folders}:
             store.remove(f"data/{name}")
@@ -220,7 +264,7 @@ def upsert(rows: DataFrame, path: str, keys: list[str], order: list[str], bucket
     return write_buckets(rows, path, keys, buckets, combine, None, source, batch, grace)
 
 
-def apply_changes(changes: DataFrame, path: str, keys: list[str], buckets: int = 64, source: str | None = None, batch: int | None = None, grace: float = GRACE) -> int:
+def apply_changes(changes: DataFrame, path: str, keys: list[str], buckets: int = 64, source: str | None = None, batch: int | None = None, grace: float = GRACE, by: Column | None = None, layout: str = "") -> int:
     """D rows go, A and M rows take the place of those of their keys; keys of changes are unique. Null is a
     key like any other."""
     schema = StructType([f for f in changes.schema if f.name != "change_type"])
@@ -230,4 +274,4 @@ def apply_changes(changes: DataFrame, path: str, keys: list[str], buckets: int =
         kept = before.join(new.select(BUCKET, *keys), same, "left_anti")
         return kept.unionByName(new.where("change_type <> 'D'").drop("change_type"), allowMissingColumns=True)
 
-    return write_buckets(changes, path, keys, buckets, combine, schema, source, batch, grace)
+    return write_buckets(changes, path, keys, buckets, combine, schema, source, batch, grace, by, layout)
