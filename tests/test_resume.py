@@ -85,3 +85,17 @@ def test_the_first_of_two_claims_holds(spark, tmp_path, src):
     late._write(both, "claimed")  # it had looked before the other one claimed
     assert {r.run for r in early.states().collect()} == {"early"}
     assert [p for p, _, _ in late.claim(parts, 2, 3)] == ["2", "3"]
+
+
+def test_a_write_leaves_other_partitions_alone(spark, tmp_path, src):
+    """Files of other partitions are neither read nor written again, and a manifest is not looked for in a list of all."""
+    target = f"{tmp_path}/t"
+    write = R.copy_partitions(src, target, DIMS, ["id"], ["x"])
+    write(["0", "1"])
+    before = versioned.manifest(spark, target).folders
+    write(["2"])
+    after = versioned.manifest(spark, target).folders
+    assert len(before) == 2 and {b: after[b] for b in before} == before and len(after) == 3
+    assert write(["1"]) == 2 and rows_of(versioned.read(spark, target)) == rows_of(src.where("id < 30"))
+    with pytest.raises(ValueError, match="go by partitions"):
+        versioned.apply_changes(src.selectExpr("*", "'A' AS change_type"), target, ["id"], R.BUCKETS)

@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.buckets import partition_id
 from tidemark.operators.diff import row_diff, within_buckets
 from tidemark.sources import versioned
 from tidemark.spec import Dimension
@@ -24,6 +25,8 @@ from tidemark.work import saved
 
 #: Seconds after which a claim of a run that says nothing more lapses.
 LEASE = 3600.0
+#: Buckets of a table that goes by partitions.
+BUCKETS = 1024
 STATES = ("claimed", "failed", "completed")
 _STATE = "partition_id string, hash long, attempt int, rank int, first double, status string, run string, message string"
 _ORDER = ["attempt", "rank", "first"]
@@ -104,15 +107,21 @@ def run_partitions(partitions: DataFrame, ledger: Ledger, write: Callable[[list[
 
 def copy_partitions(src: DataFrame, target: str, dims: list[Dimension], keys: list[str], hashed: list[str], buckets: int = 16) -> Callable[[list[str]], int]:
     """A writer for ``run_partitions`` that brings partitions of a versioned table in step with the source. Rows of
-    both sides are read by pushed ranges; where nothing differs nothing is written, so it may be repeated."""
+    both sides are read by pushed ranges; where nothing differs nothing is written, so it may be repeated. Where keys
+    tell the partition, the table's buckets go by partitions, ``BUCKETS`` of them: a write reads and writes its own
+    ones, however large the table is. Otherwise they go by keys, and ``buckets`` is their number."""
+    own = {d.column for d in dims} <= {*keys}
+    by, layout = (partition_id(dims), f"partitions by {dims}") if own else (None, "")
+    many = BUCKETS if own else buckets
 
     def write(ids: list[str]) -> int:
         spark = src.sparkSession
         wanted = spark.createDataFrame([(i,) for i in ids], "_bucket string")
-        there = None if versioned.manifest(spark, target) is None else versioned.read(spark, target)
-        old = spark.createDataFrame([], src.schema) if there is None else within_buckets(there.select(*src.columns), dims, wanted)
+        old = spark.createDataFrame([], src.schema)
+        if versioned.manifest(spark, target) is not None:
+            some = {str(r[0]) for r in wanted.select(versioned.bucket_number(F.col("_bucket"), many)).collect()} if own else None
+            old = within_buckets(versioned.read(spark, target, buckets=some and sorted(some)).select(*src.columns), dims, wanted)
         changes = saved(row_diff(within_buckets(src, dims, wanted), old, keys, hashed))
-        return versioned.apply_changes(changes, target, keys, buckets)
+        return versioned.apply_changes(changes, target, keys, many, by=by, layout=layout)
 
     return write
-
