@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 import pytest
 
 from tidemark.operators.diff import bucket_hashes
@@ -99,3 +101,55 @@ def test_a_write_leaves_other_partitions_alone(spark, tmp_path, src):
     assert write(["1"]) == 2 and rows_of(versioned.read(spark, target)) == rows_of(src.where("id < 30"))
     with pytest.raises(ValueError, match="go by partitions"):
         versioned.apply_changes(src.selectExpr("*", "'A' AS change_type"), target, ["id"], R.BUCKETS)
+
+
+def jobs(spark) -> int:
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+
+
+def test_new_partitions_are_copied_in_one_job(spark, tmp_path, src):
+    """Neither an intermediate table nor a look for buckets goes before the write of partitions that a table has not
+    yet, also where their bucket has others; a repeated write finds no difference and writes nothing."""
+    target, ids = f"{tmp_path}/t", [str(i) for i in range(8)]
+    src.write.parquet(f"{tmp_path}/src")
+    stored = spark.read.parquet(f"{tmp_path}/src")
+    write = R.copy_partitions(stored, target, DIMS, ["id"], ["x"])
+    for n, i in enumerate(ids):
+        before = jobs(spark)
+        assert write([i]) == n + 1 and jobs(spark) - before <= 3  # a shuffle is a job of its own
+    assert [write([i]) for i in ids] == [8] * 8 and write(["99"]) == 8 and versioned.versions(spark, target)[-1] == 8
+    assert rows_of(versioned.read(spark, target)) == rows_of(stored)
+
+
+def test_partitions_of_one_bucket(spark, tmp_path, monkeypatch, src):
+    monkeypatch.setattr(R, "BUCKETS", 2)
+    target = f"{tmp_path}/t"
+    write = R.copy_partitions(src, target, DIMS, ["id"], ["x"])
+    for n, i in enumerate(("0", "1", "2", "3", "4", "5", "6", "7")):
+        assert write([i]) == n + 1
+    assert write(["3"]) == 8 and write(["8"]) == 8 and rows_of(versioned.read(spark, target)) == rows_of(src)
+    changed = src.where("id <> 14").selectExpr("id", "IF(id = 3, 'new', x) AS x")
+    assert R.copy_partitions(changed, target, DIMS, ["id"], ["x"])(["0", "1"]) == 9
+    assert rows_of(versioned.read(spark, target)) == rows_of(changed)
+
+
+@pytest.mark.parametrize("threads", [1, 4])
+def test_partitions_that_go_alone_at_the_same_time(spark, tmp_path, src, threads):
+    """Each is written and marked by itself, and one that fails fails alone."""
+    target, ledger, tried, meet = f"{tmp_path}/t", R.Ledger(spark, f"{tmp_path}/l", "a"), [], threading.Barrier(threads)
+    parts, write = bucket_hashes(src, DIMS, ["id", "x"]), R.copy_partitions(src, target, DIMS, ["id"], ["x"])
+
+    def unreliable(ids):
+        tried.append(ids)
+        if len(ids) > 1:
+            raise OSError("not at first")
+        if sum(t == ids for t in tried) == 1:
+            meet.wait(60)
+        if ids == ["2"]:
+            raise OSError("no")
+        write(ids)
+
+    assert R.run_partitions(parts, ledger, unreliable, group=4, attempts=3, threads=threads) == {"completed": 7, "failed": 8 + 2}
+    found = states(ledger)
+    assert {i for i, s in found.items() if s[0] == "failed"} == {"2"} and all(s[1] == (3 if i == "2" else 2) for i, s in found.items())
+    assert sorted(len(t) for t in tried) == [1] * 9 + [4, 4] and rows_of(versioned.read(spark, target)) == rows_of(src.where("id NOT BETWEEN 20 AND 29"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -118,3 +120,37 @@ def test_only_met_buckets_are_read(spark, tmp_path):
     V.upsert(spark.createDataFrame([(5, 2, "b")], SCHEMA), target, ["k"], ["t"], 16)
     new = V.manifest(spark, target).folders
     assert sum(old[b] != new[b] for b in old) == 1 and V.read(spark, target).count() == 1000
+
+
+def test_a_writer_of_other_buckets_keeps_its_files(spark, tmp_path, monkeypatch):
+    """What a rival published in the meantime stands beside files that are written once."""
+    target = f"{tmp_path}/t"
+    real, files, calls = V._publish, V._write_files, []
+    rows = {k: spark.createDataFrame([(k, 1, "a")], SCHEMA) for k in range(8)}
+    at = {k: r.select(V.bucket_number(["k"], 4)).first()[0] for k, r in rows.items()}
+    other = next(k for k in at if at[k] != at[0])
+
+    def publish(store, after):
+        if len(calls) == 1:
+            V.upsert(rows[other], target, ["k"], ["t"], 4)
+        return real(store, after)
+
+    monkeypatch.setattr(V, "_publish", publish)
+    monkeypatch.setattr(V, "_write_files", lambda *args: calls.append(1) or files(*args))
+    assert V.upsert(rows[0], target, ["k"], ["t"], 4) == 2 and len(calls) == 2
+    assert rows_of(V.read(spark, target)) == [(0, 1, "a"), (other, 1, "a")]
+
+
+def test_one_of_many_has_a_place(spark, tmp_path):
+    """Of threads that put a file in one place at once exactly one does, and the file is its own."""
+    store, meet = V._Store(spark, f"{tmp_path}/t"), threading.Barrier(4)
+
+    def put(name: str, text: str) -> bool:
+        meet.wait(60)
+        return store.create(name, text)
+
+    with ThreadPoolExecutor(4) as pool:
+        for n in range(150):
+            won = list(pool.map(put, [f"v/{n}"] * 4, "abcd"))
+            assert sum(won) == 1 and store.read(f"v/{n}") == "abcd"[won.index(True)]
+    assert sorted(store.names("v")) == sorted(str(n) for n in range(150))

@@ -129,7 +129,10 @@ def _boxes_of(changed: DataFrame, dims: list[Dimension]) -> tuple[list[Box], boo
 def _within(d: Dimension, first: int, last: int) -> Column:
     """A condition on a column that rows of some buckets meet. For hex texts, which may be in either case, it is
     on their first digit."""
-    column, start, end = F.col(d.column), bounds(d, F.lit(first))[0], bounds(d, F.lit(last))[1]
+    column = F.col(d.column)
+    if d.kind == "int":
+        return (column >= F.lit(first * d.step + d.offset).cast("long")) & (column < F.lit((last + 1) * d.step + d.offset).cast("long"))
+    start, end = bounds(d, F.lit(first))[0], bounds(d, F.lit(last))[1]
     if d.kind != "hex":
         return (column >= start) & (column < end)
     digits = range(first * d.step >> 28, min(15, (last + 1) * d.step - 1 >> 28) + 1)

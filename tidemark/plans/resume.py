@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from tidemark.functions.buckets import partition_id
 from tidemark.operators.diff import row_diff, within_buckets
 from tidemark.sources import versioned
 from tidemark.spec import Dimension
-from tidemark.work import saved
+from tidemark.work import listed, saved
 
 #: Seconds after which a claim of a run that says nothing more lapses.
 LEASE = 3600.0
@@ -79,49 +81,71 @@ class Ledger:
         self._write(partitions, status, message)
 
 
-def run_partitions(partitions: DataFrame, ledger: Ledger, write: Callable[[list[str]], object], group: int = 16, attempts: int = 3, stop_on_error: bool = False) -> dict[str, int]:
+def run_partitions(
+    partitions: DataFrame, ledger: Ledger, write: Callable[[list[str]], object], group: int = 16, attempts: int = 3, stop_on_error: bool = False, threads: int = 1,
+) -> dict[str, int]:
     """Brings all ``partitions`` (partition_id, hash) to completion, ``group`` at a time, and counts what came of
     them. ``write`` gets the ids of a group, and writes them so that a repetition changes nothing. A group that
     fails is marked so with the error, and its partitions are tried again by themselves, up to ``attempts`` times
-    in all runs; with ``stop_on_error`` the run ends instead, and the next one goes on."""
+    in all runs; with ``stop_on_error`` the run ends instead, and the next one goes on. threads: how many of a
+    group that go by themselves are written at the same time, if ``write`` may be called from several threads."""
     partitions, counts = saved(partitions.select("partition_id", "hash")), {"completed": 0, "failed": 0}
-    while True:
-        claimed = ledger.claim(partitions, group, attempts)
-        if not claimed:
-            return counts
-        # what failed before goes alone, so that one partition cannot hold up others
-        for part in [[p for p in claimed if p[2] == 1], *[[p] for p in claimed if p[2] > 1]]:
-            if not part:
-                continue
-            try:
-                write([p for p, _, _ in part])
-            except Exception as e:
-                ledger.mark(part, "failed", f"{type(e).__name__}: {e}"[:500])
-                counts["failed"] += len(part)
-                if stop_on_error:
-                    raise
-            else:
-                ledger.mark(part, "completed")
-                counts["completed"] += len(part)
+    with ThreadPoolExecutor(threads) as pool:
+        while True:
+            claimed = ledger.claim(partitions, group, attempts)
+            if not claimed:
+                return counts
+            # what failed before goes alone, so that one partition cannot hold up others
+            first, alone = [p for p in claimed if p[2] == 1], [[p] for p in claimed if p[2] > 1]
+            for part, error in _outcomes(ledger.spark, write, [first, *alone] if first else alone, pool if threads > 1 else None):
+                status = "completed" if error is None else "failed"
+                ledger.mark(part, status, None if error is None else f"{type(error).__name__}: {error}"[:500])
+                counts[status] += len(part)
+                if error is not None and stop_on_error:
+                    raise error
+
+
+_Part = list[tuple[str, int, int]]
+
+
+def _outcomes(spark: SparkSession, write: Callable[[list[str]], object], parts: list[_Part], pool: ThreadPoolExecutor | None) -> Iterator[tuple[_Part, Exception | None]]:
+    """Parts as their writes end, with the error of those that failed."""
+
+    def tried(part: _Part) -> Exception | None:
+        try:
+            write([p for p, _, _ in part])
+        except Exception as e:
+            return e
+        return None
+
+    if pool is None or len(parts) < 2:
+        yield from ((part, tried(part)) for part in parts)
+        return
+    # each thread has its own copy of the properties that jobs start with
+    running = {pool.submit(inheritable_thread_target(spark)(tried), part): part for part in parts}
+    for ended in as_completed(running):
+        yield running[ended], ended.result()
 
 
 def copy_partitions(src: DataFrame, target: str, dims: list[Dimension], keys: list[str], hashed: list[str], buckets: int = 16) -> Callable[[list[str]], int]:
     """A writer for ``run_partitions`` that brings partitions of a versioned table in step with the source. Rows of
     both sides are read by pushed ranges; where nothing differs nothing is written, so it may be repeated. Where keys
     tell the partition, the table's buckets go by partitions, ``BUCKETS`` of them: a write reads and writes its own
-    ones, however large the table is. Otherwise they go by keys, and ``buckets`` is their number."""
+    ones, however large the table is, and partitions that the table has not yet are copied in one job. Otherwise they
+    go by keys, and ``buckets`` is their number."""
     own = {d.column for d in dims} <= {*keys}
     by, layout = (partition_id(dims), f"partitions by {dims}") if own else (None, "")
     many = BUCKETS if own else buckets
 
     def write(ids: list[str]) -> int:
         spark = src.sparkSession
-        wanted = spark.createDataFrame([(i,) for i in ids], "_bucket string")
-        old = spark.createDataFrame([], src.schema)
-        if versioned.manifest(spark, target) is not None:
-            some = {str(r[0]) for r in wanted.select(versioned.bucket_number(F.col("_bucket"), many)).collect()} if own else None
-            old = within_buckets(versioned.read(spark, target, buckets=some and sorted(some)).select(*src.columns), dims, wanted)
-        changes = saved(row_diff(within_buckets(src, dims, wanted), old, keys, hashed))
-        return versioned.apply_changes(changes, target, keys, many, by=by, layout=layout)
+        wanted, met, before = listed(spark, ids, "_bucket"), None, versioned.manifest(spark, target)
+        if own:
+            met = sorted({str(r[0]) for r in wanted.select(versioned.bucket_number(F.col("_bucket"), many)).collect()})
+        new, there = within_buckets(src, dims, wanted), before is not None and (met is None or not before.folders.keys().isdisjoint(met))
+        old = within_buckets(versioned.read(spark, target, buckets=met).select(*src.columns), dims, wanted) if there else src.limit(0)
+        if own and (not there or old.isEmpty() and not new.isEmpty()):  # buckets may hold other partitions
+            return versioned.apply_changes(new.withColumn("change_type", F.lit("A")), target, keys, many, by=by, layout=layout, met=met)
+        return versioned.apply_changes(saved(row_diff(new, old, keys, hashed)), target, keys, many, by=by, layout=layout)
 
     return write

@@ -270,7 +270,7 @@ def _interrupted(spark: SparkSession, d: str) -> tuple[str, str]:
         resume.run_partitions(parts, resume.Ledger(spark, path), lost, group=2)
     except KeyboardInterrupt:
         pass
-    resume.run_partitions(parts, resume.Ledger(spark, path, lease=0.0), unreliable, group=4)
+    resume.run_partitions(parts, resume.Ledger(spark, path, lease=0.0), unreliable, group=4, threads=4)
     return target, path
 
 

@@ -4,7 +4,8 @@ A table is a folder. ``data`` holds the files of each write in a folder of its o
 keys. ``versions`` holds a manifest per version, which names the folder of every bucket; it is written
 beside its place and put there by one rename that fails if the place is taken. Readers follow the newest
 manifest. A writer that is lost at any point leaves at worst files that no manifest names, and two writers
-of one version cannot both win: the later one starts again from the other's version. Manifests and files that
+of one version cannot both win: the later one goes on from the other's version, and writes its files again where
+the other one wrote to its buckets. Manifests and files that
 are not of the newest version go when they are older than a grace time, in which readers finish.
 
 A manifest is as long as the number of buckets, which is fixed when a table is made.
@@ -13,6 +14,7 @@ A manifest is as long as the number of buckets, which is fixed when a table is m
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from collections.abc import Callable
@@ -56,14 +58,15 @@ class _Store:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        self.base = path.rstrip("/")
+        self.base, self._new = path.rstrip("/"), self.jvm.org.apache.hadoop.fs.Path
         top = self._path("")
         self.fs = top.getFileSystem(conf)
+        self.local = (lambda name: self._path(name).toUri().getPath()) if self.fs.getUri().getScheme() == "file" else None
         self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), conf)
         self._no_options = spark.sparkContext._gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
 
     def _path(self, name: str) -> object:
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
+        return self._new(f"{self.base}/{name}" if name else self.base)
 
     def names(self, folder: str) -> dict[str, float]:
         """Names in a folder, with the seconds of their last change; none if there is no folder."""
@@ -83,13 +86,22 @@ class _Store:
             stream.close()
 
     def create(self, name: str, text: str) -> bool:
-        """Puts a file with this text in place by one rename; False if the place is taken."""
+        """Puts a file with this text in place by one rename; False if the place is taken. A local file system would
+        replace what is there: a link is made instead, which fails."""
         beside = f"{name}.{uuid.uuid4().hex}.tmp"
         stream = self.fs.create(self._path(beside), True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
+        if self.local:
+            try:
+                os.link(self.local(beside), self.local(name))
+            except FileExistsError:
+                return False
+            finally:
+                self.remove(beside)
+            return True
         try:
             self.context.rename(self._path(beside), self._path(name), self._no_options)
         except Py4JJavaError as e:
@@ -105,33 +117,41 @@ class _Store:
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The versions that can be read, oldest first."""
-    return sorted(int(n.removesuffix(".json")) for n in _Store(spark, path).names("versions") if n.endswith(".json"))
+    return _versions(_Store(spark, path))
+
+
+def _versions(store: _Store) -> list[int]:
+    return sorted(int(n.removesuffix(".json")) for n in store.names("versions") if n.endswith(".json"))
 
 
 def manifest(spark: SparkSession, path: str, version: int | None = None) -> Manifest | None:
     """A version's manifest, the newest one's by default; None if there is no version yet."""
+    return _manifest(_Store(spark, path), version)
+
+
+def _manifest(store: _Store, version: int | None = None) -> Manifest | None:
     if version is None:
-        version = _newest(spark, path)
+        version = _newest(store)
         if version is None:
             return None
-    return Manifest(**json.loads(_Store(spark, path).read(_name(version))))
+    return Manifest(**json.loads(store.read(_name(version))))
 
 
 #: The newest version that this process has seen of a table.
 _SEEN: dict[str, int] = {}
 
 
-def _newest(spark: SparkSession, path: str) -> int | None:
+def _newest(store: _Store) -> int | None:
     """The newest version. Versions come one by one and go oldest first, so it is looked for upwards from the one
     seen last, without a list of all, while that one is there."""
-    store, at = _Store(spark, path), _SEEN.get(path)
+    at = _SEEN.get(store.base)
     if at is not None and store.has(_name(at)):
         while store.has(_name(at + 1)):
             at += 1
     if at is None or not store.has(_name(at)):
-        at = max(versions(spark, path), default=None)
+        at = max(_versions(store), default=None)
     if at is not None:
-        _SEEN[path] = at
+        _SEEN[store.base] = at
     return at
 
 
@@ -151,7 +171,9 @@ def _rows(spark: SparkSession, path: str, of: Manifest, buckets: list[str] | dic
     """The rows of some buckets, with their number."""
     stored = StructType([*of.struct]).add(BUCKET, IntegerType())
     folders = [f"{path.rstrip('/')}/{of.folders[b]}" for b in buckets if b in of.folders]
-    return spark.read.schema(stored).parquet(*folders) if folders else spark.createDataFrame([], stored)
+    # what holds no rows is known to the planner, so that joins with it fall away
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in stored]
+    return spark.read.schema(stored).parquet(*folders) if folders else spark.range(1).limit(0).select(*none)
 
 
 def _agreed(before: Manifest | None, schema: StructType, keys: list[str], buckets: int, layout: str = "") -> Manifest:
@@ -175,7 +197,7 @@ def _agreed(before: Manifest | None, schema: StructType, keys: list[str], bucket
 def write_buckets(
     rows: DataFrame, path: str, keys: list[str], buckets: int, combine: Callable[[DataFrame, DataFrame], DataFrame],
     schema: StructType | None = None, source: str | None = None, batch: int | None = None, grace: float = GRACE,
-    by: Column | None = None, layout: str = "",
+    by: Column | None = None, layout: str = "", met: list[str] | None = None,
 ) -> int:
     """Rewrites the buckets that ``rows`` meet and returns the version that has them. ``combine`` gets the old
     rows of these buckets and the new ones and gives what the buckets hold from now on, under ``schema``
@@ -185,13 +207,14 @@ def write_buckets(
     failure, wherever it failed, changes nothing.
 
     by: what buckets go by, instead of the keys, and that tells rows of equal keys no different; ``layout`` names it.
+    met: the buckets that rows may be in, where the caller knows them; ``rows`` are then computed only once.
     """
     spark, schema = rows.sparkSession, schema or rows.schema
     store = _Store(spark, path)
     numbered = rows.withColumn(BUCKET, bucket_number(by, buckets) if by is not None else bucket_number(keys, buckets))
-    met = None
+    base = None  # the version that files have been written for
     while True:
-        before = manifest(spark, path)
+        before = _manifest(store)
         start = _agreed(before, schema, keys, buckets, layout)
         if source is not None and before is not None and before.batches.get(source, -1) >= batch:
             return before.version
@@ -200,11 +223,14 @@ def write_buckets(
             met = ["0"] if one else [str(r[0]) for r in numbered.select(BUCKET).distinct().collect()]
         if not met:
             return start.version
-        kept = combine(_rows(spark, path, start, met), numbered)
-        folder = f"data/{uuid.uuid4().hex}"
-        _write_files(kept.select(*start.struct.names, BUCKET), f"{store.base}/{folder}")
-        full = {n.partition("=")[2] for n in store.names(folder) if n.startswith(f"{_FOLDER}=")}
+        if base is None or base.schema != start.schema or any(base.folders.get(b) != start.folders.get(b) for b in met):
+            base, folder = start, f"data/{uuid.uuid4().hex}"
+            kept = combine(_rows(spark, path, start, met), numbered)
+            _write_files(kept.select(*start.struct.names, BUCKET), f"{store.base}/{folder}")
+            full = {n.partition("=")[2] for n in store.names(folder) if n.startswith(f"{_FOLDER}=")}
         folders = {b: f for b, f in start.folders.items() if b not in met} | {b: f"{folder}/{_FOLDER}={b}" for b in full}
+        if source is None and folders == start.folders:  # no rows, before or after
+            return start.version
         batches = start.batches | ({source: batch} if source is not None else {})
         after = replace(start, version=start.version + 1, folders=folders, batches=batches, written=time.time())
         if _publish(store, after):
@@ -264,9 +290,9 @@ def upsert(rows: DataFrame, path: str, keys: list[str], order: list[str], bucket
     return write_buckets(rows, path, keys, buckets, combine, None, source, batch, grace)
 
 
-def apply_changes(changes: DataFrame, path: str, keys: list[str], buckets: int = 64, source: str | None = None, batch: int | None = None, grace: float = GRACE, by: Column | None = None, layout: str = "") -> int:
+def apply_changes(changes: DataFrame, path: str, keys: list[str], buckets: int = 64, source: str | None = None, batch: int | None = None, grace: float = GRACE, by: Column | None = None, layout: str = "", met: list[str] | None = None) -> int:
     """D rows go, A and M rows take the place of those of their keys; keys of changes are unique. Null is a
-    key like any other."""
+    key like any other. by, layout, met: as of ``write_buckets``."""
     schema = StructType([f for f in changes.schema if f.name != "change_type"])
 
     def combine(before: DataFrame, new: DataFrame) -> DataFrame:
@@ -274,4 +300,4 @@ def apply_changes(changes: DataFrame, path: str, keys: list[str], buckets: int =
         kept = before.join(new.select(BUCKET, *keys), same, "left_anti")
         return kept.unionByName(new.where("change_type <> 'D'").drop("change_type"), allowMissingColumns=True)
 
-    return write_buckets(changes, path, keys, buckets, combine, schema, source, batch, grace, by, layout)
+    return write_buckets(changes, path, keys, buckets, combine, schema, source, batch, grace, by, layout, met)

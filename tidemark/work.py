@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -59,3 +60,8 @@ def saved(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def listed(spark: SparkSession, texts: list[str], column: str) -> DataFrame:
+    """A few texts as a frame that is part of the plan: no task is started to read it."""
+    return spark.createDataFrame(pa.table({column: pa.array(texts, pa.string())}))
