@@ -153,3 +153,60 @@ def test_partitions_that_go_alone_at_the_same_time(spark, tmp_path, src, threads
     found = states(ledger)
     assert {i for i, s in found.items() if s[0] == "failed"} == {"2"} and all(s[1] == (3 if i == "2" else 2) for i, s in found.items())
     assert sorted(len(t) for t in tried) == [1] * 9 + [4, 4] and rows_of(versioned.read(spark, target)) == rows_of(src.where("id NOT BETWEEN 20 AND 29"))
+
+
+def test_the_ledger_is_written_without_jobs(spark, tmp_path, src):
+    """Partitions are looked for once, not for each group, and neither claims nor marks start a task."""
+    parts, ledger = bucket_hashes(src, DIMS, ["id"]).select("partition_id", "hash"), R.Ledger(spark, f"{tmp_path}/l", "a")
+    found = ledger.look(parts, 3)
+    assert len(found) == 8
+    before = jobs(spark)
+    while claimed := ledger.take(found, 3):
+        ledger.mark(claimed[:1], "failed", "a 'quoted' \"text\"\nof two lines   é")
+        ledger.mark(claimed[1:], "completed")
+    assert jobs(spark) == before and found == []
+    assert {p: s[:2] for p, s in states(ledger).items()} == {str(i): ("failed" if i % 3 == 0 else "completed", 1) for i in range(8)}
+    assert ledger.states().where("partition_id = '3'").first().message == "a 'quoted' \"text\"\nof two lines   é"
+    assert [p for p, _, _ in ledger.look(parts, 3)] == ["0", "3", "6"]
+
+
+def test_what_a_rival_takes_meanwhile(spark, tmp_path, src):
+    """Partitions that were looked for and that another run has claimed since are not claimed again."""
+    parts = bucket_hashes(src, DIMS, ["id"]).select("partition_id", "hash")
+    one, two = R.Ledger(spark, f"{tmp_path}/l", "one"), R.Ledger(spark, f"{tmp_path}/l", "two")
+    mine, theirs = one.look(parts, 3), two.look(parts, 3)
+    assert mine == theirs and [p for p, _, _ in one.take(mine, 3)] == ["0", "1", "2"]
+    put = two._put
+
+    def late(rows, status, message=None):
+        two._put = put
+        assert [p for p, _, _ in one.take(mine, 2)] == ["3", "4"]  # between two's look at the log and its claim
+        return put(rows, status, message)
+
+    two._put = late
+    assert [p for p, _, _ in two.take(theirs, 2)] == ["5", "6"] and [p for p, _, _ in one.take(mine, 2)] == ["7"]
+    assert two.take(theirs, 2) == [] and [p for p, _, _ in two.look(parts, 3)] == ["5", "6"]  # its own claims
+    assert {p: s[2] for p, s in states(one).items()} == {str(i): "two" if i in (5, 6) else "one" for i in range(8)}
+
+
+def test_a_long_log_goes_into_the_table(spark, tmp_path, src):
+    parts, path = bucket_hashes(src, DIMS, ["id"]).select("partition_id", "hash"), f"{tmp_path}/l"
+    slow, ledger = R.Ledger(spark, path, "slow"), R.Ledger(spark, path, "a")
+    stale = slow.look(parts, 3)
+    for status in ("completed", "failed"):
+        for claimed in [ledger.claim(parts, 2, 3) for _ in range(2)]:
+            ledger.mark(claimed, status)
+    whole = rows_of(ledger.states())
+    ledger.fold(9)  # not yet
+    assert versioned.manifest(spark, path) is None
+    for _ in range(2):
+        ledger.fold(1, 0.0)
+        assert rows_of(ledger.states()) == whole and len(list((tmp_path / "l/log").glob("*.json"))) == 8  # the table is too young to count on, or has all
+    ledger.mark([("7", 1, 9)], "failed")
+    ledger.fold(1, 0.0)
+    assert [int(p.name[:20]) for p in sorted((tmp_path / "l/log").glob("*.json"))] == [9]
+    assert [r for r in rows_of(ledger.states()) if r[0] != "7"] == [r for r in whole if r[0] != "7"] and len(whole) == 8
+    # one that knows only what has gone looks anew, and numbers go on
+    assert slow.take(stale, 2) == [] and [p for p, _, _ in slow.claim(parts, 9, 3)] == ["4", "5", "6", "7"]  # 7 has another hash
+    slow.mark([("4", 1, 9)], "completed")
+    assert versioned.Store(spark, path).has(R._entry(11)) and states(ledger)["4"] == ("completed", 9, "slow")

@@ -143,7 +143,7 @@ def test_a_writer_of_other_buckets_keeps_its_files(spark, tmp_path, monkeypatch)
 
 def test_one_of_many_has_a_place(spark, tmp_path):
     """Of threads that put a file in one place at once exactly one does, and the file is its own."""
-    store, meet = V._Store(spark, f"{tmp_path}/t"), threading.Barrier(4)
+    store, meet = V.Store(spark, f"{tmp_path}/t"), threading.Barrier(4)
 
     def put(name: str, text: str) -> bool:
         meet.wait(60)

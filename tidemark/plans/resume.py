@@ -1,25 +1,29 @@
 """Runs over partitions that a ledger drives: claimed, written, then marked, and taken up again where they stopped.
 
-The ledger is a versioned table with the last state of each partition: its hash, attempt, status, run and
-message. A run claims a group of partitions that are not completed under their present hash, writes them with a
+The ledger has the last state of each partition: its hash, attempt, status, run and message. States are written
+to a log, a small file for each group and no Spark job, and a versioned table takes in what a long log holds. A run claims a group of partitions that are not completed under their present hash, writes them with a
 writer that may be repeated, and marks them. A run that is lost between any two of these steps leaves claims;
 they lapse, and the next run does the work again, which changes nothing that was written. Of two runs that
-claim a partition at once the first has it.
+claim a partition at once the first has it: entries of the log are numbered, a number is had by one run, and a run
+reads all entries before its own.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.buckets import partition_id
+from tidemark.operators.dedup import keep_last
 from tidemark.operators.diff import row_diff, within_buckets
 from tidemark.sources import versioned
 from tidemark.spec import Dimension
@@ -32,6 +36,16 @@ BUCKETS = 1024
 STATES = ("claimed", "failed", "completed")
 _STATE = "partition_id string, hash long, attempt int, rank int, first double, status string, run string, message string"
 _ORDER = ["attempt", "rank", "first"]
+#: Partitions that a run looks for at once, and entries of a log that a table takes in.
+AHEAD, FOLD = 10_000, 1000
+#: The name of a log among the sources of a table's batches.
+_LOG = "log"
+
+_Part = list[tuple[str, int, int]]
+
+
+def _entry(number: int) -> str:
+    return f"log/{number:020d}.json"
 
 
 @dataclass
@@ -44,16 +58,62 @@ class Ledger:
     lease: float = LEASE
     clock: Callable[[], float] = time.time
 
-    def states(self) -> DataFrame:
-        if versioned.manifest(self.spark, self.path) is None:
-            return self.spark.createDataFrame([], _STATE)
-        return versioned.read(self.spark, self.path)
+    def __post_init__(self) -> None:
+        self._store = versioned.Store(self.spark, self.path)
+        self._at = self._last()  # the newest entry that this run knows
+        self._news: set[str] = set()  # partitions that others have written of since it last looked for open ones
+
+    def _last(self) -> int:
+        return max((int(n.removesuffix(".json")) for n in self._store.names("log") if n.endswith(".json")), default=0)
+
+    def _logged(self) -> DataFrame:
+        return self.spark.read.schema(_STATE).option("pathGlobFilter", "*.json").json(f"{self._store.base}/log")
 
-    def _write(self, rows: list[tuple[str, int, int]], status: str, message: str | None = None) -> None:
+    def states(self) -> DataFrame:
+        # the log first: entries go when a table that has them is published
+        log = self._logged() if self._store.has("log") else None
+        table = versioned.read(self.spark, self.path) if versioned.manifest(self.spark, self.path) else None
+        found = [rows for rows in (log, table) if rows is not None]
+        return keep_last(reduce(DataFrame.unionByName, found), ["partition_id"], _ORDER) if found else self.spark.createDataFrame([], _STATE)
+
+    def _follow(self) -> bool:
+        """Reads what others have written; False if some of it has gone already."""
+        while self._store.has(_entry(self._at + 1)):
+            lines = self._store.read(_entry(self._at + 1)).split("\n")
+            self._news |= {json.loads(line)["partition_id"] for line in lines}
+            self._at += 1
+        # entries go oldest first, so that nothing is missing while the last one known is there
+        if self._at and self._store.has(_entry(self._at)):
+            return True
+        known, self._at = self._at, self._last()
+        return known == self._at
+
+    def _put(self, rows: _Part, status: str, message: str | None = None) -> bool:
+        """Makes the next entry; False if another run has made it."""
         # of two claims of one attempt the earlier is the last in order, of other states the later
         first = self.clock() * (-1 if status == "claimed" else 1)
-        states = [(p, h, a, STATES.index(status), first, status, self.run, message) for p, h, a in rows]
-        versioned.upsert(self.spark.createDataFrame(states, _STATE), self.path, ["partition_id"], _ORDER, buckets=1)
+        states = [{"partition_id": p, "hash": h, "attempt": a, "rank": STATES.index(status), "first": first, "status": status, "run": self.run, "message": message} for p, h, a in rows]
+        done = self._store.create(_entry(self._at + 1), "\n".join(json.dumps(s) for s in states))
+        self._at += done
+        return done
+
+    def _write(self, rows: _Part, status: str, message: str | None = None) -> None:
+        self._follow()
+        while not self._put(rows, status, message):
+            self._follow()
+
+    def fold(self, entries: int = FOLD, grace: float = versioned.GRACE) -> None:
+        """Takes the log into the table when it has so many entries more than the table, and removes those that a table
+        older than ``grace`` seconds has. The newest entry stays, so that numbers go on."""
+        before, upto = versioned.manifest(self.spark, self.path), self._at
+        taken = before.batches.get(_LOG, 0) if before else 0
+        if upto < taken + entries:
+            return
+        if taken and before.written < time.time() - grace:
+            for n in sorted(int(n.removesuffix(".json")) for n in self._store.names("log") if n.endswith(".json")):
+                if n <= taken and n < upto:
+                    self._store.remove(_entry(n))
+        versioned.upsert(self._logged(), self.path, ["partition_id"], _ORDER, buckets=1, source=_LOG, batch=upto)
 
     def open_partitions(self, partitions: DataFrame, attempts: int) -> DataFrame:
         """(partition_id, hash, attempt) of ``partitions`` (partition_id, hash) that are to be done: not completed with
@@ -67,17 +127,34 @@ class Ledger:
         open_ = ~F.coalesce(done, F.lit(False)) & ~F.coalesce(held, F.lit(False)) & (tried < attempts)
         return known.where(open_).select("partition_id", "hash", (F.coalesce("_tried", F.lit(0)) + 1).alias("attempt"))
 
-    def claim(self, partitions: DataFrame, group: int, attempts: int) -> list[tuple[str, int, int]]:
-        """Up to ``group`` partitions that are this run's now. Only these reach the driver."""
-        wanted = [tuple(r) for r in self.open_partitions(partitions, attempts).orderBy("attempt", "partition_id").limit(group).collect()]
-        if not wanted:
-            return []
-        self._write(wanted, "claimed")
-        own = self.states().where((F.col("run") == self.run) & (F.col("status") == "claimed"))
-        mine = {r[0] for r in own.select("partition_id").where(F.col("partition_id").isin([p for p, _, _ in wanted])).collect()}
-        return [w for w in wanted if w[0] in mine]
-
-    def mark(self, partitions: list[tuple[str, int, int]], status: str, message: str | None = None) -> None:
+    def look(self, partitions: DataFrame, attempts: int, most: int = AHEAD) -> _Part:
+        """The first ``most`` open partitions. Only these reach the driver."""
+        self._follow()
+        self._news = set()
+        self.fold()
+        return [tuple(r) for r in self.open_partitions(partitions, attempts).orderBy("attempt", "partition_id").limit(most).collect()]
+
+    def take(self, found: _Part, group: int) -> _Part:
+        """The first ``group`` of partitions that were looked for are this run's now, and leave the list; those that
+        another run has written of in the meantime leave it too, and are looked for again."""
+        while True:
+            if not self._follow():
+                found.clear()
+            if self._news:
+                found[:] = [p for p in found if p[0] not in self._news]
+            wanted = found[:group]
+            if not wanted or self._put(wanted, "claimed"):
+                del found[:group]
+                return wanted
+
+    def claim(self, partitions: DataFrame, group: int, attempts: int) -> _Part:
+        """Up to ``group`` partitions that are this run's now."""
+        while found := self.look(partitions, attempts, group):
+            if mine := self.take(found, group):
+                return mine
+        return []
+
+    def mark(self, partitions: _Part, status: str, message: str | None = None) -> None:
         self._write(partitions, status, message)
 
 
@@ -91,10 +168,14 @@ def run_partitions(
     group that go by themselves are written at the same time, if ``write`` may be called from several threads."""
     partitions, counts = saved(partitions.select("partition_id", "hash")), {"completed": 0, "failed": 0}
     with ThreadPoolExecutor(threads) as pool:
+        found: _Part = []
         while True:
-            claimed = ledger.claim(partitions, group, attempts)
+            claimed = ledger.take(found, group)
             if not claimed:
-                return counts
+                found = ledger.look(partitions, attempts)
+                if not found:
+                    return counts
+                continue
             # what failed before goes alone, so that one partition cannot hold up others
             first, alone = [p for p in claimed if p[2] == 1], [[p] for p in claimed if p[2] > 1]
             for part, error in _outcomes(ledger.spark, write, [first, *alone] if first else alone, pool if threads > 1 else None):
@@ -105,9 +186,6 @@ def run_partitions(
                     raise error
 
 
-_Part = list[tuple[str, int, int]]
-
-
 def _outcomes(spark: SparkSession, write: Callable[[list[str]], object], parts: list[_Part], pool: ThreadPoolExecutor | None) -> Iterator[tuple[_Part, Exception | None]]:
     """Parts as their writes end, with the error of those that failed."""
 

@@ -282,7 +282,7 @@ def resume_interrupted_run(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PAIR_SQL} SELECT DISTINCT CAST(id // 10000 AS VARCHAR) AS partition_id, 'completed' AS status FROM src")
 def resume_ledger(spark: SparkSession, d: str) -> DataFrame:
     """The ledger afterwards: every partition is completed, once."""
-    return versioned.read(spark, _interrupted(spark, d)[1]).select("partition_id", "status")
+    return resume.Ledger(spark, _interrupted(spark, d)[1]).states().select("partition_id", "status")
 
 
 @query(f"{_ROWS_SQL} SELECT 'orders' AS job, 'hash' AS strategy, 'r1' AS run, 'completed' AS status, count(*) FILTER (change_type = 'A') AS inserted, count(*) FILTER (change_type = 'M') AS updated, count(*) FILTER (change_type = 'D') AS deleted FROM st")

@@ -53,7 +53,7 @@ class Manifest:
         return StructType.fromJson(json.loads(self.schema))
 
 
-class _Store:
+class Store:
     """The few operations on files that a table needs, on whatever file system its path is of."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -117,19 +117,19 @@ class _Store:
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The versions that can be read, oldest first."""
-    return _versions(_Store(spark, path))
+    return _versions(Store(spark, path))
 
 
-def _versions(store: _Store) -> list[int]:
+def _versions(store: Store) -> list[int]:
     return sorted(int(n.removesuffix(".json")) for n in store.names("versions") if n.endswith(".json"))
 
 
 def manifest(spark: SparkSession, path: str, version: int | None = None) -> Manifest | None:
     """A version's manifest, the newest one's by default; None if there is no version yet."""
-    return _manifest(_Store(spark, path), version)
+    return _manifest(Store(spark, path), version)
 
 
-def _manifest(store: _Store, version: int | None = None) -> Manifest | None:
+def _manifest(store: Store, version: int | None = None) -> Manifest | None:
     if version is None:
         version = _newest(store)
         if version is None:
@@ -141,7 +141,7 @@ def _manifest(store: _Store, version: int | None = None) -> Manifest | None:
 _SEEN: dict[str, int] = {}
 
 
-def _newest(store: _Store) -> int | None:
+def _newest(store: Store) -> int | None:
     """The newest version. Versions come one by one and go oldest first, so it is looked for upwards from the one
     seen last, without a list of all, while that one is there."""
     at = _SEEN.get(store.base)
@@ -210,7 +210,7 @@ def write_buckets(
     met: the buckets that rows may be in, where the caller knows them; ``rows`` are then computed only once.
     """
     spark, schema = rows.sparkSession, schema or rows.schema
-    store = _Store(spark, path)
+    store = Store(spark, path)
     numbered = rows.withColumn(BUCKET, bucket_number(by, buckets) if by is not None else bucket_number(keys, buckets))
     base = None  # the version that files have been written for
     while True:
@@ -254,14 +254,14 @@ def _write_files(rows: DataFrame, folder: str) -> None:
     rows.withColumn(_FOLDER, F.col(BUCKET)).repartition(BUCKET).write.partitionBy(_FOLDER).parquet(folder)
 
 
-def _publish(store: _Store, after: Manifest) -> bool:
+def _publish(store: Store, after: Manifest) -> bool:
     return store.create(_name(after.version), json.dumps(asdict(after)))
 
 
 def expire(spark: SparkSession, path: str, grace: float = GRACE) -> None:
     """Removes what the newest version does not need and is older than ``grace`` seconds: manifests by the time
     when the next one replaced them, folders that no manifest names by their last change."""
-    store, now = _Store(spark, path), time.time()
+    store, now = Store(spark, path), time.time()
     there = versions(spark, path)
     data = store.names("data")
     # the first version was replaced before all others, and what is younger than it stays
