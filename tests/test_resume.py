@@ -210,3 +210,18 @@ def test_a_long_log_goes_into_the_table(spark, tmp_path, src):
     assert slow.take(stale, 2) == [] and [p for p, _, _ in slow.claim(parts, 9, 3)] == ["4", "5", "6", "7"]  # 7 has another hash
     slow.mark([("4", 1, 9)], "completed")
     assert versioned.Store(spark, path).has(R._entry(11)) and states(ledger)["4"] == ("completed", 9, "slow")
+
+
+def test_neighbours_have_buckets_of_their_own(spark, tmp_path):
+    """As many partitions in a row as there are buckets share none; rows without a key are a partition too."""
+    src, target = spark.range(-100, R.BUCKETS - 101).selectExpr("IF(id = 5, NULL, id) AS id", "CONCAT('v', id) AS x"), f"{tmp_path}/t"
+    write = R.copy_partitions(src, target, [Dimension("id", 1)], ["id"], ["x"])
+    assert write(["", *(str(i) for i in range(-100, R.BUCKETS - 101) if i != 5)]) == 1
+    found = versioned.manifest(spark, target).folders
+    assert len(found) == R.BUCKETS - 2 and write(["7", "-100"]) == 1  # the one without a key is with 0
+    assert rows_of(versioned.read(spark, target)) == rows_of(src)
+    many = spark.range(40).selectExpr("id", "id % 3 AS kind")
+    for dims in ([Dimension("id", 10), Dimension("kind", kind="value")], [Dimension("kind", kind="value")]):
+        write = R.copy_partitions(many, target := f"{tmp_path}/{len(dims)}", dims, ["id", "kind"], ["id"])
+        ids = [r[0] for r in bucket_hashes(many, dims, ["id"]).collect()]
+        assert write(ids[:1]) == 1 and write(ids) == 2 and write(ids) == 2 and rows_of(versioned.read(spark, target)) == rows_of(many)

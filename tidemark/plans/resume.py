@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.buckets import partition_id
@@ -205,6 +205,12 @@ def _outcomes(spark: SparkSession, write: Callable[[list[str]], object], parts:
         yield running[ended], ended.result()
 
 
+def _number(partition: Column, row: bool) -> Column:
+    """A number of a partition by its id: that of its place in a row, which no other of ``BUCKETS`` neighbours shares
+    a bucket with, or a hash."""
+    return F.coalesce(partition.try_cast("long"), F.lit(0)) if row else F.xxhash64(partition)
+
+
 def copy_partitions(src: DataFrame, target: str, dims: list[Dimension], keys: list[str], hashed: list[str], buckets: int = 16) -> Callable[[list[str]], int]:
     """A writer for ``run_partitions`` that brings partitions of a versioned table in step with the source. Rows of
     both sides are read by pushed ranges; where nothing differs nothing is written, so it may be repeated. Where keys
@@ -212,14 +218,15 @@ def copy_partitions(src: DataFrame, target: str, dims: list[Dimension], keys: li
     ones, however large the table is, and partitions that the table has not yet are copied in one job. Otherwise they
     go by keys, and ``buckets`` is their number."""
     own = {d.column for d in dims} <= {*keys}
-    by, layout = (partition_id(dims), f"partitions by {dims}") if own else (None, "")
+    row = len(dims) == 1 and dims[0].kind != "value"  # partitions are numbered in a row
+    by, layout = (_number(partition_id(dims), row), f"partitions by {dims}" + ", in a row" * row) if own else (None, "")
     many = BUCKETS if own else buckets
 
     def write(ids: list[str]) -> int:
         spark = src.sparkSession
         wanted, met, before = listed(spark, ids, "_bucket"), None, versioned.manifest(spark, target)
         if own:
-            met = sorted({str(r[0]) for r in wanted.select(versioned.bucket_number(F.col("_bucket"), many)).collect()})
+            met = sorted({str(r[0]) for r in wanted.select(versioned.bucket_number(_number(F.col("_bucket"), row), many)).collect()})
         new, there = within_buckets(src, dims, wanted), before is not None and (met is None or not before.folders.keys().isdisjoint(met))
         old = within_buckets(versioned.read(spark, target, buckets=met).select(*src.columns), dims, wanted) if there else src.limit(0)
         if own and (not there or old.isEmpty() and not new.isEmpty()):  # buckets may hold other partitions

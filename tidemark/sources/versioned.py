@@ -206,7 +206,8 @@ def write_buckets(
     A batch of a source that a version has already is not written again: a batch that is repeated after a
     failure, wherever it failed, changes nothing.
 
-    by: what buckets go by, instead of the keys, and that tells rows of equal keys no different; ``layout`` names it.
+    by: a number that buckets go by, instead of the keys, and that tells rows of equal keys no different; ``layout``
+    names it.
     met: the buckets that rows may be in, where the caller knows them; ``rows`` are then computed only once.
     """
     spark, schema = rows.sparkSession, schema or rows.schema
@@ -246,8 +247,8 @@ _EXPIRED: dict[str, float] = {}
 
 
 def bucket_number(by: Column | list[str], buckets: int) -> Column:
-    """The number of the bucket that a row is in."""
-    return F.pmod(F.xxhash64(*(by if isinstance(by, list) else [by])), F.lit(buckets)).cast("int")
+    """The number of the bucket that a row is in, by its keys or by a number of its own."""
+    return F.pmod(F.xxhash64(*by) if isinstance(by, list) else by, F.lit(buckets)).cast("int")
 
 
 def _write_files(rows: DataFrame, folder: str) -> None:
